@@ -1,4 +1,782 @@
-"""Queries of the retail operators over the driver's tables."""
+"""Queries of the retail operators over the driver's tables, with their DuckDB SQL
+where SQL can express them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import similarity as S
+from .functions import text as T
+from .operators import analytics as A
+from .operators import anomaly as N
+from .operators import basket as B
+from .operators import extract as X
+from .operators import maintain as M
+from .operators import match as H
+from .operators import monitor as O
+from .operators import prices as P
+from .operators import quality as Q
+from .sources import bind
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: The retail tables as SQL, for the oracles.
+WITH = """
+WITH prices AS (
+  SELECT l_orderkey || '-' || l_linenumber AS id, p_name AS ingredient_id, s_suppkey AS store_id, s_name AS store_name,
+    p_name || ' ' || p_brand || ' ' || p_type AS raw_product, l_extendedprice AS raw_price, l_quantity AS total_kg,
+    l_extendedprice / l_quantity AS price_per_kg, l_shipdate AS collected_at, l_shipdate::DATE AS valid_from, (l_shipdate::DATE + 7)::DATE AS valid_until,
+    l_discount >= 0.08 AS is_promotion, 1 + s_nationkey % 4 AS tier, 1 - l_tax AS confidence, p_brand AS brand, (SELECT max(l_shipdate::DATE) FROM lineitem) AS as_of
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+valid AS (SELECT * FROM prices WHERE valid_from <= as_of AND valid_until >= as_of),
+newest AS (SELECT * FROM prices WHERE price_per_kg > 0 QUALIFY row_number() OVER (PARTITION BY ingredient_id, store_id ORDER BY collected_at DESC, id DESC) = 1),
+stores AS (SELECT s_suppkey AS id, s_name AS name, n_name AS city, 1 + s_nationkey % 4 AS tier, s_acctbal >= 0 AS is_active FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
+logs AS (SELECT event_id AS id, user_id AS store_name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status, ts AS started_at,
+  value AS latency_ms, (props->>'$.k')::BIGINT AS items_found, (SELECT max(ts) FROM events) AS now FROM events),
+queue AS (SELECT d.doc_id AS id, split_part(text, chr(10), 1) AS raw_product, source AS store_name, 0.5 + 0.4 * coalesce(quality, 0) AS confidence, 'pending' AS status
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+baskets AS (SELECT l_orderkey AS basket_id, p_name AS ingredient_id, sum(l_quantity) AS qty_kg FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+"""
+FIRST = "(SELECT min(p_name) FROM part)"
+
+
+def as_of() -> Column:
+    return F.col("as_of")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function as the query of its name, with its SQL."""
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = WITH + sql
+        return f
+    return add
+
+
+def prices(s: SparkSession, d: str) -> DataFrame:
+    return bind.with_as_of(bind.prices(s, d), s, d)
+
+
+def logs(s: SparkSession, d: str) -> DataFrame:
+    """Collection logs with the time of the newest as `now`."""
+    e = bind.scraping_logs(s, d)
+    return e.crossJoin(F.broadcast(bind.read_table(s, d, "events").agg(F.max("ts").alias("now"))))  # one row
+
+
+def one_ingredient(s: SparkSession, d: str) -> str:
+    """The first ingredient by name: the parameter of queries about one."""
+    return bind.read_table(s, d, "part").agg(F.min("p_name")).first()[0]
+
+
+# Current prices
+
+@query(f"SELECT id, store_id, price_per_kg FROM valid WHERE ingredient_id = {FIRST} ORDER BY price_per_kg NULLS LAST, id LIMIT 50")
+def search_prices(s, d):
+    return P.search_prices(prices(s, d), as_of(), one_ingredient(s, d)).select("id", "store_id", "price_per_kg")
+
+
+@query("SELECT id, valid_from, valid_until FROM valid")
+def valid_at(s, d):
+    return P.valid_at(prices(s, d), as_of()).select("id", "valid_from", "valid_until")
+
+
+@query(f"SELECT id, collected_at, price_per_kg FROM prices WHERE ingredient_id = {FIRST} AND collected_at::DATE >= as_of - 365")
+def price_history(s, d):
+    return P.price_history(prices(s, d), as_of(), one_ingredient(s, d), days=365).select("id", "collected_at", "price_per_kg")
+
+
+@query("SELECT ingredient_id, store_id, id, price_per_kg FROM valid WHERE price_per_kg > 0 QUALIFY row_number() OVER (PARTITION BY ingredient_id, store_id ORDER BY collected_at DESC, id DESC) = 1")
+def latest_prices(s, d):
+    return P.latest_prices(prices(s, d), as_of()).select("ingredient_id", "store_id", "id", "price_per_kg")
+
+
+@query("SELECT ingredient_id, store_id, id, price_per_kg FROM newest")
+def newest_prices(s, d):
+    return P.newest_prices(prices(s, d)).select("ingredient_id", "store_id", "id", "price_per_kg")
+
+
+@query(f"""SELECT id, price_per_kg, CASE WHEN as_of - collected_at::DATE <= 7 THEN 'ok' WHEN as_of - collected_at::DATE <= 30 THEN 'warn' ELSE 'stale' END AS freshness
+FROM valid WHERE ingredient_id = {FIRST}""")
+def prices_view(s, d):
+    return P.prices_view(prices(s, d), as_of(), one_ingredient(s, d)).select("id", "price_per_kg", "freshness")
+
+
+@query("SELECT id FROM prices WHERE is_promotion")
+def active_promotions(s, d):
+    return P.active_promotions(prices(s, d)).select("id")
+
+
+@query("SELECT id, ingredient_id, store_name, price_per_kg FROM prices WHERE is_promotion AND price_per_kg > 0 AND ingredient_id = " + FIRST)
+def promotions_view(s, d):
+    return P.promotions_view(prices(s, d), ingredients=[one_ingredient(s, d)]).select("id", "ingredient_id", "store_name", "price_per_kg")
+
+
+@query("SELECT count(*) AS promotions, round(avg(price_per_kg), 4) AS avg_ppk, max(collected_at) AS last_collected FROM prices WHERE is_promotion AND price_per_kg > 0")
+def promotions_kpis(s, d):
+    return P.promotions_kpis(prices(s, d))
+
+
+@query("SELECT * FROM stores WHERE is_active")
+def active_stores(s, d):
+    return P.active_stores(bind.stores(s, d))
+
+
+@query("SELECT * FROM stores WHERE is_active AND tier = 2")
+def stores_by_tier(s, d):
+    return P.active_stores(bind.stores(s, d), 2)
+
+
+@query("SELECT id, name FROM stores WHERE contains(lower(name), '1') AND NOT contains(lower(name), '7')")
+def store_name_filter(s, d):
+    return P.store_name_filter(bind.stores(s, d), ["1", "-7"]).select("id", "name")
+
+
+@query("""SELECT DISTINCT p_name AS ingredient_id, CASE WHEN p_name = (SELECT min(p_name) FROM part) THEN false ELSE true END AS enabled FROM part""")
+def feature_gate(s, d):
+    names = bind.ingredients(s, d).select(F.col("canonical_name").alias("ingredient_id"))
+    flags = names.agg(F.concat(F.lit("review:"), F.min("ingredient_id")).alias("key")).withColumn("enabled", F.lit(False))
+    flags = flags.unionByName(names.limit(1).select(F.lit("review").alias("key"), F.lit(True).alias("enabled")))
+    return P.feature_gate(names, flags, "review", False)
+
+
+@query("SELECT id, confidence FROM queue WHERE confidence >= 0.6")
+def review_filter(s, d):
+    return P.review_filter(bind.review_queue(s, d), 0.6).select("id", "confidence")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (confidence >= 0.6) AS high, count(*) FILTER (confidence < 0.4) AS low FROM queue")
+def review_kpis(s, d):
+    return P.review_kpis(bind.review_queue(s, d))
+
+
+@query("""SELECT id, (contains(lower(raw_product), 'steel') OR contains(lower(raw_product), 'tin')) AND NOT contains(lower(raw_product), 'small') AS is_false_positive FROM prices""")
+def false_positive_prices(s, d):
+    return P.false_positive_prices(prices(s, d), ["steel", "tin"], ["small"]).select("id", "is_false_positive")
+
+
+@query("SELECT q.id FROM queue q WHERE NOT (contains(lower(raw_product), 'the') OR contains(lower(raw_product), 'la')) OR contains(lower(raw_product), 'zu')")
+def out_of_scope_products(s, d):
+    q = bind.review_queue(s, d)
+    rules = q.select("store_name").distinct().select("store_name", F.array(F.lit("the"), F.lit("la")).alias("wanted"), F.array(F.lit("zu")).alias("junk"))
+    return P.out_of_scope_products(q, rules).select("id")
+
+
+def frequencies(s: SparkSession, d: str) -> DataFrame:
+    """A frequency row for every second store, disabled for tier 3."""
+    st = bind.stores(s, d).filter("id % 2 = 0")
+    return st.select(F.col("id").alias("store_id"), T.default_frequency(F.col("tier")).alias("frequency_minutes"), (F.col("tier") != 3).alias("enabled"))
+
+
+_FREQ = ", freq AS (SELECT id AS store_id, CASE tier WHEN 1 THEN 10080 WHEN 4 THEN 43200 ELSE 1440 END AS frequency_minutes, tier <> 3 AS enabled FROM stores WHERE id % 2 = 0) "
+
+
+@query(_FREQ + "SELECT id, tier, frequency_minutes FROM stores LEFT JOIN freq ON id = store_id")
+def stores_with_frequency(s, d):
+    return P.stores_with_frequency(bind.stores(s, d), frequencies(s, d)).select("id", "tier", "frequency_minutes")
+
+
+@query(_FREQ + "SELECT id FROM stores LEFT JOIN freq ON id = store_id WHERE is_active AND coalesce(enabled, true)")
+def collectable_stores(s, d):
+    return P.collectable_stores(bind.stores(s, d), frequencies(s, d)).select("id")
+
+
+@query("SELECT id, ingredient_id FROM prices WHERE is_promotion UNION ALL SELECT id, NULL FROM prices WHERE tier = 1")
+def union_collections(s, d):
+    p = prices(s, d)
+    return P.union_collections(p.filter("is_promotion").select("id", "ingredient_id"), p.filter("tier = 1").select("id"))
+
+
+@query("SELECT id, name, row FROM (SELECT id, name, row_number() OVER (ORDER BY name, id) AS row FROM stores) WHERE row > 15 AND row <= 30")
+def page_rows(s, d):
+    return P.page_rows(bind.stores(s, d).select("id", "name"), ["name", "id"], 2)
+
+
+# Analytics
+
+@query("SELECT count(*) AS total_prices, count(DISTINCT ingredient_id) AS ingredients, count(DISTINCT store_id) AS stores, round(avg(price_per_kg) FILTER (price_per_kg > 0), 4) AS avg_ppk FROM prices")
+def kpis(s, d):
+    return A.kpis(prices(s, d))
+
+
+@query("""SELECT ingredient_id, count(DISTINCT store_id) AS store_count, count(*) AS price_count, min(price_per_kg) AS min_ppk, round(avg(price_per_kg), 4) AS avg_ppk FROM prices GROUP BY 1""")
+def coverage_by_ingredient(s, d):
+    return A.coverage_by_ingredient(prices(s, d))
+
+
+@query(f"""SELECT collected_at::DATE AS day, round(avg(price_per_kg), 2) AS avg_ppk, min(price_per_kg) AS min_ppk, max(price_per_kg) AS max_ppk,
+count(*) AS store_count, count(DISTINCT store_id) AS distinct_stores FROM prices WHERE ingredient_id = {FIRST} GROUP BY 1""")
+def price_trends(s, d):
+    return A.price_trends(prices(s, d), one_ingredient(s, d))
+
+
+@query("""SELECT store_id, round(avg(price_per_kg), 4) AS mean, min(price_per_kg) AS min, max(price_per_kg) AS max, round(stddev_samp(price_per_kg), 4) AS std, count(*) AS n
+FROM prices WHERE price_per_kg > 0 GROUP BY 1""")
+def history_stats(s, d):
+    return A.history_stats(prices(s, d))
+
+
+@query("""SELECT ingredient_id, arg_min(id, struct_pack(a := price_per_kg, b := id)) AS id, arg_min(store_id, struct_pack(a := price_per_kg, b := id)) AS store_id,
+min(price_per_kg) AS ppk, count(DISTINCT store_id) AS stores FROM prices GROUP BY 1""")
+def best_price_per_ingredient(s, d):
+    return A.best_price_per_ingredient(prices(s, d))
+
+
+@query(""", b AS (SELECT ingredient_id, store_id, id, price_per_kg, count(*) OVER (PARTITION BY ingredient_id) AS offers,
+  row_number() OVER (PARTITION BY ingredient_id, store_id ORDER BY price_per_kg, id) AS k FROM prices WHERE price_per_kg > 0),
+c AS (SELECT ingredient_id, store_id, id, price_per_kg, offers, count(*) OVER (PARTITION BY ingredient_id) AS stores, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS rank FROM b WHERE k = 1)
+SELECT ingredient_id, store_id, id, price_per_kg, offers, stores, rank FROM c WHERE rank <= 5""")
+def best_price_per_store(s, d):
+    return A.best_price_per_store(prices(s, d), keep=5)
+
+
+@query(""", daily AS (SELECT ingredient_id, collected_at::DATE AS day, arg_min(store_id, struct_pack(a := price_per_kg, b := store_id)) AS store_id FROM prices WHERE price_per_kg > 0 GROUP BY 1, 2)
+SELECT ingredient_id, store_id, count(*) AS wins FROM daily GROUP BY 1, 2""")
+def longitudinal_winners(s, d):
+    return A.longitudinal_winners(prices(s, d))
+
+
+@query(""", r AS (SELECT ingredient_id, store_id, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS rank FROM prices WHERE price_per_kg > 0),
+f AS (SELECT ingredient_id, store_id, min(rank) AS rank FROM r GROUP BY 1, 2)
+SELECT store_id, count(*) AS total_ingredients, count(*) FILTER (rank = 1) AS top1_count, count(*) FILTER (rank <= 3) AS top3_count FROM f GROUP BY 1""")
+def cross_ingredient_ranking(s, d):
+    return A.cross_ingredient_ranking(prices(s, d))
+
+
+@query("""SELECT ingredient_id, id, price_per_kg, rank FROM
+(SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS rank FROM newest) WHERE rank <= 5""")
+def top_n_per_ingredient(s, d):
+    return A.top_n_per_ingredient(P.newest_prices(prices(s, d)), 5).select("ingredient_id", "id", "price_per_kg", "rank")
+
+
+@query("""SELECT ingredient_id, round(avg(price_per_kg), 4) AS avg_ppk, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY collected_at DESC, id) AS k FROM prices) WHERE k <= 30 GROUP BY 1""")
+def last_n_average(s, d):
+    return A.last_n_average(prices(s, d))
+
+
+@query("SELECT id, price_per_kg FROM prices WHERE price_per_kg > 0 ORDER BY price_per_kg, id LIMIT 10")
+def cheapest_offers(s, d):
+    return A.cheapest_offers(prices(s, d)).select("id", "price_per_kg")
+
+
+@query("SELECT ingredient_id, round(avg(price_per_kg), 4) AS avg_ppk, count(DISTINCT store_id) AS stores FROM prices GROUP BY 1 ORDER BY avg_ppk DESC, ingredient_id LIMIT 20")
+def top_average_ingredients(s, d):
+    return A.top_average_ingredients(prices(s, d))
+
+
+@query("SELECT ingredient_id, count(*) AS n FROM prices GROUP BY 1")
+def price_distribution(s, d):
+    return A.price_distribution(prices(s, d))
+
+
+@query("SELECT max(collected_at) AS last_collected, count(*) AS total, count(DISTINCT store_id) AS stores, count(*) FILTER (confidence >= 0.95) AS confident FROM prices")
+def status_summary(s, d):
+    return A.status_summary(prices(s, d))
+
+
+@query("SELECT max(collected_at) AS collected_at, count(*) AS total_prices, count(DISTINCT ingredient_id) AS ingredients_found FROM prices")
+def snapshot_summary(s, d):
+    return A.snapshot_summary(prices(s, d))
+
+
+_COVER = """, p AS (SELECT store_id, max(valid_from) AS last_price_date, count(DISTINCT ingredient_id) AS ic, count(*) AS tp FROM valid GROUP BY 1),
+cover AS (SELECT s.id AS store_id, name, tier, last_price_date, (SELECT max(as_of) FROM prices) - last_price_date AS days_since_price, coalesce(ic, 0) AS ingredients_covered, coalesce(tp, 0) AS total_prices,
+  coalesce((SELECT max(as_of) FROM prices) - last_price_date > 3, true) AS is_stale FROM stores s LEFT JOIN p ON s.id = p.store_id WHERE is_active)
+"""
+
+
+def _coverage(s, d):
+    return A.store_coverage(bind.with_as_of(bind.stores(s, d), s, d), P.valid_at(prices(s, d), as_of()), as_of())
+
+
+@query(_COVER + "SELECT * FROM cover")
+def store_coverage(s, d):
+    return A.coverage_order(_coverage(s, d))
+
+
+@query(_COVER + """SELECT count(*) AS total_stores, count(*) FILTER (NOT is_stale) AS fresh, count(*) FILTER (is_stale) AS stale, count(*) FILTER (total_prices = 0) AS no_price,
+round(100.0 * count(*) FILTER (NOT is_stale) / count(*), 1) AS coverage_pct FROM cover""")
+def coverage_summary(s, d):
+    return A.coverage_summary(_coverage(s, d))
+
+
+# Anomalies
+
+_STATS = """, stats AS (SELECT ingredient_id, store_id, avg(price_per_kg) AS mean, stddev_pop(price_per_kg) AS std, min(price_per_kg) AS lo, max(price_per_kg) AS hi, count(*) AS n
+FROM prices WHERE price_per_kg > 0 AND collected_at::DATE >= as_of - 3000 GROUP BY 1, 2) """
+
+
+def _stats(s, d):
+    return N.historical_stats(prices(s, d), as_of(), days=3000)
+
+
+@query(_STATS + """SELECT ingredient_id, store_id, CASE WHEN n >= 3 THEN round(mean, 4) ELSE 0 END AS mean, CASE WHEN n >= 3 THEN round(std, 4) ELSE 0 END AS std,
+CASE WHEN n >= 3 THEN lo ELSE 0 END AS min, CASE WHEN n >= 3 THEN hi ELSE 0 END AS max, CASE WHEN n >= 3 THEN n ELSE 0 END AS n FROM stats""")
+def historical_stats(s, d):
+    return _stats(s, d).select("ingredient_id", "store_id", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", "n")
+
+
+@query("""SELECT id, ingredient_id, round((price_per_kg - mean) / std, 4) AS zscore FROM (SELECT id, ingredient_id, price_per_kg, avg(price_per_kg) OVER (PARTITION BY ingredient_id) AS mean,
+stddev_samp(price_per_kg) OVER (PARTITION BY ingredient_id) AS std FROM prices WHERE price_per_kg > 0 AND collected_at::DATE >= as_of - 365) WHERE std > 0 AND abs((price_per_kg - mean) / std) > 1.5""")
+def detect_price_outliers(s, d):
+    return N.detect_price_outliers(prices(s, d), as_of(), days=365, threshold=1.5).select("id", "ingredient_id", F.round("zscore", 4).alias("zscore"))
+
+
+_TAG = """, t AS (SELECT p.id, s.n, (price_per_kg - mean) / greatest(std, 0.01) AS z FROM prices p JOIN stats s USING (ingredient_id, store_id)),
+tagged AS (SELECT id, CASE WHEN n < 3 THEN 'SEM_HISTORICO' WHEN abs(z) > 2 AND z < 0 THEN 'PRECO_SUSPEITO' WHEN abs(z) > 2 THEN 'PRECO_ELEVADO' WHEN z < -1 THEN 'OFERTA_REAL' ELSE 'NORMAL' END AS tag,
+  CASE WHEN n < 3 THEN 'none' WHEN abs(z) > 3 THEN 'high' WHEN abs(z) > 2 THEN 'medium' WHEN z < -1 THEN 'low' ELSE 'none' END AS severity, n >= 3 AND abs(z) > 2 AS is_anomaly FROM t) """
+
+
+@query(_STATS + _TAG + "SELECT * FROM tagged")
+def detect_anomaly(s, d):
+    return N.detect_anomaly(prices(s, d), _stats(s, d)).select("id", "tag", "severity", "is_anomaly")
+
+
+@query(_STATS + _TAG + "SELECT id, [tag] AS ai_tags, is_anomaly FROM tagged")
+def enrich_prices(s, d):
+    return N.enrich_prices(prices(s, d), _stats(s, d)).select("id", "ai_tags", F.col("ai_anomaly.is_anomaly").alias("is_anomaly"))
+
+
+@query(_STATS + _TAG + "SELECT count(*) AS total, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (tag = 'OFERTA_REAL') AS real_offers FROM tagged")
+def enrichment_summary(s, d):
+    return N.enrichment_summary(N.enrich_prices(prices(s, d), _stats(s, d)))
+
+
+_DROP = """, k AS (SELECT ingredient_id, price_per_kg, row_number() OVER (PARTITION BY ingredient_id ORDER BY collected_at DESC, id) AS k FROM prices WHERE price_per_kg > 0),
+a AS (SELECT ingredient_id, max(price_per_kg) FILTER (k = 1) AS latest, avg(price_per_kg) AS mean FROM k WHERE k <= 30 GROUP BY 1) """
+
+
+@query(_DROP + "SELECT ingredient_id, round(latest, 4) AS latest, round(mean, 4) AS mean, round(100 * ((mean - latest) / mean), 2) AS drop_pct FROM a WHERE (mean - latest) / mean >= 0.1")
+def price_drop_alerts(s, d):
+    return N.price_drop_alerts(prices(s, d))
+
+
+def _rules(s, d) -> tuple[DataFrame, DataFrame]:
+    """Alert rules and recipients derived from regions and suppliers."""
+    rules = bind.read_table(s, d, "region").select(F.col("r_regionkey").alias("id"), F.when(F.col("r_regionkey") % 2 == 0, "email").otherwise("chat").alias("channel"),
+                                                   F.lit("price_drop").alias("trigger"), (F.col("r_regionkey") < 4).alias("enabled"))
+    to = bind.read_table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 3 == 0, "email").otherwise("chat").alias("channel"),
+                                                F.col("n_name").alias("target"), (F.col("n_nationkey") % 5 != 0).alias("active"))
+    return rules, to
+
+
+@query(_DROP + """SELECT ingredient_id, r_regionkey AS rule_id, n_nationkey AS recipient_id FROM a, region, nation WHERE (mean - latest) / mean >= 0.1 AND r_regionkey < 4 AND n_nationkey % 5 <> 0
+AND CASE WHEN r_regionkey % 2 = 0 THEN 'email' ELSE 'chat' END = CASE WHEN n_nationkey % 3 = 0 THEN 'email' ELSE 'chat' END""")
+def alert_fanout(s, d):
+    return N.alert_fanout(N.price_drop_alerts(prices(s, d)), *_rules(s, d), "price_drop").select("ingredient_id", "rule_id", "recipient_id")
+
+
+@query("SELECT store_name, count(*) AS errors, max(started_at) AS last_error FROM logs WHERE status IN ('error', 'failed') AND started_at >= now - INTERVAL 1 DAY GROUP BY 1")
+def failure_alerts(s, d):
+    return N.failure_alerts(logs(s, d), F.col("now"), minutes=1440)
+
+
+@query()
+def isolation_score(s, d):
+    return N.isolation_score(bind.prices(s, d))
+
+
+# Baskets and recipes
+
+@query()
+def optimize_basket(s, d):
+    out = B.optimize_basket(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)))
+    return out.select("basket_id", "items", "missing", "mono_store", "multi_stores", *[F.round(c, 2).alias(c) for c in ("mono_total", "multi_total", "saving")])
+
+
+_RECIPES = """, it AS (SELECT basket_id AS recipe_id, qty_kg * 10 AS quantity_g, b.price_per_kg FROM baskets JOIN (SELECT ingredient_id, min(price_per_kg) AS price_per_kg FROM newest GROUP BY 1) b USING (ingredient_id)),
+c AS (SELECT recipe_id, sum(quantity_g / 1000 * price_per_kg) AS cost FROM it GROUP BY 1) """
+
+
+@query(_RECIPES + """SELECT recipe_id, round(cost, 2) AS cost, round(cost * 1.2, 2) AS total, round(cost * 1.2 * 1.3, 2) AS price, round(cost * 1.2 * 1.3 / 12, 4) AS unit_price FROM c""")
+def recipe_cost(s, d):
+    best = P.newest_prices(bind.prices(s, d)).groupBy("ingredient_id").agg(F.min("price_per_kg").alias("price_per_kg"))
+    items = bind.baskets(s, d).join(best, "ingredient_id").select(F.col("basket_id").alias("recipe_id"), (F.col("qty_kg") * 10).alias("quantity_g"), "price_per_kg")
+    recipes = bind.read_table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(12).alias("yield_qty"), F.lit(20.0).alias("overhead_pct"), F.lit(30.0).alias("profit_pct"))
+    return B.recipe_cost(items, recipes)
+
+
+@query(""", k AS (SELECT ingredient_id, price_per_kg, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS k FROM newest),
+g AS (SELECT ingredient_id, min(price_per_kg) AS best, avg(price_per_kg) AS mean, max(price_per_kg) AS worst FROM k WHERE k <= 3 GROUP BY 1)
+SELECT basket_id, round(sum(qty_kg * best), 2) AS best, round(sum(qty_kg * mean), 2) AS mean, round(sum(qty_kg * worst), 2) AS worst FROM baskets JOIN g USING (ingredient_id) GROUP BY 1""")
+def recipe_scenarios(s, d):
+    return B.recipe_scenarios(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)))
+
+
+# Monitoring
+
+_HEALTH = """, r AS (SELECT * FROM logs ORDER BY started_at DESC, id DESC LIMIT 200),
+g AS (SELECT store_name, count(*) AS total_runs, count(*) FILTER (status IN ('error', 'failed')) AS error_count, sum(coalesce(items_found, 0))::BIGINT AS total_items, max(started_at) AS last_run, max(latency_ms) AS p95 FROM r GROUP BY 1),
+health AS (SELECT store_name, last_run, (total_runs - error_count) / total_runs AS success_rate, round(p95, 4) AS latency_p95_ms, round(total_items / total_runs, 4) AS avg_items_per_run, total_runs, error_count, total_items FROM g) """
+
+
+@query(_HEALTH + "SELECT * FROM health")
+def store_health(s, d):
+    return O.store_health(bind.scraping_logs(s, d))
+
+
+@query(_HEALTH + "SELECT CASE WHEN success_rate >= 0.95 THEN 'healthy' WHEN success_rate >= 0.7 THEN 'degraded' ELSE 'critical' END AS bucket, count(*) AS stores FROM health GROUP BY 1")
+def health_buckets(s, d):
+    return O.health_buckets(O.store_health(bind.scraping_logs(s, d)))
+
+
+_LAST = ", k AS (SELECT *, row_number() OVER (PARTITION BY store_name ORDER BY started_at DESC, id DESC) AS k FROM logs), l3 AS (SELECT * FROM k WHERE k <= 3) "
+
+
+@query(_LAST + "SELECT store_name, coalesce(min(k) FILTER (status NOT IN ('error', 'failed')) - 1, count(*)) AS streak FROM l3 GROUP BY 1")
+def failure_streak(s, d):
+    return O.failure_streak(bind.scraping_logs(s, d))
+
+
+@query(_LAST + "SELECT store_name FROM l3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status IN ('error', 'failed'))")
+def auto_disable(s, d):
+    return O.auto_disable(bind.scraping_logs(s, d))
+
+
+@query(_LAST + "SELECT store_name FROM l3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status = 'completed' AND coalesce(items_found, 0) = 0)")
+def zero_product_streak(s, d):
+    return O.zero_product_streak(bind.scraping_logs(s, d))
+
+
+@query("SELECT store_name, max(started_at) AS last_completed FROM logs WHERE status = 'completed' GROUP BY 1")
+def last_completed_run(s, d):
+    return O.last_completed_run(bind.scraping_logs(s, d))
+
+
+@query("SELECT id, store_name, started_at FROM logs ORDER BY started_at DESC, id DESC LIMIT 50")
+def recent_logs(s, d):
+    return O.recent_logs(bind.scraping_logs(s, d), 50).select("id", "store_name", "started_at")
+
+
+_SCORES = _HEALTH + _LAST + """, st AS (SELECT store_name, coalesce(min(k) FILTER (status NOT IN ('error', 'failed')) - 1, count(*)) AS f FROM l3 GROUP BY 1),
+sc AS (SELECT store_name, least(100, floor(success_rate * 30) + CASE WHEN f = 0 THEN 25 WHEN f = 1 THEN 15 WHEN f = 2 THEN 5 ELSE 0 END + least(20, floor(avg_items_per_run * 2))
+  + CASE WHEN latency_p95_ms < 30000 THEN 15 WHEN latency_p95_ms < 60000 THEN 8 ELSE 0 END + greatest(0, 10 - date_diff('day', last_run::DATE, (SELECT max(ts)::DATE FROM events))))::INT AS health_score FROM health JOIN st USING (store_name)) """
+
+
+@query(_SCORES + "SELECT store_name, health_score, CASE WHEN health_score >= 90 THEN 'Excellent' WHEN health_score >= 75 THEN 'Good' WHEN health_score >= 50 THEN 'Fair' WHEN health_score >= 25 THEN 'Poor' ELSE 'Critical' END AS health_label FROM sc")
+def health_score(s, d):
+    e = bind.scraping_logs(s, d)
+    now = bind.read_table(s, d, "events").agg(F.to_date(F.max("ts")).alias("today"))
+    h = O.store_health(e).crossJoin(F.broadcast(now))  # one row
+    return O.health_scores(h, O.failure_streak(e), F.col("today")).select("store_name", "health_score", "health_label")
+
+
+@query("""SELECT s.name, s.tier, coalesce(date_diff('minute', l.last, (SELECT max(ts) FROM events)) >= 0.8 * CASE tier WHEN 1 THEN 10080 WHEN 4 THEN 43200 ELSE 1440 END, true) AS is_due
+FROM (SELECT name, tier, id FROM stores) s LEFT JOIN (SELECT store_name, max(started_at) AS last FROM logs WHERE status = 'completed' GROUP BY 1) l ON l.store_name = s.id""")
+def due_stores(s, d):
+    e = bind.scraping_logs(s, d)
+    names = bind.stores(s, d).select(F.col("id").alias("store_name"), "name")
+    now = bind.read_table(s, d, "events").agg(F.max("ts").alias("now"))
+    st = bind.stores(s, d).crossJoin(F.broadcast(now))  # one row
+    return O.due_stores(st, e.join(names, "store_name").select(F.col("name").alias("store_name"), "status", "started_at"), F.col("now")).select("name", "tier", "is_due")
+
+
+@query("""SELECT round(sum(latency_ms) FILTER (started_at >= date_trunc('month', now)) / 60000, 4) AS minutes, count(*) FILTER (started_at >= now - INTERVAL 24 HOUR) AS runs_24h FROM logs""")
+def quota_usage(s, d):
+    e = logs(s, d)
+    now = bind.read_table(s, d, "events").agg(F.max("ts")).first()[0]
+    return O.quota_usage(e, F.lit(now)).select("minutes", "runs_24h")
+
+
+@query("""SELECT workflow, round(minutes, 4) AS minutes, round(sum(minutes) OVER (), 4) AS total, round(2000 - sum(minutes) OVER (), 4) AS remaining,
+CASE WHEN minutes / sum(minutes) OVER () > 0.3 THEN 'high' WHEN minutes / sum(minutes) OVER () > 0.1 THEN 'medium' ELSE 'low' END AS share
+FROM (SELECT event_type AS workflow, sum(value / 1000) AS minutes FROM events WHERE event_type <> 'error' GROUP BY 1)""")
+def workflow_minutes(s, d):
+    e = bind.read_table(s, d, "events")
+    return O.workflow_minutes(e.select(F.col("event_type").alias("workflow"), (F.col("value") / 1000).alias("minutes"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("conclusion")))
+
+
+@query("SELECT store_name, count(*) AS pending FROM queue GROUP BY 1")
+def pending_by_store(s, d):
+    return O.pending_by_store(bind.review_queue(s, d))
+
+
+def _health_log(s, d) -> DataFrame:
+    """Health events derived from the event table: errors disable, purchases reactivate."""
+    e = bind.read_table(s, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("scraper_name"), F.col("ts").alias("created_at"),
+                    F.when(F.col("event_type") == "error", "auto_disabled").otherwise("run").alias("event_type"))
+
+
+@query("SELECT user_id AS scraper_name, event_id AS id, ts AS created_at FROM events WHERE event_type = 'error' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def last_event(s, d):
+    return O.last_event(_health_log(s, d)).select("scraper_name", "id", "created_at")
+
+
+@query("""SELECT user_id AS scraper_name, CASE WHEN event_type = 'error' THEN 'auto_disabled' ELSE 'run' END AS event_type, count(*) AS n FROM events WHERE ts::DATE >= (SELECT max(ts)::DATE FROM events) - 7 GROUP BY 1, 2""")
+def health_events(s, d):
+    e = _health_log(s, d)
+    return O.health_events(e.crossJoin(F.broadcast(e.agg(F.to_date(F.max("created_at")).alias("as_of")))), as_of())  # one row
+
+
+@query(_LAST + """, off AS (SELECT store_name, max(started_at) AS at FROM logs WHERE status = 'error' GROUP BY 1),
+ok AS (SELECT store_name, bool_or(status = 'completed' AND coalesce(items_found, 0) >= 1 AND started_at > now - INTERVAL 2 DAY) AS success FROM l3 GROUP BY 1)
+SELECT s.id AS store_name, CASE WHEN success IS NULL THEN 'missing_facts' WHEN at IS NULL OR at > (SELECT max(ts) FROM events) - INTERVAL 2 DAY OR NOT success THEN 'skipped' ELSE 'reactivated' END AS decision
+FROM stores s LEFT JOIN ok ON ok.store_name = s.id LEFT JOIN off ON off.store_name = s.id WHERE NOT is_active""")
+def heal_candidates(s, d):
+    st = bind.stores(s, d).select(F.col("id").alias("name"), "is_active")
+    now = bind.read_table(s, d, "events").agg(F.max("ts")).first()[0]
+    return O.heal_candidates(st, bind.scraping_logs(s, d), _health_log(s, d), F.lit(now), idle_days=2).select("store_name", "decision")
+
+
+@query(""", e AS (SELECT event_type AS job, ts, event_id, (props->>'$.k')::BIGINT AS deleted FROM events),
+i AS (SELECT *, sum((deleted > 0)::INT) OVER (PARTITION BY job ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e)
+SELECT job, count(*) FILTER (deleted = 0) AS streak, count(*) FILTER (deleted = 0) >= 3 AS alert FROM i JOIN (SELECT job, max(island) AS island FROM i GROUP BY 1) USING (job, island) GROUP BY 1""")
+def zero_delete_streak(s, d):
+    e = bind.read_table(s, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("job"), F.col("ts").alias("ran_at"), F.get_json_object("props", "$.k").cast("long").alias("deleted"))
+    return O.zero_delete_streak(e)
+
+
+@query("""SELECT s.name AS store_name, coalesce(e, 0) AS extracted, coalesce(m, 0) AS matched, CASE WHEN m > 0 THEN 'matched' WHEN e > 0 THEN 'attempted' ELSE 'skipped' END AS outcome
+FROM stores s LEFT JOIN (SELECT store_name, count(*) AS e, nullif(count(*) FILTER (is_promotion), 0) AS m FROM valid GROUP BY 1) v ON v.store_name = s.name""")
+def verify_run(s, d):
+    v = P.valid_at(prices(s, d), as_of())
+    return O.verify_run(bind.stores(s, d), v, v.filter("is_promotion"))
+
+
+# Maintenance
+
+@query(""", k AS (SELECT id, row_number() OVER (PARTITION BY ingredient_id, store_id, collected_at ORDER BY price_per_kg, id) AS k FROM prices) SELECT id FROM k WHERE k = 1""")
+def dedup_price_rows(s, d):
+    return M.dedup_price_rows(bind.prices(s, d)).select("id")
+
+
+_UP = """, old AS (SELECT ingredient_id, store_id, collected_at::DATE AS day, arg_min(id, struct_pack(a := price_per_kg, b := id)) AS id FROM prices WHERE NOT is_promotion GROUP BY 1, 2, 3),
+new AS (SELECT ingredient_id, store_id, collected_at::DATE AS day, arg_min(id, struct_pack(a := price_per_kg, b := id)) AS id FROM prices WHERE is_promotion GROUP BY 1, 2, 3) """
+
+
+def _halves(s, d) -> tuple[DataFrame, DataFrame]:
+    p = bind.prices(s, d)
+    old = M.dedup_price_rows(p.filter("not is_promotion").withColumn("collected_at", F.to_date("collected_at").cast("timestamp")))
+    return old, p.filter("is_promotion")
+
+
+@query(_UP + "SELECT id FROM new UNION ALL SELECT id FROM old ANTI JOIN new USING (ingredient_id, store_id, day)")
+def upsert_prices(s, d):
+    return M.upsert_prices(*_halves(s, d))[0].select("id")
+
+
+@query(_UP + "SELECT (SELECT count(*) FROM prices WHERE is_promotion) AS total, 0::BIGINT AS failed, (SELECT count(*) FROM new) AS inserted")
+def upsert_counts(s, d):
+    return M.upsert_prices(*_halves(s, d))[1]
+
+
+@query(_UP + "SELECT id FROM new UNION ALL SELECT id FROM old ANTI JOIN new USING (ingredient_id, store_id, day)")
+def append_history(s, d):
+    old, new = _halves(s, d)
+    return M.append_history(old, M.dedup_price_rows(new.withColumn("collected_at", F.to_date("collected_at").cast("timestamp")))).select("id")
+
+
+@query("SELECT count(*) FILTER (collected_at::DATE < as_of - 90) AS deleted, count(*) FILTER (NOT collected_at::DATE < as_of - 90) AS kept FROM prices")
+def retention(s, d):
+    r = M.retention(prices(s, d), as_of(), M.RETENTION["prices"], "collected_at")
+    return r.agg(F.count_if("expired").alias("deleted"), F.count_if(~F.col("expired")).alias("kept"))
+
+
+@query("SELECT id, name FROM stores WHERE NOT (lower(name) LIKE 'test %' OR lower(name) LIKE 'e2e %')")
+def purge_test_rows(s, d):
+    return M.purge_test_rows(bind.stores(s, d), F.col("name")).select("id", "name")
+
+
+@query("SELECT id FROM prices WHERE store_id NOT IN (SELECT id FROM stores WHERE NOT is_active)")
+def cascade_delete(s, d):
+    return M.cascade_delete(bind.prices(s, d), bind.stores(s, d).filter("not is_active"), "store_id", "id").select("id")
+
+
+@query(""", old AS (SELECT * FROM queue WHERE id % 3 <> 0), inc AS (SELECT store_name, raw_product, min(id) AS id FROM queue WHERE id % 3 = 0 GROUP BY 1, 2)
+SELECT id FROM old UNION ALL SELECT id FROM inc ANTI JOIN old USING (store_name, raw_product)""")
+def review_insert(s, d):
+    q = bind.review_queue(s, d)  # the two parts stand for a stored queue and a batch; all rows take part
+    return M.review_insert(q.filter("id % 3 <> 0"), q.filter("id % 3 = 0")).select("id")
+
+
+@query("SELECT id, CASE WHEN confidence < 0.7 THEN 'rejected' ELSE 'pending' END AS status FROM queue")
+def review_archive(s, d):
+    return M.review_archive(bind.review_queue(s, d)).select("id", "status")
+
+
+@query("SELECT q.id, CASE WHEN toxic = 1 THEN 'rejected' ELSE 'pending' END AS status FROM queue q LEFT JOIN labels l ON q.id = l.doc_id")
+def review_reject(s, d):
+    return M.review_reject(bind.review_queue(s, d), bind.read_table(s, d, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))).select("id", "status")
+
+
+@query("""SELECT 'differs' AS kind, lower(s_name) AS name, n_name AS declared, CASE WHEN s_suppkey % 7 = 0 THEN upper(n_name) || '!' ELSE n_name END AS stored FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 7 = 0
+AND s_suppkey % 11 <> 0 UNION ALL
+SELECT 'missing', lower(s_name), NULL, NULL FROM supplier WHERE s_suppkey % 11 = 0""")
+def store_drift(s, d):
+    st = bind.stores(s, d)
+    stored = st.filter("id % 11 <> 0").withColumn("city", F.when(F.col("id") % 7 == 0, F.concat(F.upper("city"), F.lit("!"))).otherwise(F.col("city")))
+    return M.store_drift(st, stored, ["city"]).select("kind", "name", "declared", "stored")
+
+
+@query("""SELECT canonical_name, side FROM (SELECT DISTINCT p_name AS canonical_name, 'declared' AS side FROM part WHERE p_name NOT IN (SELECT p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity < 2))""")
+def missing_in_catalog(s, d):
+    p = bind.prices(s, d).filter("total_kg < 2").select(F.col("ingredient_id").alias("canonical_name")).distinct()
+    return M.missing_in_catalog(bind.ingredients(s, d), p)
+
+
+@query("""SELECT canonical_name, list_sort(list_distinct(list_concat(b, ['NEW']))) AS brands FROM (SELECT p_name AS canonical_name, list(DISTINCT p_brand) AS b FROM part GROUP BY 1)""")
+def merge_terms(s, d):
+    e = F.array().cast("array<string>")
+    i = bind.ingredients(s, d).withColumns({"search_terms": e, "exclude_terms": e, "aliases": e})
+    return M.merge_terms(i, i.withColumn("brands", F.array(F.lit("NEW")))).select("canonical_name", "brands")
+
+
+# Data quality
+
+@query("SELECT ingredient_id, store_id, collected_at, count(*) AS n FROM prices GROUP BY 1, 2, 3 HAVING count(*) > 1")
+def key_uniqueness(s, d):
+    return Q.key_uniqueness(bind.prices(s, d), ["ingredient_id", "store_id", "collected_at"])
+
+
+@query("SELECT 'store' AS kind, store_id::VARCHAR AS key, count(*) AS n FROM prices WHERE store_id NOT IN (SELECT id FROM stores WHERE is_active) GROUP BY 2")
+def orphan_prices(s, d):
+    return Q.orphan_prices(bind.prices(s, d), bind.stores(s, d).filter("is_active"), bind.ingredients(s, d))
+
+
+@query("""SELECT 'orphan_store' AS "check", count(*) AS n FROM prices WHERE store_id NOT IN (SELECT id FROM stores WHERE is_active) UNION ALL SELECT 'orphan_ingredient', 0
+UNION ALL SELECT 'unknown_log_store', count(*) FROM logs UNION ALL SELECT 'approved_without_ingredient', 0""")
+def integrity_report(s, d):
+    return Q.integrity_report(bind.prices(s, d), bind.stores(s, d).filter("is_active"), bind.ingredients(s, d), bind.scraping_logs(s, d), bind.review_queue(s, d))
+
+
+@query("""SELECT column_name, 'ok' AS result FROM (VALUES ('id'), ('price_per_kg'), ('valid_from')) t(column_name) UNION ALL SELECT 'city', 'missing'""")
+def schema_check(s, d):
+    manifest = {"id": "string", "price_per_kg": "double", "valid_from": "date", "city": "string"}
+    return Q.schema_check(bind.prices(s, d), "prices", manifest).select("column_name", "result")
+
+
+@query("""SELECT doc_id, CASE WHEN n = 0 THEN 0 ELSE hits / n END AS density FROM (SELECT doc_id, len(ls) AS n, len(list_filter(ls, lambda x: regexp_matches(x, '(?i)R?\\s*[$]\\s*\\d[\\d.,]*') OR regexp_matches(x, '\\s{3,}'))) AS hits
+FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents))""")
+def text_density(s, d):
+    return bind.read_table(s, d, "documents").select("doc_id", T.text_density(F.col("text")).alias("density"))
+
+
+# Text, matching and extraction
+
+@query("SELECT id, upper(trim(regexp_replace(regexp_replace(upper(raw_product), '[^A-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS clean FROM prices")
+def clean_text(s, d):
+    return bind.prices(s, d).select("id", T.clean_text(F.col("raw_product")).alias("clean"))
+
+
+@query("SELECT id, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS normalized_name FROM stores")
+def normalize_store_name(s, d):
+    return bind.stores(s, d).select("id", T.normalize_store_name(F.col("name")).alias("normalized_name"))
+
+
+@query("SELECT id, ['Seg', 'Ter', 'Qua', 'Qui', 'Sex', 'Sab', 'Dom'][isodow(collected_at)] AS weekday FROM prices")
+def weekday_pt(s, d):
+    return bind.prices(s, d).select("id", T.weekday_pt(F.to_date("collected_at")).alias("weekday"))
+
+
+@query("SELECT id, sha256(lower(trim(raw_product)) || '|' || lower(trim(brand))) AS key FROM prices")
+def decision_key(s, d):
+    return bind.prices(s, d).select("id", T.decision_key(F.col("raw_product"), F.col("brand")).alias("key"))
+
+
+@query("""SELECT id, round(raw_price / (12 * total_kg / 1000), 4).round(2) AS price_per_kg, round(raw_price / 12, 4).round(2) AS price_per_un FROM prices""")
+def normalize_price(s, d):
+    n = T.normalize_price(F.col("raw_price"), F.concat(F.lit("cx 12x"), F.col("total_kg").cast("int").cast("string"), F.lit("g")))
+    return bind.prices(s, d).select("id", n.alias("n")).select("id", "n.price_per_kg", "n.price_per_un")
+
+
+@query("SELECT id, name, true AS is_food FROM stores")
+def is_food_store(s, d):
+    return bind.stores(s, d).select("id", "name", T.is_food_store(F.col("name")).alias("is_food"))
+
+
+@query(""", w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT id FROM prices WHERE len(list_intersect(string_split(upper(raw_product), ' '),
+(SELECT list(upper(w)) FROM w WHERE length(w) > 2))) > 0""")
+def keyword_gate(s, d):
+    return H.keyword_gate(bind.prices(s, d), _catalog(s, d)).select("id")
+
+
+def _catalog(s: SparkSession, d: str) -> DataFrame:
+    """The ingredient catalog: part names, with their last word as a search term."""
+    e = F.array().cast("array<string>")
+    return bind.ingredients(s, d).withColumns({"aliases": e, "search_terms": F.array(F.element_at(F.split("canonical_name", " "), -1)), "exclude_terms": e})
+
+
+@query("SELECT id, ingredient_id AS ingredient, 'exato' AS match_type FROM prices")
+def match_ingredient(s, d):
+    e = F.array().cast("array<string>")
+    return H.match_ingredient(bind.prices(s, d).select("id", "raw_product"), _catalog(s, d).withColumn("search_terms", e)).select("id", "ingredient", "match_type")
+
+
+@query()
+def rank_ingredients(s, d):
+    words = bind.prices(s, d).select("id", F.concat_ws(" ", F.reverse(F.split("raw_product", " "))).alias("raw_product"))
+    return H.rank_ingredients(words, _catalog(s, d))
+
+
+@query()
+def route_match(s, d):
+    words = bind.prices(s, d).select("id", F.concat_ws(" ", F.reverse(F.split("raw_product", " "))).alias("raw_product"))
+    m = H.match_ingredient(words, _catalog(s, d), threshold=60.0).withColumn("semantic", F.lit(0.0))
+    return H.route_match(m).select("id", "ingredient", "score", "combined", "route")
+
+
+@query("SELECT id, brand FROM prices")
+def extract_brand(s, d):
+    p = bind.prices(s, d).select("id", "raw_product", F.col("ingredient_id").alias("ingredient"))
+    return H.extract_brand(p, bind.ingredients(s, d)).select("id", "brand")
+
+
+@query("""SELECT e.vec_id AS id, e.label AS ingredient, round(max(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS similarity
+FROM embeddings e JOIN (SELECT label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) c USING (label) GROUP BY 1, 2""")
+def embedding_similarity(s, d):
+    from pyspark.sql import Window
+
+    e = bind.read_table(s, d, "embeddings")
+    w = Window.partitionBy("label").orderBy("vec_id")
+    terms = e.withColumn("k", F.row_number().over(w)).filter("k <= 3").select(F.col("label").alias("ingredient"), "embedding")
+    out = H.embedding_similarity(e.select(F.col("vec_id").alias("id"), F.col("label").alias("ingredient"), "embedding"), terms)
+    return out.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT a.id AS a_id, b.id AS b_id, round(1 - levenshtein(regexp_replace(upper(a.name), '[^A-Z0-9]', '', 'g'), regexp_replace(upper(b.name), '[^A-Z0-9]', '', 'g')) / greatest(length(regexp_replace(upper(a.name), '[^A-Z0-9]', '', 'g')), length(regexp_replace(upper(b.name), '[^A-Z0-9]', '', 'g'))), 6) AS similarity FROM stores a JOIN stores b ON true QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC, b.id) <= 3")
+def find_similar_store(s, d):
+    st = bind.stores(s, d)
+    return M.find_similar_store(st, st).select("a_id", "b_id", "similarity")
+
+
+@query()
+def similar_stores_topk(s, d):
+    st = bind.stores(s, d)
+    return M.similar_stores_topk(st.select("id", "name"), st)
+
+
+@query()
+def fuzz_ratio(s, d):
+    p = bind.read_table(s, d, "part").select("p_name", "p_type").distinct()
+    return p.select("p_name", "p_type", S.fuzz_ratio(F.upper("p_name"), F.upper("p_type")).alias("ratio"), S.token_set_ratio(F.col("p_name"), F.col("p_type")).alias("token_set"))
+
+
+def _texts(s, d) -> DataFrame:
+    return bind.read_table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(""", l AS (SELECT doc_id AS id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'p': i - 1, 't': trim(regexp_replace(regexp_replace(trim(x), '^\\|+|\\|+$', '', 'g'), '\\s+', ' ', 'g'))})) AS x FROM documents)
+SELECT id, min(x.p)::INT AS pos FROM l WHERE x.t <> '' GROUP BY id, lower(x.t)""")
+def distinct_lines(s, d):
+    return X.distinct_lines(_texts(s, d)).select("id", "pos")
+
+
+@query()
+def parse_flyer_lines(s, d):
+    return X.parse_flyer_lines(X.distinct_lines(_texts(s, d)))
+
+
+@query("SELECT page_id AS id, NULL::VARCHAR AS name, NULL::DOUBLE AS price FROM pages WHERE regexp_matches(html, 'application/ld\\+json')")
+def jsonld_products(s, d):
+    return X.jsonld_products(bind.read_table(s, d, "pages").select(F.col("page_id").alias("id"), "html"))
+
+
+@query()
+def extract_addresses(s, d):
+    return X.best_address(X.extract_addresses(_texts(s, d))).select("id", "address", "confidence", "kind", F.size("addresses").alias("clues"))
