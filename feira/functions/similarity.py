@@ -1,11 +1,15 @@
 """Similarity of strings and vectors as column expressions.
 
-The longest common subsequence is a fold over the characters of one string whose
-state is one row of the dynamic-programming table, so it stays in the JVM.
+The longest common subsequence comes in two forms of equal results: a fold over
+characters that stays in the JVM (for words inside arrays), and a bit-parallel one
+on Arrow batches, which was faster by far on pairs of product texts.
 """
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +29,33 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(F.aggregate(chars(a), start, row), n), F.lit(0))
 
 
+def _lcs(a: str, b: str) -> int:
+    """One bit per character of a; a row of the table is one integer."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & at.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(a) - row.bit_count()
+
+
+@cache
+def _lcs_udf():
+    @F.pandas_udf("int")
+    def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+    return lcs
+
+
+def lcs_batched(a: Column, b: Column) -> Column:
+    """lcs_length on Arrow batches."""
+    return _lcs_udf()(a, b)
+
+
 def fuzz_ratio(a: Column, b: Column) -> Column:
     """100 * 2 * LCS / (length of both); 100 for two empty strings."""
     both = F.length(a) + F.length(b)
@@ -46,7 +77,7 @@ def token_set_ratio(a: Column, b: Column) -> Column:
     li, la, lb = F.length(i), F.length(da), F.length(db)
     gap = F.when(li > 0, 1).otherwise(0)
     total = 2 * (li + gap) + la + lb
-    distance = la + lb - 2 * lcs_length(da, db)
+    distance = la + lb - 2 * lcs_batched(da, db)
     joined = 100.0 * (1 - distance / total)
     with_i = lambda extra: F.when(li > 0, 100.0 * 2 * li / (2 * li + gap + extra)).otherwise(0.0)
     return (F.when((F.size(wa) == 0) | (F.size(wb) == 0), 0.0).when((li > 0) & ((la == 0) | (lb == 0)), 100.0)

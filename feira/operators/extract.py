@@ -73,10 +73,11 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     """pages (id, html) -> id, name, price of JSON-LD item lists; the low price first,
     then the price; rows without a name or a positive price, and placeholder names
     (with braces) go."""
-    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1))
+    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)))
+    blocks = pages.select("id", block.alias("block"))
     schema = ("struct<`@type`:string,itemListElement:array<struct<name:string,offers:struct<lowPrice:string,price:string>,"
               "item:struct<name:string,offers:struct<lowPrice:string,price:string>>>>>")
-    x = pages.select("id", F.from_json(block, schema).alias("j")).filter("j.`@type` = 'ItemList'").select("id", F.explode("j.itemListElement").alias("e"))
+    x = blocks.select("id", F.from_json("block", schema).alias("j")).filter("j.`@type` = 'ItemList'").select("id", F.explode("j.itemListElement").alias("e"))
     price = F.coalesce(*[F.col(c).try_cast("double") for c in ("e.item.offers.lowPrice", "e.item.offers.price", "e.offers.lowPrice", "e.offers.price")])
     return x.select("id", F.trim(F.coalesce("e.item.name", "e.name")).alias("name"), price.alias("price")).filter("name <> '' and price > 0").filter(~F.col("name").contains("{{"))
 
@@ -103,7 +104,10 @@ def vtex_offers(responses: DataFrame) -> DataFrame:
 def extract_addresses(texts: DataFrame) -> DataFrame:
     """texts (id, text) with addresses: (address, confidence, kind), distinct by their
     folded text (the first kind that found it), best first."""
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 0), lambda m, k=k, c=c: F.struct(F.trim(m).alias("address"), F.lit(c).alias("confidence"), F.lit(k).alias("kind"))) for p, k, c in ADDRESSES]))
+    def clues(pattern: str, kind: str, confidence: float) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.trim(m).alias("address"), F.lit(confidence).alias("confidence"), F.lit(kind).alias("kind")))
+
+    found = F.flatten(F.array(*[clues(*a) for a in ADDRESSES]))
     keyed = F.transform(found, lambda x: F.regexp_replace(F.lower(x["address"]), r"\s+", " "))
     t = texts.withColumn("_f", F.coalesce(found, F.array().cast("array<struct<address:string,confidence:double,kind:string>>"))).withColumn("_k", F.coalesce(keyed, F.array().cast("array<string>")))
     first = F.filter("_f", lambda x, i: F.array_position("_k", F.get(F.col("_k"), i)) == i + 1)

@@ -64,8 +64,8 @@ def match_exact(product: Column, term: Column, kind: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.when(_short(term), whole).otherwise(inside))
 
 
-def _scored(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
-    """Distinct texts against all terms: product, term columns, exact, score."""
+def _terms_of(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
+    """Distinct texts against all terms."""
     texts = products.select("raw_product").distinct().withColumn("clean", T.clean_text(F.col("raw_product")))
     terms = alias_terms(catalog).withColumn("term_clean", T.clean_text(F.col("term")))
     if terms.count() > MAX_BROADCAST_TERMS:
@@ -73,8 +73,12 @@ def _scored(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame
     j = texts.join(F.broadcast(terms))  # at most MAX_BROADCAST_TERMS rows, as counted
     if exclude and "exclude_terms" in catalog.columns:
         j = j.filter(~T.excluded_terms(F.col("raw_product"), F.col("exclude_terms")))
-    score = S.coverage_penalty(S.token_set_ratio(F.col("clean"), F.col("term_clean")), F.col("clean"), F.col("term_clean"))
-    return j.withColumn("exact", match_exact(F.col("raw_product"), F.col("term"), F.col("kind"))).withColumn("score", score)
+    return j
+
+
+def _score() -> Column:
+    """Penalised similarity of a text and a term, rounded before it is compared."""
+    return F.round(S.coverage_penalty(S.token_set_ratio(F.col("clean"), F.col("term_clean")), F.col("clean"), F.col("term_clean")), 6)
 
 
 def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -84,23 +88,24 @@ def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float =
     score, the earliest term on ties; below the threshold the ingredient is null
     and the score is kept. Scores are rounded to 6 places before they are compared.
     """
-    j = _scored(products, catalog, exclude=True).withColumn("score", F.round("score", 6))
+    j = _terms_of(products, catalog, exclude=True)
+    hit = (j.filter(match_exact(F.col("raw_product"), F.col("term"), F.col("kind"))).groupBy("raw_product").agg(F.min("canonical_name").alias("ingredient"))
+           .select("raw_product", "ingredient", F.lit(100.0).alias("score"), F.lit("exato").alias("match_type")))
+    # similarity is only computed for texts that nothing names exactly
+    rest = j.join(hit.select("raw_product"), "raw_product", "left_anti").withColumn("score", _score())
     kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
-    order = F.struct("canonical_name", "ordinal")
-    best = j.groupBy("raw_product").agg(
-        F.min(F.when(F.col("exact"), F.col("canonical_name"))).alias("exact"),
-        F.min_by(F.struct("canonical_name", "score", kind.alias("match_type")), F.struct(-F.col("score"), order)).alias("b"))
-    hit = F.col("exact").isNotNull()
-    ok = F.col("b.score") >= threshold
-    best = best.select("raw_product", F.when(hit, F.col("exact")).when(ok, F.col("b.canonical_name")).alias("ingredient"),
-                       F.when(hit, 100.0).otherwise(F.col("b.score")).alias("score"), F.when(hit, "exato").when(F.col("b.score") > 0, F.col("b.match_type")).otherwise("none").alias("match_type"))
-    return products.join(best, "raw_product", "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "match_type": F.coalesce("match_type", F.lit("none"))})
+    b = F.col("b")
+    near = rest.groupBy("raw_product").agg(F.min_by(F.struct("canonical_name", "score", kind.alias("match_type")), F.struct(-F.col("score"), "canonical_name", "ordinal")).alias("b"))
+    near = near.select("raw_product", F.when(b["score"] >= threshold, b["canonical_name"]).alias("ingredient"), b["score"].alias("score"),
+                       F.when(b["score"] > 0, b["match_type"]).otherwise("none").alias("match_type"))
+    out = products.join(hit.unionByName(near), "raw_product", "left")
+    return out.withColumns({"score": F.coalesce("score", F.lit(0.0)), "match_type": F.coalesce("match_type", F.lit("none"))})
 
 
 def rank_ingredients(products: DataFrame, catalog: DataFrame, n: int = 3) -> DataFrame:
     """products with top: the n best ingredients as (canonical_name, score, match_type,
     matched_term); neither exact hits nor excluded terms play a part."""
-    j = _scored(products, catalog, exclude=False).withColumn("score", F.round("score", 6))
+    j = _terms_of(products, catalog, exclude=False).withColumn("score", _score())
     kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
     per = j.groupBy("raw_product", "canonical_name").agg(F.min_by(F.struct("score", kind.alias("match_type"), F.col("term").alias("matched_term")), F.struct(-F.col("score"), F.col("ordinal"))).alias("b"))
     w = Window.partitionBy("raw_product").orderBy(F.desc("b.score"), "canonical_name")

@@ -403,7 +403,7 @@ def recipe_cost(s, d):
 
 @query(""", k AS (SELECT ingredient_id, price_per_kg, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS k FROM newest),
 g AS (SELECT ingredient_id, min(price_per_kg) AS best, avg(price_per_kg) AS mean, max(price_per_kg) AS worst FROM k WHERE k <= 3 GROUP BY 1)
-SELECT basket_id, round(sum(qty_kg * best), 2) AS best, round(sum(qty_kg * mean), 2) AS mean, round(sum(qty_kg * worst), 2) AS worst FROM baskets JOIN g USING (ingredient_id) GROUP BY 1""")
+SELECT basket_id, round(sum(qty_kg * best), 3) AS best, round(sum(qty_kg * mean), 3) AS mean, round(sum(qty_kg * worst), 3) AS worst FROM baskets JOIN g USING (ingredient_id) GROUP BY 1""")
 def recipe_scenarios(s, d):
     return B.recipe_scenarios(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)))
 
@@ -514,9 +514,9 @@ def health_events(s, d):
     return O.health_events(e.crossJoin(F.broadcast(e.agg(F.to_date(F.max("created_at")).alias("as_of")))), as_of())  # one row
 
 
-@query(_LAST + """, off AS (SELECT store_name, max(started_at) AS at FROM logs WHERE status = 'error' GROUP BY 1),
+@query(_LAST + """, off AS (SELECT store_name, max(started_at) AS off_at FROM logs WHERE status = 'error' GROUP BY 1),
 ok AS (SELECT store_name, bool_or(status = 'completed' AND coalesce(items_found, 0) >= 1 AND started_at > now - INTERVAL 2 DAY) AS success FROM l3 GROUP BY 1)
-SELECT s.id AS store_name, CASE WHEN success IS NULL THEN 'missing_facts' WHEN at IS NULL OR at > (SELECT max(ts) FROM events) - INTERVAL 2 DAY OR NOT success THEN 'skipped' ELSE 'reactivated' END AS decision
+SELECT s.id AS store_name, CASE WHEN success IS NULL THEN 'missing_facts' WHEN off_at IS NULL OR off_at > (SELECT max(ts) FROM events) - INTERVAL 2 DAY OR NOT success THEN 'skipped' ELSE 'reactivated' END AS decision
 FROM stores s LEFT JOIN ok ON ok.store_name = s.id LEFT JOIN off ON off.store_name = s.id WHERE NOT is_active""")
 def heal_candidates(s, d):
     st = bind.stores(s, d).select(F.col("id").alias("name"), "is_active")
@@ -679,7 +679,7 @@ def decision_key(s, d):
     return bind.prices(s, d).select("id", T.decision_key(F.col("raw_product"), F.col("brand")).alias("key"))
 
 
-@query("""SELECT id, round(raw_price / (12 * total_kg / 1000), 4).round(2) AS price_per_kg, round(raw_price / 12, 4).round(2) AS price_per_un FROM prices""")
+@query("""SELECT id, round(round(raw_price / (12 * (total_kg / 1000)), 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_kg, round(round(raw_price / 12, 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_un FROM prices""")
 def normalize_price(s, d):
     n = T.normalize_price(F.col("raw_price"), F.concat(F.lit("cx 12x"), F.col("total_kg").cast("int").cast("string"), F.lit("g")))
     return bind.prices(s, d).select("id", n.alias("n")).select("id", "n.price_per_kg", "n.price_per_un")
@@ -702,7 +702,11 @@ def _catalog(s: SparkSession, d: str) -> DataFrame:
     return bind.ingredients(s, d).withColumns({"aliases": e, "search_terms": F.array(F.element_at(F.split("canonical_name", " "), -1)), "exclude_terms": e})
 
 
-@query("SELECT id, ingredient_id AS ingredient, 'exato' AS match_type FROM prices")
+@query(""", n AS (SELECT DISTINCT p_name AS n, upper(p_name) AS u, list_distinct(string_split(upper(p_name), ' ')) AS w FROM part),
+t AS (SELECT DISTINCT raw_product, upper(raw_product) AS u, string_split(upper(raw_product), ' ') AS w FROM prices),
+m AS (SELECT raw_product, min(n) AS ingredient FROM t JOIN n ON CASE WHEN contains(t.u, n.u) AND (length(n.n) < 8 OR len(n.w) < 2) THEN starts_with(t.u, n.u)
+  ELSE contains(t.u, n.u) OR (len(n.w) > 1 AND len(list_intersect(n.w, t.w)) = len(n.w)) END GROUP BY 1)
+SELECT id, ingredient, 'exato' AS match_type FROM prices JOIN m USING (raw_product)""")
 def match_ingredient(s, d):
     e = F.array().cast("array<string>")
     return H.match_ingredient(bind.prices(s, d).select("id", "raw_product"), _catalog(s, d).withColumn("search_terms", e)).select("id", "ingredient", "match_type")

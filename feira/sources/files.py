@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from ..functions import text as T
 
-PRICE_ROW = S.StructType.fromDDL("id string, ingredient_id string, store_id string, store_name string, raw_product string, raw_unit string, raw_price double, "
+PRICE_ROW = ("id string, ingredient_id string, store_id string, store_name string, raw_product string, raw_unit string, raw_price double, "
                                  "price_per_kg double, collected_at timestamp, valid_from date, valid_until date, is_promotion boolean, tier int, confidence double, brand string")
-MANUAL = S.StructType.fromDDL("ingredient string, store string, price string, unit string, collected_at string, brand string")
-VISIT = S.StructType.fromDDL("ingredient string, store string, price string, unit string, city string")
+MANUAL = ("ingredient string, store string, price string, unit string, collected_at string, brand string")
+VISIT = ("ingredient string, store string, price string, unit string, city string")
 
 
-def read_table(spark: SparkSession, path: str, schema: S.StructType) -> DataFrame:
+def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
