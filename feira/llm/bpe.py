@@ -61,6 +61,7 @@ class Automaton:
             self.joined.setdefault((u, v), rank)
             made.setdefault(uv, (rank, u, v))
         self.made = made
+        self.live: dict[int, bool] = {}
         self.partial: dict[tuple[int, int, int], bool] = {}  # arcs of the automaton before the last gadget
         self.rows: dict[int, dict[int, bool]] = {self.START: {}} | {t: {} for t in vocab.values()}
         # token, or mere prefix of one, for the walk over a word: its id, or None
@@ -91,9 +92,10 @@ class Automaton:
         if t_rank < 0 and w_rank < 0:
             return True
         if w_rank > t_rank:
-            # the gadget of w gave w-arcs to the states that have an arc for its
-            # left part (after it took arcs away: of "uuu", the first two are joined)
-            return self.arc(t, self.made[w][1], w_rank + 1)
+            # the gadget of w, if it found a path to join, gave w-arcs to the states that
+            # have an arc for its left part (after it took arcs away: of "uuu", the
+            # first two are joined)
+            return self._whole(w) and self.arc(t, self.made[w][1], w_rank + 1)
         if t == w:  # the gadget's new arc enters the state as it was before the split
             return self.arc(self.made[t][2], self.made[t][1], t_rank)
         return self.arc(self.made[t][2], w, t_rank)  # the state after t began as that after its right part
@@ -111,11 +113,15 @@ class Automaton:
         return ok
 
     def _whole(self, w: int) -> bool:
-        """May w begin a word? Its own letters must be joined to w by the gadgets."""
+        """Did the gadget of w find a path? Only then does any state have a w-arc, and
+        only then do w's own letters give w."""
         if w not in self.made:
             return True
-        rank, u, v = self.made[w]
-        return self._whole(u) and self._whole(v) and self.arc(u, v, rank)
+        found = self.live.get(w)
+        if found is None:
+            rank, u, v = self.made[w]
+            found = self.live[w] = self._whole(u) and self._whole(v) and self.arc(u, v, rank)
+        return found
 
     def encode(self, letters: str) -> list[int]:
         """Token ids of one word, given as a letter for each byte and the end mark.

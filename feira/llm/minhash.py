@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, with_columns
 
-_MASK = (1 << 64) - 1
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection) over an array."""
