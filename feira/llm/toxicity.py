@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,14 +45,15 @@ def words(text: str) -> list[bytes]:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (toxic, previous word, word), folded in each batch of documents."""
+    """Counts of (toxic, hash of the previous word, word), folded in each batch."""
     for batch in batches:
         counts: Counter = Counter()
         for text, y in zip(batch.column("text"), batch.column("toxic").to_pylist()):
             w = words(text.as_py())
             counts.update(zip([y] * len(w), [START, *w], w))
         y, h, w = zip(*counts) if counts else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(h, pa.binary()), pa.array(w, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["toxic", "h", "w", "n"])
+        h = np.fromiter(map(xxhash.xxh64_intdigest, h), np.uint64, len(h)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(h), pa.array(w, pa.binary()), pa.array(list(counts.values()), pa.int64())], ["toxic", "h", "w", "n"])
 
 
 def steps(word: str) -> list[str]:
@@ -119,15 +121,15 @@ def _sample(docs: DataFrame, labels: DataFrame, docs_per_class: int) -> tuple[Da
 
 def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 8000, max_units: int = 200_000, discount: float = 0.75) -> Model:
     """Fit on a bounded sample of labelled rows (docs_per_class of each class); the
-    model keeps the max_units commonest beginnings. Without
-    labelled rows of both classes every score is 0.5 and below."""
+    model keeps the max_units commonest beginnings. Without labelled rows of both
+    classes every score is 0.5 or below."""
     sample, sizes = _sample(docs, labels, docs_per_class)
     if len(sizes) < 2:
         return Model(weights=np.array([-1e-9, *[0.0] * FEATURES]))
     sample = materialize(sample.withColumn("check", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) == 0), "toxic-sample")
-    pairs = sample.filter("not check").select("text", "toxic").mapInArrow(_pairs, "toxic int, h binary, w binary, n long")
+    pairs = sample.filter("not check").select("text", "toxic").mapInArrow(_pairs, "toxic int, h long, w binary, n long")
     both = [F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(c) for k, c in ((1, "t"), (0, "o"))]
-    pairs = materialize(pairs.groupBy("h", "w").agg(*both), "toxic-pairs")
+    pairs = pairs.groupBy("h", "w").agg(*both)
     # lower orders count distinct words before, not occurrences, so copies add nothing
     w = pairs.groupBy("w").agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"], F.count("*").alias("before"))
     units = materialize(_units(w), "toxic-units")
