@@ -109,7 +109,7 @@ def review_approve(queue: DataFrame, decisions: DataFrame, ingredients: DataFram
     aliases = a.select(F.col("ingredient").alias("canonical_name"), F.col("raw_product").alias("alias")).distinct()
     q = queue.join(known.withColumnRenamed("ingredient", "_i"), "id", "left")
     done = F.col("_i").isNotNull() & (F.col("status") == "pending")
-    q = q.withColumn("status", F.when(done, "approved").otherwise(F.col("status"))).withColumn("resolved_ingredient", F.when(done, F.col("_i"))).drop("_i")
+    q = q.withColumns({"status": F.when(done, "approved").otherwise(F.col("status")), "resolved_ingredient": F.when(done, F.col("_i"))}).drop("_i")
     return prices, aliases, q
 
 

@@ -64,7 +64,7 @@ def match_exact(product: Column, term: Column, kind: Column) -> Column:
     return F.when(kind == "name", name).otherwise(F.when(_short(term), whole).otherwise(inside))
 
 
-def _terms_of(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
+def catalog_match_join(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
     """Distinct texts against all terms."""
     texts = products.select("raw_product").distinct().withColumn("clean", T.clean_text(F.col("raw_product")))
     terms = alias_terms(catalog).withColumn("term_clean", T.clean_text(F.col("term")))
@@ -88,7 +88,7 @@ def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float =
     score, the earliest term on ties; below the threshold the ingredient is null
     and the score is kept. Scores are rounded to 6 places before they are compared.
     """
-    j = _terms_of(products, catalog, exclude=True)
+    j = catalog_match_join(products, catalog, exclude=True)
     hit = (j.filter(match_exact(F.col("raw_product"), F.col("term"), F.col("kind"))).groupBy("raw_product").agg(F.min("canonical_name").alias("ingredient"))
            .select("raw_product", "ingredient", F.lit(100.0).alias("score"), F.lit("exato").alias("match_type")))
     # similarity is only computed for texts that nothing names exactly
@@ -105,7 +105,7 @@ def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float =
 def rank_ingredients(products: DataFrame, catalog: DataFrame, n: int = 3) -> DataFrame:
     """products with top: the n best ingredients as (canonical_name, score, match_type,
     matched_term); neither exact hits nor excluded terms play a part."""
-    j = _terms_of(products, catalog, exclude=False).withColumn("score", _score())
+    j = catalog_match_join(products, catalog, exclude=False).withColumn("score", _score())
     kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
     per = j.groupBy("raw_product", "canonical_name").agg(F.min_by(F.struct("score", kind.alias("match_type"), F.col("term").alias("matched_term")), F.struct(-F.col("score"), F.col("ordinal"))).alias("b"))
     w = Window.partitionBy("raw_product").orderBy(F.desc("b.score"), "canonical_name")

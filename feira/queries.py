@@ -393,7 +393,7 @@ _RECIPES = """, it AS (SELECT basket_id AS recipe_id, qty_kg * 10 AS quantity_g,
 c AS (SELECT recipe_id, sum(quantity_g / 1000 * price_per_kg) AS cost FROM it GROUP BY 1) """
 
 
-@query(_RECIPES + """SELECT recipe_id, round(cost, 2) AS cost, round(cost * 1.2, 2) AS total, round(cost * 1.2 * 1.3, 2) AS price, round(cost * 1.2 * 1.3 / 12, 4) AS unit_price FROM c""")
+@query(_RECIPES + """SELECT recipe_id, round(cost + 1e-7::DOUBLE, 2) AS cost, round(cost * 1.2 + 1e-7::DOUBLE, 2) AS total, round(cost * 1.2 * 1.3 + 1e-7::DOUBLE, 2) AS price, round(cost * 1.2 * 1.3 / 12 + 1e-7::DOUBLE, 4) AS unit_price FROM c""")
 def recipe_cost(s, d):
     best = P.newest_prices(bind.prices(s, d)).groupBy("ingredient_id").agg(F.min("price_per_kg").alias("price_per_kg"))
     items = bind.baskets(s, d).join(best, "ingredient_id").select(F.col("basket_id").alias("recipe_id"), (F.col("qty_kg") * 10).alias("quantity_g"), "price_per_kg")
@@ -403,7 +403,7 @@ def recipe_cost(s, d):
 
 @query(""", k AS (SELECT ingredient_id, price_per_kg, row_number() OVER (PARTITION BY ingredient_id ORDER BY price_per_kg, id) AS k FROM newest),
 g AS (SELECT ingredient_id, min(price_per_kg) AS best, avg(price_per_kg) AS mean, max(price_per_kg) AS worst FROM k WHERE k <= 3 GROUP BY 1)
-SELECT basket_id, round(sum(qty_kg * best), 3) AS best, round(sum(qty_kg * mean), 3) AS mean, round(sum(qty_kg * worst), 3) AS worst FROM baskets JOIN g USING (ingredient_id) GROUP BY 1""")
+SELECT basket_id, round(sum(qty_kg * best) + 1e-7::DOUBLE, 2) AS best, round(sum(qty_kg * mean) + 1e-7::DOUBLE, 2) AS mean, round(sum(qty_kg * worst) + 1e-7::DOUBLE, 2) AS worst FROM baskets JOIN g USING (ingredient_id) GROUP BY 1""")
 def recipe_scenarios(s, d):
     return B.recipe_scenarios(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)))
 
@@ -784,3 +784,181 @@ def jsonld_products(s, d):
 @query()
 def extract_addresses(s, d):
     return X.best_address(X.extract_addresses(_texts(s, d))).select("id", "address", "confidence", "kind", F.size("addresses").alias("clues"))
+
+
+# More text and workflow operators over the same tables
+
+@query("SELECT id, latency_ms, CASE WHEN latency_ms > 60 THEN 'slow' WHEN latency_ms > 30 THEN 'moderate' ELSE 'fast' END AS label FROM logs")
+def latency_label(s, d):
+    return bind.scraping_logs(s, d).select("id", "latency_ms", T.latency_label(F.col("latency_ms") * 1000).alias("label"))
+
+
+@query("SELECT id, CASE tier WHEN 1 THEN 10080 WHEN 4 THEN 43200 ELSE 1440 END AS minutes FROM stores")
+def default_frequency(s, d):
+    return bind.stores(s, d).select("id", T.default_frequency(F.col("tier")).alias("minutes"))
+
+
+@query("SELECT id, CASE WHEN is_promotion THEN valid_until ELSE (collected_at::DATE + 7)::DATE END AS valid_until FROM prices")
+def default_validity(s, d):
+    return bind.prices(s, d).select("id", T.default_validity(F.when(F.col("is_promotion"), F.col("valid_until")), F.col("collected_at")).alias("valid_until"))
+
+
+@query("SELECT id, CASE WHEN is_promotion AND raw_price > 0 THEN raw_price WHEN price_per_kg > 0 THEN price_per_kg ELSE 0 END AS ppk FROM prices")
+def extract_ppk(s, d):
+    return bind.prices(s, d).select("id", T.extract_ppk(F.when(F.col("is_promotion"), F.col("raw_price")), F.col("price_per_kg")).alias("ppk"))
+
+
+@query("SELECT id, CASE WHEN is_promotion THEN price_per_kg ELSE raw_price / (2 * (total_kg / 1000)) END AS ppk FROM prices")
+def estimate_ppk(s, d):
+    unit = F.concat(F.lit("2 x "), F.col("total_kg").cast("int").cast("string"), F.lit("g"))
+    return bind.prices(s, d).select("id", T.estimate_ppk(F.when(F.col("is_promotion"), F.col("price_per_kg")), F.col("raw_price"), unit).alias("ppk"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)promo|oferta|desconto|\d+%\s*off') AS promotion FROM documents")
+def detect_promotion(s, d):
+    return bind.read_table(s, d, "documents").select("doc_id", T.detect_promotion(F.col("text"), F.lit("")).alias("promotion"))
+
+
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
+def deaccent(s, d):
+    return bind.read_table(s, d, "documents").select("doc_id", T.deaccent(F.col("text")).alias("plain"))
+
+
+@query("""SELECT doc_id, CASE WHEN contains(t, 'timeout') OR contains(t, 'timed out') THEN 'Timeout' WHEN contains(t, 'dns') OR contains(t, 'no address') THEN 'DNSError'
+WHEN contains(t, 'ssl') OR contains(t, 'tls') OR contains(t, 'certificate') THEN 'SSLError' WHEN contains(t, 'proxy') THEN 'ProxyConfigError' WHEN contains(t, 'connect') THEN 'ConnectError'
+WHEN contains(t, '404') OR contains(t, 'not found') OR contains(t, 'parse') OR contains(t, 'selector') THEN 'LayoutChanged' WHEN contains(t, 'captcha') OR contains(t, 'robot') THEN 'AntiBot'
+WHEN contains(t, 'rate') OR contains(t, '429') OR contains(t, 'too many') THEN 'RateLimit' WHEN contains(t, 'forbidden') OR contains(t, '403') OR contains(t, 'cloudflare') THEN 'AntiBot' WHEN t = '' THEN 'Unknown'
+ELSE 'Other' END AS error_class FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
+def classify_error(s, d):
+    return bind.read_table(s, d, "documents").select("doc_id", T.classify_error(F.col("text")).alias("error_class"))
+
+
+@query(r"SELECT id, raw_product, nullif(regexp_extract(raw_product, '(?i)([\d.,]+\s*(?:kg|g|ml|un|l)\b)', 1), '') IS NOT NULL AS has_unit FROM prices")
+def extract_unit(s, d):
+    return bind.prices(s, d).select("id", "raw_product", (T.extract_unit(F.col("raw_product")) != "").alias("has_unit"))
+
+
+@query(""", w AS (SELECT id, list_filter(string_split(trim(raw_product), ' '), lambda x: x <> '') AS ws, raw_product AS t FROM prices)
+SELECT id, round(0.8::DOUBLE * (len(list_filter(ws, lambda x: length(x) > 3)) / len(ws)) + 0.2::DOUBLE * (1 - len(regexp_extract_all(t, '[0-9]')) / length(t)), 6) AS quality FROM w""")
+def name_quality(s, d):
+    return bind.prices(s, d).select("id", F.round(T.name_quality(F.col("raw_product")), 6).alias("quality"))
+
+
+@query("SELECT id, contains(t, 'papel') OR contains(t, 'caixa') OR contains(t, 'forma') OR contains(t, 'folha') OR contains(t, 'festa') OR contains(t, 'saco') OR contains(t, 'haste') OR contains(t, 'vela') AS flag FROM (SELECT doc_id AS id, lower(text) AS t FROM documents)")
+def packaging_tokens(s, d):
+    return bind.read_table(s, d, "documents").select(F.col("doc_id").alias("id"), T.packaging_tokens(F.col("text")).alias("flag"))
+
+
+@query("SELECT id, id AS store_id FROM stores")
+def resolve_store(s, d):
+    st = bind.stores(s, d)
+    spelt = st.select("id", F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.col("name")).alias("store_name"))
+    return H.resolve_store(spelt, st).select("id", "store_id")
+
+
+@query("SELECT DISTINCT p_name AS ingredient_text, p_name AS ingredient FROM part")
+def resolve_ingredient(s, d):
+    names = bind.ingredients(s, d)
+    return H.resolve_ingredient(names.select(F.col("canonical_name").alias("ingredient_text")), names)
+
+
+@query()
+def pair_stores(s, d):
+    return B.pair_stores(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)), keep=3)
+
+
+@query("""SELECT q.id, CASE WHEN n_chars % 30 > 14 AND confidence < 0.7 THEN 'rejected' ELSE 'pending' END AS status FROM queue q JOIN documents d ON q.id = d.doc_id""")
+def review_auto_reject(s, d):
+    age = bind.read_table(s, d, "documents").select(F.col("doc_id").alias("id"), F.date_sub(F.lit("2026-01-31").cast("date"), (F.col("n_chars") % 30).cast("int")).alias("collected_at"))
+    return M.review_auto_reject(bind.review_queue(s, d).join(age, "id"), F.lit("2026-01-31").cast("date")).select("id", "status")
+
+
+@query("""SELECT id, p_brand AS cached_ingredient FROM prices LEFT JOIN (SELECT DISTINCT p_brand, p_name || ' ' || p_brand || ' ' || p_type AS t FROM part WHERE p_size < 25) c ON c.t = raw_product AND c.p_brand = brand""")
+def decision_cache(s, d):
+    p = bind.read_table(s, d, "part").filter("p_size < 25")
+    now = F.lit("2026-01-31").cast("timestamp")
+    cache = p.select(T.decision_key(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.col("p_brand")).alias("key"), F.col("p_brand").alias("ingredient"), F.lit(0.9).alias("confidence"), now.alias("created_at")).distinct()
+    return H.decision_cache(bind.prices(s, d), cache, now).select("id", "cached_ingredient")
+
+
+@query("""SELECT basket_id AS recipe_id, ingredient_id, arg_min(store_id, struct_pack(a := price_per_kg, b := store_id)) AS selected_store, min(price_per_kg) AS price_per_kg FROM baskets JOIN newest USING (ingredient_id) GROUP BY 1, 2""")
+def recipe_items_snapshot(s, d):
+    best = P.newest_prices(bind.prices(s, d)).groupBy("ingredient_id").agg(F.min_by(F.struct("store_id", "price_per_kg"), F.struct("price_per_kg", "store_id")).alias("b"))
+    items = bind.baskets(s, d).select(F.col("basket_id").alias("recipe_id"), "ingredient_id")
+    chosen = items.join(best, "ingredient_id").select("recipe_id", "ingredient_id", F.col("b.store_id").alias("selected_store"), F.col("b.price_per_kg").alias("price_per_kg"))
+    stored = items.withColumns({"selected_store": F.lit(None).cast("long"), "price_per_kg": F.lit(None).cast("double")})
+    return B.recipe_items_snapshot(stored, chosen)
+
+
+@query("SELECT id FROM stores WHERE CASE tier WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' ELSE 'Wednesday' END = dayname((SELECT max(as_of) FROM prices)) OR dayname((SELECT max(as_of) FROM prices)) = 'Thursday'")
+def published_today(s, d):
+    days = F.when(F.col("tier") == 1, F.array(F.lit("Sunday"))).when(F.col("tier") == 2, F.array(F.lit("monday"))).otherwise(F.array().cast("array<string>"))
+    return O.published_today(bind.with_as_of(bind.stores(s, d).withColumn("publish_days", days), s, d), as_of()).select("id")
+
+
+def _decisions(s, d) -> DataFrame:
+    """Review decisions: documents of good quality get the first ingredient by name."""
+    first = bind.ingredients(s, d).agg(F.min("canonical_name").alias("ingredient"))
+    return bind.read_table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id")).crossJoin(F.broadcast(first))  # one row
+
+
+@query(f"SELECT q.id, CASE WHEN quality = 1 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN quality = 1 THEN {FIRST} END AS resolved_ingredient FROM queue q LEFT JOIN labels l ON l.doc_id = q.id")
+def review_approve(s, d):
+    return M.review_approve(bind.review_queue(s, d), _decisions(s, d), bind.ingredients(s, d), bind.stores(s, d))[2].select("id", "status", "resolved_ingredient")
+
+
+@query(f"SELECT DISTINCT {FIRST} AS canonical_name, raw_product AS alias FROM queue q JOIN labels l ON l.doc_id = q.id WHERE quality = 1")
+def review_aliases(s, d):
+    return M.review_approve(bind.review_queue(s, d), _decisions(s, d), bind.ingredients(s, d), bind.stores(s, d))[1]
+
+
+@query("SELECT q.id, CASE WHEN quality = 1 THEN 'pending' ELSE 'rejected' END AS status FROM queue q LEFT JOIN labels l ON l.doc_id = q.id")
+def review_reject_fp(s, d):
+    return M.review_reject_fp(bind.review_queue(s, d), _decisions(s, d)).select("id", "status")
+
+
+def _registry(s, d) -> DataFrame:
+    """Customers as store-registry entries: every third pending, every fifth matched."""
+    c = bind.read_table(s, d, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), T.normalize_store_name(F.col("c_name")).alias("normalized_name"), F.col("c_mktsegment").alias("source"),
+                    F.when(F.col("c_custkey") % 3 == 0, "pending_review").otherwise("approved").alias("status"),
+                    F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 90 + 1).alias("matched_store_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("address"))
+
+
+@query("""SELECT count(*) FILTER (c_custkey % 3 = 0) AS pending, count(*) FILTER (c_custkey % 2 = 0) AS with_address, count(*) FILTER (c_custkey % 5 = 0) AS matched, 0::BIGINT AS test_junk, 0::BIGINT AS non_food FROM customer""")
+def registry_kpis(s, d):
+    return O.registry_kpis(_registry(s, d))
+
+
+_COUNTS = """, n AS (SELECT store_id, count(DISTINCT ingredient_id) AS n FROM prices GROUP BY 1),
+c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN coalesce(n, 0) ELSE 0 END AS products, c_custkey % 3 = 0 AS pending FROM customer LEFT JOIN n ON c_custkey % 5 = 0 AND n.store_id = c_custkey % 90 + 1) """
+
+
+@query(_COUNTS + "SELECT id, products FROM c")
+def discovered_product_count(s, d):
+    return O.discovered_product_count(_registry(s, d), bind.prices(s, d)).select("id", "products")
+
+
+@query(_COUNTS + "SELECT id, CASE WHEN pending AND products < 2 THEN 'pending_review' ELSE 'approved' END AS status FROM c")
+def auto_promote(s, d):
+    r = _registry(s, d)
+    return M.auto_promote(r, O.discovered_product_count(r, bind.prices(s, d))).select("id", "status")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'pending_review' ELSE 'merged' END AS status FROM customer")
+def registry_merge(s, d):
+    st = bind.stores(s, d).withColumns({"address": F.lit(None).cast("string"), "phone": F.lit(None).cast("string")})
+    return M.registry_merge(_registry(s, d).withColumn("phone", F.lit("")), st)[0].select("id", "status")
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'pending_review' ELSE 'approved' END AS status FROM customer WHERE NOT starts_with(lower(c_name), 'customer#00000001') UNION ALL SELECT c_custkey, 'rejected' FROM customer WHERE starts_with(lower(c_name), 'customer#00000001')")
+def registry_bulk_reject(s, d):
+    return M.registry_bulk_reject(_registry(s, d), "Customer#00000001").select("id", "status")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus WHEN o_custkey <= (SELECT max(s_suppkey) FROM supplier) THEN 'completed' ELSE 'failed' END AS status FROM orders""")
+def serve_requests(s, d):
+    o = bind.read_table(s, d, "orders")
+    top = bind.read_table(s, d, "supplier")
+    r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("store_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise(F.col("o_orderstatus")).alias("status"))
+    return M.serve_requests(r, top.select(F.col("s_suppkey").alias("id")), bind.prices(s, d).select("store_id")).select("id", "status")
