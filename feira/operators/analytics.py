@@ -27,7 +27,7 @@ def price_trends(prices: DataFrame, ingredient: str) -> DataFrame:
     (as named in the source system), distinct_stores that of stores."""
     p = prices.filter((F.col("ingredient_id") == ingredient) & (F.col("price_per_kg") > 0))
     return p.groupBy(F.to_date("collected_at").alias("day")).agg(
-        F.round(F.avg("price_per_kg"), 2).alias("avg_ppk"), F.min("price_per_kg").alias("min_ppk"), F.max("price_per_kg").alias("max_ppk"),
+        F.round(F.avg("price_per_kg") + 1e-7, 2).alias("avg_ppk"), F.min("price_per_kg").alias("min_ppk"), F.max("price_per_kg").alias("max_ppk"),
         F.count("*").alias("store_count"), F.countDistinct("store_id").alias("distinct_stores"))
 
 

@@ -209,7 +209,7 @@ def coverage_by_ingredient(s, d):
     return A.coverage_by_ingredient(prices(s, d))
 
 
-@query(f"""SELECT collected_at::DATE AS day, round(avg(price_per_kg), 2) AS avg_ppk, min(price_per_kg) AS min_ppk, max(price_per_kg) AS max_ppk,
+@query(f"""SELECT collected_at::DATE AS day, round(avg(price_per_kg) + 1e-7::DOUBLE, 2) AS avg_ppk, min(price_per_kg) AS min_ppk, max(price_per_kg) AS max_ppk,
 count(*) AS store_count, count(DISTINCT store_id) AS distinct_stores FROM prices WHERE ingredient_id = {FIRST} GROUP BY 1""")
 def price_trends(s, d):
     return A.price_trends(prices(s, d), one_ingredient(s, d))

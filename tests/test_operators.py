@@ -62,10 +62,12 @@ def test_basket(spark):
     assert rows(B.pair_stores(b, p), "basket_id", "a", "b", "total") == [(1, 1, 2, 139.75)]
 
 
-def test_basket_against_brute_force(spark):
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_basket_against_brute_force(spark, monkeypatch, limit):
     import itertools
     import random
 
+    monkeypatch.setattr(B, "MAX_BROADCAST_PRICES", limit)
     r = random.Random(5)
     cells = {(i, s): r.randint(100, 999) / 100 for i in "abcd" for s in range(7) if r.random() < 0.6}
     p = prices(spark, [(i, s, v, 1) for (i, s), v in cells.items()])
@@ -79,6 +81,16 @@ def test_basket_against_brute_force(spark):
         assert (row["multi_total"] or float("inf")) == pytest.approx(best) and (row["mono_total"] or float("inf")) == pytest.approx(mono)
 
 
+def test_best_pair_by_parts_and_by_pairs():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (1, 2, 4, 9):
+        cost = np.where(r.random((20, n)) < 0.7, r.random((20, n)), B.LACKING)
+        want = min(np.minimum(cost[a], cost[b]).sum() for a in range(20) for b in range(20))
+        assert B._best_pair(cost)[0] == pytest.approx(want)
+
+
 def test_anomaly(spark):
     p = prices(spark, [("a", 1, 10.0, d) for d in range(1, 8)] + [("a", 1, 11.0, 8), ("a", 1, 30.0, 9), ("b", 1, 5.0, 1)])
     stats = N.historical_stats(p, F.lit(dt.date(2026, 3, 10)))
