@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import with_columns
 
 UND = "und"
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _LOWER = np.zeros(256, np.uint8)
 _LOWER[ord("a"):ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
