@@ -9,7 +9,7 @@ an entity in any document gets the same one (coreference), however it is written
 Two entities must not meet in one replacement, and none may be a value that
 really occurs. Both are checked on the table of distinct entities: of those that
 meet, the smallest keeps its replacement and the others draw again, until none
-meet. Only the entities that had to draw again are carried to their documents;
+meet. Only the entities that had to draw again are carried to their texts;
 all other replacements are computed in place while the text is rewritten.
 """
 
@@ -177,9 +177,14 @@ class Surrogates:
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, e.kind, e.value) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")) for e in detect(text.as_py() or "")]
+        rows = [(i, e.kind, e.value) for i, text in zip(batch.column("row").to_pylist(), batch.column("text")) for e in detect(text.as_py() or "")]
         i, k, v = zip(*rows) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["doc_id", "kind", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.string())], ["row", "kind", "value"])
+
+
+def mentions(docs: DataFrame) -> DataFrame:
+    """(row, text) -> row, kind, value of every entity in every whole text."""
+    return docs.select("row", "text").mapInArrow(_entities, "row long, kind string, value string")
 
 
 def resolve(entities: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
@@ -227,15 +232,14 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """
     secret = key.encode()
     d = with_columns(docs, {"doc_id": "long", "text": "string"})
-    found = materialize(d.mapInArrow(_entities, "doc_id long, kind string, value string"), "mentions")
+    # rows meet their redrawn entities by a hash of the text: ids may be null or
+    # repeated, copies share one entry, and texts of one hash only share a larger map
+    d = d.withColumn("row", F.xxhash64("text"))
+    found = materialize(mentions(d), "mentions")
     again = materialize(resolve(found, secret), "redrawn")
-    by_doc = (found.join(again, ["kind", "value"]).filter("doc_id is not null").distinct().groupBy("doc_id")
-              .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "attempt"))).alias("again")))
-    orphans = found.filter("doc_id is null").join(again, ["kind", "value"])
-    if not orphans.isEmpty():  # rows without an id share one map
-        by_doc = by_doc.unionByName(orphans.select("kind", "value", "attempt").distinct().agg(
-            F.lit(None).cast("long").alias("doc_id"), F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "attempt"))).alias("again")))
-    by_doc = materialize(by_doc, "redrawn-by-doc").alias("r")
+    by_text = (found.join(again, ["kind", "value"]).distinct().groupBy("row")
+               .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "value"), "attempt"))).alias("again")))
+    by_text = materialize(by_text, "redrawn-by-text")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(secret)
@@ -255,5 +259,5 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(kinds, pa.string()), pa.array(out, pa.string())],
                                              ["doc_id", "n_entities", "kinds", "text"])
 
-    joined = d.alias("d").join(by_doc, F.expr("d.doc_id <=> r.doc_id"), "left").select("d.doc_id", "d.text", "again")
+    joined = d.join(by_text, "row", "left").select("doc_id", "text", "again")
     return joined.mapInArrow(rewrite, "doc_id long, n_entities long, kinds string, text string")
