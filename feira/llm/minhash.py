@@ -256,8 +256,8 @@ def _confirm(alike: float, share: int):
     return run
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similar: int = 85, permutations: int = 32, rows: int = 4,
-               bucket_rows: int = 2048, block_shingles: int = 2_000_000, slack: float = 0.22, seed: int = 7) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80, permutations: int = 32, rows: int = 3,
+               bucket_rows: int = 2048, block_shingles: int = 2_000_000, slack: float = 0.25, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents with 100 * |A and B| >= similar * |A or B| over their shingle sets
@@ -267,9 +267,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similar: int = 85, permutations:
     that repeat a doc_id each get a row; texts that share an id count as linked.
     A row of null id takes part in no link. Extra columns are ignored; an empty table gives no rows.
 
-    The only chance of a miss is in candidates: at the threshold of 0.85 a pair
-    shares none of the 16 bands of 4 with probability 8e-6, and its 64 signature
-    values agree to less than 0.85 - slack with probability below 1e-5.
+    The only chance of a miss is in candidates. At a threshold of 0.8 a pair shares
+    none of the 21 bands of 3 with probability 3e-7, and its 64 signature values
+    agree to less than 0.8 - slack with probability 4e-6. At 0.85 with rows=4 and
+    slack=0.22, which costs less, both are below 1e-5.
     """
     alike = similar / 100 - slack
     d = with_columns(docs, {"doc_id": "long", "text": "string"})

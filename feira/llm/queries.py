@@ -54,7 +54,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+    return minhash.near_dedup(table(spark, sf_dir, "documents"), similar=85, rows=4, slack=0.22)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,12 +211,16 @@ def test_pii(spark):
 
 def test_pii_distinct(spark):
     rows = [(i, f"Mr. John Name{chr(97 + i // 26)}{chr(97 + i % 26)} 10.0.0.{i % 200}") for i in range(400)]
-    found = docs(spark, rows).select("doc_id", "text").mapInArrow(pii._entities, "doc_id long, kind string, value string")
+    found = pii.mentions(docs(spark, rows).withColumnRenamed("doc_id", "row"))
     again = {(x["kind"], x["value"]): x["attempt"] for x in pii.resolve(found, b"k").collect()}
     made = pii.Surrogates(b"k")
     pairs = {(x["kind"], x["value"]) for x in found.collect()}
     new = [(k, made.canonical(k, v, again.get((k, v), 0))) for k, v in pairs]
     assert len(set(new)) == len(new) and not set(new) & pairs
+    # ids play no part: null and repeated ones get the same replacements
+    whole = {x["text"] for x in pii.surrogates(docs(spark, rows), "k").collect()}
+    assert {x["text"] for x in pii.surrogates(docs(spark, [(None if i % 2 else 7, t) for i, t in rows]), "k").collect()} == whole
+    assert len(whole) == len(rows)
 
 
 # 5
@@ -346,7 +350,7 @@ def test_guess_costs():
 
 # 9
 
-def components(rows, similar=85):
+def components(rows, similar):
     sets = {}
     for i, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -377,10 +381,11 @@ def near_rows(seed):
     return rows + [(1000, None), (1001, ""), (1002, " \n"), (1003, "one two"), (1004, "ONE  two"), (1005, "one two three")]
 
 
-@pytest.mark.parametrize(("seed", "params"), [(1, {}), (2, {"block_shingles": 150, "bucket_rows": 4})])
+@pytest.mark.parametrize(("seed", "params"), [
+    (1, {"similar": 85, "rows": 4, "slack": 0.22}), (2, {"similar": 85, "block_shingles": 150, "bucket_rows": 4}), (3, {}), (4, {"block_shingles": 150, "bucket_rows": 4})])
 def test_near_dedup(spark, seed, params):
     rows = near_rows(seed)
-    want = components(rows)
+    want = components(rows, params.get("similar", 80))
     got = {x["doc_id"]: x for x in minhash.near_dedup(docs(spark, rows), **params).collect()}
     assert {i: (x["n_shingles"], x["component_id"]) for i, x in got.items()} == want
     assert all(x["kept"] == (i == x["component_id"]) for i, x in got.items())
