@@ -26,18 +26,23 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
+    """One document of each group of near duplicates (of five-word shingles, 0.8 or
+    more alike), that with the smallest id."""
     dropped = minhash.near_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes (none to two); documents
-    without a word, which no target can count, are left as they are."""
-    copies = mixing.mix(docs).select("doc_id", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
-    taken = copies.filter("copies > 0").dropDuplicates(["doc_id"])
-    return (docs.select(*COLUMNS).join(taken, "doc_id")
-            .select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS))
+    without a word, which no target can count, are left as they are. Rows that agree
+    in id, source and size get the same number of copies; null ids take part."""
+    same = ("doc_id", "source", "size")
+    copies = mixing.mix(docs).groupBy(*same).agg(F.min("copies").alias("copies"))
+    copies = copies.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")).filter("copies > 0")
+    d = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text"))).alias("d")
+    on = F.expr(" and ".join(f"d.{c} <=> m.{c}" for c in same))
+    return (d.join(copies.alias("m"), on).select(*(f"d.{c}" for c in COLUMNS), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+            .select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
