@@ -962,3 +962,71 @@ def serve_requests(s, d):
     top = bind.read_table(s, d, "supplier")
     r = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("store_id"), F.when(F.col("o_orderstatus") == "O", "pending").otherwise(F.col("o_orderstatus")).alias("status"))
     return M.serve_requests(r, top.select(F.col("s_suppkey").alias("id")), bind.prices(s, d).select("store_id")).select("id", "status")
+
+
+# Flyers: orders as flyers, and their texts
+
+def _flyers(s, d) -> DataFrame:
+    o = bind.read_table(s, d, "orders")
+    return o.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("collected_at"), F.col("o_orderpriority").alias("source"),
+                    F.when(F.col("o_orderstatus") == "O", "pending").otherwise("done").alias("ocr_status"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS source FROM orders WHERE o_orderdate::DATE >= (SELECT max(o_orderdate::DATE) FROM orders) - 365 AND o_orderpriority = (SELECT min(o_orderpriority) FROM orders)")
+def flyers_recent(s, d):
+    f = _flyers(s, d)
+    last = f.agg(F.max(F.to_date("collected_at")), F.min("source")).first()  # one row
+    return P.flyers_recent(f, F.lit(last[0]), 365, last[1]).select("id", "source")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def flyers_pending(s, d):
+    return P.flyers_pending(_flyers(s, d)).select("id")
+
+
+@query("""SELECT id, CASE WHEN as_of - collected_at::DATE <= 7 THEN 'ok' WHEN as_of - collected_at::DATE <= 30 THEN 'warn' ELSE 'stale' END AS freshness FROM prices""")
+def freshness_bucket(s, d):
+    return prices(s, d).select("id", T.freshness_bucket(F.to_date("collected_at"), as_of()).alias("freshness"))
+
+
+@query("SELECT p_partkey AS id, round(p_retailprice, 2)::DOUBLE AS price FROM part")
+def extract_price_brl(s, d):
+    p = bind.read_table(s, d, "part")
+    text = F.concat(F.lit("Oferta R$ "), F.translate(F.format_number(F.col("p_retailprice").cast("double"), 2), ",.", ".,"), F.lit(" o kg"))
+    return p.select(F.col("p_partkey").alias("id"), T.extract_price_brl(text).alias("price"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%d/%m') AS validity FROM orders")
+def extract_validity(s, d):
+    text = F.concat(F.lit("Ofertas até "), F.date_format("collected_at", "dd/MM"))
+    return _flyers(s, d).select("id", T.extract_validity(text).alias("until")).select("id", F.regexp_extract("until", r"\d{2}/\d{2}", 0).alias("validity"))
+
+
+@query("""SELECT o_orderkey AS id, TRY_CAST((2023 + (month(o_orderdate) < 6)::INT) || strftime(o_orderdate, '-%m-%d') AS DATE) AS day FROM orders""")
+def resolve_flyer_date(s, d):
+    text = F.concat(F.lit("até "), F.date_format("collected_at", "dd/MM"))
+    return _flyers(s, d).select("id", T.resolve_flyer_date(text, F.lit("2023-06-15").cast("date")).alias("day"))
+
+
+@query("""SELECT p_partkey AS id, list_sort(list_distinct(list_filter(string_split(upper(p_name || ' ' || replace(p_brand, '#', '') || ' ' || p_type), ' '),
+  lambda w: NOT list_contains(string_split(upper(p_name), ' '), w)))) AS words FROM part""")
+def unmatched_words(s, d):
+    words = H.unmatched_words(F.concat_ws(" ", "p_name", "p_brand", "p_type"), F.col("p_name"))
+    return bind.read_table(s, d, "part").select(F.col("p_partkey").alias("id"), words.alias("words"))
+
+
+@query("SELECT id, contains(lower(raw_product), 'cold') OR contains(lower(raw_product), 'economy') AS excluded FROM prices")
+def excluded_terms(s, d):
+    return prices(s, d).select("id", T.excluded_terms(F.col("raw_product"), F.array(F.lit("COLD"), F.lit("Economy"))).alias("excluded"))
+
+
+@query("""SELECT l_orderkey AS order_id, l_linenumber AS line, CASE WHEN l_discount > 0 THEN 0.6::DOUBLE * (l_quantity * 2) / 100 + 0.4::DOUBLE * l_discount ELSE l_quantity * 2 / 100 END AS score FROM lineitem""")
+def combined_score(s, d):
+    li = bind.read_table(s, d, "lineitem")
+    number = lambda c: F.col(c).cast("double")
+    return li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), T.combined_score(number("l_quantity") * 2, number("l_discount")).alias("score"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size * 2 >= 90 THEN 'Excellent' WHEN p_size * 2 >= 75 THEN 'Good' WHEN p_size * 2 >= 50 THEN 'Fair' WHEN p_size * 2 >= 25 THEN 'Poor' ELSE 'Critical' END AS label FROM part""")
+def health_label(s, d):
+    return bind.read_table(s, d, "part").select(F.col("p_partkey").alias("id"), T.health_label(F.col("p_size") * 2).alias("label"))
