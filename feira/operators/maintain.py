@@ -194,10 +194,11 @@ def discover_stores(flyers: DataFrame, stores: DataFrame, registry: DataFrame) -
 
 def registry_upsert(registry: DataFrame, incoming: DataFrame) -> DataFrame:
     """Open entries of the same normalised name only get what they lack; other names
-    are added."""
+    are added. Of incoming rows of one name the first by name and values counts."""
     fill = ["matched_store_id", "match_score", "address", "address_confidence"]
     open_ = F.col("status").isin("pending_review", "approved")
-    inc = incoming.dropDuplicates(["normalized_name"])
+    rest = [c for c in incoming.columns if c != "normalized_name"]
+    inc = incoming.groupBy("normalized_name").agg(F.min_by(F.struct(*rest), F.struct("name", *fill)).alias("r")).select("normalized_name", "r.*")
     old = registry.join(inc.select("normalized_name", *[F.col(c).alias(f"_{c}") for c in fill]), "normalized_name", "left")
     old = old.withColumns({c: F.when(open_, F.coalesce(c, f"_{c}")).otherwise(F.col(c)) for c in fill}).drop(*[f"_{c}" for c in fill])
     return old.unionByName(inc.join(registry.filter(open_).select("normalized_name"), "normalized_name", "left_anti"), allowMissingColumns=True)

@@ -1030,3 +1030,26 @@ def combined_score(s, d):
 @query("""SELECT p_partkey AS id, CASE WHEN p_size * 2 >= 90 THEN 'Excellent' WHEN p_size * 2 >= 75 THEN 'Good' WHEN p_size * 2 >= 50 THEN 'Fair' WHEN p_size * 2 >= 25 THEN 'Poor' ELSE 'Critical' END AS label FROM part""")
 def health_label(s, d):
     return bind.read_table(s, d, "part").select(F.col("p_partkey").alias("id"), T.health_label(F.col("p_size") * 2).alias("label"))
+
+
+@query("SELECT min(o_orderkey) AS id, c_name AS store_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0 GROUP BY c_name")
+def dedup_against_registry(s, d):
+    c = bind.read_table(s, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("store_name"))
+    f = bind.read_table(s, d, "orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("id"), "store_name")
+    return M.dedup_against_registry(f, bind.stores(s, d), _registry(s, d).filter("status = 'pending_review'")).select("id", "store_name")
+
+
+@query("SELECT q.id, CASE WHEN quality = 1 THEN 'resolved' ELSE 'pending' END AS status FROM queue q LEFT JOIN labels l ON l.doc_id = q.id")
+def review_recover(s, d):
+    m = bind.read_table(s, d, "labels").select(F.col("doc_id").alias("id"), F.lit("x").alias("ingredient"), F.when(F.col("quality") == 1, 0.9).otherwise(0.5).alias("combined"))
+    return M.review_recover(bind.review_queue(s, d), m)[1].select("id", "status")
+
+
+@query("""SELECT c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'pending_review' ELSE 'approved' END AS status, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'new' END AS address FROM customer
+UNION ALL SELECT s_name, 'pending_review', 'new' FROM supplier""")
+def registry_upsert(s, d):
+    r = _registry(s, d).withColumns({"match_score": F.lit(None).cast("double"), "address_confidence": F.lit(None).cast("double")})
+    names = bind.read_table(s, d, "customer").select(F.col("c_name").alias("name")).unionByName(bind.read_table(s, d, "supplier").select(F.col("s_name").alias("name")))
+    new = names.withColumns({"normalized_name": T.normalize_store_name(F.col("name")), "status": F.lit("pending_review"), "matched_store_id": F.lit(None).cast("long"), "match_score": F.lit(None).cast("double"),
+                             "address": F.lit("new"), "address_confidence": F.lit(7.0)})
+    return M.registry_upsert(r, new).select("name", "status", "address")
