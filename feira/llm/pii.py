@@ -9,7 +9,9 @@ an entity in any document gets the same one (coreference), however it is written
 Two entities must not meet in one replacement, and none may be a value that
 really occurs. Both are checked on the table of distinct entities: of those that
 meet, the smallest keeps its replacement and the others draw again, until none
-meet. Only the entities that had to draw again are carried to their texts;
+meet. The values to draw from grow with the attempt (more syllables, letters or
+digits, a wider range of addresses), so that any number of entities settles; only
+of the 10^9 numbers of the SSN layout there can't be more. Only the entities that had to draw again are carried to their texts;
 all other replacements are computed in place while the text is rewritten.
 """
 
@@ -18,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,9 +53,32 @@ _FIND = re.compile("|".join((
 )))
 #: A text without any of these has no entity, and is not searched.
 _HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES}|{'|'.join(FEMALE + MALE)})(?!\w)")
+#: First numbers of public IPv4 ranges without private or special parts.
+_PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
 _SYLLABLES = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "u")]
 
 
+def _class(c: str) -> tuple[str, str]:
+    """Script (first word of the character's name) and case of a letter or number."""
+    case = {"Ll": "lower", "Lu": "upper"}.get(unicodedata.category(c), "letter" if c.isalpha() else "number")
+    return unicodedata.name(c, "").split(" ")[0], case
+
+
+@lru_cache(4096)
+def _script(c: str) -> tuple[str, ...]:
+    """What may stand for a letter or number outside the ranges that _alike states:
+    those of its script and case in its 128 code points (all syllables of Hangul), or
+    else of its case there, or else syllables. Small letters whose capital is no
+    single letter or leads to another small one are not among them."""
+    if "가" <= c <= "힣":
+        return tuple(map(chr, range(0xac00, 0xd7a4)))
+    script, case = _class(c)
+    page = [x for x in map(chr, range(ord(c) & ~127, (ord(c) & ~127) + 128)) if x.isalnum() and not x.isascii() and _class(x)[1] == case
+            and (case != "lower" or (len(x.upper()) == 1 and x.upper().lower() == x))]
+    own = [x for x in page if _class(x)[0] == script]
+    return tuple(own if len(own) > 1 else page if len(page) > 1 else _SYLLABLES)
+
+
 class Entity:
     """kind, canonical value, and where it stands in the text."""
 
@@ -87,6 +114,12 @@ def luhn(digits: str) -> bool:
     return sum(odd[::2] + [sum(divmod(2 * x, 10)) for x in odd[1::2]]) % 10 == 0
 
 
+def _grown(attempt: int) -> int:
+    """By how many signs the replacements of an attempt are longer: none up to the
+    fifth, then one more every other attempt."""
+    return max(0, attempt - 4) // 2
+
+
 class Surrogates:
     """Keyed replacements; attempt is raised when one has met another."""
 
@@ -121,23 +154,39 @@ class Surrogates:
                 out.append("àáâãäåçèéêëìíîïñòóôõöùúûü"[self._pick(r, 25)])
             elif "一" <= c <= "龥":
                 out.append(chr(0x4e00 + self._pick(r, 20_000)))
+            elif c.isalnum():
+                like = _script(c)
+                out.append(like[self._pick(r, len(like))])
             else:
                 out.append(c)
         return "".join(out)
 
+    def _more(self, text: str, r: Iterator[int], attempt: int) -> str:
+        """From the sixth attempt on, ever more letters like the last one of the text."""
+        last = next((c for c in reversed(text) if c.isalpha()), "a")
+        return "".join(self._alike(last, r) for _ in range(_grown(attempt)))
+
     def canonical(self, kind: str, value: str, attempt: int = 0) -> str:
         """The canonical form of the replacement."""
         r = self._numbers(kind, value, attempt)
         if kind == "email":
             local, _, domain = value.rpartition("@")
             host, _, top = domain.rpartition(".")
-            return f"{self._alike(local, r)}@{self._alike(host, self._numbers('domain', domain, 0))}.{top}"
+            return f"{self._alike(local, r)}{self._more(local, r, attempt)}@{self._alike(host, self._numbers('domain', domain, 0))}.{top}"
         if kind == "ip":
             a = value.split(".")
             keep = 2 if value.startswith(("192.168.", "127.0.")) else 1 if a[0] in ("10", "127") else 0
             new = [str(self._pick(r, 256)) for _ in a]
             if not keep:
                 new[0] = str((11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 23, 24)[self._pick(r, 12)] if int(a[0]) < 128 else 130 + self._pick(r, 38))
+                if attempt > 5:  # any range of public addresses
+                    new[0] = str(_PUBLIC[self._pick(r, len(_PUBLIC))])
+            elif attempt > 5 and a[0] == "192":
+                a, keep = ["10"], 1
+            elif attempt > 5:
+                keep = 1
+            if keep and attempt > 11:  # reserved, so not public either
+                return ".".join([str(240 + self._pick(r, 15)), *new[1:]])
             return ".".join(a[:keep] + new[keep:])
         if kind == "card":
             same = luhn(value)
@@ -146,20 +195,24 @@ class Surrogates:
                 if luhn(new) == same:
                     return new
         if kind == "iban":
-            body = self._alike(value[4:], r)
+            body = self._alike(value[4:] if attempt < 6 else "".join("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"[self._pick(r, 36)] for _ in value[4:]), r)
             number = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))
             return f"{value[:2]}{98 - number % 97:02d}{body}"
         if kind == "phone":
             lead = 2 if value.startswith("+") else 0
-            return value[:lead] + self._alike(value[lead:], r)
+            return value[:lead] + self._alike(value[lead:] + "0" * (_grown(attempt) if lead else 0), r)
         if kind.startswith("given_"):
             pool = {"f": FEMALE, "m": MALE}.get(kind[-1], FEMALE + MALE)
             if value.isascii() and attempt < 6:
                 return pool[self._pick(r, len(pool))].lower()
             end = {"f": "a", "m": "o"}.get(kind[-1], "e")
-            return "".join(_SYLLABLES[self._pick(r, 65)] for _ in range(2))[:-1] + "n" + end if value.isascii() else self._alike(value, r)
+            if value.isascii():
+                return "".join(_SYLLABLES[self._pick(r, 65)] for _ in range(1 + _grown(attempt)))[:-1] + "n" + end
+            return self._alike(value, r) + self._more(value, r, attempt)
         if kind == "family":
-            return "".join(_SYLLABLES[self._pick(r, 65)] for _ in range(4)) if value.isascii() else self._alike(value, r)
+            if value.isascii():
+                return "".join(_SYLLABLES[self._pick(r, 65)] for _ in range(4 + _grown(attempt)))
+            return self._alike(value, r) + self._more(value, r, attempt)
         return self._alike(value, r)
 
     def render(self, entity: Entity, written: str, attempt: int = 0) -> str:
@@ -172,7 +225,7 @@ class Surrogates:
         if entity.kind == "ip":
             return new
         signs = iter(new)
-        return "".join(next(signs) if re.match(r"[0-9A-Za-z+]", c) else c for c in written)
+        return "".join(next(signs) if re.match(r"[0-9A-Za-z+]", c) else c for c in written) + "".join(signs)
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

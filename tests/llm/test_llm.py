@@ -209,6 +209,28 @@ def test_pii(spark):
     assert family[1] in pii.MALE and f"Mrs. {family[2]} agreed" in out
 
 
+def test_pii_many_and_every_script(spark):
+    # 5,000 given names of one gender, family names of one letter, and a closed range of addresses
+    names = [a + b + c for a in pii._SYLLABLES for b in pii._SYLLABLES for c in ("r", "x")][:5000]
+    scripts = ["김", "이", "박민수", "محمد", "علي", "דוד", "さくら", "タロー", "Đỗ", "Ş", "Ⅷ", "ქეთი", "ขจร"]
+    texts = [f"Mr {n.capitalize()} Silva" for n in names] + [f"Dr {n}" for n in scripts]
+    texts += [f"{c}@b.com" for c in "abcdefghijklmnopqrstuvwxyz"] + ["_@_.com"]
+    texts += [f"ip 192.168.{i % 200}.{i // 200}" for i in range(40_000)]
+    found = pii.mentions(docs(spark, list(enumerate(texts))).withColumnRenamed("doc_id", "row"))
+    again = {(x["kind"], x["value"]): x["attempt"] for x in pii.resolve(found, b"k").collect()}
+    made, real = pii.Surrogates(b"k"), {(e.kind, e.value) for t in texts for e in pii.detect(t)}
+    assert len(real) > 45_000
+    new = {(k, made.canonical(k, v, again.get((k, v), 0))) for k, v in real}
+    assert len(new) == len(real) and not new & real
+    assert all(v.startswith(("192.168.", "10.")) or int(v.split(".")[0]) >= 240 for k, v in new if k == "ip")
+    for written in scripts:
+        (e,) = pii.detect("Dr " + written)
+        out = made.render(e, written, again.get((e.kind, e.value), 0))
+        assert out.lower() != written.lower()
+        if not written == "Ⅷ":
+            assert pii._class(out[0].lower())[0] == pii._class(written[0].lower())[0]
+
+
 def test_pii_distinct(spark):
     rows = [(i, f"Mr. John Name{chr(97 + i // 26)}{chr(97 + i % 26)} 10.0.0.{i % 200}") for i in range(400)]
     found = pii.mentions(docs(spark, rows).withColumnRenamed("doc_id", "row"))
