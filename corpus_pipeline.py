@@ -7,29 +7,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feira.llm import bpe, exact_dedup, langid, minhash, mixing
-from feira.llm.common import materialize
+from feira.llm.common import materialize, new_path
 from feira.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with a key of their own in each row, written once: ids may be
+    null or repeated, so decisions are taken and applied by row. mark orders the
+    texts of one id. Zstandard, as this is one more copy of the texts on disk."""
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, f"{name}-rows")
+    d = docs.select(*COLUMNS).withColumn("mark", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    d.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(d.schema).parquet(path)
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """What an operator sees: the row key in the place of the id."""
+    return rows.select(F.col("row").alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those of none (`und`) go."""
-    rejected = langid.language_id(docs).filter(F.col("lang_pred") == langid.UND).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    model = langid.train(docs.filter(~langid.held_out(F.col("doc_id"), 4, 2)))
+    # the rows themselves go through the operator, so nothing is joined back
+    types = dict(docs.select(*COLUMNS).dtypes)
+    carry = {c: types[c] for c in COLUMNS if c != "doc_id"}
+    return langid.predict(docs, model, carry).filter(F.col("lang_pred") != langid.UND).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    dropped = exact_dedup.exact_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Of equal texts, one row: that with the largest id (null ids come last), of
+    rows of one id the largest by the other columns."""
+    rows = keyed(docs, "exact")
+    groups = (exact_dedup.exact_dedup(by_row(rows)).filter("group_size > 1")
+              .select(F.col("doc_id").alias("row"), F.col("keep_id").alias("group")))
+    groups = materialize(groups.join(rows.drop("text", "mark"), "row"), "exact-groups")
+    best = groups.groupBy("group").agg(F.max(F.struct("doc_id", "lang", "source", "n_chars", "row")).alias("best"))
+    return without(rows, groups.select("row").join(best.select("best.row"), "row", "left_anti"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (of five-word shingles, 0.8 or
-    more alike), that with the smallest id."""
-    dropped = minhash.near_dedup(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near duplicates (of five-word shingles, 0.8 or more
+    alike): that with the smallest id (null ids come last), of rows of one id the
+    smallest by text hash and the other columns."""
+    rows = keyed(docs, "near")
+    groups = minhash.near_dedup(by_row(rows)).select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    groups = materialize(groups.join(rows.drop("text"), "row"), "near-groups")
+    best = groups.groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "lang", "source", "n_chars", "row")).alias("best"))
+    return without(rows, groups.select("row").join(best.select("best.row"), "row", "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

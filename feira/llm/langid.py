@@ -195,15 +195,17 @@ def _top(n: DataFrame, max_counts: int) -> DataFrame:
     return n.join(F.broadcast(floor), "lang").filter("n >= floor").select("lang", "code", "n")
 
 
-def predict(docs: DataFrame, model: PPM | None) -> DataFrame:
+def predict(docs: DataFrame, model: PPM | None, carry: dict[str, str] | None = None) -> DataFrame:
     """doc_id, lang_pred, score and bits_per_byte of every whole text.
 
     The score is the posterior of the best language under its exact code lengths
     and even priors. A null text, one of no letter, or any text under no model is
     `und` with score 0. Texts of any length are scored whole, in slices. Repeated
     rows are scored alike; equal code lengths go to the language first by name.
+    Columns to carry (name: type) follow in each row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    carry = carry or {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -218,10 +220,11 @@ def predict(docs: DataFrame, model: PPM | None) -> DataFrame:
                 batch.column("doc_id"),
                 pa.array([m.langs[b] if ok else UND for b, ok in zip(best, letters)], pa.string()),
                 pa.array(np.where(letters, post, 0.0)), pa.array(np.where(letters, low / np.maximum(n, 1), 0.0)),
-            ], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+                *(batch.column(c) for c in carry),
+            ], ["doc_id", "lang_pred", "score", "bits_per_byte", *carry])
 
-    d = with_columns(docs, {"doc_id": "long", "text": "string"})
-    return d.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    d = with_columns(docs, {"doc_id": "long", "text": "string"} | carry)
+    return d.mapInArrow(score, ", ".join(["doc_id long, lang_pred string, score double, bits_per_byte double", *(f"{c} {t}" for c, t in carry.items())]))
 
 
 def _has_letter(text: bytes) -> bool:
