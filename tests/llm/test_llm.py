@@ -11,6 +11,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,9 +142,23 @@ def test_automaton_against_merging(spark):
                 vocab[u + v] = len(vocab)
                 merges.append((u, v))
         a = bpe.Automaton(vocab, merges)
-        for n in range(1, 9):
-            for w in map("".join, itertools.product("ab", repeat=n)):
-                assert [a.label[i] for i in a.encode(w)] == naive_bpe(w, merges), (w, merges)
+        words = [w for n in range(1, 9) for w in map("".join, itertools.product("ab", repeat=n))]
+        ids, count = a.encode_all(np.array([a.letters[c] for w in words for c in w]), np.array(list(map(len, words))))
+        together = np.split(ids, np.cumsum(count)[:-1])
+        for w, got in zip(words, together):
+            assert [a.label[i] for i in a.encode(w)] == naive_bpe(w, merges) == [a.label[i] for i in got], (w, merges)
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    t = bpe.WordBPE(vocabulary())
+    texts = [f"word{i} some Words, {i % 7}" for i in range(300)] + ["x" * 50_000, "<|endoftext|> y"]
+    ids, count = t.encode_texts(texts)
+    monkeypatch.setattr(t.kept, "most", 1000)
+    for a in range(0, len(texts), 20):
+        got, n = t.encode_texts(texts[a:a + 20])
+        upto = int(count[:a].sum())
+        assert n.tolist() == count[a:a + 20].tolist() and got.tolist() == ids[upto:upto + int(n.sum())].tolist()
+        assert len(t.kept.number) < 200
 
 
 # 3
