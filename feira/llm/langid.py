@@ -4,9 +4,12 @@ Each language has a variable-order context tree over bytes: a byte is predicted
 from the longest context (up to three bytes) that the language's training text
 has, and an escape probability leads to the next shorter context when the byte
 was not seen there (method C with exclusion, down to a uniform floor). Statistics
-are frozen after training, so every (context, byte) has one exact code length and
-the trees of all languages compile to one table; a text costs one look-up of its
-context and one of its code lengths per byte, in NumPy, over whole Arrow batches.
+are frozen after training, so every (context, byte) has one exact code length: if
+the byte was seen there, a length of its own, else that of the escape and the one
+in the shorter context. The trees are kept whole, as sorted tables of the strings
+that were seen, in groups of a few languages whose strings share a table; a text
+costs one look-up of each byte and its context in each group, in NumPy, over whole
+Arrow batches.
 
 The text is reduced to letters first: ASCII letters in lower case, all other
 ASCII characters as one separator, bytes from 128 up as they are.
@@ -19,10 +22,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import materialize, with_columns
 
 UND = "und"
 SLICE = 1 << 18
@@ -89,15 +92,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
 
+@dataclass
+class Group:
+    """Trees of a few languages. seen[k]: strings of a context of k bytes and the
+    byte after it, sorted, that any of them has, bits[k] their code lengths by
+    language; contexts[3]: contexts of three bytes, escapes[k] the code lengths of
+    leaving a context. Orders 0 and 1 and the escapes of order 2 are whole tables."""
+
+    langs: list[str]
+    seen: dict[int, np.ndarray]
+    bits: dict[int, np.ndarray]
+    contexts: np.ndarray
+    escapes: dict[int, np.ndarray]
+
+    def lengths(self, code: np.ndarray, size: int) -> np.ndarray:
+        """Code lengths by language of each byte, given with its context of three."""
+        at, hit = _at(self.seen[3], code)
+        out = self.bits[3][at]
+        if not hit.all():
+            out[~hit] = self._escaped(code[~hit], size)
+        return out
+
+    def _escaped(self, code: np.ndarray, size: int) -> np.ndarray:
+        short = code % size**3
+        at, hit = _at(self.seen[2], short)
+        out = np.where(hit[:, None], self.bits[2][at], self.escapes[2][short // size] + self.bits[1][short % size**2])
+        at, hit = _at(self.contexts, code // size)
+        return out + np.where(hit[:, None], self.escapes[3][at], np.float32(0))
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 @dataclass
 class PPM:
-    """langs; lut: byte -> symbol; rows: three symbols -> row; bits: code lengths
-    by (row, symbol, language)."""
+    """langs; lut: byte -> symbol, of which there are size; groups of languages."""
 
     langs: list[str]
     lut: np.ndarray
-    rows: np.ndarray
-    bits: np.ndarray
+    groups: list[Group]
     size: int
 
     def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,92 +142,98 @@ class PPM:
             s, starts = _symbols(texts[a:b], self.lut)
             ends = np.append(starts[1:], len(s))
             n[a:b] = ends - starts - 1
-            row = self.rows[_contexts(s, starts, self.size)].astype(np.int64) * self.size + s
+            code = (_contexts(s, starts, self.size).astype(np.int64) * self.size + s).astype(np.uint32)
             live = np.ones(len(s), bool)
             live[starts] = False
             for lo in range(0, len(s), SLICE):
                 hi = min(lo + SLICE, len(s))
                 first = np.searchsorted(ends, lo, "right")
                 last = np.searchsorted(starts, hi, "left")
-                bits = self.bits[row[lo:hi]] * live[lo:hi, None]
                 at = np.maximum(starts[first:last], lo) - lo
-                total[a + first:a + last] += np.add.reduceat(bits, at, axis=0, dtype=np.float64)
+                k = 0
+                for g in self.groups:
+                    bits = g.lengths(code[lo:hi], self.size) * live[lo:hi, None]
+                    total[a + first:a + last, k:k + len(g.langs)] += np.add.reduceat(bits, at, axis=0, dtype=np.float64)
+                    k += len(g.langs)
         return total, n
 
 
-def _compile(counts: dict[str, tuple[np.ndarray, np.ndarray]], max_contexts: int) -> PPM:
-    """Context trees of order 0 to 3 for each language as one table of code lengths."""
-    langs = sorted(counts)
-    used = np.unique(np.concatenate([np.unique((c >> shift) & 255) for c, _ in counts.values() for shift in (0, 8, 16, 24)]))
-    used = used[used != 0]
-    other = len(used) + 1  # bytes that no training text has
+def _alphabet(used: np.ndarray) -> tuple[np.ndarray, int]:
+    """byte -> symbol (0: separator, the last: bytes that no training text has), and
+    the number of symbols."""
+    used = np.unique(used[used != 0])
+    other = len(used) + 1
     lut = np.where(_LOWER == 0, 0, other).astype(np.uint8)
     lut[used] = np.arange(1, len(used) + 1)
     upper = np.arange(ord("A"), ord("Z") + 1)
     lut[upper] = lut[upper + 32]
-    size = other + 1
-    own, all3 = {}, {}
+    return lut, other + 1
+
+
+def _tree(code: np.ndarray, n: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """One language's counts of strings of four symbols -> for each order 0 to 3:
+    strings seen, their probabilities, contexts seen, probabilities of an escape
+    (over what is left to the shorter context)."""
+    out = []
+    for k in range(4):
+        seen, which = np.unique(code % size ** (k + 1), return_inverse=True)
+        count = np.bincount(which, n)
+        contexts, own = np.unique(seen // size, return_inverse=True)
+        # what the shorter context says of the symbols seen here
+        lower = np.full(len(seen), 1 / size) if k == 0 else out[-1][1][np.searchsorted(out[-1][0], seen % size**k)]
+        left = 1 - np.bincount(own, lower)
+        total, kinds = np.bincount(own, count), np.bincount(own)
+        open_ = left > 1e-12
+        every = total + np.where(open_, kinds, 0)
+        escape = np.where(open_, kinds / every / np.maximum(left, 1e-12), 0.0)
+        out.append((seen, count / every[own], contexts, escape))
+    return out
+
+
+def compile_group(counts: dict[str, tuple[np.ndarray, np.ndarray]], lut: np.ndarray, size: int) -> Group:
+    """Counts of strings of four bytes by language -> the group's tables."""
+    langs, trees = sorted(counts), {}
     for lang, (c, n) in counts.items():
         sym = [lut[(c >> shift) & 255].astype(np.int64) for shift in (24, 16, 8, 0)]
-        own[lang] = (sym, n)
-        for ctx, k in zip((sym[0] * size + sym[1]) * size + sym[2], n):
-            all3[ctx] = all3.get(ctx, 0) + int(k)
-    kept = np.array(sorted(sorted(all3, key=lambda x: (-all3[x], x))[:max_contexts]), np.int64)
-    rows = np.empty(size**3, np.int32)
-    rows[:] = np.tile(np.arange(size * size, dtype=np.int32), size)
-    rows[kept] = size * size + np.arange(len(kept), dtype=np.int32)
-    bits = np.empty((size * size + len(kept), size, len(langs)), np.float32)
-
-    def finer(coarse: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """One order up: counts of (context, symbol) over the coarser distribution."""
-        n, q = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-        left = np.where(count > 0, 0.0, coarse)
-        mass = left.sum(1, keepdims=True)
-        full = (n > 0) & (mass > 1e-12)
-        p = np.where(count > 0, count, 0) / np.maximum(n + np.where(full, q, 0), 1)
-        p = p + np.where(full, q / np.maximum(n + q, 1), 0) * left / np.maximum(mass, 1e-12)
-        return np.where(n > 0, p, coarse)
-
-    for k, lang in enumerate(langs):
-        (s3, s2, s1, s0), n = own[lang]
-        base = np.full((1, size), 1 / size)
-        p0 = finer(base, np.bincount(s0, n, size)[None])
-        p1 = finer(np.repeat(p0, size, 0), np.bincount(s1 * size + s0, n, size**2).reshape(size, size))
-        p2 = finer(np.tile(p1, (size, 1)), np.bincount((s2 * size + s1) * size + s0, n, size**3).reshape(size**2, size))
-        bits[:size * size, :, k] = -np.log2(p2)
-        at = np.searchsorted(kept, (s3 * size + s2) * size + s1)
-        hit = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == (s3 * size + s2) * size + s1)
-        p3 = finer(p2[kept % (size * size)], np.bincount(at[hit] * size + s0[hit], n[hit], len(kept) * size).reshape(len(kept), size))
-        bits[size * size:, :, k] = -np.log2(p3)
-    return PPM(langs, lut, rows, bits.reshape(-1, len(langs)), size)
-
-
-def train(labelled: DataFrame, docs_per_lang: int = 2000, max_langs: int = 64, max_counts: int = 250_000, max_contexts: int = 12_000) -> PPM | None:
-    """Fit on a bounded sample: about docs_per_lang documents of each of the
-    max_langs commonest languages, by a hash of the id. The model is bounded too:
-    the max_counts commonest four-byte strings of a language, and max_contexts
-    contexts of three bytes. None if nothing is labelled."""
+        trees[lang] = _tree(((sym[0] * size + sym[1]) * size + sym[2]) * size + sym[3], n, size)
+    seen = {k: np.arange(size ** (k + 1)) if k < 2 else np.unique(np.concatenate([t[k][0] for t in trees.values()])) for k in range(4)}
+    contexts = {k: np.arange(size**k) if k < 3 else np.unique(np.concatenate([t[k][2] for t in trees.values()])) for k in range(4)}
+    bits = {k: np.empty((len(seen[k]), len(langs)), np.float32) for k in range(4)}
+    escapes = {k: np.zeros((len(contexts[k]), len(langs)), np.float32) for k in range(4)}
+    for j, lang in enumerate(langs):
+        p = np.full(1, 1 / size)  # of an empty context's symbols, whatever they are
+        for k, (own, mine, above, escape) in enumerate(trees[lang]):
+            leave = np.ones(len(contexts[k]))
+            leave[np.searchsorted(contexts[k], above)] = escape
+            lower = p[np.searchsorted(seen[k - 1], seen[k] % size**k)] if k else np.full(size, 1 / size)
+            p = leave[np.searchsorted(contexts[k], seen[k] // size)] * lower
+            p[np.searchsorted(seen[k], own)] = mine
+            bits[k][:, j] = -np.log2(np.maximum(p, 1e-300))
+            escapes[k][:, j] = -np.log2(np.maximum(leave, 1e-300))
+    return Group(langs, {k: seen[k].astype(np.uint32) for k in (2, 3)}, bits, contexts[3].astype(np.uint32), escapes)
+
+
+def train(labelled: DataFrame, docs_per_lang: int = 1000, group: int = 8) -> PPM | None:
+    """Fit on a bounded sample: about docs_per_lang documents of each language, by a
+    hash of the id. Every language is learned, and every string of its sample; the
+    driver holds the counts of `group` languages at a time, and the model grows with
+    the number of languages. None if nothing is labelled."""
     d = with_columns(labelled, {"doc_id": "long", "text": "string", "lang": "string"}).filter("lang is not null and text is not null")
-    sizes = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, docs_per_lang / r["count"])).otherwise(share)
-    d = d.filter(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sizes = d.groupBy("lang").count()
+    few = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < 1_000_000.0 * docs_per_lang / F.col("count")
+    d = d.join(F.broadcast(sizes), "lang").filter(few).select("lang", "text")  # a row for each language
     n = d.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    pdf = _top(n, max_counts).toPandas()
-    counts = {k: (g["code"].to_numpy(), g["n"].to_numpy()) for k, g in pdf.groupby("lang")}
-    return _compile(counts, max_contexts) if counts else None
-
-
-def _top(n: DataFrame, max_counts: int) -> DataFrame:
-    """The commonest codes of each language: those of a count above the one at
-    which max_counts is passed (counts are folded to a histogram first)."""
-    hist = n.groupBy("lang", "n").agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy("lang").orderBy(F.desc("n")))
-    floor = hist.withColumn("upto", upto).filter(F.col("upto") <= max_counts).groupBy("lang").agg(F.min("n").alias("floor"))
-    return n.join(F.broadcast(floor), "lang").filter("n >= floor").select("lang", "code", "n")
+    n = materialize(n, "strings")
+    langs = sorted(r["lang"] for r in n.select("lang").distinct().collect())
+    if not langs:
+        return None
+    used = n.select(F.explode(F.array(*[F.shiftright("code", k).bitwiseAND(255) for k in (0, 8, 16, 24)])).alias("b")).distinct().collect()
+    lut, size = _alphabet(np.array([r["b"] for r in used]))
+    groups = []
+    for k in range(0, len(langs), group):
+        pdf = n.filter(F.col("lang").isin(langs[k:k + group])).toPandas()
+        groups.append(compile_group({x: (g["code"].to_numpy(), g["n"].to_numpy()) for x, g in pdf.groupby("lang")}, lut, size))
+    return PPM([x for g in groups for x in g.langs], lut, groups, size)
 
 
 def predict(docs: DataFrame, model: PPM | None, carry: dict[str, str] | None = None) -> DataFrame:
@@ -202,7 +243,8 @@ def predict(docs: DataFrame, model: PPM | None, carry: dict[str, str] | None = N
     and even priors. A null text, one of no letter, or any text under no model is
     `und` with score 0. Texts of any length are scored whole, in slices. Repeated
     rows are scored alike; equal code lengths go to the language first by name.
-    Columns to carry (name: type) follow in each row.
+    Columns to carry (name: type) follow in each row; other columns, whatever their
+    names, are ignored. An empty table gives no rows, and null ids pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carry = carry or {}

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import io
 import itertools
+import math
 import random
 import re
 import struct
@@ -177,26 +178,57 @@ def test_language_id(spark):
     assert langid.language_id(d.filter("false")).count() == 0
 
 
-def test_ppm_is_a_code_and_slices_agree():
-    import numpy as np
-
-    counts = {}
-    for lang, text in (("a", b"abra cadabra " * 9), ("b", b"lorem ipsum dolor " * 9)):
-        s, at = langid._symbols([text], langid._LOWER)
-        code = langid._contexts(s, at, 256).astype(np.int64) * 256 + s
-        counts[lang] = np.unique(code[1:], return_counts=True)
-    m = langid._compile(counts, 50)
-    p = np.exp2(-m.bits.reshape(-1, m.size, 2).astype(float)).sum(1)
-    assert np.allclose(p, 1, atol=1e-4)
-    texts = [b"abra", b"", b"cadabra lorem " * 50, b"x", b"  ", b"ipsum"]
+def counted(text):
+    s, at = langid._symbols([text], langid._LOWER)
+    code = langid._contexts(s, at, 256).astype(np.int64) * 256 + s
+    return np.unique(code[1:], return_counts=True)
+
+
+def test_ppm_against_brute_force_and_slices(monkeypatch):
+    train = {"a": b"abra cadabra abracadabra " * 3, "b": b"lorem ipsum dolor sit lorem ", "c": "ñandú ébano ".encode() * 2}
+    counts = {k: counted(t) for k, t in train.items()}
+    lut, size = langid._alphabet(np.unique(np.concatenate([(c >> k) & 255 for c, _ in counts.values() for k in (0, 8, 16, 24)])))
+    two, one = (langid.compile_group({k: counts[k] for k in ks}, lut, size) for ks in ("ab", "c"))
+    m = langid.PPM(["a", "b", "c"], lut, [two, one], size)
+
+    def symbols(text):
+        return [0, 0, *langid._symbols([text], lut)[0].tolist()]
+
+    tables = {}
+    for lang, text in train.items():
+        s = symbols(text)
+        for i in range(3, len(s)):
+            for k in range(4):
+                tables.setdefault((lang, tuple(s[i - k:i])), collections.Counter())[s[i]] += 1
+
+    def p(lang, context, x):
+        seen = tables.get((lang, context))
+        lower = (lambda y: p(lang, context[1:], y)) if context else lambda y: 1 / size
+        if not seen:
+            return lower(x)
+        n, q, left = sum(seen.values()), len(seen), 1 - sum(map(lower, seen))
+        if x in seen:
+            return seen[x] / (n + q * (left > 1e-12))
+        return q / (n + q) * lower(x) / left
+
+    assert all(abs(sum(p("a", c, x) for x in range(size)) - 1) < 1e-9 for c in ((), (1,), (2, 1, 3), (0, 0, 0)))
+    texts = [b"abra", b"", b"cadabra lorem " * 5, b"x9", b"  ", b"ipsum", "ébano zz".encode()]
     whole, n = m.code_lengths(texts)
-    alone = np.concatenate([m.code_lengths([t])[0] for t in texts])
-    assert np.allclose(whole, alone)
-    old, langid.SLICE = langid.SLICE, 17
-    try:
-        assert np.allclose(m.code_lengths(texts)[0], whole)
-    finally:
-        langid.SLICE = old
+    for t, got in zip(texts, whole):
+        s = symbols(t)
+        want = [-sum(math.log2(p(lang, tuple(s[i - 3:i]), s[i])) for i in range(3, len(s))) for lang in "abc"]
+        assert np.allclose(got, want, rtol=1e-5), t
+    monkeypatch.setattr(langid, "SLICE", 5)
+    assert np.allclose(m.code_lengths(texts)[0], whole)
+
+
+def test_seventy_languages(spark):
+    r = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:02}": ["".join(r.choice(letters) for _ in range(4)) for _ in range(6)] for k in range(70)}
+    rows = [(k * 100 + i, " ".join(r.choice(s) for _ in range(40)), g) for k, (g, s) in enumerate(stems.items()) for i in range(6)]
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == g for i, _, g in rows) and len(set(got.values())) == 70
 
 
 # 4
@@ -316,6 +348,62 @@ def test_toxicity(spark):
     assert none[0] <= 0.5 and none[1] == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    r = random.Random(11)
+    texts = [(" ".join(r.choice(["the", "a", "Fool", "cat", "ran", "dog", "mat"][:7 - 3 * (k % 2)]) for _ in range(12)), k % 3 == 0) for k in range(40)]
+    grams = spark.createDataFrame([(t, int(y)) for t, y in texts], "text string, toxic int").mapInArrow(toxicity._trigrams, "toxic int, g long, h long, w long").distinct()
+    pairs = grams.groupBy("h", "w").agg(*[F.sum((F.col("toxic") == k).cast("long")).alias(c) for k, c in ((1, "t"), (0, "o"))])
+    word = toxicity.word_ratios(pairs, 2.0)
+    got_w = {x["w"]: x["ratio"] for x in word.collect()}
+    got_p = {(x["h"], x["w"]): x["ratio"] for x in toxicity.pair_ratios(pairs, word, 0.75, 10.0).collect()}
+    seen = {y: set() for y in (0, 1)}
+    for t, y in texts:
+        w = ["", "", *t.lower().split()]
+        seen[int(y)] |= set(zip(w, w[1:], w[2:]))
+    pair = {y: collections.Counter(g[1:] for g in seen[y]) for y in seen}
+    cont = {y: collections.Counter(w for _, w in pair[y]) for y in seen}
+    both = collections.Counter(w for _, w in set(pair[0]) | set(pair[1]))
+
+    def weights(tables, d, more=0.0):
+        return max((sum(min(k, d) for k in c.values()) + more) / (sum(c.values()) + more) for c in tables)
+
+    def own(c, x, d):
+        rest = sum(k - min(k, d) for k in c.values())
+        return (c[x] - min(c[x], d)) / rest if rest else 0.0
+
+    code = {w: int(np.array([bpe_hash(w)], np.uint64).view(np.int64)[0]) if w else 0 for w in [*both, ""]}
+    lam = weights(cont.values(), 2)
+    classes = sum(len(c) for c in cont.values())
+    for w in both:
+        q = [(1 - lam) * own(cont[y], w, 2) + lam * sum(w in c for c in cont.values()) / classes for y in (1, 0)]
+        assert got_w[code[w]] == pytest.approx(math.log(q[0] / q[1]))
+    n = 0
+    for h in {h for h, _ in pair[0]} & {h for h, _ in pair[1]}:
+        after = {y: collections.Counter({w: k for (g, w), k in pair[y].items() if g == h}) for y in seen}
+        all_ = after[0] + after[1]
+        lam = weights(after.values(), 0.75, 10)
+        for w in all_:
+            s = (all_[w] - 0.75 + 0.75 * len(all_) * both[w] / sum(both.values())) / sum(all_.values())
+            q = [(1 - lam) * own(after[y], w, 0.75) + lam * s for y in (1, 0)]
+            assert got_p[code[h], code[w]] == pytest.approx(math.log(q[0] / q[1]))
+            n += 1
+    assert n == len(got_p) > 10
+    m = toxicity.Model(*toxicity._sorted(np.array(list(got_w), np.int64).view(np.uint64), np.array(list(got_w.values()))))
+    ratio = {w: got_w[code[w]] for w in both}
+    assert m.values([b"the fool ran", b"", b"cat", b"unknown words"]) == pytest.approx([max(ratio["the"] + ratio["fool"], ratio["fool"] + ratio["ran"]) / 2, 0, ratio["cat"], 0])
+
+
+def bpe_hash(word):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+def test_isotonic():
+    at, curve = toxicity.isotonic(np.array([3.0, 1, 2, 4, 4]), np.array([0.0, 0, 1, 1, 0]), np.ones(5))
+    assert at.tolist() == [1, 1, 2, 4] and curve.tolist() == [0, 0, 0.5, 0.5]
+
+
 # 7
 
 def test_warc(spark):
