@@ -145,20 +145,21 @@ def pair_ratios(pairs: DataFrame, word: DataFrame, discount: float, strength: fl
     """What the word before adds: h, w, ratio. Only words before that both classes
     have say anything."""
     cut = {c: F.least(F.col(c), F.lit(discount)) for c in "to"}
-    above = pairs.groupBy("h").agg(F.count("*").alias("types"), *[f for c in "to" for f in (F.sum(c).alias(f"n_{c}"), F.sum(cut[c]).alias(f"cut_{c}"))])
+    all_, cut_all = F.col("t") + F.col("o"), F.least(F.col("t") + F.col("o"), F.lit(discount))
+    above = pairs.groupBy("h").agg(F.sum(cut_all).alias("cut_all"), *[f for c in "to" for f in (F.sum(c).alias(f"n_{c}"), F.sum(cut[c]).alias(f"cut_{c}"))])
     x = pairs.join(above.filter("n_t > 0 and n_o > 0"), "h").join(word.select("w", "both"), "w")
-    shared = (F.col("t") + F.col("o") - discount + discount * F.col("types") * F.col("both")) / (F.col("n_t") + F.col("n_o"))
+    shared = (all_ - cut_all + F.col("cut_all") * F.col("both")) / (F.col("n_t") + F.col("n_o"))
     weight = F.greatest(*[(F.col(f"cut_{c}") + strength) / (F.col(f"n_{c}") + strength) for c in "to"])
     q = {c: (1 - weight) * F.coalesce(F.try_divide(F.col(c) - cut[c], F.col(f"n_{c}") - F.col(f"cut_{c}")), F.lit(0.0)) + weight * shared for c in "to"}
     return x.select("h", "w", F.log(q["t"] / q["o"]).alias("ratio"))
 
 
-def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 4000, word_discount: float = 3.0, pair_discount: float = 0.75,
+def train(docs: DataFrame, labels: DataFrame, docs_per_class: int = 4000, word_discount: float = 3.0, pair_discount: float = 3.0,
           strength: float = 300.0, span: int = SPAN) -> Model:
     """Fit on a bounded sample of labelled rows (docs_per_class of each class); three
     quarters of it are counted, all words and pairs of them, and the curve is fitted
-    on the rest. Words of up to word_discount continuations have no probability of
-    their own; strength is how many counts the shared pair counts are worth. Without
+    on the rest. Words and pairs of up to their discount of continuations have no probability
+    of their own; strength is how many counts the shared pair counts are worth. Without
     labelled rows of both classes every score is below 0.5."""
     sample, sizes = _sample(docs, labels, docs_per_class)
     if len(sizes) < 2:

@@ -355,7 +355,7 @@ def test_toxicity_against_brute_force(spark):
     pairs = grams.groupBy("h", "w").agg(*[F.sum((F.col("toxic") == k).cast("long")).alias(c) for k, c in ((1, "t"), (0, "o"))])
     word = toxicity.word_ratios(pairs, 2.0)
     got_w = {x["w"]: x["ratio"] for x in word.collect()}
-    got_p = {(x["h"], x["w"]): x["ratio"] for x in toxicity.pair_ratios(pairs, word, 0.75, 10.0).collect()}
+    got_p = {(x["h"], x["w"]): x["ratio"] for x in toxicity.pair_ratios(pairs, word, 1.5, 10.0).collect()}
     seen = {y: set() for y in (0, 1)}
     for t, y in texts:
         w = ["", "", *t.lower().split()]
@@ -381,10 +381,10 @@ def test_toxicity_against_brute_force(spark):
     for h in {h for h, _ in pair[0]} & {h for h, _ in pair[1]}:
         after = {y: collections.Counter({w: k for (g, w), k in pair[y].items() if g == h}) for y in seen}
         all_ = after[0] + after[1]
-        lam = weights(after.values(), 0.75, 10)
+        lam = weights(after.values(), 1.5, 10)
         for w in all_:
-            s = (all_[w] - 0.75 + 0.75 * len(all_) * both[w] / sum(both.values())) / sum(all_.values())
-            q = [(1 - lam) * own(after[y], w, 0.75) + lam * s for y in (1, 0)]
+            s = (max(all_[w] - 1.5, 0) + sum(min(k, 1.5) for k in all_.values()) * both[w] / sum(both.values())) / sum(all_.values())
+            q = [(1 - lam) * own(after[y], w, 1.5) + lam * s for y in (1, 0)]
             assert got_p[code[h], code[w]] == pytest.approx(math.log(q[0] / q[1]))
             n += 1
     assert n == len(got_p) > 10
