@@ -468,9 +468,46 @@ def test_secrets(spark):
 def test_guess_costs():
     assert secrets.guess_cost("password") < secrets.guess_cost("pssawodr") and secrets.guess_cost("qwertyuiop") < 6 and secrets.guess_cost("aaaaaaaaaa") < 4
     assert secrets.guess_cost("19920817") < 7 and secrets.guess_cost("kX9!vQ2#rT7z") > 15 and secrets.guess_cost("") == 0
-    spans, cost = secrets.scan("the passphrase is kX9!vQ2#rT7z ok")
-    assert spans == [(18, 30, "guess")] and cost > 9
-    assert secrets.scan("pwd: password123")[0] == [] and secrets.guess_cost("ab" * 5000) < 12
+    assert secrets.candidates("the passphrase is kX9!vQ2#rT7z ok", []) == [(18, 30, "kX9!vQ2#rT7z")]
+    assert secrets.guess_cost("password123") < 9 and secrets.guess_cost("ab" * 5000) < 12
+    for text, value in (("SMTP_PASS=gH7#kd02LqX", "gH7#kd02LqX"), ("db_pwd: x9Kq!v22Lm", "x9Kq!v22Lm"), ("userPassphrase=tR5$wq8Zpn", "tR5$wq8Zpn"), ("MY_PASSWORD='p@ssL9!kqW'", "p@ssL9!kqW"), ("secret_key_base: z8$Kq!v22Lm", "z8$Kq!v22Lm")):
+        base = secrets.base_spans(text)
+        assert [x[2] for x in secrets.candidates(text, base)] == [value], text
+    for text in ("author: Wojciechowski", "TOKENIZER: sentencepiece9", "compass: northwest77"):
+        assert not secrets.candidates(text, [])
+    base = secrets.base_spans("password=abcdef1 pwd: zzzzzz9")
+    assert [x[2] for x in secrets.candidates("password=abcdef1 pwd: zzzzzz9", base)] == ["zzzzzz9"]
+
+
+def test_guess_cost_against_brute_force():
+    words = {"horse": 2.5, "rse": 1.0, "kro": 1.5}
+
+    def brute(value):
+        per, n = secrets._brute(value), len(value)
+        cost = {}
+        for i, j, c in secrets._segments(value, words):
+            cost[i, j] = min(c, cost.get((i, j), math.inf))
+        best = math.inf
+        for cuts in range(1 << (n - 1)):
+            ends = [0, *(k + 1 for k in range(n - 1) if cuts >> k & 1), n]
+            best = min(best, sum(secrets._SEGMENT + min(cost.get(p, math.inf), per * (p[1] - p[0])) for p in itertools.pairwise(ends)))
+        return best
+
+    r = random.Random(12)
+    for value in ["horse12", "h0rse!!", "aaaabbb", "qwerty9", "19991231", "kRorse", *("".join(r.choice("aehorsk01!") for _ in range(9)) for _ in range(40))]:
+        assert secrets.guess_cost(value, words) == pytest.approx(brute(value)), value
+
+
+def test_secrets_of_prose_and_copies(spark):
+    prose = ["The token is required for access.", "the secret is ingredients", "Your password is required here", "bearer token is generated daily", "author: Wojciechowski wrote it"]
+    more = ["it is required that the ingredients are generated", "daily access is generated and required"]
+    hot = [(100 + i, "db_pwd: kX9!vQ2#rT7z and pwd: required-daily") for i in range(50)]
+    rows = [*enumerate(prose + more), *hot, (None, "SMTP_PASS=kX9!vQ2#rT7z"), (900, None)]
+    got = {x["doc_id"]: x for x in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert all(got[i]["n_guess"] == 0 and got[i]["spans"] == "" for i in range(7)) and got[900]["spans"] == ""
+    assert all(got[i]["spans"] == "guess:8:20" and got[i]["guess_log10"] > 15 for i, _ in hot) and got[None]["spans"] == "guess:10:22"
+    both = secrets.find_secrets(docs(spark, [(1, "api_key=abcdef12 pwd: kX9!vQ2#rT7z " + "0123456789abcdef" * 2)])).collect()[0]
+    assert both["spans"] == "assign:0:16,guess:22:34,hex:35:67" and both["n_hex"] == 1
 
 
 # 9
