@@ -6,12 +6,18 @@ check digits, an address stays private or public, a given name keeps its gender.
 It follows from the key and the entity's canonical form alone, so every mention of
 an entity in any document gets the same one (coreference), however it is written.
 
+Names are found by shape and context: capitalised words after a title, after words
+that introduce a name ("my name is", "Dear", "contact", "signed"), before words that
+only a person does ("wrote", "said"), before an e-mail address in brackets, or after
+one of a few common given names. A name that stands in none of these is not found.
+
 Two entities must not meet in one replacement, and none may be a value that
 really occurs. Both are checked on the table of distinct entities: of those that
 meet, the smallest keeps its replacement and the others draw again, until none
 meet. The values to draw from grow with the attempt (more syllables, letters or
-digits, a wider range of addresses), so that any number of entities settles; only
-of the 10^9 numbers of the SSN layout there can't be more. Only the entities that had to draw again are carried to their texts;
+digits, a wider range of addresses), so that any number of entities settles. The
+layouts of SSN and national phone numbers can't grow; if more than some half of all
+their values occur, the last ones settle on values that occur, still distinct. Only the entities that had to draw again are carried to their texts;
 all other replacements are computed in place while the text is rewritten.
 """
 
@@ -42,17 +48,27 @@ OTHER_TITLES = ("Dr", "Prof")
 _GENDER = {n: "f" for n in FEMALE} | {n: "m" for n in MALE}
 _UP, _NAME = r"[^\W\d_a-zß-öø-ÿ]", r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 _TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
+#: Words that introduce a name, and words that follow one.
+_BEFORE = ("my name is", "name is", "named", "I am", "I'm", "Dear", "contact", "signed by", "signed,", "written by", "sincerely,", "regards,", "Name:", "From:", "To:", "Attn:",
+           "mein Name ist", "ich heiße", "je m'appelle", "je suis", "me llamo", "mi nombre es", "nombre:", "Nom:")
+_AFTER = ("said", "says", "wrote", "writes", "asked", "replied", "answered", "lives at", "lives in", "works at", "works for", "called me", "schrieb", "sagte", "écrit", "escribió", "dijo")
+_CALL = r"(?:Tel|Telephone|Phone|Mobile|Cell|Fax|Call|Telefon|Tél|Teléfono)"
+_KNOWN = "|".join(FEMALE + MALE)
+_WORD = rf"{_UP}[^\W\d_]+(?:['’-][^\W\d_]+)*"  # a capitalised word of two letters or more
 _FIND = re.compile("|".join((
-    r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})",
+    r"(?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@(?:[\w-]{1,63}\.){1,10}[^\W\d_]{2,24})",
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))",
     r"(?P<ip>(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9]))",
     r"(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))",
     r"(?P<card>(?<![0-9A-Za-z+])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]))",
     r"(?P<phone>\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))",
-    rf"(?P<person>(?<!\w)(?:(?:(?P<title>{_TITLES})\.?\x20(?={_UP}))(?:(?P<given>{_NAME})\x20(?={_UP}))?(?P<family>{_NAME})|(?P<known>{'|'.join(FEMALE + MALE)})\x20(?={_UP})(?P<last>{_NAME}))(?!\w))",
+    rf"(?<!\w)(?i:{_CALL})\.?:?\x20(?P<called>0[0-9]{{1,4}}(?:[\x20/-][0-9]{{2,8}}){{1,4}})(?![0-9])",
+    rf"(?P<person>(?<!\w)(?:(?:(?P<title>{_TITLES})\.?\x20(?={_UP}))(?:(?P<given>{_NAME})\x20(?={_UP}))?(?P<family>{_NAME})|(?P<known>{_KNOWN})\x20(?={_UP})(?P<last>{_NAME}))(?!\w))",
+    rf"(?P<introduced>(?<!\w)(?i:{'|'.join(map(re.escape, _BEFORE))})\s{{1,3}}(?!(?i:{_TITLES})\.?\x20)(?P<given2>{_WORD})(?:\x20(?P<family2>{_WORD}))(?!\w))",
+    rf"(?P<acting>(?<!\w)(?P<given3>{_WORD})\x20(?P<family3>{_WORD})(?=\x20(?:(?:{'|'.join(map(re.escape, _AFTER))})(?!\w)|[<(][\w.%+-]{{1,64}}@)))",
 )))
 #: A text without any of these has no entity, and is not searched.
-_HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES}|{'|'.join(FEMALE + MALE)})(?!\w)")
+_HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES}|{_KNOWN})(?!\w)|(?<!\w)(?i:{'|'.join(map(re.escape, _BEFORE))})\s|\x20(?:{'|'.join(map(re.escape, _AFTER))})(?!\w)")
 #: First numbers of public IPv4 ranges without private or special parts.
 _PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
 _SYLLABLES = [a + b for a in "bdfgklmnprstv" for b in ("a", "e", "i", "o", "u")]
@@ -94,18 +110,19 @@ def detect(text: str) -> list[Entity]:
     if not _HINT.search(text):
         return out
     for m in _FIND.finditer(text):
-        kind = m.lastgroup if m.lastgroup in ("email", "iban", "ip", "ssn", "card", "phone") else "person"
-        if kind == "person":
-            title, given = m["title"], "given" if m["given"] else "known" if m["known"] else None
-            family = "family" if m["family"] else "last"
-            gender = "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "n"
-            if given:
-                gender = _GENDER.get(m[given], gender)
-                out.append(Entity("given_" + gender, m[given].lower(), *m.span(given)))
-            out.append(Entity("family", m[family].lower(), *m.span(family)))
-        else:
-            value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else re.sub(r"[^0-9A-Za-z+]", "", m[0])
-            out.append(Entity(kind, value, *m.span()))
+        kind = m.lastgroup
+        if kind in ("email", "iban", "ip", "ssn", "card", "phone", "called"):
+            span, kind = m.span(kind), "phone" if kind == "called" else kind
+            written = text[slice(*span)]
+            out.append(Entity(kind, written.lower() if kind == "email" else written if kind == "ip" else re.sub(r"[^0-9A-Za-z+]", "", written), *span))
+            continue
+        title = m["title"]
+        given = next((g for g in ("given", "known", "given2", "given3") if m[g]), None)
+        family = next(g for g in ("family", "last", "family2", "family3") if m[g])
+        gender = "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "n"
+        if given:
+            out.append(Entity("given_" + _GENDER.get(m[given], gender), m[given].lower(), *m.span(given)))
+        out.append(Entity("family", m[family].lower(), *m.span(family)))
     return out
 
 
@@ -240,10 +257,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(_entities, "row long, kind string, value string")
 
 
-def resolve(entities: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
+def resolve(entities: DataFrame, key: bytes, strict: int = 24, max_rounds: int = 200) -> DataFrame:
     """Distinct (kind, value) -> (kind, value, attempt) of those that had to draw
     again, so that all replacements of a kind differ, and differ from all values
-    that occur. Each round only carries what still meets."""
+    that occur (from attempt `strict` on only from each other, so that a layout of
+    which most values occur settles too). Each round only carries what still meets."""
     made = Surrogates(key)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +276,7 @@ def resolve(entities: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
     settled = None
     for k in range(max_rounds):
         open_ = materialize(open_, "drawn")
-        taken = real.select("kind", F.col("value").alias("new"), F.lit(True).alias("bad"))
+        taken = real.filter(F.lit(k < strict)).select("kind", F.col("value").alias("new"), F.lit(True).alias("bad"))
         if settled is not None:
             taken = taken.unionByName(settled.select("kind", "new", F.lit(True).alias("bad")))
         first = open_.groupBy("kind", "new").agg(F.min("value").alias("first"))
@@ -271,7 +289,7 @@ def resolve(entities: DataFrame, key: bytes, max_rounds: int = 40) -> DataFrame:
         if left.isEmpty():
             return settled.filter("attempt > 0").select("kind", "value", "attempt")
         open_ = left.withColumn("attempt", F.col("attempt") + 1).select("kind", "value", "attempt").mapInArrow(draw, schema)
-    raise RuntimeError("replacements still meet; the kind has too few values")
+    raise RuntimeError("replacements still meet: all values of a layout are taken")
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:

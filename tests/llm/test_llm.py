@@ -292,6 +292,53 @@ def test_pii_distinct(spark):
     assert len(whole) == len(rows)
 
 
+def brute_surrogates(texts, key):
+    """Detect, draw until nothing meets, replace: in plain dictionaries."""
+    made, real = pii.Surrogates(key), {(e.kind, e.value) for t in texts for e in pii.detect(t or "")}
+    attempt, settled, open_ = {}, {}, dict.fromkeys(real, 0)
+    while open_:
+        new = {x: (x[0], made.canonical(*x, k)) for x, k in open_.items()}
+        again = {}
+        for x, k in open_.items():
+            if new[x] in real or new[x] in settled or any(new[y] == new[x] and y < x for y in open_):
+                again[x] = k + 1
+            else:
+                attempt[x] = k
+        settled |= {new[x]: x for x in open_ if x not in again}
+        open_ = again
+    out = []
+    for t in texts:
+        for e in reversed(pii.detect(t or "")):
+            t = t[:e.start] + made.render(e, t[e.start:e.end], attempt[e.kind, e.value]) + t[e.end:]
+        out.append(t)
+    return out
+
+
+def test_pii_against_brute_force(spark):
+    r = random.Random(21)
+    parts = ["Mr John Smith", "Mrs Anna Łukaszewicz", "Dr 박민수", "my name is Priya Patel", "Jean Dupont wrote", "Tel 020 7946 0958", "a@b.com", "A@B.COM", "10.0.0.1", "192.168.1.7", "078-05-1120",
+             "4111 1111 1111 1111", "+44 20 7946 0958", "(212) 555-0199", "DE89370400440532013000", "Dear Ana María", "plain words", "Kim Lee <kim@lee.org>", "x1y2", "Ms Ş"]
+    rows = [(i, " and ".join(r.sample(parts, r.randint(0, 5)))) for i in range(120)] + [(500, None), (None, "Mr Bob Stone"), (7, "Mr Bob Stone")]
+    rows += [(600 + i, f"Mr {a}{b}en Silva") for i, (a, b) in enumerate(itertools.product(["Da", "Ro", "Li", "Me", "Ku"], ["r", "b", "st", "v", "l", "n", "m"]))]
+    got = sorted((str(x["doc_id"]), str(x["text"])) for x in pii.surrogates(docs(spark, rows), "k").collect())
+    assert got == sorted((str(i), str(t)) for (i, _), t in zip(rows, brute_surrogates([t for _, t in rows], b"k")))
+
+
+def test_pii_shapes_and_long_texts():
+    def values(text):
+        return [(e.kind, text[e.start:e.end]) for e in pii.detect(text)]
+
+    assert values("I met no one. My name is Priya Patel.") == [("given_n", "Priya"), ("family", "Patel")]
+    assert values("as Jean Dupont wrote") == [("given_n", "Jean"), ("family", "Dupont")] and values("Tel: 020 7946 0958.") == [("phone", "020 7946 0958")]
+    assert values("Priya Patel (pp@x.org)")[:2] == [("given_n", "Priya"), ("family", "Patel")] and values("dear Mr Jones") == [("family", "Jones")]
+    assert not values("Licensed under the Apache License, Version 2.0. New York is big. He said it.")
+    import time
+    start = time.process_time()
+    for text in ("a" * 1_000_000, "a." * 500_000, "Ab" * 500_000, "a-" * 500_000, "0f" * 500_000, "Mr A" + "b'c" * 300_000, "@" * 1_000_000, "1 " * 500_000, "a@b." * 200_000, "Mr " * 300_000, "Ab " * 300_000):
+        pii.detect(text)
+    assert time.process_time() - start < 60
+
+
 # 5
 
 def brute_rules(t):
