@@ -6,7 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,12 +16,14 @@ SPACE = r"[\x20\x09-\x0D]"
 
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a local one is
-    made only where the setting is absent (tests on one machine)."""
+    made only where the setting is absent and Spark runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="feira-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,31 +50,46 @@ def with_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     ])
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row per key. The table's rows that are hot
+    (which the caller proves to be a few thousand at most) are broadcast, so the many
+    rows of such a key stay where they are; all others are shuffled."""
+    near = rows.join(F.broadcast(table.filter(hot).withColumn("hot", F.lit(True))), key, "left")
+    far = near.filter("hot is null").select(*rows.columns).join(table.filter(~hot), key, how)
+    return near.filter("hot").drop("hot").unionByName(far)
+
+
+#: A key is hot if it has more than this part of all rows; so no more are hot.
+HOT_KEYS = 2000
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(a, b) long edges -> (id, component) with the smallest id reachable.
 
     Alternating large-star and small-star steps; both move edges only, so no
     group of neighbours is ever gathered: the smallest neighbour comes from a
-    partially aggregated minimum and a join. The number of rounds grows with the
-    logarithm of the longest chain. Self-loops and nulls are ignored.
+    partially aggregated minimum and a join, in which the nodes of very many edges
+    are broadcast. The number of rounds grows with the logarithm of the longest
+    chain (60 are enough for any table). Self-loops and nulls are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialize(e.filter("a <> b").distinct(), "edges")
-    mark = None
+    n, mark = e.count(), None
     for _ in range(max_rounds):
+        hot = F.col("n") > max(1.0, 2 * n / HOT_KEYS)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.join(least, "a").filter("b > a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+        large = (join_hot(both, least, "a", hot).filter("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "a", hot)
         e = materialize(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if (n, total) == mark:
             break
-        mark = now
+        mark = (n, total)
     else:
         raise RuntimeError("connected components did not settle")
     return (e.select(F.col("a").alias("id"), F.col("b").alias("component"))

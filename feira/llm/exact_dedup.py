@@ -1,15 +1,18 @@
 """Exact dedup with a log-structured merge index, in DataFrame operations only.
 
-Documents are dealt to memtables by a hash of their id. Each memtable is folded
-to (digest, largest id, count) and flushed as a sorted run whose Parquet files
-carry min/max statistics and Bloom filters on the digest. Compaction merges all
-runs of the index into one sorted run with a single identifier per digest.
-Digests with more than one document are hits, and each hit is verified on the
-bytes: the smallest and the largest text of its group must be the same string.
-A hit that fails (a digest collision) is settled by grouping on the text itself.
-
-No step gathers a group: runs, compaction and verification are partial
-aggregates, so a group with a third of all rows is folded before any shuffle.
+Every task's documents are a memtable: their digests are sorted where they are,
+without a shuffle, and flushed as runs of at most so many rows, whose Parquet files
+carry min/max statistics and Bloom filters on the digest. Compaction merges all runs
+of an index into one, sorted by digest, with a single identifier and a count for
+each; it is an index again, to which later runs can be flushed. Digests with more
+than one document are hits, and each hit is verified on the bytes: the smallest and
+the largest text of its group must be the same string. A hit that fails (a digest
+collision) is settled by grouping on the text itself.
+
+The documents' own digests are read from the runs, so texts are hashed once, and
+again only where a hit may have to be verified. No step gathers a group: compaction
+and verification are partial aggregates, and a digest with a third of all rows is
+broadcast to them.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, with_columns
+from .common import HOT_KEYS, join_hot, materialize, new_path, with_columns
 
-RUN = "run long, digest binary, keep_id long, n long"
+RUN = "digest binary, keep_id long, n long"
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -29,33 +32,38 @@ def digests(docs: DataFrame) -> DataFrame:
     return d.withColumn("digest", F.unhex(F.sha2("text", 256)))
 
 
-def flush(docs: DataFrame, index: str, memtable_rows: int = 1_000_000, at_most: int = 64, first: int = 0) -> str:
-    """Fold docs into memtables and append each as a sorted run under index.
-    memtable_rows is a target: the number of runs is the row count over it, from
-    1 to at_most."""
-    rows = docs.count()
-    runs = max(1, min(at_most, -(-rows // memtable_rows)))
-    d = digests(docs).select("doc_id", "digest", (F.pmod(F.xxhash64("doc_id"), F.lit(runs)) + first).alias("run"))
-    run = d.groupBy("run", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    (run.sortWithinPartitions("run", "digest").write.mode("append")
+def _write_run(rows: DataFrame, index: str, memtable_rows: int) -> None:
+    (rows.sortWithinPartitions("digest").write.mode("append")
+     .option("maxRecordsPerFile", str(memtable_rows))
      .option("parquet.bloom.filter.enabled#digest", "true")
      .option("parquet.bloom.filter.expected.ndv#digest", str(memtable_rows))
-     .option("parquet.bloom.filter.adaptive.enabled", "true")
-     .partitionBy("run").parquet(index))
+     .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(index))
+
+
+def flush(docs: DataFrame, index: str, memtable_rows: int = 1_000_000) -> str:
+    """Append the documents' digests to the index as sorted runs of at most
+    memtable_rows rows, as many as the rows need."""
+    _write_run(digests(docs).select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), index, memtable_rows)
     return index
 
 
-def compact(spark: SparkSession, index: str) -> DataFrame:
-    """All runs under index merged to one: digest, keep_id (the largest of all
-    runs), group_size."""
-    runs = spark.read.schema(RUN).parquet(index)
-    merged = runs.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    return merged.sortWithinPartitions("digest")
+def read_index(spark: SparkSession, index: str) -> DataFrame:
+    """All rows of all runs: digest, keep_id, n."""
+    return spark.read.schema(RUN).parquet(index)
+
+
+def compact(spark: SparkSession, index: str, memtable_rows: int = 1_000_000) -> str:
+    """Merge all runs of an index into a new one, with one row for each digest: the
+    largest identifier and the sum of counts. Its folder is returned."""
+    merged = read_index(spark, index).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+    to = new_path(spark, "lsm")
+    _write_run(merged, to, memtable_rows)
+    return to
 
 
 def lookup(spark: SparkSession, index: str, digest: bytes) -> DataFrame:
-    """Runs that hold one digest; row groups are skipped by statistics and filters."""
-    return spark.read.schema(RUN).parquet(index).filter(F.col("digest") == F.lit(bytearray(digest)))
+    """What the runs have of one digest; row groups are skipped by statistics and filters."""
+    return read_index(spark, index).filter(F.col("digest") == F.lit(bytearray(digest)))
 
 
 def verify(docs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -82,15 +90,18 @@ def exact_dedup(docs: DataFrame, memtable_rows: int = 1_000_000) -> DataFrame:
     """
     spark = docs.sparkSession
     index = flush(docs, new_path(spark, "lsm"), memtable_rows)
-    hits = materialize(compact(spark, index).filter("group_size > 1"), "hits")
+    hits = read_index(spark, compact(spark, index, memtable_rows)).filter("n > 1").withColumnRenamed("n", "group_size")
     collided = materialize(verify(docs, hits), "collided")
-    d = digests(docs)
-    slim = d.select("doc_id", "digest").join(hits, "digest", "left")
+    slim = read_index(spark, index).select(F.col("keep_id").alias("doc_id"), "digest")
     if not collided.isEmpty():
-        bad = d.join(collided, "digest", "left_semi")
+        bad = digests(docs).join(collided, "digest", "left_semi")
         exact = bad.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        slim = (slim.join(collided, "digest", "left_anti")
-                .unionByName(bad.join(exact, ["digest", "text"]).select("digest", "doc_id", "keep_id", "group_size")))
+        apart = bad.join(exact, ["digest", "text"]).select("digest", "doc_id", "keep_id", "group_size")
+        slim, hits = slim.join(collided, "digest", "left_anti"), hits.join(collided, "digest", "left_anti")
+    hot = F.col("group_size") > max(1.0, slim.count() / HOT_KEYS)
+    slim = join_hot(slim, hits, "digest", hot, "left")
+    if not collided.isEmpty():
+        slim = slim.unionByName(apart)
     size = F.coalesce("group_size", F.lit(1)).cast("long")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return slim.select(
