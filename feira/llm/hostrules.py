@@ -77,17 +77,19 @@ def measure(docs: DataFrame) -> DataFrame:
 def host_rates(measured: DataFrame, most: float = 0.5) -> DataFrame:
     """(source, base_failed) -> source, host_docs, host_rate (shrunk), host_failed.
 
-    The beta prior has the corpus rate as mean, and its strength from the spread
-    of the domains' rates (moments), kept between 1 and 1,000,000 documents.
+    The beta prior has the corpus rate as mean; its strength comes from the spread of
+    the domains' rates beyond what sampling alone gives (moments of the beta-binomial),
+    kept between 1 and 1,000,000 documents.
     """
     h = measured.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("f"))
-    total = h.agg(F.sum("n").alias("all_n"), F.sum("f").alias("all_f"))
+    total = h.agg(F.count("*").alias("hosts"), F.sum("n").alias("all_n"), F.sum("f").alias("all_f"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
     h = h.crossJoin(F.broadcast(total))  # one row
     mean = F.col("all_f") / F.col("all_n")
     spread = h.agg(F.sum(F.col("n") * (F.col("f") / F.col("n") - mean) * (F.col("f") / F.col("n") - mean)).alias("ss"))
     h = h.crossJoin(F.broadcast(spread))  # one row
-    var = F.col("ss") / F.col("all_n")
-    strength = F.when(var > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / var - 1))).otherwise(F.lit(1e6))
+    free, noise = F.col("hosts") - 1, mean * (1 - mean)
+    alike = F.try_divide(F.col("ss") - noise * free, noise * (F.col("all_n") - F.col("squares") / F.col("all_n") - free))
+    strength = F.when(alike > 0, F.greatest(F.lit(1.0), F.least(F.lit(1e6), 1 / alike - 1))).otherwise(F.lit(1e6))
     rate = (F.col("f") + mean * strength) / (F.col("n") + strength)
     return h.select("source", F.col("n").alias("host_docs"), rate.alias("host_rate"), (rate > most).alias("host_failed"))
 

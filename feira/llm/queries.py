@@ -86,9 +86,10 @@ m AS (
   FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS f FROM b GROUP BY source),
-t AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS all_n FROM h),
-s AS (SELECT mean, sum(n * (f / n - mean) * (f / n - mean)) / any_value(all_n) AS v FROM h, t GROUP BY mean),
-p AS (SELECT mean, CASE WHEN v > 0 THEN greatest(1.0::DOUBLE, least(1e6::DOUBLE, mean * (1 - mean) / v - 1)) ELSE 1e6 END AS k FROM s),
+t AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS all_n, count(*) - 1 AS free, sum(n * n) AS squares FROM h),
+s AS (SELECT mean, free, all_n, squares, mean * (1 - mean) AS noise, sum(n * (f / n - mean) * (f / n - mean)) AS ss FROM h, t GROUP BY ALL),
+r AS (SELECT mean, (ss - noise * free) / nullif(noise * (all_n - squares / all_n - free), 0) AS alike FROM s),
+p AS (SELECT mean, CASE WHEN alike > 0 THEN greatest(1.0::DOUBLE, least(1e6::DOUBLE, 1 / alike - 1)) ELSE 1e6 END AS k FROM r),
 bad AS (SELECT source FROM h, p WHERE (f + mean * k) / (n + k) > 0.5::DOUBLE)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM b.source) AS kept
@@ -109,7 +110,7 @@ FROM d
 
 OP10_SQL = """
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 k AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS k FROM s),
 w AS (SELECT *, [3.0, 1.0, 2.0][(k % 3 + 1)::INT]::DOUBLE AS w, 2.0::DOUBLE * source_size::DOUBLE AS cap FROM k),
@@ -123,11 +124,17 @@ t AS (
          ELSE min_by(level, struct_pack(a := cap / w, b := k)) FILTER (NOT cap / w <= level) OVER () * w END AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
 p AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS part, target - floor(ratio) * source_size AS want FROM r),
+hist AS (SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL),
+part AS (
+  SELECT hist.source, size, (want - coalesce(sum(size * n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(size::HUGEINT * size * n) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS c
+  FROM hist JOIN p ON hist.source IS NOT DISTINCT FROM p.source WINDOW w AS (PARTITION BY hist.source ORDER BY size DESC)),
+rate AS (SELECT source, max_by(c, size) AS c FROM part WHERE c * size <= 1 GROUP BY source),
 u AS (
-  SELECT d.doc_id, d.size, p.*,
-    (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-q AS (SELECT *, CASE WHEN size > 0 AND part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS q FROM u),
+  SELECT d.doc_id, d.size, p.*, least(1.0::DOUBLE, rate.c * d.size) AS pi,
+    (('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, ''))), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source LEFT JOIN rate ON d.source IS NOT DISTINCT FROM rate.source),
+q AS (SELECT *, CASE WHEN size > 0 AND pi >= 1 THEN 0.0 WHEN size > 0 AND pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END AS q FROM u),
 c AS (SELECT *, sum(size) FILTER (q IS NOT NULL) OVER (PARTITION BY source ORDER BY q NULLS LAST, doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q)
 SELECT doc_id, size, source_size, target,
