@@ -12,8 +12,8 @@ Signatures are cut into bands; documents that share a band are candidates.
    above `bucket_rows` is not gathered, its members are all joined to its smallest
    id. Joining too much is harmless here: a tree only says who is compared.
 3. Confirmation. Connected candidates form clusters. A cluster's shingle sets are
-   brought together once; a cluster of more than `block_shingles` is cut into
-   blocks, and every pair of blocks is a group of its own, so no group grows with
+   brought together once; a cluster of more than `block_shingles` or
+   `block_docs` documents is cut into blocks, and every pair of blocks is a group of its own, so no group grows with
    the data and no pair is lost. Inside a group, pairs whose signatures agree
    enough and that are not linked yet are compared on their full sets, and a link
    is emitted only if it joins two parts: at most one a document, never all pairs.
@@ -257,7 +257,7 @@ def _confirm(alike: float, share: int):
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80, permutations: int = 32, rows: int = 3,
-               bucket_rows: int = 2048, block_shingles: int = 2_000_000, slack: float = 0.25, seed: int = 7) -> DataFrame:
+               bucket_rows: int = 2048, block_shingles: int = 2_000_000, block_docs: int = 8192, slack: float = 0.25, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents with 100 * |A and B| >= similar * |A or B| over their shingle sets
@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80, permutations:
     chosen = materialize(chosen, "classes")
     cluster = materialize(connected_components(_candidates(chosen, alike, bucket_rows)), "clusters")
     members = chosen.join(cluster.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "class", F.col("component").alias("cluster"), "n_shingles", "sig")
-    weight = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
+    weight = members.groupBy("cluster").agg(F.ceil(F.greatest(F.sum("n_shingles") / block_shingles, F.count("*") / block_docs)).cast("int").alias("blocks"))
     members = members.join(weight, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     members = materialize(members.drop("n_shingles"), "members")
 

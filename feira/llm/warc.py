@@ -144,11 +144,15 @@ def read_archive(src, chunk: int = 1 << 20) -> Iterator[bytes]:
 
 
 def train_dictionary(pages: DataFrame, samples: int = 200, size: int = 32_768) -> bytes:
-    """A dictionary from a bounded sample of pages (their first 4 KB)."""
-    html = with_columns(pages, {"html": "string"}).filter("html is not null").select(F.substring("html", 1, 4096))
-    rows = [r[0].encode() for r in html.limit(samples).collect()]
-    joined = b"".join(rows)
-    return joined[-size:] or VERSION
+    """A dictionary trained on a bounded sample of whole pages, those first by a hash
+    of id and html, so reruns agree. Too few or too short pages to train on serve as
+    they are."""
+    html = with_columns(pages, {"page_id": "long", "html": "string"}).filter("html <> ''")
+    rows = [r[0].encode() for r in html.orderBy(F.xxhash64("page_id", "html"), "html").select("html").limit(samples).collect()]
+    try:
+        return zstandard.train_dictionary(size, rows).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(rows)[-size:] or VERSION
 
 
 def write_warc(pages: DataFrame, dictionary: bytes, least_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:

@@ -49,15 +49,21 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
-def test_lsm_runs_and_collisions(spark, tmp_path):
+def test_lsm_runs_and_collisions(spark, tmp_path, monkeypatch):
     d = docs(spark, [(k, f"t{k % 7}") for k in range(50)])
     path = exact_dedup.flush(d, str(tmp_path / "i"), memtable_rows=10)
-    exact_dedup.flush(docs(spark, [(99, "t1")]), path, first=100)
-    merged = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.compact(spark, path).collect()}
-    assert merged[hashlib.sha256(b"t1").digest()] == (99, 8)
-    assert exact_dedup.lookup(spark, path, hashlib.sha256(b"t1").digest()).agg(F.max("keep_id")).first()[0] == 99
-    hits = exact_dedup.compact(spark, path).filter("group_size > 1")
-    assert exact_dedup.verify(d, hits).count() == 0
+    path = exact_dedup.flush(docs(spark, [(99, "t1")]), exact_dedup.compact(spark, path), memtable_rows=10)
+    t1 = hashlib.sha256(b"t1").digest()
+    assert exact_dedup.lookup(spark, path, t1).agg(F.max("keep_id"), F.count("*")).first() == (99, 2)
+    merged = exact_dedup.read_index(spark, exact_dedup.compact(spark, path))
+    assert {bytes(r["digest"]): (r["keep_id"], r["n"]) for r in merged.collect()}[t1] == (99, 8) and merged.count() == 7
+    assert exact_dedup.verify(d, merged.filter("n > 1")).count() == 0
+    # a digest that collides: texts are grouped by themselves
+    short = lambda docs: real(docs).withColumn("digest", F.substring("digest", 1, 0))
+    real = exact_dedup.digests
+    monkeypatch.setattr(exact_dedup, "digests", short)
+    got = exact_dedup.exact_dedup(d).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in got} == {(k, 49 - (49 - k) % 7) for k in range(50)} and len(got) == 50
 
 
 # 10
@@ -97,6 +103,21 @@ def test_mixing(spark):
     assert again == {i: x["taken"] for i, x in got.items()}
 
 
+def test_mixing_of_equal_rows(spark):
+    # one id and text has a third of all rows; as many of them are taken as fit
+    rows = [(7, "a b c", "s")] * 200 + [(i, " ".join("w" * (1 + i % 9)), "s") for i in range(400)] + [(1000, "x " * 3000, "t"), (1001, "y", "t")]
+    for d in (docs(spark, rows), docs(spark, rows).repartition(9)):
+        got = mixing.mix(d)
+        assert got.count() == len(rows)
+        for x in got.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+            assert abs(x["taken"] - x["target"]) <= (5 if x["source"] == "s" else 1500)
+    # larger documents are likelier to be drawn
+    rows = [(i, " ".join("w" * (40 if i % 2 else 4)), "ab"[i % 3 > 0]) for i in range(3000)]
+    part = mixing.mix(docs(spark, rows)).groupBy("source", "size").agg(F.avg("copies").alias("k"), F.max("source_size").alias("n"), F.max("target").alias("t")).collect()
+    more = {(x["source"], x["size"]): x["k"] - int(x["t"] / x["n"]) for x in part if 0.01 < x["t"] / x["n"] % 1 < 0.6}
+    assert more and all(more[s, 40] > 3 * more[s, 4] for s, _ in more)
+
+
 def test_mixing_edges(spark):
     assert mixing.mix(docs(spark, edge_rows())).count() == len(edge_rows()) and mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mix(docs(spark, [(1, None), (2, "")])).agg(F.sum("taken")).first()[0] == 0
