@@ -29,8 +29,8 @@ def lcs_length(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(F.aggregate(chars(a), start, row), n), F.lit(0))
 
 
-def _lcs(a: str, b: str) -> int:
-    """One bit per character of a; a row of the table is one integer."""
+def lcs_of(a: str, b: str) -> int:
+    """Length of the longest common subsequence. One bit per character of a; a row of the table is one integer."""
     at: dict[str, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k
@@ -46,7 +46,7 @@ def _lcs(a: str, b: str) -> int:
 def _lcs_udf():
     @F.pandas_udf("int")
     def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else _lcs(x, y) for x, y in zip(a, b)], dtype="Int32")
+        return pd.Series([None if x is None or y is None else lcs_of(x, y) for x, y in zip(a, b)], dtype="Int32")
 
     return lcs
 

@@ -1,9 +1,9 @@
 """Entity resolution: product text to catalog ingredient, brand and route.
 
-Texts are made distinct before any similarity is computed, and joined with the
-catalog's terms only where they share a word or where the gate lets them through.
-The catalog is a small dimension; it is broadcast only when counted to be below
-MAX_BROADCAST_TERMS, and otherwise joined by Spark's own choice.
+Texts are made distinct before they are compared. Exact hits come from a join on
+words and stretches of three letters; similarity is only computed for what nothing
+names exactly, and then of few pairs (see similar.py). A catalog of any size is
+taken whole, in blocks.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from .similar import BLOCK_TERMS, similar_terms
 
-MAX_BROADCAST_TERMS = 20_000
 
 
 def alias_terms(catalog: DataFrame) -> DataFrame:
@@ -44,9 +44,10 @@ def _short(term: Column) -> Column:
     return (F.size(F.filter(F.split(F.trim(term), r"\s+"), lambda w: w != "")) < 2) | (F.length(F.trim(term)) < 8)
 
 
-def _at_boundary(text: Column, term: Column) -> Column:
-    """term in text with no letter or digit at either side."""
-    return F.regexp_like(text, F.concat(F.lit(r"(?<![A-Z0-9])\Q"), term, F.lit(r"\E(?![A-Z0-9])")))
+def _alone(text: Column, term: Column, beside: str) -> Column:
+    """term in text with no character of a class at either side."""
+    mark = "\u0001"
+    return F.regexp_like(F.replace(text, term, F.lit(mark)), F.lit(f"(?<![{beside}]){mark}(?![{beside}])"))
 
 
 def match_exact(product: Column, term: Column, kind: Column) -> Column:
@@ -57,7 +58,7 @@ def match_exact(product: Column, term: Column, kind: Column) -> Column:
     forms = [(up, t), (T.deaccent(up), T.deaccent(t))]
     inside = reduce(lambda a, b: a | b, [p.contains(x) for p, x in forms])
     starts = reduce(lambda a, b: a | b, [p.startswith(x) for p, x in forms])
-    whole = reduce(lambda a, b: a | b, [_at_boundary(p, x) for p, x in forms])
+    whole = reduce(lambda a, b: a | b, [_alone(p, x, "A-Z0-9") for p, x in forms])
     words = F.array_distinct(F.split(t, r"\s+"))
     every = (F.size(words) > 1) & (F.size(F.array_except(words, F.split(up, r"\s+"))) == 0)
     name = F.when(inside & _short(term), starts).otherwise(inside | every)
@@ -65,20 +66,31 @@ def match_exact(product: Column, term: Column, kind: Column) -> Column:
 
 
 def catalog_match_join(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
-    """Distinct texts against all terms."""
-    texts = products.select("raw_product").distinct().withColumn("clean", T.clean_text(F.col("raw_product")))
-    terms = alias_terms(catalog).withColumn("term_clean", T.clean_text(F.col("term")))
-    if terms.count() > MAX_BROADCAST_TERMS:
-        raise ValueError("the catalog is too large to be compared with every text; gate it by words first")
-    j = texts.join(F.broadcast(terms))  # at most MAX_BROADCAST_TERMS rows, as counted
+    """Distinct texts with the terms that may name them exactly: those of which the
+    first three letters stand in the text, and names of which the longest word does
+    (accents folded). No term that match_exact takes is missing."""
+    texts, terms = products.select("raw_product").distinct(), alias_terms(catalog)
+    fold = lambda c: T.deaccent(F.upper(c))
+    words = lambda c: F.filter(F.split(fold(c), r"\s+"), lambda w: w != "")
+    text, n = fold(F.col("raw_product")), F.length("raw_product")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(*[text.substr(i, F.lit(k)) for k in (1, 2, 3)])))
+    keys = F.array_distinct(F.concat(grams, F.transform(words(F.col("raw_product")), lambda w: F.concat(F.lit("word "), w))))
+    longest = F.aggregate(words(F.col("term")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    own = F.array_compact(F.array(F.substring(fold(F.col("term")), 1, 3), F.when((F.col("kind") == "name") & (F.size(words(F.col("term"))) > 1), F.concat(F.lit("word "), longest))))
+    j = texts.filter("raw_product is not null").withColumn("key", F.explode(keys)).join(terms.withColumn("key", F.explode(own)), "key").drop("key")
     if exclude and "exclude_terms" in catalog.columns:
         j = j.filter(~T.excluded_terms(F.col("raw_product"), F.col("exclude_terms")))
     return j
 
 
-def _score() -> Column:
-    """Penalised similarity of a text and a term, rounded before it is compared."""
-    return F.round(S.coverage_penalty(S.token_set_ratio(F.col("clean"), F.col("term_clean")), F.col("clean"), F.col("term_clean")), 6)
+def _ranked(texts: DataFrame, catalog: DataFrame, n: int, exclude: bool) -> DataFrame:
+    """The n ingredients most similar to each of the texts (raw_product)."""
+    terms = alias_terms(catalog).withColumn("clean", T.clean_text(F.col("term")))
+    barred = F.col("exclude_terms") if exclude and "exclude_terms" in catalog.columns else F.array().cast("array<string>")
+    t = texts.select(F.col("raw_product").alias("key"), T.clean_text(F.col("raw_product")).alias("clean"), F.lower("raw_product").alias("low"))
+    out = similar_terms(t, terms.withColumn("exclude", barred), n)
+    kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
+    return out.withColumnRenamed("key", "raw_product").withColumn("match_type", kind)
 
 
 def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float = 80.0) -> DataFrame:
@@ -87,17 +99,14 @@ def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float =
     The first exact hit in catalog order wins with 100; else the best penalised
     score, the earliest term on ties; below the threshold the ingredient is null
     and the score is kept. Scores are rounded to 6 places before they are compared.
+    A null text matches nothing.
     """
     j = catalog_match_join(products, catalog, exclude=True)
     hit = (j.filter(match_exact(F.col("raw_product"), F.col("term"), F.col("kind"))).groupBy("raw_product").agg(F.min("canonical_name").alias("ingredient"))
            .select("raw_product", "ingredient", F.lit(100.0).alias("score"), F.lit("exato").alias("match_type")))
-    # similarity is only computed for texts that nothing names exactly
-    rest = j.join(hit.select("raw_product"), "raw_product", "left_anti").withColumn("score", _score())
-    kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
-    b = F.col("b")
-    near = rest.groupBy("raw_product").agg(F.min_by(F.struct("canonical_name", "score", kind.alias("match_type")), F.struct(-F.col("score"), "canonical_name", "ordinal")).alias("b"))
-    near = near.select("raw_product", F.when(b["score"] >= threshold, b["canonical_name"]).alias("ingredient"), b["score"].alias("score"),
-                       F.when(b["score"] > 0, b["match_type"]).otherwise("none").alias("match_type"))
+    rest = products.select("raw_product").distinct().join(hit.select("raw_product"), "raw_product", "left_anti")
+    near = _ranked(rest, catalog, 1, exclude=True)
+    near = near.select("raw_product", F.when(F.col("score") >= threshold, F.col("canonical_name")).alias("ingredient"), "score", F.when(F.col("score") > 0, F.col("match_type")).otherwise("none").alias("match_type"))
     out = products.join(hit.unionByName(near), "raw_product", "left")
     return out.withColumns({"score": F.coalesce("score", F.lit(0.0)), "match_type": F.coalesce("match_type", F.lit("none"))})
 
@@ -105,13 +114,10 @@ def match_ingredient(products: DataFrame, catalog: DataFrame, threshold: float =
 def rank_ingredients(products: DataFrame, catalog: DataFrame, n: int = 3) -> DataFrame:
     """products with top: the n best ingredients as (canonical_name, score, match_type,
     matched_term); neither exact hits nor excluded terms play a part."""
-    j = catalog_match_join(products, catalog, exclude=False).withColumn("score", _score())
-    kind = F.when(F.col("kind") == "name", "proximo_nome").otherwise("proximo_apelido")
-    per = j.groupBy("raw_product", "canonical_name").agg(F.min_by(F.struct("score", kind.alias("match_type"), F.col("term").alias("matched_term")), F.struct(-F.col("score"), F.col("ordinal"))).alias("b"))
-    w = Window.partitionBy("raw_product").orderBy(F.desc("b.score"), "canonical_name")
-    top = per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n)
-    top = top.groupBy("raw_product").agg(F.array_sort(F.collect_list(F.struct("k", "canonical_name", "b.score", "b.match_type", "b.matched_term"))).alias("top"))
-    return products.join(top.withColumn("top", F.transform("top", lambda x: x.dropFields("k"))), "raw_product", "left")
+    top = _ranked(products.select("raw_product").distinct(), catalog, n, exclude=False)
+    row = F.struct((-F.col("score")).alias("o"), "canonical_name", "score", "match_type", F.col("term").alias("matched_term"))
+    top = top.groupBy("raw_product").agg(F.array_sort(F.collect_list(row)).alias("top"))  # n of each text
+    return products.join(top.withColumn("top", F.transform("top", lambda x: x.dropFields("o"))), "raw_product", "left")
 
 
 def embedding_similarity(products: DataFrame, terms: DataFrame) -> DataFrame:
@@ -183,9 +189,8 @@ def extract_brand(products: DataFrame, catalog: DataFrame, by_ingredient: bool =
         b = b.groupBy("brand").agg(F.min(F.struct("canonical_name", "ord")).alias("o")).select("brand", F.col("o").alias("ord"))
     b = b.withColumn("bn", T.deaccent(F.upper("brand")))
     p = products.select("raw_product", *(["ingredient"] if by_ingredient else [])).distinct().withColumn("tn", T.deaccent(F.upper("raw_product")))
-    j = p.join(b, F.col("ingredient") == F.col("canonical_name")) if cols else p.join(F.broadcast(_few(b)))
-    word = F.regexp_like("tn", F.concat(F.lit(r"(?<![A-Z0-9_])\Q"), F.col("bn"), F.lit(r"\E(?![A-Z0-9_])")))
-    part = F.regexp_like("tn", F.concat(F.lit(r"(?<![A-Z])\Q"), F.col("bn"), F.lit(r"\E(?![A-Z])")))
+    j = p.join(b, F.col("ingredient") == F.col("canonical_name")) if cols else reduce(DataFrame.unionByName, [p.crossJoin(F.broadcast(x)) for x in _blocks(b)])
+    word, part = _alone(F.col("tn"), F.col("bn"), "A-Z0-9_"), _alone(F.col("tn"), F.col("bn"), "A-Z")
     words = F.array_distinct(F.filter(F.split(F.regexp_replace("tn", r"[^A-Z\s]", " "), r"\s+"), lambda w: w != ""))
     near = F.coalesce(F.array_max(F.transform(words, lambda w: S.fuzz_ratio(w, F.col("bn")))), F.lit(0.0))
     j = j.withColumn("level", F.when(word, 1).when(part, 2).otherwise(3)).withColumn("near", F.when(F.col("level") == 3, F.round(near, 6)).otherwise(0.0))
@@ -195,10 +200,10 @@ def extract_brand(products: DataFrame, catalog: DataFrame, by_ingredient: bool =
     return products.drop("brand").join(best, keys, "left").withColumn("brand", F.coalesce("brand", F.lit(default)))
 
 
-def _few(terms: DataFrame) -> DataFrame:
-    if terms.count() > MAX_BROADCAST_TERMS:
-        raise ValueError("too many brands to compare with every text")
-    return terms
+def _blocks(terms: DataFrame) -> list[DataFrame]:
+    """The catalog's brands in blocks of about BLOCK_TERMS rows."""
+    n = max(1, -(-terms.count() // BLOCK_TERMS))
+    return [terms.filter(F.pmod(F.xxhash64("brand"), F.lit(n)) == k) for k in range(n)]
 
 
 def build_price_rows(matched: DataFrame, stores: DataFrame, now: Column) -> DataFrame:
@@ -215,11 +220,18 @@ def build_price_rows(matched: DataFrame, stores: DataFrame, now: Column) -> Data
 def catalog_search(queries: DataFrame, catalog: DataFrame, least: float = 60.0) -> DataFrame:
     """User queries (id, query) -> ingredients with score: 100 + length - position for
     a substring of the name, else the best token-set similarity of name and aliases."""
-    t = F.broadcast(_few(alias_terms(catalog).filter("kind <> 'search'")))
-    j = queries.select("id", F.lower(F.trim("query")).alias("q")).join(t)
-    at = F.instr(F.lower(F.col("term")), F.col("q"))
-    score = F.when((F.col("kind") == "name") & (at > 0), 100.0 + F.length("q") - (at - 1)).otherwise(S.token_set_ratio(F.col("q"), F.lower("term")))
-    return j.groupBy("id", "canonical_name").agg(F.max(score).alias("score")).filter(F.col("score") >= least)
+    terms = alias_terms(catalog).filter("kind <> 'search'").withColumn("clean", F.lower("term")).withColumn("exclude", F.array().cast("array<string>"))
+    q = queries.select("id", F.lower(F.trim("query")).alias("key"))
+    asked = q.select("key").distinct().withColumn("clean", F.col("key")).withColumn("low", F.col("key"))
+    near = similar_terms(asked, terms, None, least, penalty=0.0).select("key", "canonical_name", "score")
+    # a query stands in a name if its first three letters do
+    name, n = F.lower("canonical_name"), F.length("canonical_name")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(*[name.substr(i, F.lit(k)) for k in (1, 2, 3)]))))
+    names = catalog.select("canonical_name", F.explode(grams).alias("gram"))
+    inside = asked.withColumn("gram", F.substring("key", 1, 3)).join(names, "gram").withColumn("at", F.instr(name, F.col("key"))).filter("at > 0")
+    inside = inside.select("key", "canonical_name", (100.0 + F.length("key") - (F.col("at") - 1)).alias("score"))
+    best = near.unionByName(inside).groupBy("key", "canonical_name").agg(F.max("score").alias("score")).filter(F.col("score") >= least)
+    return q.join(best, "key").select("id", "canonical_name", "score")
 
 
 def resolve_store(items: DataFrame, stores: DataFrame) -> DataFrame:
@@ -238,14 +250,15 @@ def resolve_store(items: DataFrame, stores: DataFrame) -> DataFrame:
 
 
 def resolve_ingredient(items: DataFrame, catalog: DataFrame, least: float = 70.0) -> DataFrame:
-    """items (id, ingredient_text) with ingredient: its id or name, else the most
-    similar name (accents and case folded) at the threshold."""
+    """items (id, ingredient_text) with ingredient: the equal name, else the most
+    similar one (accents and case folded) at the threshold."""
     fold = lambda c: T.deaccent(F.lower(F.trim(c)))
-    c = F.broadcast(_few(catalog.select("canonical_name", fold(F.col("canonical_name")).alias("cf"))))
-    i = items.select("ingredient_text").distinct().withColumn("f", fold(F.col("ingredient_text")))
-    score = F.when(F.col("ingredient_text") == F.col("canonical_name"), 200.0).otherwise(F.round(S.token_set_ratio(F.col("f"), F.col("cf")), 6))
-    best = i.join(c).withColumn("score", score).groupBy("ingredient_text").agg(F.min_by(F.struct("canonical_name", "score"), F.struct(-F.col("score"), F.col("canonical_name"))).alias("b"))
-    return items.join(best.filter(F.col("b.score") >= least).select("ingredient_text", F.col("b.canonical_name").alias("ingredient")), "ingredient_text", "left")
+    i = items.select(F.col("ingredient_text").alias("key")).distinct()
+    same = i.join(catalog.select(F.col("canonical_name").alias("key")).distinct(), "key", "left_semi")
+    terms = catalog.select("canonical_name", F.col("canonical_name").alias("term"), F.lit("name").alias("kind"), F.lit(0).alias("ordinal"), fold(F.col("canonical_name")).alias("clean"), F.array().cast("array<string>").alias("exclude"))
+    rest = i.join(same, "key", "left_anti").withColumn("clean", fold(F.col("key"))).withColumn("low", F.lit(""))
+    best = same.select("key", F.col("key").alias("ingredient")).unionByName(similar_terms(rest, terms, 1, least, penalty=0.0).select("key", F.col("canonical_name").alias("ingredient")))
+    return items.join(best.withColumnRenamed("key", "ingredient_text"), "ingredient_text", "left")
 
 
 def matcher_eval(cases: DataFrame) -> DataFrame:

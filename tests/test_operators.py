@@ -81,14 +81,21 @@ def test_basket_against_brute_force(spark, monkeypatch, limit):
         assert (row["multi_total"] or float("inf")) == pytest.approx(best) and (row["mono_total"] or float("inf")) == pytest.approx(mono)
 
 
-def test_best_pair_by_parts_and_by_pairs():
+def test_best_sets_by_parts_and_by_sets(monkeypatch):
+    import itertools
+
     import numpy as np
 
     r = np.random.default_rng(1)
-    for n in (1, 2, 4, 9):
-        cost = np.where(r.random((20, n)) < 0.7, r.random((20, n)), B.LACKING)
-        want = min(np.minimum(cost[a], cost[b]).sum() for a in range(20) for b in range(20))
-        assert B._best_pair(cost)[0] == pytest.approx(want)
+    for n in (1, 2, 4, 6):
+        cost = np.where(r.random((n, 9)) < 0.7, r.random((n, 9)), B.LACKING)
+        want = [min(cost[:, list(c)].min(1).sum() for k in range(1, most + 1) for c in itertools.combinations(range(9), k)) for most in (1, 2, 3)]
+        for limit in (12, 0):
+            monkeypatch.setattr(B, "SPLIT_ITEMS", limit)
+            got = B._best_sets(cost, 3)
+            assert [t for t, _ in got] == pytest.approx(want)
+            for total, stores in got:
+                assert cost[:, stores].min(1).sum() == pytest.approx(total)
 
 
 def test_anomaly(spark):
