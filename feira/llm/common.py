@@ -68,28 +68,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; both move edges only, so no
     group of neighbours is ever gathered: the smallest neighbour comes from a
-    partially aggregated minimum and a join, in which the nodes of very many edges
-    are broadcast. The number of rounds grows with the logarithm of the longest
-    chain (60 are enough for any table). Self-loops and nulls are ignored.
+    partially aggregated minimum, written as a table, and a join. An edge is handled
+    at its smaller end, which in a large group is one node; as both sides of that
+    join are read as they are, Spark broadcasts the minima or splits the edges of
+    such a node. The number of rounds grows with the logarithm of the longest chain
+    (60 are enough for any table). Self-loops and nulls are ignored.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = materialize(e.filter("a <> b").distinct(), "edges")
-    n, mark = e.count(), None
+    mark = None
     for _ in range(max_rounds):
-        hot = F.col("n") > max(1.0, 2 * n / HOT_KEYS)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-        large = (join_hot(both, least, "a", hot).filter("b > a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, least, "a", hot)
+        least = materialize(e.groupBy("a").agg(F.min("b").alias("m")), "least")
+        large = (e.join(least.withColumnRenamed("a", "b"), "b", "left")
+                 .select("a", F.coalesce("m", "b").alias("b")).distinct())
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
         e = materialize(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), "edges")
-        n, total = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if (n, total) == mark:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == mark:
             break
-        mark = (n, total)
+        mark = now
     else:
         raise RuntimeError("connected components did not settle")
     return (e.select(F.col("a").alias("id"), F.col("b").alias("component"))
