@@ -244,6 +244,11 @@ def extract_ppk(flat: Column, nested: Column) -> Column:
     return F.coalesce(F.when(f > 0, f), F.when(n > 0, n), F.lit(0.0))
 
 
+def extract_pun(flat: Column, nested: Column) -> Column:
+    """The same of prices per unit."""
+    return extract_ppk(flat, nested)
+
+
 def estimate_ppk(nested: Column, price: Column, unit: Column) -> Column:
     """Nested price per kg, else price over the weight read from the unit text (1 kg
     when there is none), else infinity."""

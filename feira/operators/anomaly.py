@@ -21,14 +21,18 @@ def historical_stats(prices: DataFrame, as_of: Column, days: int = 90, by_store:
                     F.when(F.col("n") >= 3, F.col("n")).otherwise(0).alias("n"))
 
 
-def detect_price_outliers(prices: DataFrame, as_of: Column, days: int = 90, threshold: float = 2.0) -> DataFrame:
-    """Prices more than threshold sample deviations from their ingredient's mean.
+def outlier_join(prices: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """Positive prices of the last days with mean, std and zscore of their ingredient.
     Statistics are a partial aggregate joined back, so a hot ingredient is never
     gathered in one window."""
     p = prices.filter((F.col("price_per_kg") > 0) & (F.to_date("collected_at") >= F.date_sub(as_of, days)))
     s = p.groupBy("ingredient_id").agg(F.avg("price_per_kg").alias("mean"), F.stddev_samp("price_per_kg").alias("std")).filter("std > 0")
-    z = (F.col("price_per_kg") - F.col("mean")) / F.col("std")
-    return p.join(s, "ingredient_id").withColumn("zscore", z).filter(F.abs("zscore") > threshold)
+    return p.join(s, "ingredient_id").withColumn("zscore", (F.col("price_per_kg") - F.col("mean")) / F.col("std"))
+
+
+def detect_price_outliers(prices: DataFrame, as_of: Column, days: int = 90, threshold: float = 2.0) -> DataFrame:
+    """Prices more than threshold sample deviations from their ingredient's mean."""
+    return outlier_join(prices, as_of, days).filter(F.abs("zscore") > threshold)
 
 
 def detect_anomaly(prices: DataFrame, stats: DataFrame, threshold: float = 2.0) -> DataFrame:

@@ -3,11 +3,17 @@ number regions of read flyers."""
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+from itertools import pairwise
+from statistics import median
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .similar import spread
 
 #: Words that make a flyer line no product line.
 STOP_WORDS = ("somente", "sexta", "sábado", "sabado", "domingo", "estoque", "limitado", "limite", "unidade", "unidades", "cliente", "clientes", "cada", "preço",
@@ -132,47 +138,51 @@ def name_from_texts(texts: Column) -> Column:
 
 # Number regions: one read flyer is one bounded group (a page of print).
 
-def _centre(box) -> tuple[float, float, float]:
-    xs, ys = [p[0] for p in box], [p[1] for p in box]
-    return sum(xs) / len(xs), sum(ys) / len(ys), max(ys) - min(ys)
+_NUMBER = re.compile(r"[R$\s]*(\d[\d.,]*)\s*")
 
 
-def _numbers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Numeric regions with digits and geometry, tallest first."""
-    raw = pdf["text"].fillna("").str.strip()
-    digits = raw.str.extract(r"^[R$\s]*(\d[\d.,]*)\s*$")[0].str.replace(r"[.,]", "", regex=True)
-    geo = pd.DataFrame([_centre(b) for b in pdf["box"]], columns=["cx", "cy", "h"], index=pdf.index)
-    return pd.concat([raw.rename("raw"), digits.rename("digits"), geo], axis=1)[digits.notna()].sort_values("h", ascending=False, kind="stable")
+def _numbers(texts: list[str | None], boxes: list) -> list[tuple[str, str, float, float, float]]:
+    """(text, digits, cx, cy, height) of the numeric regions, tallest first."""
+    out = []
+    for text, box in zip(texts, boxes):
+        raw = (text or "").strip()
+        m = _NUMBER.fullmatch(raw)
+        if m:
+            xs, ys = [p[0] for p in box], [p[1] for p in box]
+            out.append((raw, re.sub("[.,]", "", m[1]), sum(xs) / len(xs), sum(ys) / len(ys), max(ys) - min(ys)))
+    return sorted(out, key=lambda n: (-n[4], n[2], n[3], n[0]))
 
 
-def _prices(pdf: pd.DataFrame, least_height: float) -> list[tuple[float, float, float, str]]:
+def _prices(texts: list[str | None], boxes: list, least_height: float) -> list[tuple[float, float, float, str]]:
     """(value, cx, cy, how) of one flyer; a cents region serves one price."""
-    n = _numbers(pdf)
-    used: set = set()
+    n = _numbers(texts, boxes)
+    used: set[int] = set()
     out = []
-    cents = n[n["digits"].str.len() == 2]
-    for i, r in n.iterrows():
-        d = r["digits"]
+    cents = [k for k, x in enumerate(n) if len(x[1]) == 2]
+    for i, (raw, d, cx, cy, h) in enumerate(n):
         if i in used:
             continue
-        if ("," in r["raw"] or "." in r["raw"]) and len(d) >= 3:
-            whole, _, part = r["raw"].replace(".", ",").rpartition(",")
-            whole, part = ("".join(c for c in s if c.isdigit()) for s in (whole, part))
+        if ("," in raw or "." in raw) and len(d) >= 3:
+            whole, _, part = raw.replace(".", ",").rpartition(",")
+            whole, part = ("".join(c for c in t if c.isdigit()) for t in (whole, part))
             value, how = int(whole or "0") + int((part + "00")[:2]) / 100, "sep"
-        elif r["h"] > 60 and len(d) in (3, 4):
+        elif h > 60 and len(d) in (3, 4):
             value, how = int(d[:-2]) + int(d[-2:]) / 100, f"blob{len(d)}"
-        elif r["h"] > least_height and len(d) <= 2:
-            dx, dy = cents["cx"] - r["cx"], (cents["cy"] - r["cy"]).abs()
-            near = (dx > 0) & (dx < 2 * r["h"]) & (dy < 0.9 * r["h"]) & (cents["h"] < r["h"]) & ~cents.index.isin(list(used)) & (cents.index != i)
+        elif h > least_height and len(d) <= 2:
             value, how = float(d), "no_cents"
-            if near.any():
-                c = (dx + dy)[near].idxmin()
-                used.add(c)
-                value, how = int(d) + int(cents.loc[c, "digits"]) / 100, "cents"
+            near = []
+            for k in cents:
+                dx, dy = n[k][2] - cx, abs(n[k][3] - cy)
+                if k != i and k not in used and 0 < dx < 2 * h and dy < 0.9 * h and n[k][4] < h:
+                    near.append((dx + dy, k))
+            if near:
+                k = min(near)[1]
+                used.add(k)
+                value, how = int(d) + int(n[k][1]) / 100, "cents"
         else:
             continue
         used.add(i)
-        out.append((value, r["cx"], r["cy"], how))
+        out.append((value, cx, cy, how))
     return out
 
 
@@ -190,12 +200,18 @@ def _dedup(prices: list[tuple], dx: float, dy: float) -> list[tuple]:
 def region_prices(regions: DataFrame, least_height: float = 55.0, dedup: bool = False, max_dx: float = 70.0, max_dy: float = 170.0) -> DataFrame:
     """regions (flyer_id, text, box, score) -> flyer_id, price, cx, cy, how; with dedup
     the two prices that a product shows become the lower one (dual_price_dedup)."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _prices(pdf.reset_index(drop=True), least_height)
-        rows = _dedup(rows, max_dx, max_dy) if dedup else rows
-        return pd.DataFrame([(pdf["flyer_id"].iloc[0], *r) for r in rows], columns=["flyer_id", "price", "cx", "cy", "how"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flyer, texts, boxes in zip(*(batch.column(c).to_pylist() for c in ("flyer_id", "texts", "boxes"))):
+                rows = _prices(texts, boxes, least_height)
+                out += [(flyer, *r) for r in (_dedup(rows, max_dx, max_dy) if dedup else rows)]
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()))], ["flyer_id", "price", "cx", "cy", "how"])
 
-    return regions.groupBy("flyer_id").applyInPandas(run, "flyer_id string, price double, cx double, cy double, how string")
+    # only regions with a digit can be numbers; a page's regions are one row
+    pages = spread(regions.filter(F.regexp_like("text", F.lit("[0-9]"))), "flyer_id").groupBy("flyer_id").agg(F.collect_list(F.struct("text", "box")).alias("r"))
+    return pages.select("flyer_id", F.col("r.text").alias("texts"), F.col("r.box").alias("boxes")).mapInArrow(run, "flyer_id string, price double, cx double, cy double, how string")
 
 
 def dual_price_dedup(regions: DataFrame, **params) -> DataFrame:
@@ -212,8 +228,10 @@ def box_join(prices: DataFrame, regions: DataFrame, dx: float = 260.0, above: fl
 
 
 #: Texts near a price that are no product name.
-PROMO_TEXT = (r"(?i)cliente\s*(?:app|cartao)?|limite\s*por\s*cpf|descontou?\s*|pagando\s*com\s*o|cart[aã]o\s*tenda|v[aá]lida\s*para|imagens\s*meramente|promo[cç][aã]o\s*v[aá]lida|"
-              r"ofertas\s*v[aá]lidas|enquanto\s*durarem|beber?\s*com\s*modera[cç][aã]o|venda\s*proibida\s*para\s*menores|leve\s+\d+\s*e?\s*pague\s*\d+")
+PROMO_TEXT = "(?i)" + "|".join((
+    r"cliente\s*(?:app|cartao)?", r"limite\s*por\s*cpf", r"descontou?\s*", r"pagando\s*com\s*o", r"cart[aã]o\s*tenda", r"v[aá]lida\s*para", r"imagens\s*meramente", r"promo[cç][aã]o\s*v[aá]lida",
+    r"ofertas\s*v[aá]lidas", r"enquanto\s*durarem", r"beber?\s*com\s*modera[cç][aã]o", r"venda\s*proibida\s*para\s*menores", r"aleitamento\s*materno", r"art\.?\s*\d+.*estatuto",
+    r"220v?\s*somente\s*nas\s*lojas", r"s[aã]o\s+jos[eé]\s+dos\s+campos", r"leve\s+\d+\s*pague\s*\d+", r"leve\s+\d+\s*e\s*pague\s*\d+"))
 
 
 def price_blocks(regions: DataFrame, gap: float = 50.0, x_gap: float = 250.0, most: int = 6) -> DataFrame:
@@ -236,20 +254,23 @@ def layout_profile(regions: DataFrame) -> DataFrame:
     """Per flyer: regions, prices, columns, gaps, density, median text height and type."""
     prices = region_prices(regions, dedup=True)
 
-    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
-        xs: list[float] = []
-        for x in sorted(pdf["cx"]):
-            if not xs or x - xs[-1] > 80:
-                xs.append(x)
-            else:
-                xs[-1] = (xs[-1] + x) / 2
-        ys = pd.Series(sorted(pdf["cy"])).diff()
-        rows = ys[ys > 50]
-        cols = pd.Series(xs).diff().dropna()
-        return pd.DataFrame([(pdf["flyer_id"].iloc[0], len(pdf), len(xs), float(cols.median()) if len(cols) else 0.0, float(rows.median()) if len(rows) else 150.0)],
-                            columns=["flyer_id", "price_count", "columns", "col_gap", "row_gap"])
-
-    p = prices.groupBy("flyer_id").applyInPandas(columns, "flyer_id string, price_count int, columns int, col_gap double, row_gap double")
+    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flyer, cx, cy in zip(*(batch.column(c).to_pylist() for c in ("flyer_id", "cx", "cy"))):
+                xs: list[float] = []
+                for x in sorted(cx):
+                    if not xs or x - xs[-1] > 80:
+                        xs.append(x)
+                    else:
+                        xs[-1] = (xs[-1] + x) / 2
+                rows = [b - a for a, b in pairwise(sorted(cy)) if b - a > 50]
+                out.append((flyer, len(cx), len(xs), median(b - a for a, b in pairwise(xs)) if len(xs) > 1 else 0.0, median(rows) if rows else 150.0))
+            cols = list(zip(*out)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["flyer_id", "price_count", "columns", "col_gap", "row_gap"])
+
+    p = prices.groupBy("flyer_id").agg(F.collect_list(F.struct("cx", "cy")).alias("p")).select("flyer_id", F.col("p.cx").alias("cx"), F.col("p.cy").alias("cy"))
+    p = p.mapInArrow(columns, "flyer_id string, price_count int, columns int, col_gap double, row_gap double")
     ys = F.transform("box", lambda q: q[1])
     r = regions.groupBy("flyer_id").agg(F.count("*").alias("region_count"), F.median(F.array_max(ys) - F.array_min(ys)).alias("text_height"))
     x = r.join(p, "flyer_id", "left").na.fill(0).withColumn("density", F.col("price_count") / F.greatest(F.col("region_count"), F.lit(1)) * 1000)

@@ -120,13 +120,15 @@ def rank_ingredients(products: DataFrame, catalog: DataFrame, n: int = 3) -> Dat
     return products.join(top.withColumn("top", F.transform("top", lambda x: x.dropFields("o"))), "raw_product", "left")
 
 
-def embedding_similarity(products: DataFrame, terms: DataFrame) -> DataFrame:
-    """Largest cosine of a product's vector with the vectors of each ingredient:
-    products (id, embedding), terms (ingredient, embedding) -> id, ingredient,
-    similarity. Only pairs of the products' candidate ingredients are computed when
-    products carry an ingredient column."""
-    t = terms.select(F.col("ingredient").alias("_i"), F.col("embedding").alias("_v"))
+def embedding_similarity(products: DataFrame, terms: DataFrame, besides: bool = False) -> DataFrame:
+    """Largest cosine of a product's vector with the vectors of its ingredient:
+    products (id, ingredient, embedding), terms (ingredient, embedding) -> id,
+    ingredient, similarity. With besides, terms also have term_id, and a product is
+    not compared with the term of its own id. The largest is folded before anything
+    is gathered."""
+    t = terms.select(F.col("ingredient").alias("_i"), F.col("embedding").alias("_v"), *(["term_id"] if besides else []))
     j = products.join(t, F.col("ingredient") == F.col("_i"))
+    j = j.filter("term_id <> id") if besides else j
     return j.groupBy("id", F.col("_i").alias("ingredient")).agg(F.max(S.cosine(F.col("embedding"), F.col("_v"))).alias("similarity"))
 
 

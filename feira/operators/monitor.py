@@ -61,6 +61,15 @@ def failure_streak(logs: DataFrame, n: int = 3) -> DataFrame:
     return g.select("store_name", F.coalesce(F.col("first_ok") - 1, F.col("runs")).alias("streak"))
 
 
+def permanent_streak(logs: DataFrame) -> DataFrame:
+    """Failures of each store since its last success; transient errors (by reason)
+    neither count nor end a streak. The batch twin of stream_failure_streak."""
+    fail, at = F.col("status").isin(*FAILED), F.struct("started_at", "id")
+    last = logs.filter(~fail).groupBy("store_name").agg(F.max(at).alias("last"))
+    counts = fail & ~T.is_transient(T.classify_error(F.col("reason"))) & (F.col("last").isNull() | (at > F.col("last")))
+    return logs.join(last, "store_name", "left").groupBy("store_name").agg(F.count_if(counts).alias("streak"))
+
+
 def auto_disable(logs: DataFrame, n: int = 3) -> DataFrame:
     """Stores whose newest n runs all failed (fewer runs: no)."""
     g = last_runs(logs, n).groupBy("store_name").agg(F.count("*").alias("runs"), F.every(F.col("status").isin(*FAILED)).alias("bad"))

@@ -38,7 +38,7 @@ newest AS (SELECT * FROM prices WHERE price_per_kg > 0 QUALIFY row_number() OVER
 stores AS (SELECT s_suppkey AS id, s_name AS name, n_name AS city, 1 + s_nationkey % 4 AS tier, s_acctbal >= 0 AS is_active FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey),
 logs AS (SELECT event_id AS id, user_id AS store_name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status, ts AS started_at,
   value AS latency_ms, (props->>'$.k')::BIGINT AS items_found, (SELECT max(ts) FROM events) AS now FROM events),
-queue AS (SELECT d.doc_id AS id, split_part(text, chr(10), 1) AS raw_product, source AS store_name, 0.5 + 0.4 * coalesce(quality, 0) AS confidence, 'pending' AS status
+queue AS (SELECT d.doc_id AS id, text AS raw_product, source AS store_name, 0.5 + 0.4 * coalesce(quality, 0) AS confidence, 'pending' AS status
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 baskets AS (SELECT l_orderkey AS basket_id, p_name AS ingredient_id, sum(l_quantity) AS qty_kg FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 """
@@ -433,14 +433,25 @@ def failure_streak(s, d):
     return O.failure_streak(bind.scraping_logs(s, d))
 
 
-@query(_LAST + "SELECT store_name FROM l3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status IN ('error', 'failed'))")
+#: Runs in which every tenth user only fails, and every tenth but one finds nothing.
+_ODD = """, odd AS (SELECT event_id AS id, user_id AS store_name, ts AS started_at, CASE WHEN user_id % 10 = 0 THEN 'failed' WHEN user_id % 10 = 1 THEN 'completed' WHEN event_type = 'error' THEN 'error' ELSE 'completed' END AS status,
+  CASE WHEN user_id % 10 = 1 THEN 0 ELSE (props->>'$.k')::BIGINT END AS items_found FROM events),
+odd3 AS (SELECT *, row_number() OVER (PARTITION BY store_name ORDER BY started_at DESC, id DESC) AS k FROM odd QUALIFY k <= 3) """
+
+
+def _odd_logs(s, d) -> DataFrame:
+    k = F.col("store_name") % 10
+    return bind.scraping_logs(s, d).withColumns({"status": F.when(k == 0, "failed").when(k == 1, "completed").otherwise(F.col("status")), "items_found": F.when(k == 1, 0).otherwise(F.col("items_found")).cast("long")})
+
+
+@query(_ODD + "SELECT store_name FROM odd3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status IN ('error', 'failed'))")
 def auto_disable(s, d):
-    return O.auto_disable(bind.scraping_logs(s, d))
+    return O.auto_disable(_odd_logs(s, d))
 
 
-@query(_LAST + "SELECT store_name FROM l3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status = 'completed' AND coalesce(items_found, 0) = 0)")
+@query(_ODD + "SELECT store_name FROM odd3 GROUP BY 1 HAVING count(*) = 3 AND bool_and(status = 'completed' AND coalesce(items_found, 0) = 0)")
 def zero_product_streak(s, d):
-    return O.zero_product_streak(bind.scraping_logs(s, d))
+    return O.zero_product_streak(_odd_logs(s, d))
 
 
 @query("SELECT store_name, max(started_at) AS last_completed FROM logs WHERE status = 'completed' GROUP BY 1")
@@ -614,10 +625,10 @@ def store_drift(s, d):
     return M.store_drift(st, stored, ["city"]).select("kind", "name", "declared", "stored")
 
 
-@query("""SELECT canonical_name, side FROM (SELECT DISTINCT p_name AS canonical_name, 'declared' AS side FROM part WHERE p_name NOT IN (SELECT p_name FROM part JOIN lineitem ON p_partkey = l_partkey WHERE l_quantity < 2))""")
+@query("""SELECT DISTINCT p_name AS canonical_name, CASE WHEN length(p_name) % 3 = 0 THEN 'stored' ELSE 'declared' END AS side FROM part WHERE length(p_name) % 3 < 2""")
 def missing_in_catalog(s, d):
-    p = bind.prices(s, d).filter("total_kg < 2").select(F.col("ingredient_id").alias("canonical_name")).distinct()
-    return M.missing_in_catalog(bind.ingredients(s, d), p)
+    n = bind.ingredients(s, d).withColumn("k", F.length("canonical_name") % 3)
+    return M.missing_in_catalog(n.filter("k > 0"), n.filter("k <> 1"))
 
 
 @query("""SELECT canonical_name, list_sort(list_distinct(list_concat(b, ['NEW']))) AS brands FROM (SELECT p_name AS canonical_name, list(DISTINCT p_brand) AS b FROM part GROUP BY 1)""")
@@ -639,10 +650,12 @@ def orphan_prices(s, d):
     return Q.orphan_prices(bind.prices(s, d), bind.stores(s, d).filter("is_active"), bind.ingredients(s, d))
 
 
-@query("""SELECT 'orphan_store' AS "check", count(*) AS n FROM prices WHERE store_id NOT IN (SELECT id FROM stores WHERE is_active) UNION ALL SELECT 'orphan_ingredient', 0
-UNION ALL SELECT 'unknown_log_store', count(*) FROM logs UNION ALL SELECT 'approved_without_ingredient', 0""")
+@query("""SELECT 'orphan_store' AS "check", count(*) AS n FROM prices WHERE store_id NOT IN (SELECT id FROM stores WHERE is_active) UNION ALL SELECT 'orphan_ingredient', count(*) FROM prices WHERE length(ingredient_id) % 5 = 0
+UNION ALL SELECT 'unknown_log_store', count(*) FROM logs UNION ALL SELECT 'approved_without_ingredient', count(*) FROM queue WHERE id % 4 = 0""")
 def integrity_report(s, d):
-    return Q.integrity_report(bind.prices(s, d), bind.stores(s, d).filter("is_active"), bind.ingredients(s, d), bind.scraping_logs(s, d), bind.review_queue(s, d))
+    known = bind.ingredients(s, d).filter("length(canonical_name) % 5 > 0")
+    q = bind.review_queue(s, d).withColumns({"status": F.when(F.col("id") % 2 == 0, "approved").otherwise("pending"), "resolved_ingredient": F.when(F.col("id") % 4 > 0, "x")})
+    return Q.integrity_report(bind.prices(s, d), bind.stores(s, d).filter("is_active"), known, bind.scraping_logs(s, d), q)
 
 
 @query("""SELECT column_name, 'ok' AS result FROM (VALUES ('id'), ('price_per_kg'), ('valid_from')) t(column_name) UNION ALL SELECT 'city', 'missing'""")
@@ -679,15 +692,21 @@ def decision_key(s, d):
     return bind.prices(s, d).select("id", T.decision_key(F.col("raw_product"), F.col("brand")).alias("key"))
 
 
-@query("""SELECT id, round(round(raw_price / (12 * (total_kg / 1000)), 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_kg, round(round(raw_price / 12, 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_un FROM prices""")
+@query("""SELECT id, round(round(raw_price / CASE tier WHEN 1 THEN 12 * (total_kg / 1000) WHEN 2 THEN total_kg + 0.5 WHEN 3 THEN 6 * (total_kg / 1000) END, 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_kg,
+round(round(raw_price / CASE tier WHEN 1 THEN 12 WHEN 2 THEN 1 WHEN 3 THEN 6 END, 4)::DECIMAL(24, 4), 2)::DOUBLE AS price_per_un FROM prices""")
 def normalize_price(s, d):
-    n = T.normalize_price(F.col("raw_price"), F.concat(F.lit("cx 12x"), F.col("total_kg").cast("int").cast("string"), F.lit("g")))
+    # a box, a weight with a comma, units before a weight, and nothing to go by
+    q, tier = F.col("total_kg").cast("int").cast("string"), F.col("tier")
+    unit = F.when(tier == 1, F.concat(F.lit("cx 12x"), q, F.lit("g"))).when(tier == 2, F.concat(q, F.lit(",5kg"))).when(tier == 3, F.concat(F.lit("6un "), q, F.lit("ml"))).otherwise("un")
+    n = T.normalize_price(F.col("raw_price"), unit)
     return bind.prices(s, d).select("id", n.alias("n")).select("id", "n.price_per_kg", "n.price_per_un")
 
 
-@query("SELECT id, name, true AS is_food FROM stores")
+@query("""SELECT id, id % 5 NOT IN (0, 1, 2, 3) AS is_food FROM stores""")
 def is_food_store(s, d):
-    return bind.stores(s, d).select("id", "name", T.is_food_store(F.col("name")).alias("is_food"))
+    k = F.col("id") % 5
+    name = F.when(k == 0, F.concat(F.lit("Test "), "name")).when(k == 1, F.concat("name", F.lit(" PETSHOP"))).when(k == 2, F.concat(F.lit("Catálogo "), "name")).when(k == 3, "").otherwise(F.col("name"))
+    return bind.stores(s, d).select("id", T.is_food_store(name).alias("is_food"))
 
 
 @query(""", w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT id FROM prices WHERE len(list_intersect(string_split(upper(raw_product), ' '),
@@ -725,21 +744,24 @@ def route_match(s, d):
     return H.route_match(m).select("id", "ingredient", "score", "combined", "route")
 
 
-@query("SELECT id, brand FROM prices")
+@query("SELECT id, CASE store_id % 3 WHEN 1 THEN 'Desconhecido' ELSE split_part(ingredient_id, ' ', -1) END AS brand FROM prices")
 def extract_brand(s, d):
-    p = bind.prices(s, d).select("id", "raw_product", F.col("ingredient_id").alias("ingredient"))
-    return H.extract_brand(p, bind.ingredients(s, d)).select("id", "brand")
+    # the last word of a name is its brand: as it is, not there, and with a letter lost
+    k = F.col("store_id") % 3
+    text = F.when(k == 0, F.col("raw_product")).when(k == 1, F.lit("12 34")).otherwise(F.concat(F.lit("x "), F.expr("substring(element_at(split(ingredient, ' '), -1), 1, length(element_at(split(ingredient, ' '), -1)) - 1)")))
+    p = bind.prices(s, d).withColumn("ingredient", F.col("ingredient_id")).select("id", text.alias("raw_product"), "ingredient")
+    catalog = bind.ingredients(s, d).select("canonical_name", F.array(F.element_at(F.split("canonical_name", " "), -1)).alias("brands"))
+    return H.extract_brand(p, catalog).select("id", "brand")
 
 
 @query("""SELECT e.vec_id AS id, e.label AS ingredient, round(max(list_cosine_similarity(e.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS similarity
-FROM embeddings e JOIN (SELECT label, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3) c USING (label) GROUP BY 1, 2""")
+FROM embeddings e JOIN embeddings c ON e.label = c.label AND e.vec_id <> c.vec_id WHERE e.vec_id % 20 = 0 GROUP BY 1, 2""")
 def embedding_similarity(s, d):
-    from pyspark.sql import Window
-
+    # every twentieth vector asks, all other vectors of its label are terms
     e = bind.read_table(s, d, "embeddings")
-    w = Window.partitionBy("label").orderBy("vec_id")
-    terms = e.withColumn("k", F.row_number().over(w)).filter("k <= 3").select(F.col("label").alias("ingredient"), "embedding")
-    out = H.embedding_similarity(e.select(F.col("vec_id").alias("id"), F.col("label").alias("ingredient"), "embedding"), terms)
+    asks = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), F.col("label").alias("ingredient"), "embedding")
+    terms = e.select(F.col("label").alias("ingredient"), "embedding", F.col("vec_id").alias("term_id"))
+    out = H.embedding_similarity(asks, terms, besides=True)
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -776,11 +798,6 @@ def parse_flyer_lines(s, d):
     return X.parse_flyer_lines(X.distinct_lines(_texts(s, d)))
 
 
-@query("SELECT page_id AS id, NULL::VARCHAR AS name, NULL::DOUBLE AS price FROM pages WHERE regexp_matches(html, 'application/ld\\+json')")
-def jsonld_products(s, d):
-    return X.jsonld_products(bind.read_table(s, d, "pages").select(F.col("page_id").alias("id"), "html"))
-
-
 @query()
 def extract_addresses(s, d):
     return X.best_address(X.extract_addresses(_texts(s, d))).select("id", "address", "confidence", "kind", F.size("addresses").alias("clues"))
@@ -833,9 +850,11 @@ def classify_error(s, d):
     return bind.read_table(s, d, "documents").select("doc_id", T.classify_error(F.col("text")).alias("error_class"))
 
 
-@query(r"SELECT id, raw_product, nullif(regexp_extract(raw_product, '(?i)([\d.,]+\s*(?:kg|g|ml|un|l)\b)', 1), '') IS NOT NULL AS has_unit FROM prices")
+@query("""SELECT id, CASE tier WHEN 1 THEN 'lata ' || q || 'g' WHEN 2 THEN '3 x ' || q || ' ml' WHEN 3 THEN q || ',5kg' ELSE 'cx com ' || q END AS unit FROM (SELECT *, total_kg::INT::VARCHAR AS q FROM prices)""")
 def extract_unit(s, d):
-    return bind.prices(s, d).select("id", "raw_product", (T.extract_unit(F.col("raw_product")) != "").alias("has_unit"))
+    q, tier = F.col("total_kg").cast("int").cast("string"), F.col("tier")
+    text = F.when(tier == 1, F.concat(F.lit("lata "), q, F.lit("g"))).when(tier == 2, F.concat(F.lit("3 x "), q, F.lit(" ml"))).when(tier == 3, F.concat(q, F.lit(",5kg"))).otherwise(F.concat(F.lit("cx com "), q))
+    return bind.prices(s, d).select("id", T.extract_unit(F.concat(F.lit("Leite bom "), text, F.lit(" oferta"))).alias("unit"))
 
 
 @query(""", w AS (SELECT id, list_filter(string_split(trim(raw_product), ' '), lambda x: x <> '') AS ws, raw_product AS t FROM prices)
@@ -844,22 +863,18 @@ def name_quality(s, d):
     return bind.prices(s, d).select("id", F.round(T.name_quality(F.col("raw_product")), 6).alias("quality"))
 
 
-@query("SELECT id, contains(t, 'papel') OR contains(t, 'caixa') OR contains(t, 'forma') OR contains(t, 'folha') OR contains(t, 'festa') OR contains(t, 'saco') OR contains(t, 'haste') OR contains(t, 'vela') AS flag FROM (SELECT doc_id AS id, lower(text) AS t FROM documents)")
+@query("SELECT id, " + " OR ".join(f"contains(t, '{w}')" for w in T.PACKAGING) + f" AS flag FROM (SELECT id, lower(raw_product || ' ' || coalesce([{', '.join(repr(w) for w in T.PACKAGING)}][total_kg::INT], '')) AS t FROM prices)")
 def packaging_tokens(s, d):
-    return bind.read_table(s, d, "documents").select(F.col("doc_id").alias("id"), T.packaging_tokens(F.col("text")).alias("flag"))
+    word = F.coalesce(F.get(F.array(*[F.lit(w.upper()) for w in T.PACKAGING]), F.col("total_kg").cast("int") - 1), F.lit(""))
+    return bind.prices(s, d).select("id", T.packaging_tokens(F.concat_ws(" ", "raw_product", word)).alias("flag"))
 
 
-@query("SELECT id, id AS store_id FROM stores")
+@query("SELECT id, CASE WHEN id % 7 <> 0 THEN id END AS store_id FROM stores")
 def resolve_store(s, d):
+    # names as they are, in capitals with accents, inside a longer one, and unknown ones
     st = bind.stores(s, d)
-    spelt = st.select("id", F.when(F.col("id") % 2 == 0, F.upper("name")).otherwise(F.col("name")).alias("store_name"))
-    return H.resolve_store(spelt, st).select("id", "store_id")
-
-
-@query("SELECT DISTINCT p_name AS ingredient_text, p_name AS ingredient FROM part")
-def resolve_ingredient(s, d):
-    names = bind.ingredients(s, d)
-    return H.resolve_ingredient(names.select(F.col("canonical_name").alias("ingredient_text")), names)
+    spelt = F.when(F.col("id") % 7 == 0, F.concat(F.lit("nobody "), "id")).when(F.col("id") % 3 == 0, F.concat(F.lit("loja "), F.lower("name"))).when(F.col("id") % 2 == 0, F.concat(F.translate("name", "u", "ú"), F.lit(" "))).otherwise(F.col("name"))
+    return H.resolve_store(st.select("id", spelt.alias("store_name")), st).select("id", "store_id")
 
 
 @query()
@@ -925,9 +940,11 @@ def _registry(s, d) -> DataFrame:
                     F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 90 + 1).alias("matched_store_id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("address"))
 
 
-@query("""SELECT count(*) FILTER (c_custkey % 3 = 0) AS pending, count(*) FILTER (c_custkey % 2 = 0) AS with_address, count(*) FILTER (c_custkey % 5 = 0) AS matched, 0::BIGINT AS test_junk, 0::BIGINT AS non_food FROM customer""")
+@query("""SELECT count(*) FILTER (c_custkey % 3 = 0) AS pending, count(*) FILTER (c_custkey % 2 = 0) AS with_address, count(*) FILTER (c_custkey % 5 = 0) AS matched, count(*) FILTER (c_custkey % 7 = 0) AS test_junk,
+count(*) FILTER (c_custkey % 7 = 0 OR c_custkey % 11 = 0) AS non_food FROM customer""")
 def registry_kpis(s, d):
-    return O.registry_kpis(_registry(s, d))
+    name = F.when(F.col("id") % 7 == 0, F.concat(F.lit("E2E "), "name")).when(F.col("id") % 11 == 0, F.concat(F.lit("Drogaria "), "name")).otherwise(F.col("name"))
+    return O.registry_kpis(_registry(s, d).withColumn("name", name))
 
 
 _COUNTS = """, n AS (SELECT store_id, count(DISTINCT ingredient_id) AS n FROM prices GROUP BY 1),
@@ -1053,3 +1070,7 @@ def registry_upsert(s, d):
     new = names.withColumns({"normalized_name": T.normalize_store_name(F.col("name")), "status": F.lit("pending_review"), "matched_store_id": F.lit(None).cast("long"), "match_score": F.lit(None).cast("double"),
                              "address": F.lit("new"), "address_confidence": F.lit(7.0)})
     return M.registry_upsert(r, new).select("name", "status", "address")
+
+
+# the queries of other modules register themselves
+from . import queries_flyers, queries_matching, queries_sources  # noqa: E402, F401

@@ -62,5 +62,5 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     return d.join(l, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("raw_product"), F.col("source").alias("store_name"),
+        F.col("doc_id").alias("id"), F.col("text").alias("raw_product"), F.col("source").alias("store_name"),
         (0.5 + 0.4 * F.coalesce("quality", F.lit(0))).alias("confidence"), F.lit("pending").alias("status"), F.lit("manual").alias("match_type"))

@@ -54,6 +54,23 @@ def stream_failure_streak(logs: DataFrame, threshold: int = 3) -> DataFrame:
     return x.groupBy("store_name").applyInPandasWithState(fold, "store_name string, streak int, disabled boolean", "streak int", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_table(updates: DataFrame, table: str, checkpoint: str) -> None:
+    """Take what is there of a stream of updates (one row a key in each batch) into a
+    table: the rows of the last batch that had the key, written anew by each batch."""
+    keys = [updates.columns[0]]
+
+    def put(batch: DataFrame, number: int) -> None:
+        if number:
+            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}-{number - 1}")
+            batch = maintain.keyed_upsert(old, batch, keys)
+        batch.write.mode("overwrite").parquet(f"{table}-{number}")
+
+    q = updates.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    spark, last = updates.sparkSession, q.lastProgress["batchId"]
+    spark.read.schema(updates.schema).parquet(f"{table}-{last}").write.mode("overwrite").parquet(table)
+
+
 def stream_queue(spark: SparkSession, source: str, schema, output: str, checkpoint: str) -> None:
     """Turn new pending rows under source into processed ones, once each."""
     done = (spark.readStream.schema(schema).parquet(source).filter("status = 'pending'")
