@@ -20,6 +20,7 @@ from .operators import monitor as O
 from .operators import prices as P
 from .operators import quality as Q
 from .sources import bind
+from .sql import lcs_sql, token_set_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -777,10 +778,11 @@ def similar_stores_topk(s, d):
     return M.similar_stores_topk(st.select("id", "name"), st)
 
 
-@query()
+@query(", pairs AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part) " + token_set_sql("pairs") + f"""
+SELECT a AS p_name, b AS p_type, round(200.0::DOUBLE * {lcs_sql('upper(a)', 'upper(b)')} / (length(a) + length(b)), 6) AS ratio, round(token_set, 6) AS token_set FROM scored""")
 def fuzz_ratio(s, d):
     p = bind.read_table(s, d, "part").select("p_name", "p_type").distinct()
-    return p.select("p_name", "p_type", S.fuzz_ratio(F.upper("p_name"), F.upper("p_type")).alias("ratio"), S.token_set_ratio(F.col("p_name"), F.col("p_type")).alias("token_set"))
+    return p.select("p_name", "p_type", F.round(S.fuzz_ratio(F.upper("p_name"), F.upper("p_type")), 6).alias("ratio"), F.round(S.token_set_ratio(F.col("p_name"), F.col("p_type")), 6).alias("token_set"))
 
 
 def _texts(s, d) -> DataFrame:
