@@ -256,8 +256,12 @@ def _confirm(alike: float, share: int):
     return run
 
 
+#: Ids (8 bytes each) of candidates that are broadcast; more are joined by a shuffle.
+FEW_IDS = 2_000_000
+
+
 def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80, permutations: int = 32, rows: int = 3,
-               bucket_rows: int = 2048, block_shingles: int = 2_000_000, block_docs: int = 8192, slack: float = 0.25, seed: int = 7) -> DataFrame:
+               bucket_rows: int = 2048, block_shingles: int = 2_000_000, block_docs: int = 2048, slack: float = 0.25, seed: int = 7) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Documents with 100 * |A and B| >= similar * |A or B| over their shingle sets
@@ -299,7 +303,10 @@ def near_dedup(docs: DataFrame, words: int = 5, similar: int = 80, permutations:
             own = pa.array([hashlib.blake2b(s, digest_size=16).digest() == c for s, c in zip(out, batch.column("class").to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "set"]).filter(own)
 
-    full = d.join(members, "doc_id").mapInArrow(sets_of, "doc_id long, cluster long, blocks int, block int, sig binary, set binary")
+    # few candidates are found among the texts by their ids alone, before any text moves
+    ids = members.select("doc_id").distinct()
+    texts = d.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= FEW_IDS else d
+    full = texts.join(members, "doc_id").mapInArrow(sets_of, "doc_id long, cluster long, blocks int, block int, sig binary, set binary")
     # a pair of blocks (p <= q) for each other block, and the block with itself
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "doc_id",

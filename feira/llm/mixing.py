@@ -109,7 +109,8 @@ def _edge(edge: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted), copies.
+    """doc_id, size, source_size, target, taken (words, repeats counted), copies,
+    source, u (the row's random number).
 
     Each document gets floor(target / source_size) whole copies, and at most one
     more by Pareto sampling; so taken is a multiple of size and never above `most`
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     on = F.expr("d.source <=> t.source")
     pi = F.least(F.lit(1.0), F.col("c") * F.col("size"))
     q = F.when((F.col("size") > 0) & (pi >= 1), 0.0).when((F.col("size") > 0) & (pi > 0), (F.col("u") / (1 - F.col("u"))) / (pi / (1 - pi)))
-    d = d.alias("d").join(t.alias("t"), on).select("row", "d.doc_id", "d.source", "d.size", "t.source_size", "t.target", "t.whole", "t.want", q.alias("q"))
+    d = d.alias("d").join(t.alias("t"), on).select("row", "d.doc_id", "d.source", "d.size", "u", "t.source_size", "t.target", "t.whole", "t.want", q.alias("q"))
     # q/(1+q) is in (0, 1) and keeps the order
     d = d.withColumn("bin", F.when(F.col("q").isNotNull(), F.floor(F.col("q") / (1 + F.col("q")) * BINS)))
     bins = d.filter("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("want").alias("want"))
@@ -147,4 +148,4 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[i
     copies = F.col("whole") + F.col("extra")
     return rest.unionByName(_edge(d.filter(edge))).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
-        copies.cast("long").alias("copies"), "source")
+        copies.cast("long").alias("copies"), "source", "u")
