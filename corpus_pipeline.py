@@ -67,11 +67,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes (none to two); documents
     without a word, which no target can count, are left as they are. Rows that agree
-    in id, source and size get the same number of copies; null ids take part."""
-    same = ("doc_id", "source", "size")
+    in id, source and text (none, after exact) get the same number of copies; null ids take part."""
+    same = ("doc_id", "source", "size", "u")
     copies = mixing.mix(docs).groupBy(*same).agg(F.min("copies").alias("copies"))
     copies = copies.withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int")).filter("copies > 0")
-    d = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text"))).alias("d")
+    d = docs.select(*COLUMNS).withColumns({"size": mixing.word_count(F.col("text")), "u": mixing.uniform(F.col("doc_id"), F.col("text"))}).alias("d")
     on = F.expr(" and ".join(f"d.{c} <=> m.{c}" for c in same))
     return (d.join(copies.alias("m"), on).select(*(f"d.{c}" for c in COLUMNS), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
             .select(*COLUMNS))
