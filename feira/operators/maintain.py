@@ -288,11 +288,17 @@ def similar_stores_topk(names: DataFrame, stores: DataFrame, k: int = 3, least:
     return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def find_similar_store(names: DataFrame, stores: DataFrame, k: int = 3) -> DataFrame:
-    """The same by edit distance over normalised names, for names that share their
-    first three characters."""
-    n = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), T.normalize_store_name(F.col("name")).alias(p)).withColumn("block", F.substring(p, 1, 3))
-    j = n(names, "a").join(n(stores, "b"), "block")
-    sim = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))
+def find_similar_store(names: DataFrame, stores: DataFrame, k: int = 3, least: float = 0.7) -> DataFrame:
+    """Up to k active stores by edit distance over normalised names, of a similarity of
+    `least` (0.7 or more) at least. Candidates share two letters in a row: a string of
+    n letters has n - 1 such pairs, an edit spoils two, so none that similar is missed
+    (shorter names must be equal, and share all)."""
+    def side(d: DataFrame, p: str) -> DataFrame:
+        n = d.select(F.col("id").alias(f"{p}_id"), T.normalize_store_name(F.col("name")).alias(p))
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - 1, F.lit(1))), lambda i: F.col(p).substr(i, F.lit(2)))
+        return n.withColumn("gram", F.explode(F.array_distinct(pairs)))
+
+    j = side(names, "a").join(side(stores.filter("is_active"), "b"), "gram").drop("gram").distinct()
+    j = j.withColumn("similarity", F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1)), 6)).filter(F.col("similarity") >= least)
     w = Window.partitionBy("a_id").orderBy(F.desc("similarity"), "b_id")
-    return j.withColumn("similarity", F.round(sim, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a_id", "b_id", "similarity", "rank")
+    return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("a_id", "b_id", "similarity", "rank")

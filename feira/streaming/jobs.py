@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as T
 from ..operators import maintain
+from ..sources.work import work_path
+
+
+def _stored(spark: SparkSession, table: str) -> DataFrame | None:
+    """The table, or None if there is none yet; any other failure is raised."""
+    try:
+        return spark.read.parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def stream_upsert_prices(spark: SparkSession, source: str, schema, table: str, checkpoint: str) -> None:
@@ -22,12 +34,14 @@ def stream_upsert_prices(spark: SparkSession, source: str, schema, table: str, c
         new = new.withColumn("collected_day", F.to_date("collected_at"))
         if batch.isEmpty():
             return
-        try:
-            old = batch.sparkSession.read.parquet(table).join(new.select("collected_day").distinct(), "collected_day", "left_semi")
-            new = maintain.keyed_upsert(old, new, ["ingredient_id", "store_id", "collected_at"]).checkpoint()  # the table is read before it is overwritten
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        old = _stored(batch.sparkSession, table)
+        if old is not None:
+            # written apart first, as the table is read before its days are overwritten
+            path = work_path(spark, "upsert")
+            days = old.join(new.select("collected_day").distinct(), "collected_day", "left_semi")
+            merged = maintain.keyed_upsert(days, new, ["ingredient_id", "store_id", "collected_at"])
+            merged.write.parquet(path)
+            new = batch.sparkSession.read.schema(merged.schema).parquet(path)
         maintain.write_state(new.drop("collected_day"), table)
 
     (spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
