@@ -29,6 +29,9 @@ def by_row(rows: DataFrame) -> DataFrame:
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows that stay. The keys that go are written first, so Spark knows their
+    true size and moves no text if they are few."""
+    dropped = materialize(dropped, "dropped")
     return rows.join(dropped, "row", "left_anti").select(*COLUMNS)
 
 
