@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,5 +96,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
 
 
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in slices that end at a space, of about `size` bytes; a word is never
+    cut. A text of any length is so split into words a slice at a time."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def arrow_schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])

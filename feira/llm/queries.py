@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, hostrules, langid, minhash, mixing, pii, secrets, toxicity, warc
+from . import bpe, divergence, exact_dedup, hostrules, langid, lattice, merkle, minhash, mixing, pii, secrets, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def pieces() -> str:
+    """The vocabulary file of op13, as installed; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lm_score(table(spark, sf_dir, "documents"), pieces())
+
+
 OP1_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id,
@@ -142,6 +161,81 @@ SELECT doc_id, size, source_size, target,
 FROM c
 """
 
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, *, CASE WHEN doc_id IS NOT NULL THEN xor(4294967295, list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda crc, b: list_reduce([xor(crc, b)] || range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) END AS crc
+  FROM documents),
+f AS (
+  SELECT rid, doc_id, lang, coalesce(crc % 7 = 0, false) AND n_chars IS NOT NULL AS changes,
+    coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+    coalesce(length(n_chars::VARCHAR) || ':' || n_chars, '-') AS n, length((n_chars::HUGEINT + 1)::VARCHAR) || ':' || (n_chars::HUGEINT + 1) AS more,
+    coalesce(octet_length(encode(text)) || ':' || text, '-') AS t
+  FROM d),
+h AS (SELECT rid, doc_id, lang, sha256(head || n || t) AS leaf, CASE WHEN changes THEN sha256(head || more || t) ELSE sha256(head || n || t) END AS start FROM f),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM h),
+tree AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, size FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2 FROM tree WHERE size > 1 GROUP BY lang, level, pos // 2, size),
+subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS place, count(*) OVER () AS langs FROM tree WHERE size = 1),
+top AS (
+  SELECT 0 AS level, place AS pos, subroot AS h, langs AS size FROM subs
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (size + 1) // 2 FROM top WHERE size > 1 GROUP BY level, pos // 2, size),
+steps AS (
+  SELECT l.rid, t.level, (l.pos >> t.level) & 1 AS odd, t.pos AS mine, l.lang, false AS upper FROM leaves l JOIN tree t
+    ON l.lang IS NOT DISTINCT FROM t.lang AND t.pos = l.pos >> t.level AND t.size > 1
+  UNION ALL
+  SELECT l.rid, 1000 + t.level, (s.place >> t.level) & 1, t.pos, l.lang, true FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang JOIN top t
+    ON t.pos = s.place >> t.level AND t.size > 1),
+paths AS (
+  SELECT s.rid, s.level, s.odd, coalesce(t.h, p.h) AS sibling FROM steps s
+  LEFT JOIN tree t ON NOT s.upper AND t.lang IS NOT DISTINCT FROM s.lang AND t.level = s.level AND t.pos = xor(s.mine, 1)
+  LEFT JOIN top p ON s.upper AND p.level = s.level - 1000 AND p.pos = xor(s.mine, 1)),
+proofs AS (
+  SELECT rid, sha256(coalesce(string_agg(sibling, '' ORDER BY level), '')) AS proof_sha256,
+    list({'odd': odd, 'sibling': sibling} ORDER BY level) AS path FROM paths GROUP BY rid),
+folds AS (
+  SELECT l.rid, l.start AS h, p.path FROM leaves l JOIN proofs p USING (rid)
+  UNION ALL
+  SELECT rid, CASE WHEN path[1].sibling IS NULL THEN sha256(h) WHEN path[1].odd = 1 THEN sha256(path[1].sibling || h) ELSE sha256(h || path[1].sibling) END, path[2:]
+  FROM folds WHERE len(path) > 0),
+folded AS (SELECT rid, h FROM folds WHERE len(path) = 0),
+root AS (SELECT h AS root FROM top WHERE size = 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, coalesce(f.h, l.start) AS folded_root,
+  coalesce(f.h, l.start) = r.root AS verified
+FROM leaves l JOIN subs s ON l.lang IS NOT DISTINCT FROM s.lang CROSS JOIN root r LEFT JOIN proofs p USING (rid) LEFT JOIN folded f USING (rid)
+"""
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT rid, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY lang),
+g AS (
+  SELECT a.lang, a.source, coalesce(l.v, 0) AS v, coalesce(l.lang_total, 0) AS lang_total, coalesce(b.total, 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) a LEFT JOIN l USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) b USING (lang, source)),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.total::HUGEINT + 5 * g.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.lang_n + 5)) // (g.lang_total::HUGEINT + 5 * g.v) AS q
+  FROM g JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT p.lang, p.source, q.source AS item, sum(abs(p.p - q.p)) AS value FROM p JOIN p q ON p.lang = q.lang AND p.term = q.term GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+f AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)))::INT AS rank FROM f
+QUALIFY part = 'pair' OR rank <= 50
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_bpe": op2_bpe,
@@ -153,6 +247,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_minmax_near_dedup": op9_minmax_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_lattice_lm": op13_lattice_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -160,4 +257,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_host_rules": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_merkle_manifest": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
