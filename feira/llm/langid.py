@@ -215,13 +215,14 @@ def compile_group(counts: dict[str, tuple[np.ndarray, np.ndarray]], lut: np.ndar
 
 def train(labelled: DataFrame, docs_per_lang: int = 1000, group: int = 8) -> PPM | None:
     """Fit on a bounded sample: about docs_per_lang documents of each language, by a
-    hash of the id. Every language is learned, and every string of its sample; the
+    hash of id and text (so null or shared ids neither drop nor bring a whole language),
+    equal rows once. Every language is learned, and every string of its sample; the
     driver holds the counts of `group` languages at a time, and the model grows with
     the number of languages. None if nothing is labelled."""
     d = with_columns(labelled, {"doc_id": "long", "text": "string", "lang": "string"}).filter("lang is not null and text is not null")
     sizes = d.groupBy("lang").count()
-    few = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < 1_000_000.0 * docs_per_lang / F.col("count")
-    d = d.join(F.broadcast(sizes), "lang").filter(few).select("lang", "text")  # a row for each language
+    few = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1_000_000)) < 1_000_000.0 * docs_per_lang / F.col("count")
+    d = d.join(F.broadcast(sizes), "lang").filter(few).select("lang", "doc_id", "text").distinct()  # sizes: a row for each language
     n = d.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     n = materialize(n, "strings")
     langs = sorted(r["lang"] for r in n.select("lang").distinct().collect())

@@ -115,16 +115,22 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarra
 
 def _sample(docs: DataFrame, labels: DataFrame, docs_per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Labelled texts, about docs_per_class of each class by a hash of the id, and
-    how many there are of each class."""
+    how many there are of each class. Where a drawn id has many rows, a class has
+    about twice docs_per_class of them by a hash of id and text; equal rows count once."""
     y = with_columns(labels, {"doc_id": "long", "toxic": "int"}).filter("doc_id is not null and toxic in (0, 1)")
     sizes = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}
+    y = _part(y, {k: docs_per_class / n for k, n in sizes.items()}, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = with_columns(docs, {"doc_id": "long", "text": "string"}).filter("text is not null").join(F.broadcast(y), "doc_id")  # 2 docs_per_class ids
+    rows = {r["toxic"]: r["count"] for r in d.groupBy("toxic").count().collect()}
+    return _part(d, {k: 2 * docs_per_class / n for k, n in rows.items()}, "doc_id", "text").distinct(), sizes
+
+
+def _part(rows: DataFrame, shares: dict[int, float], *by: str) -> DataFrame:
+    """The given share of the rows of each class, by a hash of columns."""
     share = F.lit(0.0)
-    for k, n in sizes.items():
-        share = F.when(F.col("toxic") == k, min(1.0, docs_per_class / n)).otherwise(share)
-    y = y.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < share * 1_000_000)
-    y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    d = with_columns(docs, {"doc_id": "long", "text": "string"}).filter("text is not null")
-    return d.join(F.broadcast(y), "doc_id"), sizes  # twice docs_per_class rows at most
+    for k, part in shares.items():
+        share = F.when(F.col("toxic") == k, min(1.0, part)).otherwise(share)
+    return rows.filter(F.pmod(F.xxhash64(*by, F.lit("toxic")), F.lit(1_000_000)) < share * 1_000_000)
 
 
 def word_ratios(pairs: DataFrame, discount: float) -> DataFrame:

@@ -199,6 +199,21 @@ def test_language_id(spark):
     assert langid.language_id(d.filter("false")).count() == 0
 
 
+def test_language_of_null_or_one_id(spark):
+    # all rows of a language have no id, or one: it is learned all the same, from a bounded sample
+    r = random.Random(9)
+    stems = {"xx": ["foo", "bar", "zap"], "yy": ["ñum", "éli", "tro"], "zz": ["kik", "wow", "jux"]}
+    ids = {"xx": lambda i: None, "yy": lambda i: 8, "zz": lambda i: 1000 + i}
+    rows = [(ids[g](i), " ".join(r.choice(s) + r.choice(s) for _ in range(20)), g) for g, s in stems.items() for i in range(400)]
+    rows += [(None, "foobar zapfoo", "xx")] * 900
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert not d.select(langid.held_out(F.lit(8), 4, 2)).first()[0]
+    model = langid.train(d, docs_per_lang=50)
+    assert model.langs == ["xx", "yy", "zz"]
+    got = langid.predict(d, model, {"lang": "string"})
+    assert got.filter("lang_pred = lang").count() == len(rows)
+
+
 def counted(text):
     s, at = langid._symbols([text], langid._LOWER)
     code = langid._contexts(s, at, 256).astype(np.int64) * 256 + s
@@ -416,6 +431,15 @@ def test_toxicity(spark):
     assert none[0] <= 0.5 and none[1] == 0
 
 
+def test_toxicity_sample_is_bounded(spark):
+    # a labelled id has most rows, with different texts or with one
+    rows = [(1, f"word{i} other") for i in range(900)] + [(2, "same text")] * 900 + [(10 + i, f"plain {i}") for i in range(200)]
+    labels = spark.createDataFrame([(1, 1), (2, 1)] + [(10 + i, 0) for i in range(200)], "doc_id long, toxic int")
+    sample, sizes = toxicity._sample(docs(spark, rows), labels, docs_per_class=50)
+    n = {x["toxic"]: x["count"] for x in sample.groupBy("toxic").count().collect()}
+    assert sizes == {1: 2, 0: 200} and 20 <= n[1] <= 140 and 20 <= n[0] <= 100
+
+
 def test_toxicity_against_brute_force(spark):
     r = random.Random(11)
     texts = [(" ".join(r.choice(["the", "a", "Fool", "cat", "ran", "dog", "mat"][:7 - 3 * (k % 2)]) for _ in range(12)), k % 3 == 0) for k in range(40)]
