@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from .names import similar_names
 
 
 def dedup_price_rows(rows: DataFrame) -> DataFrame:
@@ -161,14 +162,11 @@ def dedup_against_registry(flyers: DataFrame, stores: DataFrame, registry: DataF
 
 
 def store_similarity_join(left: DataFrame, right: DataFrame, least: float = 70.0) -> DataFrame:
-    """(left_id, right_id, score) of names with token-set similarity of at least
-    `least`, among those that share a word; words in every other name meet all of
-    their kind, so names are first made distinct by their cleaned form."""
+    """(left_id, right_id, score) of all names with token-set similarity of `least` or
+    more, whether they share a word or not. Names are compared once for each cleaned form."""
     a = left.select(F.col("id").alias("left_id"), T.clean_text(F.col("name")).alias("a"))
     b = right.select(F.col("id").alias("right_id"), T.clean_text(F.col("name")).alias("b"))
-    word = lambda d, c: d.select(c).distinct().select(c, F.explode(F.array_distinct(F.split(c, " "))).alias("w")).filter("w <> ''")
-    pairs = word(a, "a").join(word(b, "b"), "w").select("a", "b").distinct()
-    scored = pairs.withColumn("score", S.token_set_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= least)
+    scored = similar_names(a, b, least)
     return scored.join(a, "a").join(b, "b").select("left_id", "right_id", F.round("score", 4).alias("score"))
 
 
@@ -281,7 +279,7 @@ def missing_in_catalog(declared: DataFrame, stored: DataFrame, key: str = "canon
     return a.unionByName(stored.select(key).join(declared.select(key), key, "left_anti").withColumn("side", F.lit("stored")))
 
 
-def similar_stores_topk(names: DataFrame, stores: DataFrame, k: int = 3, least: float = 0.0) -> DataFrame:
+def similar_stores_topk(names: DataFrame, stores: DataFrame, k: int = 3, least: float = 92.0) -> DataFrame:
     """Up to k active stores most similar to each name (id, name)."""
     m = store_similarity_join(names, stores.filter("is_active"), least)
     w = Window.partitionBy("left_id").orderBy(F.desc("score"), "right_id")

@@ -1,6 +1,7 @@
 """The terms most similar to each text, exactly, without a row for every pair.
 
-A block of the catalog goes to every worker as an index from words to terms. Terms
+Texts and catalog are cut into a grid; in each cell a block of the catalog is an index
+from words to terms. Terms
 that share a word with a text are scored outright. Of all others the score has a
 bound (characters in common, whatever their order), computed for the whole block at
 once; they are scored from the highest bound down, until no bound can reach what is
@@ -10,7 +11,6 @@ already found. So the longest common subsequence is taken of a few pairs a text.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import lcs_of
 
-#: Terms of the catalog that a worker holds at a time; a larger catalog is taken in
-#: blocks, one pass over the texts for each.
+#: Terms of the catalog that a task holds at a time.
 BLOCK_TERMS = 20_000
 
 
@@ -111,6 +110,28 @@ class Block:
         return [(-s, i) for s, _, i in ranked[:n]]
 
 
+#: Texts that meet a block of terms at a time.
+SLICE_TEXTS = 50_000
+
+
+def grid(texts: DataFrame, terms: DataFrame, text_key: str, term_key: str, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides cut by a hash of their keys, each slice of texts beside each block of
+    terms: a cell holds at most about SLICE_TEXTS texts and `block` terms, whatever
+    the keys, and nothing goes through the driver but the two counts."""
+    conf, context = texts.sparkSession.conf, texts.sparkSession.sparkContext
+    tasks = max(int(conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism)
+    blocks = max(1, -(-terms.count() // block))
+    slices = max(-(-texts.count() // SLICE_TEXTS), -(-tasks // blocks))
+    part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    cell = ["slice", "block"]
+    # as many partitions as cells (or twice the tasks): slim rows would else be merged to one task
+    n = min(slices * blocks, 2 * tasks) if slices * blocks > tasks else tasks
+    a = texts.withColumns({"slice": part(text_key, slices), "block": every(blocks)}).repartition(n, *cell)
+    b = terms.withColumns({"block": part(term_key, blocks), "slice": every(slices)}).repartition(n, *cell)
+    return a, b, cell
+
+
 def similar_terms(texts: DataFrame, terms: DataFrame, n: int | None, least: float = 0.0, penalty: float = 0.25, block: int = BLOCK_TERMS) -> DataFrame:
     """texts (key, clean, low) against terms (canonical_name, term, kind, ordinal,
     clean, exclude): key, canonical_name, term, kind, ordinal, score.
@@ -119,31 +140,21 @@ def similar_terms(texts: DataFrame, terms: DataFrame, n: int | None, least: floa
     `least` and more (n None). Terms of whose `exclude` texts one stands in `low`
     play no part. Null keys give no row. All terms count, whatever their number.
     """
-    spark = texts.sparkSession
-    blocks = max(1, -(-terms.count() // block))
-    schema = "key string, canonical_name string, term string, kind string, ordinal int, score double"
-    texts, out = spread(texts.select("key", "clean", "low")), None
-    for k in range(blocks):
-        own = terms.filter(F.pmod(F.xxhash64("canonical_name"), F.lit(blocks)) == k)
-        rows = [tuple(r) for r in own.select("canonical_name", "term", "kind", "ordinal", F.coalesce("clean", F.lit("")), "exclude").collect()]  # about `block` rows
-        shared = spark.sparkContext.broadcast(rows)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Block(shared.value, penalty)
-            for batch in batches:
-                cols: list[list] = [[] for _ in range(6)]
-                for key, clean, low in zip(*(batch.column(c).to_pylist() for c in ("key", "clean", "low"))):
-                    if key is None:
-                        continue
-                    for score, i in index.best(clean or "", low or "", n, least):
-                        for col, x in zip(cols, (key, *index.rows[i][:4], score)):
-                            col.append(x)
-                types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["key", "canonical_name", "term", "kind", "ordinal", "score"])
-
-        part = texts.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if blocks == 1 or n is None:
+    def run(own: pa.Table, far: pa.Table) -> pa.Table:
+        cols: list[list] = [[] for _ in range(6)]
+        if own.num_rows and far.num_rows:
+            index = Block(list(zip(*(far.column(c).to_pylist() for c in ("canonical_name", "term", "kind", "ordinal", "clean", "exclude")))), penalty)
+            for key, clean, low in zip(*(own.column(c).to_pylist() for c in ("key", "clean", "low"))):
+                for score, i in index.best(clean or "", low or "", n, least):
+                    for col, x in zip(cols, (key, *index.rows[i][:4], score)):
+                        col.append(x)
+        types = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types)], ["key", "canonical_name", "term", "kind", "ordinal", "score"])
+
+    own = terms.select("canonical_name", "term", "kind", "ordinal", F.coalesce("clean", F.lit("")).alias("clean"), "exclude")
+    a, b, cell = grid(texts.select("key", "clean", "low").filter("key is not null"), own, "key", "canonical_name", block)
+    out = a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInArrow(run, "key string, canonical_name string, term string, kind string, ordinal int, score double")
+    if n is None:
         return out
     w = Window.partitionBy("key").orderBy(F.desc("score"), "canonical_name")
     return out.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= n).drop("k")
