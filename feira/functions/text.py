@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,8 +48,20 @@ ERROR_CLASSES = (
     ("AntiBot", ("forbidden", "403", "cloudflare")),
 )
 PERMANENT = ("LayoutChanged", "AntiBot")
-_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Characters that decompose into one character and marks, and those characters;
+    then the marks alone, which go."""
+    def base(c: str) -> str:
+        return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+    found = {c: base(c) for c in map(chr, range(0xA0, 0x10000)) if not 0xD800 <= ord(c) < 0xE000}
+    one = [c for c, x in found.items() if len(x) == 1 and x != c]
+    return "".join(one) + "".join(c for c, x in found.items() if not x), "".join(found[c] for c in one)
+
+
+_ACCENTED, _PLAIN = _plain_letters()
 
 
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
@@ -61,7 +74,8 @@ def contains_any(text: Column, terms: tuple[str, ...] | list[str]) -> Column:
 
 
 def deaccent(text: Column) -> Column:
-    """Latin letters without their marks; other characters as they are."""
+    """Letters without their marks, by compatible decomposition. Characters that
+    decompose into several (ligatures, syllables) stay as they are."""
     return F.translate(text, _ACCENTED, _PLAIN)
 
 
@@ -71,8 +85,8 @@ def clean_text(text: Column) -> Column:
 
 
 def normalize_store_name(name: Column) -> Column:
-    """Upper case, then everything but A-Z and 0-9 away (upper case comes first)."""
-    return F.regexp_replace(F.upper(name), "[^A-Z0-9]", "")
+    """Upper case, then everything but A-Z, 0-9 and the space away (upper case comes first)."""
+    return F.regexp_replace(F.upper(name), "[^A-Z0-9 ]", "")
 
 
 def normalize_price(price: Column, unit: Column) -> Column:

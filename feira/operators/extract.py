@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .match import extract_brand
 from .similar import spread
 
 #: Words that make a flyer line no product line.
@@ -20,6 +21,8 @@ STOP_WORDS = ("somente", "sexta", "sábado", "sabado", "domingo", "estoque", "li
               "preco", "promoção", "promocao", "confira", "apenas", "www", "http", "facebook", "instagram", "whatsapp", "telefone", "celular", "sac", "não", "nao",
               "nº", "numero", "número", "página", "pagina", "encarte", "folheto", "ofertas", "parcele", "cartão", "cartao", "crédito", "credito", "débito", "debito",
               "dinheiro", "total", "subtotal", "desconto", "economize", "condições", "condicoes", "geral")
+#: Fixed value: a line that stands in the place of a product.
+PLACEHOLDER = r"(?imu)^\s*lançamento\s*$"
 #: Fixed values: (pattern, kind, confidence) of address clues.
 ADDRESSES = (
     (r"(?iu)(?:R\.|Rua|Av\.|Avenida|Al\.|Alameda|Travessa|Trav\.|Praça|Pça\.|Estrada|Rodovia)\s+[^,;\n]+,\s*\d+\s*,?\s*[^,;\n]*", "rua_com_numero", 10.0),
@@ -75,36 +78,80 @@ def parse_flyer_lines(lines: DataFrame) -> DataFrame:
     return g.filter("out").select("id", "pos", "product", "price", T.extract_unit(F.col("product")).alias("unit"), F.coalesce("held", F.lit("")).alias("validity_raw"))
 
 
+def _get(v, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, path, kind)
+
+
+def _kind(v: Column) -> Column:
+    """OBJECT, ARRAY, STRING, BOOLEAN, VOID or NUMBER; null where nothing is."""
+    k = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    return F.when(k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), "NUMBER").otherwise(k)
+
+
+def _holds(v: Column) -> Column:
+    """Is a JSON value there, and not null, false, zero or empty?"""
+    text = F.to_json(v)
+    return F.coalesce(F.when(_kind(v) == "NUMBER", _get(v, "$", "double") != 0).otherwise(~text.isin("null", "false", '""', "[]", "{}")), F.lit(False))
+
+
+def _strip(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def jsonld_products(pages: DataFrame) -> DataFrame:
-    """pages (id, html) -> id, name, price of JSON-LD item lists; the low price first,
-    then the price; rows without a name or a positive price, and placeholder names
-    (with braces) go."""
-    block = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1)))
-    blocks = pages.select("id", block.alias("block"))
-    schema = ("struct<`@type`:string,itemListElement:array<struct<name:string,offers:struct<lowPrice:string,price:string>,"
-              "item:struct<name:string,offers:struct<lowPrice:string,price:string>>>>>")
-    x = blocks.select("id", F.from_json("block", schema).alias("j")).filter("j.`@type` = 'ItemList'").select("id", F.explode("j.itemListElement").alias("e"))
-    price = F.coalesce(*[F.col(c).try_cast("double") for c in ("e.item.offers.lowPrice", "e.item.offers.price", "e.offers.lowPrice", "e.offers.price")])
-    return x.select("id", F.trim(F.coalesce("e.item.name", "e.name")).alias("name"), price.alias("price")).filter("name <> '' and price > 0").filter(~F.col("name").contains("{{"))
+    """pages (id, html) -> id, name, price, unit of the items of JSON-LD item lists: the
+    low price unless it is absent or zero, else the price; numbers above 0 only. An item
+    without a name or a price is passed over, as is one with a line that is only the
+    placeholder. One of another shape (a string for a price, a list of offers) ends its
+    block, the items before it stay. A block that is no JSON object gives nothing."""
+    block = F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<script\s+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)))
+    j = pages.select("id", block.alias("block")).withColumn("j", F.try_parse_json(F.trim("block")))
+    j = j.filter(_get(F.col("j"), "$['@type']", "string") == "ItemList").select("id", F.monotonically_increasing_id().alias("block"), F.posexplode(_get(F.col("j"), "$.itemListElement", "array<variant>")).alias("at", "e"))
+    x = j.select("id", "block", "at", "e", _get(F.col("e"), "$.item").alias("item")).withColumns({"n": _get(F.col("item"), "$.name"), "o": _get(F.col("item"), "$.offers")})
+    x = x.withColumn("p", F.when(_holds(_get(F.col("o"), "$.lowPrice")), _get(F.col("o"), "$.lowPrice")).otherwise(_get(F.col("o"), "$.price")))
+    other = lambda c, kind: F.coalesce(_kind(F.col(c)) != kind, F.lit(False))
+    named = _holds(F.col("n"))
+    bad = other("e", "OBJECT") | other("item", "OBJECT") | (named & (other("n", "STRING") | other("o", "OBJECT") | (_holds(F.col("p")) & other("p", "NUMBER"))))
+    end = F.min(F.when(bad, F.col("at"))).over(Window.partitionBy("block"))
+    x = x.withColumn("end", end).filter(F.col("end").isNull() | (F.col("at") < F.col("end")))
+    name = _strip(_get(F.col("n"), "$", "string"))
+    x = x.select("id", name.alias("name"), _get(F.col("p"), "$", "double").alias("price"))
+    return x.filter("name <> '' and price > 0").filter(~F.regexp_like("name", F.lit(PLACEHOLDER))).withColumn("unit", T.extract_unit(F.col("name")))
 
 
 def shopify_products(responses: DataFrame) -> DataFrame:
-    """responses (id, json) -> id, name, price, variant: the first available variant,
-    else the first; positive prices only."""
-    schema = "struct<products:array<struct<title:string,vendor:string,variants:array<struct<title:string,price:string,available:boolean>>>>>"
-    x = responses.select("id", F.explode(F.from_json("json", schema)["products"]).alias("p"))
-    v = F.coalesce(F.get(F.filter("p.variants", lambda v: v["available"]), 0), F.get(F.col("p.variants"), 0))
-    return x.select("id", F.col("p.title").alias("name"), F.col("p.vendor").alias("brand"), v["price"].try_cast("double").alias("price"), v["title"].alias("variant")).filter("price > 0")
-
-
-def vtex_offers(responses: DataFrame) -> DataFrame:
-    """responses (id, json array of products) -> a row for each seller's offer with a
-    positive price and stock."""
-    schema = "array<struct<productName:string,brand:string,items:array<struct<name:string,sellers:array<struct<sellerName:string,commertialOffer:struct<Price:double,AvailableQuantity:bigint>>>>>>>"
-    x = responses.select("id", F.explode(F.from_json("json", schema)).alias("p")).select("id", "p.productName", "p.brand", F.explode("p.items").alias("i"))
-    x = x.select("id", "productName", "brand", F.col("i.name").alias("item"), F.explode("i.sellers").alias("s"))
-    return x.select("id", F.coalesce("productName", "item").alias("name"), "item", "brand", F.col("s.sellerName").alias("seller"), F.col("s.commertialOffer.Price").alias("price"),
-                    F.col("s.commertialOffer.AvailableQuantity").alias("quantity")).filter("price > 0 and quantity > 0")
+    """responses (id, json) -> id, name, brand, price, variant, unit: the first variant
+    that is available (or doesn't say), else the first; positive prices, as numbers or
+    as strings, and titles that are not blank only."""
+    v = _get(F.try_parse_json("json"), "$.products", "array<variant>")
+    x = responses.select("id", F.explode(v).alias("p"))
+    x = x.select("id", _strip(_get(F.col("p"), "$.title", "string")).alias("name"), _strip(F.coalesce(_get(F.col("p"), "$.vendor", "string"), F.lit(""))).alias("brand"), _get(F.col("p"), "$.variants", "array<variant>").alias("v"))
+    free = lambda e: _get(e, "$.available").isNull() | _holds(_get(e, "$.available"))
+    x = x.withColumn("v", F.coalesce(F.get(F.filter("v", free), 0), F.get(F.col("v"), 0)))
+    price = F.trim(_get(F.col("v"), "$.price", "string")).try_cast("double")
+    return x.select("id", "name", "brand", price.alias("price"), _get(F.col("v"), "$.title", "string").alias("variant"), T.extract_unit(F.col("name")).alias("unit")).filter("name <> '' and price > 0")
+
+
+def vtex_offers(responses: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """responses (id, json array of products; with a catalog: ingredient, what was asked
+    for) -> a row for each seller's offer with a positive price and stock: name (the
+    item's complete name, its name, or the product's), brand (the ingredient's that the
+    name holds, else the declared one), unit, validity_raw, seller, price, quantity."""
+    first = lambda *c: F.coalesce(*[F.when(_holds(x), _get(x, "$", "string")) for x in c])
+    p, i, s = F.col("p"), F.col("i"), F.col("s")
+    asked = ["ingredient"] if catalog is not None else []
+    x = responses.select("id", *asked, F.explode(_get(F.try_parse_json("json"), "$", "array<variant>")).alias("p"))
+    x = x.select("id", *asked, "p", F.explode(_get(p, "$.items", "array<variant>")).alias("i"))
+    x = x.select("id", *asked, F.coalesce(first(_get(i, "$.nameComplete"), _get(i, "$.name"), _get(p, "$.productName")), F.lit("")).alias("name"),
+                 F.coalesce(_get(p, "$.brand", "string"), F.lit("")).alias("brand"), F.explode(_get(i, "$.sellers", "array<variant>")).alias("s"))
+    price = F.when(_kind(_get(s, "$.commertialOffer.Price")) == "NUMBER", _get(s, "$.commertialOffer.Price", "double"))
+    x = x.select("id", *asked, "name", "brand", _get(s, "$.sellerName", "string").alias("seller"), price.alias("price"), _get(s, "$.commertialOffer.AvailableQuantity", "long").alias("quantity"),
+                 F.coalesce(_get(s, "$.commertialOffer.priceValidUntil", "string"), F.lit("")).alias("validity_raw"), T.extract_unit(F.col("name")).alias("unit")).filter("price > 0 and quantity > 0")
+    if catalog is None:
+        return x
+    held = extract_brand(x.select(F.col("name").alias("raw_product"), "ingredient").distinct(), catalog, default=None).filter("brand is not null")
+    held = held.select(F.col("raw_product").alias("name"), "ingredient", F.col("brand").alias("held"))
+    return x.join(held, ["name", "ingredient"], "left").withColumn("brand", F.coalesce("held", "brand")).drop("held", "ingredient")
 
 
 def extract_addresses(texts: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Entity resolution: product text to catalog ingredient, brand and route.
 
-Texts are made distinct before they are compared. Exact hits come from a join on
-words and stretches of three letters; similarity is only computed for what nothing
+Texts are made distinct before they are compared. Exact hits come from an automaton
+over all terms (contain.py) and a join on words; similarity is only computed for what nothing
 names exactly, and then of few pairs (see similar.py). A catalog of any size is
 taken whole, in blocks.
 """
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from .contain import contained, least_contained
 from .similar import BLOCK_TERMS, similar_terms
 
 
@@ -66,18 +67,18 @@ def match_exact(product: Column, term: Column, kind: Column) -> Column:
 
 
 def catalog_match_join(products: DataFrame, catalog: DataFrame, exclude: bool) -> DataFrame:
-    """Distinct texts with the terms that may name them exactly: those of which the
-    first three letters stand in the text, and names of which the longest word does
-    (accents folded). No term that match_exact takes is missing."""
-    texts, terms = products.select("raw_product").distinct(), alias_terms(catalog)
+    """Distinct texts with the terms that may name them exactly: those that stand in
+    the text (accents folded), and names of which the longest word does. No term that
+    match_exact takes is missing."""
     fold = lambda c: T.deaccent(F.upper(c))
-    words = lambda c: F.filter(F.split(fold(c), r"\s+"), lambda w: w != "")
-    text, n = fold(F.col("raw_product")), F.length("raw_product")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array(*[text.substr(i, F.lit(k)) for k in (1, 2, 3)])))
-    keys = F.array_distinct(F.concat(grams, F.transform(words(F.col("raw_product")), lambda w: F.concat(F.lit("word "), w))))
-    longest = F.aggregate(words(F.col("term")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    own = F.array_compact(F.array(F.substring(fold(F.col("term")), 1, 3), F.when((F.col("kind") == "name") & (F.size(words(F.col("term"))) > 1), F.concat(F.lit("word "), longest))))
-    j = texts.filter("raw_product is not null").withColumn("key", F.explode(keys)).join(terms.withColumn("key", F.explode(own)), "key").drop("key")
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    texts = products.select("raw_product").filter("raw_product is not null").distinct().withColumn("text", fold(F.col("raw_product")))
+    terms = alias_terms(catalog).withColumn("folded", fold(F.col("term")))
+    inside = contained(texts.select("text"), terms.select(F.col("folded").alias("term"))).select("text", F.col("term").alias("folded"))
+    longest = F.aggregate(words(F.col("folded")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    several = terms.filter((F.col("kind") == "name") & (F.size(words(F.col("folded"))) > 1)).select("folded", longest.alias("word"))
+    by_word = texts.select("text", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(several.distinct(), "word").select("text", "folded")
+    j = texts.join(inside.unionByName(by_word).distinct(), "text").join(terms, "folded").drop("text", "folded")
     if exclude and "exclude_terms" in catalog.columns:
         j = j.filter(~T.excluded_terms(F.col("raw_product"), F.col("exclude_terms")))
     return j
@@ -238,16 +239,20 @@ def catalog_search(queries: DataFrame, catalog: DataFrame, least: float = 60.0)
 
 def resolve_store(items: DataFrame, stores: DataFrame) -> DataFrame:
     """items (id, store_name) with store_id: exact name, else equal without case and
-    accents, else one name inside the other (among names that share a word); ties
-    to the smallest id."""
+    accents, else one name inside the other, wherever; ties to the smallest id. A
+    blank name stands in every name. A null one resolves to nothing."""
     fold = lambda c: T.deaccent(F.lower(F.trim(c)))
     s = stores.select(F.col("id").alias("sid"), F.col("name").alias("sname"), fold(F.col("name")).alias("sfold"))
-    i = items.select("store_name").distinct().withColumn("fold", fold(F.col("store_name")))
+    i = items.select("store_name").filter("store_name is not null").distinct().withColumn("fold", fold(F.col("store_name")))
     exact = i.join(s, F.col("store_name") == F.col("sname")).select("store_name", "sid", F.lit(1).alias("rank"))
     same = i.join(s, F.col("fold") == F.col("sfold")).select("store_name", "sid", F.lit(2).alias("rank"))
-    w = lambda d, c, k: d.withColumn("word", F.explode(F.array_distinct(F.split(c, r"\s+"))))
-    part = w(i, "fold", "i").join(w(s, "sfold", "s"), "word").filter(F.col("fold").contains(F.col("sfold")) | F.col("sfold").contains(F.col("fold"))).select("store_name", "sid", F.lit(3).alias("rank"))
-    best = exact.unionByName(same).unionByName(part).groupBy("store_name").agg(F.min(F.struct("rank", "sid")).alias("b"))
+    others = s.select(F.col("sfold").alias("other"), F.col("sid").alias("id"))
+    inside = reduce(DataFrame.unionByName, least_contained(i.select(F.col("fold").alias("name")), others))
+    sid = dict(s.dtypes)["sid"]
+    part = i.join(inside, F.col("fold") == F.col("name")).select("store_name", F.col("id").cast(sid).alias("sid"), F.lit(3).alias("rank"))
+    blank = s.agg(F.min("sid").alias("any"), F.min(F.when(F.col("sfold") == "", F.col("sid"))).alias("blank"))  # one row
+    every = i.crossJoin(F.broadcast(blank)).select("store_name", F.when(F.col("fold") == "", F.col("any")).otherwise(F.col("blank")).alias("sid"), F.lit(3).alias("rank")).filter("sid is not null")
+    best = reduce(DataFrame.unionByName, (exact, same, part, every)).groupBy("store_name").agg(F.min(F.struct("rank", "sid")).alias("b"))
     return items.join(best.select("store_name", F.col("b.sid").alias("store_id")), "store_name", "left")
 
 

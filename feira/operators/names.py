@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -35,63 +35,49 @@ def gram_length(least: float) -> int:
     return 3 if least >= 90 else 2
 
 
-def _words(name: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(name, " "), lambda w: w != ""))
-
-
-def grams(name: Column, q: int) -> Column:
-    """The grams of a cleaned name, numbered where one occurs again."""
-    pad = F.transform(_words(name), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    found = F.flatten(F.transform(pad, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - q + 1), lambda i: F.substring(w, i, F.lit(q)))))
-    return F.transform(found, lambda p, i: F.concat(p, F.size(F.filter(F.slice(found, 1, i), lambda q: q == p)).cast("string")))
-
-
-def needed(name: Column, least: float) -> Column:
-    """Grams that a name has in common with any that it must meet as the shorter one,
-    or as the one mostly inside the other."""
-    q, size = gram_length(least), _size(name)
-    across = F.size(_words(name)) - 1 if q == 3 else F.lit(0)
-    alike = 2 * size * (least / 200 - (q - 1) * (1 - least / 100)) - (q - 1)
-    inside = size * (least / (200 - least)) + (1 if q == 2 else 0)
-    return F.ceil(F.least(alike, inside) - across - 1e-9)
+def prepared(names: DataFrame, least: float) -> DataFrame:
+    """Distinct names (name) with their grams, numbered where one occurs again, and
+    needed: how many of these a name has in common with any that it must meet as the
+    shorter one, or as the one mostly inside the other."""
+    q = gram_length(least)
+    d = names.filter(F.trim("name") != "").distinct().withColumn("words", F.array_distinct(F.filter(F.split("name", " "), lambda w: w != "")))
+    d = d.withColumn("size", F.length(F.array_join("words", " ")))
+    pad = F.transform("words", lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    d = d.withColumn("found", F.flatten(F.transform(pad, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - q + 1), lambda i: F.substring(w, i, F.lit(q))))))
+    alike = 2 * F.col("size") * (least / 200 - (q - 1) * (1 - least / 100)) - (q - 1)
+    inside = F.col("size") * (least / (200 - least)) + (1 if q == 2 else 0)
+    across = F.size("words") - 1 if q == 3 else F.lit(0)
+    numbered = F.transform("found", lambda g, i: F.concat(g, F.size(F.filter(F.slice("found", 1, i), lambda x: x == g)).cast("string")))
+    return d.select("name", numbered.alias("grams"), F.ceil(F.least(alike, inside) - across - 1e-9).alias("needed"))
 
 
 def by_grams(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Candidates (a, b) for the names of a and of b that meet on rare grams of the
-    one or the other; a, b: distinct cleaned names in a column of that name."""
-    sides = {c: d.select(F.col(c).alias("name"), F.explode(grams(F.col(c), gram_length(least))).alias("gram")) for c, d in (("a", a), ("b", b))}
+    """Candidates (a, b) for the prepared names of a and of b that meet on rare grams
+    of the one or the other."""
+    sides = {c: d.select("name", "needed", F.explode("grams").alias("gram")) for c, d in (("a", a), ("b", b))}
     often = reduce(DataFrame.unionByName, sides.values()).groupBy("gram").agg(F.count("*").alias("n"))
     rare = {}
     for c, side in sides.items():
-        ranked = side.join(often, "gram").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+        ranked = side.join(often, "gram").groupBy("name", "needed").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("grams"))
         # the rest, without these, is one gram short of what is needed
-        n = F.size("grams") - needed(F.col("name"), least) + 1
-        some = ranked.filter(needed(F.col("name"), least) >= 1)
-        rare[c] = some.select("name", F.explode(F.slice("grams", 1, F.greatest(n, F.lit(1)).cast("int"))).alias("x")).select("name", "x.gram")
-    one = rare["a"].withColumnRenamed("name", "a").join(sides["b"].withColumnRenamed("name", "b"), "gram")
-    two = sides["a"].withColumnRenamed("name", "a").join(rare["b"].withColumnRenamed("name", "b"), "gram")
-    return one.select("a", "b").unionByName(two.select("a", "b")).distinct()
-
-
-def _size(name: Column) -> Column:
-    """Characters of a name's distinct words with single spaces between."""
-    return F.length(F.array_join(_words(name), " "))
+        first = F.greatest(F.size("grams") - F.col("needed") + 1, F.lit(1)).cast("int")
+        rare[c] = ranked.filter("needed >= 1").select("name", F.explode(F.slice("grams", 1, first)).alias("x")).select(F.col("name").alias(c), "x.gram")
+    all_ = {c: side.select(F.col("name").alias(c), "gram") for c, side in sides.items()}
+    return rare["a"].join(all_["b"], "gram").select("a", "b").unionByName(all_["a"].join(rare["b"], "gram").select("a", "b")).distinct()
 
 
 def similar_names(left: DataFrame, right: DataFrame, least: float, block: int = BLOCK_TERMS) -> DataFrame:
     """(a, b, score) of distinct cleaned names (columns a of left, b of right) with a
     score of `least` (above 0) or more. Null and empty names are like nothing."""
-    some = lambda d, c: d.select(c).filter(F.trim(c) != "").distinct()
-    a, b = some(left, "a"), some(right, "b")
-    few = lambda c: needed(F.col(c), least) < 1
-    blank = F.array().cast("array<string>")
-    texts = lambda d, c: d.select(F.col(c).alias("key"), F.col(c).alias("clean"), F.lit("").alias("low"))
-    terms = lambda d, c: d.select(F.col(c).alias("canonical_name"), F.col(c).alias("term"), F.lit("name").alias("kind"), F.lit(0).alias("ordinal"), F.col(c).alias("clean"), blank.alias("exclude"))
+    a, b = (prepared(d.select(F.col(c).alias("name")), least) for d, c in ((left, "a"), (right, "b")))
+    few = F.col("needed") < 1
+    texts = lambda d: d.select(F.col("name").alias("key"), F.col("name").alias("clean"), F.lit("").alias("low"))
+    terms = lambda d: d.select(F.col("name").alias("canonical_name"), F.col("name").alias("term"), F.lit("name").alias("kind"), F.lit(0).alias("ordinal"), F.col("name").alias("clean"), F.array().cast("array<string>").alias("exclude"))
     pair = lambda d, x, y: d.select(F.col("key").alias(x), F.col("canonical_name").alias(y), "score").select("a", "b", "score")
-    # a short name may meet any: as a text against all of b, and as a term against the longer ones of a
-    out = [pair(similar_terms(texts(a.filter(few("a")), "a"), terms(b, "b"), None, least, 0.0, block), "a", "b"),
-           pair(similar_terms(texts(b.filter(few("b")), "b"), terms(a.filter(~few("a")), "a"), None, least, 0.0, block), "b", "a")]
-    if least > 200 / 3:  # below, every name is among the few
-        scored = by_grams(a.filter(~few("a")), b.filter(~few("b")), least).withColumn("score", F.round(S.token_set_ratio(F.col("a"), F.col("b")), 6))
-        out.append(scored.filter(F.col("score") >= least))
-    return reduce(DataFrame.unionByName, out)
+    if least <= 200 / 3:  # every name is among the few
+        return pair(similar_terms(texts(a), terms(b), None, least, 0.0, block), "a", "b")
+    # a short name may meet any: as a text against all of b, and as one against the longer ones of a
+    short = pair(similar_terms(texts(a.filter(few)), terms(b), None, least, 0.0, block), "a", "b").unionByName(
+        pair(similar_terms(texts(b.filter(few)), terms(a.filter(~few)), None, least, 0.0, block), "b", "a"))
+    scored = by_grams(a.filter(~few), b.filter(~few), least).withColumn("score", F.round(S.token_set_ratio(F.col("a"), F.col("b")), 6))
+    return short.unionByName(scored.filter(F.col("score") >= least))

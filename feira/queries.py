@@ -678,7 +678,7 @@ def clean_text(s, d):
     return bind.prices(s, d).select("id", T.clean_text(F.col("raw_product")).alias("clean"))
 
 
-@query("SELECT id, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS normalized_name FROM stores")
+@query("SELECT id, regexp_replace(upper(name), '[^A-Z0-9 ]', '', 'g') AS normalized_name FROM stores")
 def normalize_store_name(s, d):
     return bind.stores(s, d).select("id", T.normalize_store_name(F.col("name")).alias("normalized_name"))
 
@@ -766,7 +766,7 @@ def embedding_similarity(s, d):
     return out.withColumn("similarity", F.round("similarity", 6))
 
 
-@query(""", n AS (SELECT id, is_active, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') AS n FROM stores),
+@query(""", n AS (SELECT id, is_active, regexp_replace(upper(name), '[^A-Z0-9 ]', '', 'g') AS n FROM stores),
 asked AS (SELECT id, n FROM n UNION ALL SELECT id + 1000000, 'X' || n FROM n WHERE id % 3 = 0)
 SELECT a.id AS a_id, b.id AS b_id, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 6) AS similarity FROM asked a JOIN n b ON is_active WHERE similarity >= 0.7 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC, b.id) <= 3""")
 def find_similar_store(s, d):

@@ -27,37 +27,52 @@ def _orders(lines: DataFrame, item, key: str) -> DataFrame:
 _JOIN = "FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
 
 
-@query(f"""SELECT l_orderkey AS id, p_name || ' ' || p_brand AS name, CASE WHEN l_linenumber % 2 = 1 THEN l_extendedprice - 1 ELSE l_extendedprice END AS price {_JOIN}
-WHERE l_suppkey % 4 <> 1 AND l_partkey % 9 <> 0""")
+@query(f"""SELECT l_orderkey AS id, CASE WHEN l_partkey % 9 = 1 THEN 'Kit {{{{2}}}} ' ELSE '' END || p_name || ' ' || p_brand AS name, CASE WHEN l_linenumber % 3 = 1 THEN l_extendedprice + 1 ELSE l_extendedprice END AS price {_JOIN}
+WHERE (l_linenumber % 3 = 1 OR l_suppkey % 4 <> 1) AND l_partkey % 9 <> 0 AND l_suppkey % 11 <> 0 AND l_orderkey % 13 <> 0""")
 def jsonld_products(s, d):
-    # odd lines stand under item, with a low price; some have no price, some a placeholder for a name
-    price = F.when(F.col("stock") != 1, F.col("price").cast("string")).otherwise("0")
-    name = F.when(F.col("l_partkey") % 9 == 0, "{{name}}").otherwise(F.concat_ws(" ", "p_name", "p_brand"))
-    low = F.when((F.col("l_linenumber") % 2 == 1) & (F.col("stock") != 1), (F.col("price") - 1).cast("string"))
-    own = F.struct(name.alias("name"), F.struct(low.alias("lowPrice"), price.alias("price")).alias("offers"))
-    item = F.struct(F.when(F.col("l_linenumber") % 2 == 0, name).alias("name"), F.when(F.col("l_linenumber") % 2 == 0, own["offers"]).alias("offers"), F.when(F.col("l_linenumber") % 2 == 1, own).alias("item"))
+    # low prices, those of zero and none; prices of zero; placeholders and braces in names; items that only name themselves; prices as text, which end a block
+    own = F.when(F.col("stock") != 1, F.col("price")).otherwise(0.0)
+    low = F.when(F.col("l_linenumber") % 3 == 1, F.col("price") + 1).when(F.col("l_linenumber") % 3 == 0, 0.0)
+    name = F.when(F.col("l_partkey") % 9 == 0, " Lançamento\n\n").otherwise(F.concat(F.when(F.col("l_partkey") % 9 == 1, "Kit {{2}} ").otherwise(""), F.concat_ws(" ", "p_name", "p_brand")))
+    part = F.col("l_suppkey") % 11 == 0
+    text = F.col("l_orderkey") % 13 == 0
+    offers = F.struct(F.when(~text, low).alias("lowPrice"), F.when(~text, own).alias("price"))
+    item = F.struct(F.when(part, name).alias("name"), F.when(~part, F.struct(name.alias("name"), offers.alias("offers"))).alias("item"))
+    words = F.struct(F.struct(F.lit("Text").alias("name"), F.struct(F.lit("12.90").alias("price")).alias("offers")).alias("item"))
     p = _orders(_lines(s, d), item, "itemListElement").select("id", F.to_json(F.struct(F.lit("ItemList").alias("@type"), "itemListElement")).alias("json"))
+    p = p.withColumn("json", F.when(F.col("id") % 13 == 0, F.to_json(F.struct(F.lit("ItemList").alias("@type"), F.array(words).alias("itemListElement")))).otherwise(F.col("json")))
     html = F.concat(F.lit('<html><script type="application/ld+json">{"@type": "WebSite"}</script><script type="application/ld+json">'), F.col("json"), F.lit("</script></html>"))
-    return X.jsonld_products(p.select("id", html.alias("html")))
+    return X.jsonld_products(p.select("id", html.alias("html"))).select("id", "name", "price")
 
 
 @query(f"""SELECT l_orderkey AS id, p_name AS name, p_brand AS brand, CASE WHEN l_suppkey % 4 = 2 THEN l_extendedprice + 1 ELSE l_extendedprice END AS price, CASE WHEN l_suppkey % 4 = 2 THEN 'large' ELSE 'small' END AS variant {_JOIN}
-WHERE l_suppkey % 4 <> 1""")
+WHERE l_suppkey % 4 <> 1 AND l_partkey % 9 <> 0""")
 def shopify_products(s, d):
-    # the second variant is the available one for a quarter of the products, and for another quarter nothing costs anything
+    # the second variant is the available one for a quarter of the products, another quarter doesn't say, one costs nothing; blank titles
     price = F.when(F.col("stock") == 1, F.lit(0.0)).otherwise(F.col("price"))
     v = lambda title, p, ok: F.struct(F.lit(title).alias("title"), p.cast("string").alias("price"), ok.alias("available"))
-    item = F.struct(F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), F.array(v("small", price, F.col("stock") == 3), v("large", price + F.when(F.col("stock") == 1, 0).otherwise(1), F.col("stock") == 2)).alias("variants"))
-    return X.shopify_products(_orders(_lines(s, d), item, "products").select("id", F.to_json(F.struct("products")).alias("json")))
+    small = F.when(F.col("stock") == 2, False).when(F.col("stock") == 3, True)
+    title = F.when(F.col("l_partkey") % 9 == 0, " \n").otherwise(F.concat(F.lit(" "), "p_name"))
+    item = F.struct(title.alias("title"), F.col("p_brand").alias("vendor"), F.array(v("small", price, small), v("large", price + F.when(F.col("stock") == 1, 0).otherwise(1), F.lit(True))).alias("variants"))
+    return X.shopify_products(_orders(_lines(s, d), item, "products").select("id", F.to_json(F.struct("products")).alias("json"))).select("id", "name", "brand", "price", "variant")
+
+
+_OFFER = """CASE l_partkey % 3 WHEN 0 THEN p_name || ' ' || p_brand || ' 1kg' WHEN 1 THEN p_brand ELSE p_name END AS name, CASE WHEN l_partkey % 3 < 2 THEN p_brand ELSE 'declared' END AS brand, CASE WHEN l_partkey % 3 = 0 THEN '1kg' ELSE '' END AS unit"""
 
 
-@query(f"""SELECT l_orderkey AS id, p_name AS name, p_brand AS item, s_name AS seller, l_extendedprice AS price, l_suppkey % 4 AS quantity {_JOIN} WHERE l_suppkey % 4 > 0
-UNION ALL SELECT l_orderkey, p_name, p_brand, 'other', l_extendedprice + 2, 5 {_JOIN} WHERE l_partkey % 2 = 0""")
+@query(f"""SELECT l_orderkey AS id, {_OFFER}, s_name AS seller, l_extendedprice AS price, l_suppkey % 4 AS quantity, '2026-05-01' AS validity_raw {_JOIN} WHERE l_suppkey % 4 > 0
+UNION ALL SELECT l_orderkey, {_OFFER}, 'other', l_extendedprice + 2, 5, '' {_JOIN} WHERE l_partkey % 2 = 0""")
 def vtex_offers(s, d):
-    seller = lambda name, price, n: F.struct(name.alias("sellerName"), F.struct(price.alias("Price"), n.cast("long").alias("AvailableQuantity")).alias("commertialOffer"))
-    sellers = F.array(seller(F.col("s_name"), F.col("price"), F.col("stock")), seller(F.lit("other"), F.when(F.col("l_partkey") % 2 == 0, F.col("price") + 2).otherwise(0.0), F.lit(5)))
-    item = F.struct(F.col("p_name").alias("productName"), F.lit("b").alias("brand"), F.array(F.struct(F.col("p_brand").alias("name"), sellers.alias("sellers"))).alias("items"))
-    return X.vtex_offers(_orders(_lines(s, d), item, "p").select("id", F.to_json("p").alias("json"))).select("id", "name", "item", "seller", "price", "quantity")
+    offer = lambda price, n, until: F.struct(price.alias("Price"), n.cast("long").alias("AvailableQuantity"), until.alias("priceValidUntil"))
+    seller = lambda name, o: F.struct(name.alias("sellerName"), o.alias("commertialOffer"))
+    sellers = F.array(seller(F.col("s_name"), offer(F.col("price"), F.col("stock"), F.lit("2026-05-01"))), seller(F.lit("other"), offer(F.when(F.col("l_partkey") % 2 == 0, F.col("price") + 2).otherwise(0.0), F.lit(5), F.lit(None).cast("string"))))
+    k = F.col("l_partkey") % 3
+    names = F.struct(F.when(k == 0, F.concat_ws(" ", "p_name", "p_brand", F.lit("1kg"))).alias("nameComplete"), F.when(k == 1, F.col("p_brand")).when(k == 0, "short").alias("name"), sellers.alias("sellers"))
+    item = F.struct(F.col("p_name").alias("productName"), F.lit("declared").alias("brand"), F.array(names).alias("items"))
+    lines = _lines(s, d)
+    answers = _orders(lines, item, "p").select("id", F.to_json("p").alias("json"), F.lit("any").alias("ingredient"))
+    catalog = bind.read_table(s, d, "part").select(F.lit("any").alias("canonical_name"), "p_brand").distinct().groupBy("canonical_name").agg(F.array_sort(F.collect_list("p_brand")).alias("brands"))
+    return X.vtex_offers(answers, catalog).select("id", "name", "brand", "unit", "seller", "price", "quantity", "validity_raw")
 
 
 @query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'Rua das Flores, ' || c_custkey WHEN 1 THEN 'CEP 11010-123' WHEN 2 THEN 'Tel 1398765-4321; Vila Nova' END AS address,
@@ -161,8 +176,8 @@ def mark_flyers(s, d):
 
 
 _NEW = f""", f AS (SELECT o_orderkey AS id, {_NAMES} AS store_name, CASE WHEN o_orderkey % 2 = 0 THEN 'Rua A, 1' END AS address FROM orders WHERE o_custkey % 6 NOT IN (1, 2)),
-n AS (SELECT *, regexp_replace(upper(store_name), '[^A-Z0-9]', '', 'g') AS normalized_name FROM f QUALIFY row_number() OVER (PARTITION BY regexp_replace(upper(store_name), '[^A-Z0-9]', '', 'g') ORDER BY id) = 1),
-new AS (SELECT * FROM n WHERE normalized_name NOT IN (SELECT regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g') FROM supplier) AND normalized_name NOT IN (SELECT regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') FROM customer)) """
+n AS (SELECT *, regexp_replace(upper(store_name), '[^A-Z0-9 ]', '', 'g') AS normalized_name FROM f QUALIFY row_number() OVER (PARTITION BY regexp_replace(upper(store_name), '[^A-Z0-9 ]', '', 'g') ORDER BY id) = 1),
+new AS (SELECT * FROM n WHERE normalized_name NOT IN (SELECT regexp_replace(upper(s_name), '[^A-Z0-9 ]', '', 'g') FROM supplier) AND normalized_name NOT IN (SELECT regexp_replace(upper(c_name), '[^A-Z0-9 ]', '', 'g') FROM customer)) """
 
 
 @query(_NEW + """SELECT store_name AS name, normalized_name, 3 AS tier, 'pending_review' AS status, CASE WHEN address IS NOT NULL THEN 7.0 ELSE 0.0 END AS address_confidence FROM new""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from feira.functions import similarity as S
 from feira.functions import text as T
 from feira.operators import match as H
-from feira.operators import similar
+from feira.operators import contain, similar
 
 CATALOG = "canonical_name string, aliases array<string>, search_terms array<string>, exclude_terms array<string>, brands array<string>"
 
@@ -76,3 +77,31 @@ def test_golden_cases(spark):
     expected = spark.createDataFrame([(str(k), w, w is not None, "x") for k, (_, w) in enumerate(GOLDEN)], "id string, expected string, positive boolean, expected_type string")
     e = H.matcher_eval(found.join(expected, "id").select("positive", "expected", F.col("ingredient").alias("found"), "expected_type", F.col("match_type").alias("found_type"))).first()
     assert min(e["precision"], e["recall"], e["f1"], e["accuracy"]) >= 0.95, e
+
+
+def test_resolve_store_by_containment(spark):
+    r = random.Random(3)
+    parts = ["extra", "hiper", "bom", "é", "pão", "s", "casa", " ", "-", "x"]
+    names = ["Extra", "Hiper", "ra", "Pão", "Bom Preço", "", "Zzz"] + ["".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(60)]
+    asked = ["Hiperextra", "EXTRA", "pao", "PÃO ", "", "  ", "nada", "q"] + ["".join(r.choices(parts, k=r.randint(1, 5))).upper() for _ in range(150)]
+    for drop in (0, 1):  # with and without a blank name among the stores
+        own = [(k + 10, n) for k, n in enumerate(names) if n or not drop]
+        got = {x["store_name"]: x["store_id"] for x in H.resolve_store(spark.createDataFrame([*enumerate(asked), (999, None)], "id long, store_name string"), spark.createDataFrame(own, "id long, name string")).collect()}
+
+        def fold(t):
+            t = unicodedata.normalize("NFKD", t.lower().strip(" "))
+            return "".join(c for c in t if not unicodedata.combining(c))
+
+        for name in asked:
+            tests = (lambda n: n == name, lambda n: fold(n) == fold(name), lambda n: fold(n) in fold(name) or fold(name) in fold(n))
+            assert got[name] == next((min(k for k, n in own if f(n)) for f in tests if any(f(n) for _, n in own)), None), name
+        assert got[None] is None
+
+
+def test_contained_against_brute_force(spark):
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcé ", k=r.randint(0, 12))) for _ in range(120)] + [None]
+    terms = ["".join(r.choices("abcé ", k=r.randint(0, 4))) for _ in range(80)] + [None]
+    for block in (7, 50_000):
+        got = [tuple(x) for x in contain.contained(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in terms], "term string"), block).collect()]
+        assert sorted(got) == sorted({(a, b) for a in texts if a for b in terms if b and b in a})

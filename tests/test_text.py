@@ -54,7 +54,7 @@ def test_is_food_store(spark, name, food):
 
 
 def test_store_name_and_clean_text(spark):
-    assert one(spark, "n string", ("Assaí Atacado",), T.normalize_store_name(F.col("n"))) == "ASSAATACADO"
+    assert one(spark, "n string", ("Assaí Atacado",), T.normalize_store_name(F.col("n"))) == "ASSA ATACADO"
     assert one(spark, "n string", ("Açúcar  União 1kg",), T.clean_text(F.col("n"))) == "ACAR UNIO 1KG"
     assert one(spark, "n string", ("AÇÚCAR",), T.deaccent(F.col("n"))) == "ACUCAR"
 
