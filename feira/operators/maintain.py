@@ -1,8 +1,7 @@
 """Table maintenance: upserts, history, retention, review workflow, store registry.
 
-Tables have no transactions: each operator returns the new state of the tables it
-changes, and `write_state` swaps a partitioned table's affected days in one job
-(one writer at a time).
+Each operator returns the new state of the tables it changes; sources/versions.py
+stores several tables under one version, plans/price_store.py the price tables.
 """
 
 from __future__ import annotations
@@ -32,15 +31,24 @@ def keyed_upsert(table: DataFrame, incoming: DataFrame, keys: list[str]) -> Data
     return table.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming, allowMissingColumns=True)
 
 
+def priced(incoming: DataFrame) -> DataFrame:
+    """The rows of a batch that an upsert takes, one a key, by day."""
+    return dedup_price_rows(incoming.filter(_taken()).withColumn("collected_at", F.to_date("collected_at").cast("timestamp")))
+
+
+def _taken() -> Column:
+    ok = F.col("ingredient_id").isNotNull() & F.col("store_id").isNotNull() & (F.col("raw_price") > 0) & F.col("collected_at").isNotNull()
+    return F.coalesce(ok, F.lit(False))
+
+
 def upsert_prices(table: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(new prices, counts): by (ingredient, store, day), after dedup of the batch.
     Rows without an ingredient, store or positive price fail. The entry's own date
     is kept."""
-    ok = F.col("ingredient_id").isNotNull() & F.col("store_id").isNotNull() & (F.col("raw_price") > 0) & F.col("collected_at").isNotNull()
-    good = dedup_price_rows(incoming.filter(F.coalesce(ok, F.lit(False))).withColumn("collected_at", F.to_date("collected_at").cast("timestamp")))
+    good = priced(incoming)
     keys = ["ingredient_id", "store_id", "collected_at"]
     new = keyed_upsert(table.withColumn("collected_at", F.to_date("collected_at").cast("timestamp")), good, keys)
-    counts = incoming.agg(F.count("*").alias("total"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("failed")).crossJoin(  # one row each
+    counts = incoming.agg(F.count("*").alias("total"), F.count_if(~_taken()).alias("failed")).crossJoin(  # one row each
         F.broadcast(good.agg(F.count("*").alias("inserted"))))
     return new, counts
 
@@ -50,12 +58,6 @@ def append_history(history: DataFrame, upserted: DataFrame) -> DataFrame:
     return keyed_upsert(history, upserted, ["ingredient_id", "store_id", "collected_at"])
 
 
-def write_state(df: DataFrame, path: str, day: str = "collected_day") -> None:
-    """Overwrite only the days that df holds."""
-    (df.withColumn(day, F.to_date("collected_at")).repartition(day).sortWithinPartitions("ingredient_id").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path))
-
-
 #: Days that each table keeps.
 RETENTION = {"prices": 90, "price_history": 90, "scraping_logs": 30, "flyers_failed": 60, "flyers": 180, "review_resolved": 30, "decision_cache": 30, "scraper_health_log": 180}
 

@@ -3,13 +3,16 @@ the form in question and read back through the operator."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import monitor as O
+from .plans import price_store
 from .queries import query
-from .sources import bind, files
+from .sources import bind, files, versions
 from .sources.work import work_path
 from .streaming import jobs
 
@@ -110,11 +113,57 @@ def permanent_streak(s, d):
 @query(_RUNS + "SELECT store_name, streak, streak >= 3 AS disabled FROM streaks")
 def stream_failure_streak(s, d):
     source, out, at = (work_path(s, n) for n in ("runs", "streaks", "state"))
-    runs = _runs(s, d).withColumn("store_name", F.col("store_name").cast("string"))
+    runs = _runs(s, d)
     runs.write.parquet(source)
-    jobs.run_to_table(jobs.stream_failure_streak(s.readStream.schema(runs.schema).parquet(source)), out, at)
-    last = s.read.schema("store_name string, streak int, disabled boolean").parquet(out)
-    return last.select(F.col("store_name").cast("long").alias("store_name"), F.col("streak").cast("long").alias("streak"), "disabled")
+    jobs.run_to_table(jobs.stream_failure_streak(s.readStream.schema(runs.schema).parquet(source), late="3650 days"), out, "streaks", at)
+    return versions.read(s, out, "streaks").select("store_name", F.col("streak").cast("long").alias("streak"), "disabled")
+
+
+# The price tables under versions
+
+_STORED = """, up AS (SELECT *, collected_at::DATE AS day FROM prices WHERE raw_price > 0),
+first AS (SELECT arg_min(id, struct_pack(x := price_per_kg, y := id)) AS id, ingredient_id, store_id, day FROM up WHERE NOT is_promotion GROUP BY 2, 3, 4),
+second AS (SELECT arg_min(id, struct_pack(x := price_per_kg, y := id)) AS id, ingredient_id, store_id, day FROM up WHERE is_promotion GROUP BY 2, 3, 4),
+both_ AS (SELECT * FROM second UNION ALL SELECT * FROM first ANTI JOIN second USING (ingredient_id, store_id, day)) """
+
+
+def _stored(s, d) -> str:
+    """Two batches under versions 1 and 2, the second (promotions) over the first; the
+    second comes twice."""
+    root = work_path(s, "price-store")
+    p = bind.prices(s, d)
+    for k, rows in enumerate((p.filter("not is_promotion"), p.filter("is_promotion"), p.filter("is_promotion"))):
+        price_store.store_prices(s, root, rows, ("batches", min(k, 1)), unit="month")
+    return root
+
+
+@query(_STORED + "SELECT 'prices' AS name, id FROM both_ UNION ALL SELECT 'history', id FROM both_ UNION ALL SELECT 'before', id FROM first")
+def versioned_prices(s, d):
+    root = _stored(s, d)
+    part = lambda name, *a: versions.read(s, root, *a).select(F.lit(name).alias("name"), "id")
+    return part("prices", "prices").unionByName(part("history", "price_history")).unionByName(part("before", "prices", 1))
+
+
+@query(_STORED + ", last AS (SELECT max(day) AS last FROM up) SELECT id, ingredient_id FROM both_, last WHERE day >= last - 400 - 90 AND store_id NOT IN (SELECT id FROM stores WHERE NOT is_active)")
+def versioned_deletes(s, d):
+    # stores that are not active go with their prices, then what is older than the table keeps it
+    root = _stored(s, d)
+    price_store.delete_stores(s, root, bind.stores(s, d).filter("not is_active"))
+    last = bind.read_table(s, d, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0]
+    price_store.retain(s, root, last - dt.timedelta(400))
+    versions.compact(s, root, "prices")
+    versions.vacuum(s, root)
+    return versions.read(s, root, "prices").select("id", "ingredient_id")
+
+
+@query(_STORED + "SELECT id, ingredient_id FROM both_")
+def stream_upsert_prices(s, d):
+    source, root, at = (work_path(s, n) for n in ("price-files", "price-stream", "price-state"))
+    p = bind.prices(s, d)
+    for rows in (p.filter("not is_promotion"), p.filter("is_promotion")):
+        rows.write.mode("append").parquet(source)
+        jobs.stream_upsert_prices(s, source, p.schema, root, at, unit="month")
+    return versions.read(s, root, "prices").select("id", "ingredient_id")
 
 
 @query("SELECT event_id AS id, 'processed' AS status FROM events WHERE event_type <> 'error'")
