@@ -105,17 +105,19 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     placeholder. One of another shape (a string for a price, a list of offers) ends its
     block, the items before it stay. A block that is no JSON object gives nothing."""
     block = F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<script\s+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)))
-    j = pages.select("id", block.alias("block")).withColumn("j", F.try_parse_json(F.trim("block")))
-    j = j.filter(_get(F.col("j"), "$['@type']", "string") == "ItemList").select("id", F.monotonically_increasing_id().alias("block"), F.posexplode(_get(F.col("j"), "$.itemListElement", "array<variant>")).alias("at", "e"))
-    x = j.select("id", "block", "at", "e", _get(F.col("e"), "$.item").alias("item")).withColumns({"n": _get(F.col("item"), "$.name"), "o": _get(F.col("item"), "$.offers")})
-    x = x.withColumn("p", F.when(_holds(_get(F.col("o"), "$.lowPrice")), _get(F.col("o"), "$.lowPrice")).otherwise(_get(F.col("o"), "$.price")))
-    other = lambda c, kind: F.coalesce(_kind(F.col(c)) != kind, F.lit(False))
-    named = _holds(F.col("n"))
-    bad = other("e", "OBJECT") | other("item", "OBJECT") | (named & (other("n", "STRING") | other("o", "OBJECT") | (_holds(F.col("p")) & other("p", "NUMBER"))))
-    end = F.min(F.when(bad, F.col("at"))).over(Window.partitionBy("block"))
-    x = x.withColumn("end", end).filter(F.col("end").isNull() | (F.col("at") < F.col("end")))
-    name = _strip(_get(F.col("n"), "$", "string"))
-    x = x.select("id", name.alias("name"), _get(F.col("p"), "$", "double").alias("price"))
+    other = lambda v, kind: F.coalesce(_kind(v) != kind, F.lit(False))
+
+    def item(e: Column) -> Column:
+        x = _get(e, "$.item")
+        name, offers, low = _get(x, "$.name"), _get(x, "$.offers"), _get(x, "$.offers.lowPrice")
+        price = F.when(_holds(low), low).otherwise(_get(offers, "$.price"))
+        bad = other(e, "OBJECT") | other(x, "OBJECT") | (_holds(name) & (other(name, "STRING") | other(offers, "OBJECT") | (_holds(price) & other(price, "NUMBER"))))
+        return F.struct(bad.alias("bad"), F.when(_holds(name), _strip(_get(name, "$", "string"))).alias("name"), F.when(_kind(price) == "NUMBER", _get(price, "$", "double")).alias("price"))
+
+    j = pages.select("id", block.alias("block")).withColumn("j", F.try_parse_json(F.trim("block"))).filter(_get(F.col("j"), "$['@type']", "string") == "ItemList")
+    x = j.select("id", F.transform(_get(F.col("j"), "$.itemListElement", "array<variant>"), item).alias("items"))
+    end = F.array_position(F.transform("items", lambda i: i["bad"]), True)
+    x = x.select("id", F.explode(F.when(end > 0, F.slice("items", 1, (end - 1).cast("int"))).otherwise(F.col("items"))).alias("i")).select("id", "i.name", "i.price")
     return x.filter("name <> '' and price > 0").filter(~F.regexp_like("name", F.lit(PLACEHOLDER))).withColumn("unit", T.extract_unit(F.col("name")))
 
 
@@ -265,8 +267,9 @@ def dual_price_dedup(regions: DataFrame, **params) -> DataFrame:
     return region_prices(regions, dedup=True, **params)
 
 
-def box_join(prices: DataFrame, regions: DataFrame, dx: float = 260.0, above: float = 320.0, below: float = 40.0) -> DataFrame:
-    """Pairs of a price and a text region of the same flyer near it."""
+def box_join(prices: DataFrame, regions: DataFrame, dx: float | Column = 260.0, above: float | Column = 320.0, below: float | Column = 40.0) -> DataFrame:
+    """Pairs of a price and a text region of the same flyer near it; the bounds may be
+    columns of prices."""
     x = F.aggregate("box", F.lit(0.0), lambda s, p: s + p[0]) / F.size("box")
     y = F.aggregate("box", F.lit(0.0), lambda s, p: s + p[1]) / F.size("box")
     r = regions.select("flyer_id", F.col("text").alias("name_text"), x.alias("tx"), y.alias("ty"))
@@ -281,20 +284,59 @@ PROMO_TEXT = "(?i)" + "|".join((
     r"220v?\s*somente\s*nas\s*lojas", r"s[aã]o\s+jos[eé]\s+dos\s+campos", r"leve\s+\d+\s*pague\s*\d+", r"leve\s+\d+\s*e\s*pague\s*\d+"))
 
 
-def price_blocks(regions: DataFrame, gap: float = 50.0, x_gap: float = 250.0, most: int = 6) -> DataFrame:
-    """flyer_id, price, texts: each price with the names that belong to it: near it, no
-    promotion text, within `gap` of the lowest of them, and of the columns that x
-    gaps part the one with the most texts (ties to the nearest)."""
-    words = regions.filter(F.regexp_like("text", F.lit(r"\p{L}{3,}")))
-    j = box_join(region_prices(regions, dedup=True), words).filter(~F.regexp_like("name_text", F.lit(PROMO_TEXT)))
-    key = ["flyer_id", "price", "cx", "cy"]
-    j = j.withColumn("base", F.max("ty").over(Window.partitionBy(*key))).filter(F.col("base") - F.col("ty") < gap)
+#: Phrases of offers and packages that are no product name.
+BOILERPLATE = "(?iu)" + "|".join((
+    "limite por cpf", "desconto", "cliente app", "cll?ente", "cart[aã]o tenda", "com o cart", "pagando com", r"pre[cç]o(\s|$)", "sai por", "^tenda$", "^atacado$", "fecha", "na loja", "no site", "no app",
+    r"unidades?\.?$", r"quilos?\.?$", r"packs?\.?$", r"bandejas?\.?$", "^cada$", "^o kg$", "^a unidade$", "v[aá]lidas? para", "ofertas?", r"^pe[cç]a\b", r"^pacote\b", r"^lata\b", r"^garrafa\b",
+    r"^sache\b", r"^sab?ores?\b", "^o bife", "^o peda[cç]o", "^o litro", "^o pote", "^a bandeja", "^embalagem", "desde"))
+
+
+def is_product_name(text: Column) -> Column:
+    """Four letters at least, more than half of the text, and no boilerplate."""
+    t = F.regexp_replace(text, r"^\s+|\s+$", "")
+    letters = F.regexp_count(t, F.lit(r"\p{L}"))
+    return (letters >= 4) & (letters / F.greatest(F.length(t), F.lit(1)) > 0.5) & ~F.regexp_like(t, F.lit(BOILERPLATE))
+
+
+def clustering_params(profile: DataFrame) -> DataFrame:
+    """Layout profiles with the parameters of their blocks: gap, x_gap, block_dx,
+    above, below, most. Many columns narrow them, wide rows lengthen them, dense pages
+    and small print shrink them, sparse pages and large print widen them."""
+    between = lambda x, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), x))
+    many, rows, dense, sparse = F.col("columns") > 4, F.col("row_gap") > 0, F.col("density") > 100, F.col("density") < 20
+    small, large = F.col("text_height") < 15, F.col("text_height") > 30
+    p = profile.withColumns({
+        "gap": F.when(rows, between(F.col("row_gap") * 0.8, 30.0, 80.0)).otherwise(50.0),
+        "x_gap": F.when(many, F.greatest(F.lit(150.0), 1000.0 / F.col("columns"))).otherwise(250.0),
+        "block_dx": F.when(many, F.least(F.lit(300.0), 200.0 + 50.0 * F.col("columns"))).otherwise(260.0),
+        "above": F.when(rows, between(F.col("row_gap") * 2.5, 200.0, 400.0)).otherwise(320.0), "below": F.lit(40.0),
+        "most": F.when(dense, 4).when(sparse, 8).otherwise(6)})
+    p = p.withColumns({"gap": F.when(dense, F.greatest(F.lit(30.0), F.col("gap") * 0.7)).when(sparse, F.least(F.lit(100.0), F.col("gap") * 1.3)).otherwise(F.col("gap")),
+                       "x_gap": F.when(dense, F.greatest(F.lit(150.0), F.col("x_gap") * 0.8)).otherwise(F.col("x_gap"))})
+    return p.withColumns({"gap": F.when(small, F.greatest(F.lit(20.0), F.col("gap") * 0.8)).when(large, F.least(F.lit(100.0), F.col("gap") * 1.2)).otherwise(F.col("gap")),
+                          "x_gap": F.when(small, F.greatest(F.lit(100.0), F.col("x_gap") * 0.8)).when(large, F.least(F.lit(400.0), F.col("x_gap") * 1.2)).otherwise(F.col("x_gap"))})
+
+
+def price_blocks(regions: DataFrame, adapt: bool = True) -> DataFrame:
+    """flyer_id, price, texts: each price with the product names that belong to it: near
+    it, no promotion text, within a gap of the lowest of them, and of the columns that
+    x gaps part the one with the most texts (ties to the nearest). The bounds follow
+    the layout of the flyer, or are those of an unknown one (adapt False)."""
+    names = regions.filter(is_product_name(F.col("text")) & ~F.regexp_like("text", F.lit(PROMO_TEXT)))
+    prices = region_prices(regions, dedup=True)
+    if adapt:
+        prices = prices.join(clustering_params(layout_profile(regions)).select("flyer_id", "gap", "x_gap", "block_dx", "above", "below", "most"), "flyer_id")
+    else:
+        prices = prices.withColumns({k: F.lit(v) for k, v in {"gap": 50.0, "x_gap": 250.0, "block_dx": 260.0, "above": 320.0, "below": 40.0, "most": 6}.items()})
+    j = box_join(prices, names, F.col("block_dx"), F.col("above"), F.col("below"))
+    key = ["flyer_id", "price", "cx", "cy", "most"]
+    j = j.withColumn("base", F.max("ty").over(Window.partitionBy(*key))).filter(F.col("base") - F.col("ty") < F.col("gap"))
     w = Window.partitionBy(*key).orderBy("tx", "ty", "name_text")
-    j = j.withColumn("new", (F.col("tx") - F.lag("tx").over(w) > x_gap).cast("int")).withColumn("col", F.sum(F.coalesce("new", F.lit(0))).over(w))
+    j = j.withColumn("new", (F.col("tx") - F.lag("tx").over(w) > F.col("x_gap")).cast("int")).withColumn("col", F.sum(F.coalesce("new", F.lit(0))).over(w))
     g = j.groupBy(*key, "col").agg(F.count("*").alias("n"), F.abs(F.avg("tx") - F.first("cx")).alias("far"), F.array_sort(F.collect_list(F.struct("ty", "tx", "name_text"))).alias("t"))
     best = g.groupBy(*key).agg(F.max_by("t", F.struct("n", -F.col("far"))).alias("t"))
     texts = F.transform("t", lambda s: s["name_text"])
-    return best.select("flyer_id", F.round("price", 2).alias("price"), F.slice(texts, F.greatest(F.size("t") - most + 1, F.lit(1)), F.lit(most)).alias("texts"))
+    return best.select("flyer_id", F.round("price", 2).alias("price"), F.slice(texts, F.greatest(F.size("t") - F.col("most") + 1, F.lit(1)), F.col("most")).alias("texts"))
 
 
 def layout_profile(regions: DataFrame) -> DataFrame:

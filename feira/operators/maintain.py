@@ -211,17 +211,19 @@ def auto_promote(registry: DataFrame, counts: DataFrame, least: int = 2) -> Data
     return registry.join(c, "id", "left").withColumn("status", F.when(hit, "approved").otherwise(F.col("status"))).drop("products")
 
 
-def registry_merge(registry: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def registry_merge(registry: DataFrame, stores: DataFrame, units: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(registry, stores, units) after approved entries are merged: a matched store
-    takes a non-empty address and phone, others become stores, each address a unit."""
+    takes a non-empty address and phone, others become stores. Each address is a unit
+    (store_id, address), put in the place of a stored one of the same key."""
     a = registry.filter("status = 'approved'")
     blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     got = a.filter("matched_store_id is not null").groupBy("matched_store_id").agg(*[F.min_by(blank(c), "id").alias(f"_{c}") for c in ("address", "phone")])
     merged = stores.join(got, stores["id"] == got["matched_store_id"], "left").withColumns({c: F.coalesce(f"_{c}", c) for c in ("address", "phone")}).drop("matched_store_id", "_address", "_phone")
     new = a.filter("matched_store_id is null").select(F.concat(F.lit("reg-"), F.col("id").cast("string")).alias("id"), "name", "address", "phone", F.lit(3).alias("tier"), F.lit(True).alias("is_active"))
-    units = a.filter(blank("address").isNotNull()).select(F.coalesce(F.col("matched_store_id").cast("string"), F.concat(F.lit("reg-"), F.col("id").cast("string"))).alias("store_id"), "address").distinct()
+    own = a.filter(blank("address").isNotNull()).select(F.coalesce(F.col("matched_store_id").cast("string"), F.concat(F.lit("reg-"), F.col("id").cast("string"))).alias("store_id"), "address").distinct()
+    own = own.withColumns({"source": F.lit("registry"), "is_active": F.lit(True)})
     done = registry.withColumn("status", F.when(F.col("status") == "approved", "merged").otherwise(F.col("status")))
-    return done, merged.withColumn("id", F.col("id").cast("string")).unionByName(new, allowMissingColumns=True), units
+    return done, merged.withColumn("id", F.col("id").cast("string")).unionByName(new, allowMissingColumns=True), own if units is None else keyed_upsert(units, own, ["store_id", "address"])
 
 
 def registry_bulk_reject(registry: DataFrame, prefix: str | None = None) -> DataFrame:
@@ -231,13 +233,43 @@ def registry_bulk_reject(registry: DataFrame, prefix: str | None = None) -> Data
 
 
 def sync_store_fields(stores: DataFrame, declared: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(stores, units): non-empty declared fields win, by name whatever the case;
-    declared units (array of 'street, district, city') become rows."""
-    d = declared.select(F.lower(F.trim("name")).alias("_k"), *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(f"_{c}") for c in fields])
-    out = stores.join(d, F.lower(F.trim(stores["name"])) == F.col("_k"), "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c).cast("string")) for c in fields}).drop("_k", *[f"_{c}" for c in fields])
+    """(stores, units): non-empty declared fields win, by name whatever the case; what
+    else is declared (and is no column of stores) becomes `config`, a map, in the place
+    of the stored one if anything is. Declared units (array of 'street, district,
+    city') become rows."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    rest = [c for c in declared.columns if c not in {"name", "units", *fields, *stores.columns}]
+    d = declared.select(F.lower(F.trim("name")).alias("_k"), *[text(c).alias(f"_{c}") for c in fields], *([F.map_filter(F.create_map(*[x for c in rest for x in (F.lit(c), text(c))]), lambda k, v: v.isNotNull()).alias("_config")] if rest else []))
+    out = stores.join(d, F.lower(F.trim(stores["name"])) == F.col("_k"), "left").withColumns({c: F.coalesce(F.col(f"_{c}"), F.col(c).cast("string")) for c in fields})
+    if rest:
+        old = F.col("config") if "config" in stores.columns else F.lit(None).cast("map<string,string>")
+        out = out.withColumn("config", F.when(F.size("_config") > 0, F.col("_config")).otherwise(old)).drop("_config")
     part = F.split("address", r"\s*,\s*")
     units = declared.select("name", F.explode("units").alias("address")).select("name", "address", F.element_at(part, 1).alias("neighborhood"), F.element_at(part, -1).alias("city"))
-    return out, units
+    return out.drop("_k", *[f"_{c}" for c in fields]), units
+
+
+def sync_frequencies(frequencies: DataFrame, stores: DataFrame, declared: DataFrame) -> DataFrame:
+    """Frequencies (store_id, tier, frequency_minutes, max_retries, timeout_seconds,
+    rate_limit_per_minute, enabled) after every declared store that is active (or does
+    not say) has that of its tier; stores are found by name, whatever the case."""
+    on = F.coalesce(F.col("is_active"), F.lit(True)) if "is_active" in declared.columns else F.lit(True)
+    d = declared.filter(on & (F.trim("name") != "")).select(F.lower(F.trim("name")).alias("_k")).distinct()
+    own = stores.join(d, F.lower(F.trim(stores["name"])) == F.col("_k")).select(
+        F.col("id").alias("store_id"), "tier", T.default_frequency(F.col("tier")).alias("frequency_minutes"), F.lit(3).alias("max_retries"),
+        F.lit(120).alias("timeout_seconds"), F.lit(10).alias("rate_limit_per_minute"), F.lit(True).alias("enabled"))
+    return keyed_upsert(frequencies, own, ["store_id"])
+
+
+def propagate_addresses(stores: DataFrame, found: DataFrame, least: float = 92.0, confidence: float = 7.0) -> DataFrame:
+    """stores with the addresses of read flyers (store_name, address, confidence, at): of
+    enough confidence, to the most similar active store at the threshold (ties by id);
+    of several the newest, then the most confident, then the first by address."""
+    f = found.filter((F.col("confidence") >= confidence) & F.col("address").isNotNull())
+    names = f.select(F.col("store_name").alias("id"), F.col("store_name").alias("name")).distinct()
+    best = similar_stores_topk(names, stores, 1, least).select(F.col("left_id").alias("store_name"), F.col("right_id").alias("id"))
+    got = f.join(best, "store_name").groupBy("id").agg(F.min_by("address", F.struct(-F.unix_timestamp("at"), -F.col("confidence"), "address")).alias("_address"))
+    return stores.join(got, "id", "left").withColumn("address", F.coalesce("_address", "address")).drop("_address")
 
 
 def serve_requests(requests: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
@@ -265,15 +297,18 @@ def store_drift(declared: DataFrame, stored: DataFrame, fields: list[str]) -> Da
 def merge_terms(stored: DataFrame, declared: DataFrame) -> DataFrame:
     """Catalog sync by canonical_name: exclude_terms are replaced, search_terms and
     brands united and sorted, junk aliases (with a digit, or over 60 characters)
-    dropped; changed says whether anything differs."""
+    dropped; changed says whether anything differs, changes lists what: (field, added,
+    removed) of each list that has other terms than before."""
     e = F.array().cast("array<string>")
-    d = declared.select("canonical_name", *[F.col(c).alias(f"_{c}") for c in ("exclude_terms", "search_terms", "brands")])
-    j = stored.join(d, "canonical_name", "left")
+    fields = ("exclude_terms", "search_terms", "brands")
+    j = stored.join(declared.select("canonical_name", *[F.col(c).alias(f"_{c}") for c in fields]), "canonical_name", "left")
     both = {c: F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.array_sort(F.array_union(F.coalesce(c, e), f"_{c}"))) for c in ("search_terms", "brands")}
     new = both | {"exclude_terms": F.coalesce("_exclude_terms", "exclude_terms"), "aliases": F.filter("aliases", lambda a: ~a.rlike("[0-9]") & (F.length(a) <= 60))}
-    old = F.struct(*[F.col(c) for c in new])
-    out = j.withColumn("_old", old).withColumns(new)
-    return out.withColumn("changed", ~F.struct(*[F.col(c) for c in new]).eqNullSafe(F.col("_old"))).drop("_old", "_exclude_terms", "_search_terms", "_brands")
+    out = j.withColumn("_old", F.struct(*[F.col(c) for c in new])).withColumns(new)
+    was = lambda c: F.coalesce(F.col(f"_old.{c}"), e)
+    each = F.array(*[F.struct(F.lit(c).alias("field"), F.array_sort(F.array_except(F.coalesce(c, e), was(c))).alias("added"), F.array_sort(F.array_except(was(c), F.coalesce(c, e))).alias("removed")) for c in new])
+    out = out.withColumns({"changed": ~F.struct(*[F.col(c) for c in new]).eqNullSafe(F.col("_old")), "changes": F.filter(each, lambda x: (F.size(x["added"]) > 0) | (F.size(x["removed"]) > 0))})
+    return out.drop("_old", *[f"_{c}" for c in fields])
 
 
 def missing_in_catalog(declared: DataFrame, stored: DataFrame, key: str = "canonical_name") -> DataFrame:

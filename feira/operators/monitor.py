@@ -35,10 +35,11 @@ def store_health(logs: DataFrame, window: int = 200) -> DataFrame:
                     "total_runs", "error_count", "total_items")
 
 
-def health_scores(health: DataFrame, failures: DataFrame, as_of: Column) -> DataFrame:
-    """Health rows with health_score, health_label and latency_label."""
+def health_scores(health: DataFrame, failures: DataFrame, now: Column) -> DataFrame:
+    """Health rows with health_score, health_label and latency_label. The days since the
+    last run are whole ones of 24 hours."""
     h = health.join(failures.select("store_name", F.col("streak").alias("failures_count")), "store_name", "left")
-    days = F.datediff(as_of, F.to_date("last_run"))
+    days = F.floor(F.timestamp_diff("SECOND", F.col("last_run"), now) / 86_400)
     score = T.health_score(F.col("success_rate"), F.col("failures_count"), F.col("avg_items_per_run"), F.col("latency_p95_ms"), days)
     return h.withColumn("health_score", score).withColumn("health_label", T.health_label(F.col("health_score"))).withColumn("latency_label", T.latency_label(F.col("latency_p95_ms")))
 

@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 from ..operators import match
 
 
-def collection_run(products: DataFrame, catalog: DataFrame, stores: DataFrame, now: Column, review: float = 0.70) -> tuple[DataFrame, DataFrame]:
+def collection_run(products: DataFrame, catalog: DataFrame, stores: DataFrame, now: Column, review: float = 0.70, semantics: DataFrame | None = None,
+                   cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(price rows, review rows) of products (id, raw_product, raw_price, raw_unit,
-    store_name): gate by keywords, match, route. Exchanges: the gate's word join and
-    the best-match aggregate."""
+    store_name; brand with a cache): gate by keywords, match, route. semantics
+    (raw_product, ingredient, semantic): similarity of meaning, where known; cache:
+    earlier decisions, see match.decision_cache."""
     gated = match.keyword_gate(products, catalog)
-    found = match.match_ingredient(gated, catalog, threshold=60.0).withColumn("semantic", F.lit(0.0))
+    found = match.match_ingredient(gated, catalog, threshold=60.0)
+    if semantics is None:
+        found = found.withColumn("semantic", F.lit(0.0))
+    else:
+        found = found.join(semantics.groupBy("raw_product", "ingredient").agg(F.max("semantic").alias("semantic")), ["raw_product", "ingredient"], "left")
+    if cache is not None:
+        found = match.decision_cache(found, cache, now).drop("key", "cached_ingredient")
     routed = match.route_match(found, review=review)
     return match.build_price_rows(routed.filter("route = 'accept'"), stores, now), match.match_reason(match.rank_ingredients(routed.filter("route = 'review'"), catalog))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import similarity as S
@@ -300,6 +300,13 @@ def store_coverage(s, d):
     return A.coverage_order(_coverage(s, d))
 
 
+@query(_COVER + """SELECT store_id, row_number() OVER (ORDER BY is_stale, days_since_price IS NULL, days_since_price DESC, store_id) AS place FROM cover""")
+def coverage_order(s, d):
+    # the places that rows have in the operator's own order
+    ordered = A.coverage_order(_coverage(s, d)).select("store_id", F.monotonically_increasing_id().alias("at"))
+    return ordered.select("store_id", F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))
+
+
 @query(_COVER + """SELECT count(*) AS total_stores, count(*) FILTER (NOT is_stale) AS fresh, count(*) FILTER (is_stale) AS stale, count(*) FILTER (total_prices = 0) AS no_price,
 round(100.0 * count(*) FILTER (NOT is_stale) / count(*), 1) AS coverage_pct FROM cover""")
 def coverage_summary(s, d):
@@ -467,15 +474,15 @@ def recent_logs(s, d):
 
 _SCORES = _HEALTH + _LAST + """, st AS (SELECT store_name, coalesce(min(k) FILTER (status NOT IN ('error', 'failed')) - 1, count(*)) AS f FROM l3 GROUP BY 1),
 sc AS (SELECT store_name, least(100, floor(success_rate * 30) + CASE WHEN f = 0 THEN 25 WHEN f = 1 THEN 15 WHEN f = 2 THEN 5 ELSE 0 END + least(20, floor(avg_items_per_run * 2))
-  + CASE WHEN latency_p95_ms < 30000 THEN 15 WHEN latency_p95_ms < 60000 THEN 8 ELSE 0 END + greatest(0, 10 - date_diff('day', last_run::DATE, (SELECT max(ts)::DATE FROM events))))::INT AS health_score FROM health JOIN st USING (store_name)) """
+  + CASE WHEN latency_p95_ms < 30000 THEN 15 WHEN latency_p95_ms < 60000 THEN 8 ELSE 0 END + greatest(0, 10 - floor((epoch((SELECT max(ts) FROM events)) - epoch(last_run)) / 86400)))::INT AS health_score FROM health JOIN st USING (store_name)) """
 
 
 @query(_SCORES + "SELECT store_name, health_score, CASE WHEN health_score >= 90 THEN 'Excellent' WHEN health_score >= 75 THEN 'Good' WHEN health_score >= 50 THEN 'Fair' WHEN health_score >= 25 THEN 'Poor' ELSE 'Critical' END AS health_label FROM sc")
 def health_score(s, d):
     e = bind.scraping_logs(s, d)
-    now = bind.read_table(s, d, "events").agg(F.to_date(F.max("ts")).alias("today"))
+    now = bind.read_table(s, d, "events").agg(F.max("ts").alias("now"))
     h = O.store_health(e).crossJoin(F.broadcast(now))  # one row
-    return O.health_scores(h, O.failure_streak(e), F.col("today")).select("store_name", "health_score", "health_label")
+    return O.health_scores(h, O.failure_streak(e), F.col("now")).select("store_name", "health_score", "health_label")
 
 
 @query("""SELECT s.name, s.tier, coalesce(date_diff('minute', l.last, (SELECT max(ts) FROM events)) >= 0.8 * CASE tier WHEN 1 THEN 10080 WHEN 4 THEN 43200 ELSE 1440 END, true) AS is_due
@@ -639,6 +646,16 @@ def merge_terms(s, d):
     return M.merge_terms(i, i.withColumn("brands", F.array(F.lit("NEW")))).select("canonical_name", "brands")
 
 
+@query("""SELECT canonical_name, 'brands' AS field, 'NEW' AS added, '' AS removed FROM (SELECT DISTINCT p_name AS canonical_name FROM part)
+UNION ALL SELECT DISTINCT p_name, 'exclude_terms', 'new ' || length(p_name), 'old' FROM part WHERE length(p_name) % 2 = 0 UNION ALL SELECT DISTINCT p_name, 'aliases', '', 'with 1' FROM part""")
+def merge_term_changes(s, d):
+    e, even = F.array().cast("array<string>"), F.length("canonical_name") % 2 == 0
+    i = bind.ingredients(s, d).withColumns({"search_terms": e, "exclude_terms": F.array(F.lit("old")), "aliases": F.array(F.lit("plain"), F.lit("with 1"))})
+    new = i.withColumns({"brands": F.array(F.lit("NEW")), "exclude_terms": F.when(even, F.array(F.concat(F.lit("new "), F.length("canonical_name")))).otherwise(F.col("exclude_terms"))})
+    x = M.merge_terms(i, new).select("canonical_name", F.explode("changes").alias("x"))
+    return x.select("canonical_name", "x.field", F.array_join("x.added", ",").alias("added"), F.array_join("x.removed", ",").alias("removed"))
+
+
 # Data quality
 
 @query("SELECT ingredient_id, store_id, collected_at, count(*) AS n FROM prices GROUP BY 1, 2, 3 HAVING count(*) > 1")
@@ -733,13 +750,13 @@ def match_ingredient(s, d):
 
 
 @query()
-def rank_ingredients(s, d):
+def rank_all_prices(s, d):
     words = bind.prices(s, d).select("id", F.concat_ws(" ", F.reverse(F.split("raw_product", " "))).alias("raw_product"))
     return H.rank_ingredients(words, _catalog(s, d))
 
 
 @query()
-def route_match(s, d):
+def route_all_prices(s, d):
     words = bind.prices(s, d).select("id", F.concat_ws(" ", F.reverse(F.split("raw_product", " "))).alias("raw_product"))
     m = H.match_ingredient(words, _catalog(s, d), threshold=60.0).withColumn("semantic", F.lit(0.0))
     return H.route_match(m).select("id", "ingredient", "score", "combined", "route")
@@ -776,10 +793,14 @@ def find_similar_store(s, d):
     return M.find_similar_store(asked, st).select("a_id", "b_id", "similarity")
 
 
-@query()
+@query(", asked AS (SELECT id, CASE id % 3 WHEN 0 THEN left(name, 2) || substr(name, 4) WHEN 1 THEN name || 'é' ELSE city || ' ' || name END AS name FROM stores), pairs AS (SELECT a.id AS left_id, b.id AS right_id, regexp_replace(upper(a.name), '[^A-Z0-9 ]', '', 'g') AS a, regexp_replace(upper(b.name), '[^A-Z0-9 ]', '', 'g') AS b FROM asked a, stores b WHERE is_active) " + token_set_sql("pairs") + """
+SELECT left_id, right_id, round(token_set, 4) AS score, row_number() OVER (PARTITION BY left_id ORDER BY round(token_set, 4) DESC, right_id) AS rank FROM scored WHERE token_set >= 92 QUALIFY rank <= 3""")
 def similar_stores_topk(s, d):
+    # a letter lost, a letter that cleaning drops, and the city in front
     st = bind.stores(s, d)
-    return M.similar_stores_topk(st.select("id", "name"), st)
+    k = F.col("id") % 3
+    name = F.when(k == 0, F.concat(F.substring("name", 1, 2), F.col("name").substr(F.lit(4), F.length("name")))).when(k == 1, F.concat("name", F.lit("é"))).otherwise(F.concat_ws(" ", "city", "name"))
+    return M.similar_stores_topk(st.select("id", name.alias("name")), st).select("left_id", "right_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(", pairs AS (SELECT DISTINCT p_name AS a, p_type AS b FROM part) " + token_set_sql("pairs") + f"""
@@ -883,6 +904,29 @@ def resolve_store(s, d):
     return H.resolve_store(st.select("id", spelt.alias("store_name")), st).select("id", "store_id")
 
 
+#: Of each basket the stores that have any of its items with their costs, in the order of the items; 1e18 where one is lacking.
+_COSTS = """, item AS (SELECT basket_id, ingredient_id, qty_kg, row_number() OVER (PARTITION BY basket_id ORDER BY ingredient_id) AS k, count(*) OVER (PARTITION BY basket_id) AS n FROM baskets),
+has AS (SELECT basket_id, n, k, store_id, qty_kg * price_per_kg AS cost FROM item JOIN (SELECT ingredient_id, store_id, min(price_per_kg) AS price_per_kg FROM newest GROUP BY 1, 2) USING (ingredient_id)),
+there AS (SELECT basket_id FROM has GROUP BY basket_id, n HAVING count(DISTINCT k) = n),
+row_ AS (SELECT basket_id, n, store_id, map_from_entries(list((k, cost))) AS m FROM has SEMI JOIN there USING (basket_id) GROUP BY 1, 2, 3),
+cost AS (SELECT basket_id, n, store_id, list_transform(range(1, n + 1), lambda k: coalesce(m[k], 1e18::DOUBLE)) AS c, list_sum(list_transform(range(1, n + 1), lambda k: coalesce(m[k], 1e18::DOUBLE))) AS total FROM row_),
+pair AS (SELECT a.basket_id, list_sum(list_transform(list_zip(a.c, b.c), lambda x: least(x[1], x[2]))) AS total FROM cost a JOIN cost b ON a.basket_id = b.basket_id AND a.store_id < b.store_id) """
+
+
+@query(_COSTS + """, cheap AS (SELECT basket_id, min(total, 3) AS t FROM pair WHERE total < 1e18 GROUP BY 1) SELECT basket_id, unnest(range(1, len(t) + 1)) AS rank, round(unnest(t) + 1e-7::DOUBLE, 2) AS total FROM cheap""")
+def pair_totals(s, d):
+    p = B.pair_stores(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)), keep=3)
+    return p.select("basket_id", F.row_number().over(Window.partitionBy("basket_id").orderBy("total")).cast("long").alias("rank"), F.round(F.col("total") + 1e-7, 2).alias("total"))
+
+
+@query(_COSTS + """, one AS (SELECT basket_id, min(total) AS mono FROM cost GROUP BY 1), two AS (SELECT basket_id, min(total) AS many FROM pair GROUP BY 1), size AS (SELECT basket_id, count(*) AS n FROM baskets GROUP BY 1)
+SELECT basket_id, n::INT AS items, round(CASE WHEN mono < 1e17 THEN mono END + 1e-7::DOUBLE, 2) AS mono_total, round(CASE WHEN least(mono, many) < 1e17 THEN least(mono, many) END + 1e-7::DOUBLE, 2) AS multi_total, round(CASE WHEN mono < 1e17 THEN mono - least(mono, many) END + 1e-7::DOUBLE, 2) AS saving
+FROM size LEFT JOIN one USING (basket_id) LEFT JOIN two USING (basket_id)""")
+def basket_totals(s, d):
+    out = B.optimize_basket(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)))
+    return out.select("basket_id", "items", *[F.round(F.col(c) + 1e-7, 2).alias(c) for c in ("mono_total", "multi_total", "saving")])
+
+
 @query()
 def pair_stores(s, d):
     return B.pair_stores(bind.baskets(s, d), P.newest_prices(bind.prices(s, d)), keep=3)
@@ -902,6 +946,13 @@ def decision_cache(s, d):
     return H.decision_cache(bind.prices(s, d), cache, now).select("id", "cached_ingredient")
 
 
+@query("SELECT count(DISTINCT p_brand || p_name || p_type) AS total, count(DISTINCT p_brand || p_name || p_type) FILTER (p_size * 2 > 30) AS expired FROM (SELECT p_brand, p_name, p_type, min(p_size) AS p_size FROM part GROUP BY ALL)")
+def decision_cache_stats(s, d):
+    now = F.lit("2026-03-31").cast("timestamp")
+    p = bind.read_table(s, d, "part").groupBy("p_name", "p_brand", "p_type").agg(F.min("p_size").alias("p_size"))
+    return H.decision_cache_stats(p.select(F.date_sub(now.cast("date"), (2 * F.col("p_size")).cast("int")).cast("timestamp").alias("created_at")), now)
+
+
 @query("""SELECT basket_id AS recipe_id, ingredient_id, arg_min(store_id, struct_pack(a := price_per_kg, b := store_id)) AS selected_store, min(price_per_kg) AS price_per_kg FROM baskets JOIN newest USING (ingredient_id) GROUP BY 1, 2""")
 def recipe_items_snapshot(s, d):
     best = P.newest_prices(bind.prices(s, d)).groupBy("ingredient_id").agg(F.min_by(F.struct("store_id", "price_per_kg"), F.struct("price_per_kg", "store_id")).alias("b"))

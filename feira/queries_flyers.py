@@ -130,7 +130,22 @@ def box_join(s, d):
 
 @query(_REGION + "SELECT flyer_id, price, [p_name] AS texts FROM low")
 def price_blocks(s, d):
-    return X.price_blocks(_regions(s, d))
+    # beside each name a phrase that is none
+    r = _regions(s, d)
+    phrase = F.element_at(F.array(*map(F.lit, ("sai por", "unidade", "o kg", "abc", "12345 abcd 678"))), (F.length("text") % 5 + 1).cast("int"))
+    return X.price_blocks(r.unionByName(r.filter("text rlike '[a-z]{3}'").withColumn("text", phrase)))
+
+
+@query(_REGION + """, h AS (SELECT flyer_id, median(h) AS height FROM (SELECT flyer_id, unnest(CASE WHEN two THEN [80, 40, 20, 70] ELSE [80, 40, 20] END)::DOUBLE AS h FROM l) GROUP BY 1),
+f AS (SELECT flyer_id, count(*)::DOUBLE AS c, CASE WHEN bool_and(two) OR NOT bool_or(two) THEN 150.0::DOUBLE ELSE 100.0::DOUBLE END AS rows, 1000.0::DOUBLE * count(*) / (3 * count(*) + count(*) FILTER (two)) AS density FROM l GROUP BY 1),
+one AS (SELECT *, least(80, greatest(30, rows * 0.8::DOUBLE)) AS gap1, CASE WHEN c > 4 THEN greatest(150, 1000 / c) ELSE 250 END AS x1 FROM f JOIN h USING (flyer_id)),
+two AS (SELECT *, CASE WHEN density > 100 THEN greatest(30, gap1 * 0.7::DOUBLE) WHEN density < 20 THEN least(100, gap1 * 1.3::DOUBLE) ELSE gap1 END AS gap2, CASE WHEN density > 100 THEN greatest(150, x1 * 0.8::DOUBLE) ELSE x1 END AS x2 FROM one)
+SELECT flyer_id, round(CASE WHEN height < 15 THEN greatest(20, gap2 * 0.8::DOUBLE) WHEN height > 30 THEN least(100, gap2 * 1.2::DOUBLE) ELSE gap2 END, 4) AS gap,
+  round(CASE WHEN height < 15 THEN greatest(100, x2 * 0.8::DOUBLE) WHEN height > 30 THEN least(400, x2 * 1.2::DOUBLE) ELSE x2 END, 4) AS x_gap,
+  CASE WHEN c > 4 THEN least(300, 200 + 50 * c) ELSE 260 END AS block_dx, least(400, greatest(200, rows * 2.5::DOUBLE)) AS above, 40.0::DOUBLE AS below, CASE WHEN density > 100 THEN 4 WHEN density < 20 THEN 8 ELSE 6 END AS most FROM two""")
+def clustering_params(s, d):
+    p = X.clustering_params(X.layout_profile(_regions(s, d)))
+    return p.select("flyer_id", *[F.round(c, 4).alias(c) for c in ("gap", "x_gap", "block_dx", "above")], "below", "most")
 
 
 @query(_REGION + """SELECT flyer_id, (3 * count(*) + count(*) FILTER (two))::BIGINT AS region_count, count(*) AS price_count, count(*) AS columns, CASE WHEN count(*) > 1 THEN median(gap) ELSE 0.0 END AS col_gap,
@@ -215,6 +230,31 @@ def sync_store_fields(s, d):
     return M.sync_store_fields(st, declared, ["city"])[0].select("id", "city")
 
 
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 5 > 0 THEN 'u' || s_suppkey END AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'x' END AS selector FROM supplier""")
+def sync_store_config(s, d):
+    st = bind.stores(s, d)
+    declared = st.filter("id % 2 = 0").select(F.upper("name").alias("name"), F.lit("declared").alias("city"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("u"), "id")).otherwise(" ").alias("url"), F.lit("x").alias("selector"), F.array(F.lit("Rua A")).alias("units"))
+    return M.sync_store_fields(st, declared, ["city"])[0].select("id", F.col("config")["url"].alias("url"), F.col("config")["selector"].alias("selector"))
+
+
+@query("""SELECT id AS store_id, CASE WHEN id % 2 = 0 THEN CASE tier WHEN 1 THEN 10080 WHEN 4 THEN 43200 ELSE 1440 END ELSE 7 END AS frequency_minutes, CASE WHEN id % 2 = 0 THEN 3 ELSE 1 END AS max_retries FROM stores WHERE id % 2 = 0 OR id % 3 = 0""")
+def sync_frequencies(s, d):
+    st = bind.stores(s, d)
+    old = st.filter("id % 3 = 0").select(F.col("id").alias("store_id"), "tier", F.lit(7).alias("frequency_minutes"), *[F.lit(1).alias(c) for c in ("max_retries", "timeout_seconds", "rate_limit_per_minute")], F.lit(True).alias("enabled"))
+    declared = st.filter("id % 2 = 0").select(F.upper("name").alias("name")).withColumn("is_active", F.lit(True)).unionByName(st.filter("id % 2 = 1").select("name", F.lit(False).alias("is_active")))
+    return M.sync_frequencies(old, st, declared).select("store_id", "frequency_minutes", "max_retries")
+
+
+@query("""SELECT id, CASE WHEN id % 4 = 0 AND is_active THEN 'Rua ' || id || ' nova' WHEN id % 4 = 2 AND is_active THEN 'Rua ' || id || ' velha' ELSE 'old' END AS address FROM stores""")
+def propagate_addresses(s, d):
+    st = bind.stores(s, d).withColumn("address", F.lit("old"))
+    at = lambda day: F.lit(f"2026-01-0{day}").cast("timestamp")
+    f = st.filter("is_active").select("id", F.lower("name").alias("store_name"))
+    row = lambda d_, word, confidence, day: d_.select("store_name", F.concat(F.lit("Rua "), "id", F.lit(word)).alias("address"), F.lit(confidence).alias("confidence"), at(day).alias("at"))
+    found = row(f.filter("id % 4 = 0"), " nova", 7.0, 2).unionByName(row(f.filter("id % 2 = 0"), " velha", 9.0, 1)).unionByName(row(f, " unsure", 6.9, 3))
+    return M.propagate_addresses(st, found).select("id", "address")
+
+
 @query("""SELECT upper(s_name) AS name, 'Rua A' AS neighborhood, 'Santos' AS city FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT upper(s_name), 'Rua B', 'Santos' FROM supplier WHERE s_suppkey % 2 = 0""")
 def sync_store_units(s, d):
     declared = bind.stores(s, d).filter("id % 2 = 0").select(F.upper("name").alias("name"), "city", F.array(F.lit("Rua A, Centro, Santos"), F.lit("Rua B,Santos")).alias("units"))

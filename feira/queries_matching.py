@@ -124,11 +124,12 @@ def match_spelt_names(s, d):
 
 @query(_MATCHED + """, cases AS (SELECT k < 3 AS positive, s.n AS expected, ingredient AS found FROM spelt s JOIN matched USING (q)),
 e AS (SELECT count(*) FILTER (positive AND found = expected) AS tp, count(*) FILTER (positive AND found IS DISTINCT FROM expected) AS fn, count(*) FILTER (NOT positive AND found IS NOT NULL) AS fp, count(*) FILTER (NOT positive AND found IS NULL) AS tn FROM cases)
-SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy FROM e""")
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
+  (SELECT round(count(*) FILTER (match_type = 'exato') / count(*), 6) FROM spelt s JOIN matched USING (q) WHERE k < 3) AS type_accuracy FROM e""")
 def matcher_eval(s, d):
     cases = _spelt(s, d).join(_matched(s, d).select(F.col("raw_product").alias("q"), "ingredient", "match_type"), "q")
     e = H.matcher_eval(cases.select((F.col("k") < 3).alias("positive"), F.col("n").alias("expected"), F.col("ingredient").alias("found"), F.lit("exato").alias("expected_type"), F.col("match_type").alias("found_type")))
-    return e.select("tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy")])
+    return e.select("tp", "fn", "fp", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "accuracy", "type_accuracy")])
 
 
 # The collection run
@@ -139,7 +140,9 @@ def _run(s, d) -> tuple[DataFrame, DataFrame]:
     text = F.when(F.pmod(F.col("store_id"), F.lit(3)) == 0, F.concat(F.lit("zz "), F.col("brand"))).otherwise(F.col("raw_product"))
     products = p.select("id", text.alias("raw_product"), "raw_price", F.concat(F.col("total_kg").cast("int").cast("string"), F.lit("kg")).alias("raw_unit"), "store_name")
     stores = bind.stores(s, d).withColumns({"logistics": F.lit("delivery"), "type": F.lit("site")})
-    return collection.collection_run(products, _names_only(s, d), stores, F.lit("2026-01-05 10:00:00").cast("timestamp"))
+    now = F.lit("2026-01-05 10:00:00").cast("timestamp")
+    meant = bind.ingredients(s, d).select(F.col("canonical_name").alias("raw_product"), F.col("canonical_name").alias("ingredient"), F.lit(0.9).alias("semantic"))
+    return collection.collection_run(products, _names_only(s, d), stores, now, semantics=meant)
 
 
 @query(""", n AS (SELECT DISTINCT p_name AS n, upper(p_name) AS u, list_distinct(string_split(upper(p_name), ' ')) AS w FROM part),
@@ -151,8 +154,74 @@ def build_price_rows(s, d):
     return _run(s, d)[0].select("ingredient_id", "store_id", "raw_price", F.col("normalized.price_per_kg").alias("price_per_kg"), "collected_weekday", F.col("confidence").cast("double").alias("confidence"), "tier", "source")
 
 
-@query()
+# A catalog with aliases and excluded words, similarity of meaning and earlier decisions
+
+#: Names and aliases; a third of the names bars texts of 'xl'. Texts: the spelt names, and some by an alias. All pairs of text and term with their scores.
+_RICH = _SPELT + """, rich AS (SELECT n, n AS term, 'name' AS kind, 0 AS ord, length(n) % 3 = 0 AS bars FROM names UNION ALL SELECT n, split_part(n, ' ', 1) || ' zz', 'alias', 1, length(n) % 3 = 0 FROM names),
+texts AS (SELECT DISTINCT q FROM spelt UNION SELECT 'big ' || split_part(n, ' ', 1) || ' zz 5' FROM names),
+pairs AS (SELECT q, n, term, kind, ord, bars AND contains(lower(q), 'xl') AS barred, upper(q) AS a, upper(term) AS b, length(term) < 8 OR NOT contains(term, ' ') AS short FROM texts, rich) """ + token_set_sql("pairs") + """,
+fine AS (SELECT *, round(token_set * (1 - 0.25::DOUBLE * (1 - CASE WHEN NOT contains(b, ' ') AND len(wa) > 4 THEN len(list_intersect(wa, wb))::DOUBLE / len(wa) ELSE len(list_intersect(wa, wb))::DOUBLE / len(wb) END)), 6) AS score FROM scored),
+hits AS (SELECT q, min(n) AS hit FROM fine WHERE NOT barred AND CASE WHEN kind = 'name' AND contains(a, b) AND short THEN starts_with(a, b)
+  WHEN kind = 'name' THEN contains(a, b) OR (contains(b, ' ') AND len(list_filter(string_split(b, ' '), lambda w: NOT list_contains(string_split(a, ' '), w))) = 0)
+  WHEN short THEN regexp_matches(a, '(^|[^A-Z0-9])' || b || '([^A-Z0-9]|$)') ELSE contains(a, b) END GROUP BY 1),
+free AS (SELECT q, n, max(score) AS score, arg_min(kind, struct_pack(x := -score, y := ord)) AS kind FROM fine WHERE NOT barred AND q NOT IN (SELECT q FROM hits) GROUP BY 1, 2),
+best AS (SELECT q, arg_min(struct_pack(n := n, kind := kind), struct_pack(x := -score, y := n)) AS b, max(score) AS score FROM free GROUP BY 1),
+matched AS (SELECT q, hit AS ingredient, 100.0::DOUBLE AS score, 'exato' AS match_type FROM hits
+  UNION ALL SELECT q, CASE WHEN score >= 60 THEN b.n END, score, CASE WHEN score = 0 THEN 'none' WHEN b.kind = 'name' THEN 'proximo_nome' ELSE 'proximo_apelido' END FROM best),
+meant AS (SELECT *, (ascii(q) % 5) / 4.0::DOUBLE AS semantic, ascii(substr(q, 2, 1)) % 2 = 0 AS cached FROM matched),
+combined AS (SELECT *, CASE WHEN score >= 80 THEN score / 100 WHEN semantic > 0 THEN 0.6::DOUBLE * score / 100 + 0.4::DOUBLE * semantic ELSE score / 100 END AS combined FROM meant),
+routed AS (SELECT *, CASE WHEN ingredient IS NOT NULL AND combined >= 0.8::DOUBLE THEN 'accept' WHEN ingredient IS NOT NULL AND combined >= 0.7::DOUBLE AND cached THEN 'accept' WHEN combined >= 0.7::DOUBLE THEN 'review' ELSE 'drop' END AS route FROM combined),
+every AS (SELECT q, n, max(score) AS score, arg_min(struct_pack(kind := kind, term := term), struct_pack(x := -score, y := ord)) AS t FROM fine GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, n) AS rank FROM every QUALIFY rank <= 3) """
+
+
+def _rich(s, d) -> DataFrame:
+    n, e = F.col("canonical_name"), F.array().cast("array<string>")
+    bars = F.when(F.length(n) % 3 == 0, F.array(F.lit("XL"))).otherwise(e)
+    return bind.ingredients(s, d).withColumns({"aliases": F.array(F.concat(F.element_at(F.split(n, " "), 1), F.lit(" zz"))), "search_terms": e, "exclude_terms": bars})
+
+
+def _rich_texts(s, d) -> DataFrame:
+    n = bind.ingredients(s, d).select(F.concat(F.lit("big "), F.element_at(F.split("canonical_name", " "), 1), F.lit(" zz 5")).alias("raw_product"))
+    return _spelt(s, d).select(F.col("q").alias("raw_product")).unionByName(n).distinct().withColumn("id", F.col("raw_product"))
+
+
+def _routed(s, d) -> DataFrame:
+    m = H.match_ingredient(_rich_texts(s, d), _rich(s, d), threshold=60.0)
+    one, two = F.ascii("raw_product"), F.ascii(F.substring("raw_product", 2, 1))
+    return H.route_match(m.withColumns({"semantic": (one % 5) / 4.0, "cached_confidence": F.when(two % 2 == 0, 0.9)}))
+
+
+@query(_RICH + "SELECT * FROM matched")
+def match_with_aliases(s, d):
+    return H.match_ingredient(_rich_texts(s, d), _rich(s, d), threshold=60.0).select(F.col("raw_product").alias("q"), "ingredient", "score", "match_type")
+
+
+@query(_RICH + "SELECT q, n AS canonical_name, score, CASE WHEN t.kind = 'name' THEN 'proximo_nome' ELSE 'proximo_apelido' END AS match_type, t.term AS matched_term, rank FROM top")
+def rank_ingredients(s, d):
+    r = H.rank_ingredients(_rich_texts(s, d), _rich(s, d), 3).select(F.col("raw_product").alias("q"), F.posexplode("top").alias("at", "x"))
+    return r.select("q", "x.canonical_name", "x.score", "x.match_type", "x.matched_term", (F.col("at") + 1).cast("long").alias("rank"))
+
+
+@query(_RICH + "SELECT q, ingredient, round(combined, 6) AS combined, route FROM routed")
+def route_match(s, d):
+    return _routed(s, d).select(F.col("raw_product").alias("q"), "ingredient", F.round("combined", 6).alias("combined"), "route")
+
+
+@query(_RICH + """, words AS (SELECT r.*, top.n, top.t, list_sort(list_distinct(list_filter(string_split(upper(r.q), ' '), lambda w: w <> '' AND NOT list_contains(string_split(upper(top.n), ' '), w)))) AS rest
+  FROM routed r JOIN top ON r.q = top.q AND top.rank = 1 WHERE route = 'review'),
+told AS (SELECT q, array_to_string(list(n ORDER BY rank), '; ') AS suggestions FROM top WHERE score >= 55 GROUP BY 1)
+SELECT w.q, coalesce(suggestions, '') AS suggestions, CASE WHEN t.kind = 'name' THEN 'proximo_nome' ELSE 'proximo_apelido' END AS match_type,
+  'Tipo: ' || CASE WHEN t.kind = 'name' THEN 'semelhante ao nome do ingrediente' ELSE 'semelhante a um apelido do ingrediente' END || ' | Score: ' || floor(combined * 100)::INT || '% (RF: ' || round(score)::INT || '%, Semântico: ' || floor(semantic * 100)::INT
+  || '%) | Candidato: ' || chr(39) || n || chr(39) || ' | Termo: ' || chr(39) || t.term || chr(39) || CASE WHEN len(rest) > 0 THEN ' | Palavras não matcheadas: ' || array_to_string(rest, ', ') ELSE '' END AS match_reason
+FROM words w LEFT JOIN told USING (q)""")
 def match_reason(s, d):
+    r = H.match_reason(H.rank_ingredients(_routed(s, d).filter("route = 'review'"), _rich(s, d), 3))
+    return r.select(F.col("raw_product").alias("q"), F.array_join("suggestions", "; ").alias("suggestions"), "match_type", "match_reason")
+
+
+@query()
+def review_rows(s, d):
     return _run(s, d)[1].select("id", "raw_product", "match_type", "match_reason", "suggestions")
 
 

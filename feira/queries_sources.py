@@ -133,7 +133,7 @@ def _stored(s, d) -> str:
     root = work_path(s, "price-store")
     p = bind.prices(s, d)
     for k, rows in enumerate((p.filter("not is_promotion"), p.filter("is_promotion"), p.filter("is_promotion"))):
-        price_store.store_prices(s, root, rows, ("batches", min(k, 1)), unit="month")
+        price_store.store_prices(s, root, rows, ("batches", min(k, 1)), unit="year")
     return root
 
 
@@ -162,7 +162,7 @@ def stream_upsert_prices(s, d):
     p = bind.prices(s, d)
     for rows in (p.filter("not is_promotion"), p.filter("is_promotion")):
         rows.write.mode("append").parquet(source)
-        jobs.stream_upsert_prices(s, source, p.schema, root, at, unit="month")
+        jobs.stream_upsert_prices(s, source, p.schema, root, at, unit="year")
     return versions.read(s, root, "prices").select("id", "ingredient_id")
 
 

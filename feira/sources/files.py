@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -33,8 +33,9 @@ def load_stores(stores: DataFrame, keys: list[str]) -> DataFrame:
 
 def import_manual_prices(spark: SparkSession, path: str, ingredients: DataFrame, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(price rows, error rows) of a CSV: an unknown ingredient or store or a bad price
-    is an error; tier 4 for stores named Manual, else 2; confidence 1."""
-    raw = spark.read.schema(MANUAL).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    is an error, told with the row of its file (the header is row 1, blank lines don't
+    count); tier 4 for stores named Manual, else 2; confidence 1."""
+    raw = numbered_rows(spark.read.schema(MANUAL).option("header", True).option("mode", "PERMISSIVE").csv(path))
     i = ingredients.select(F.lower("canonical_name").alias("_i"), F.col("canonical_name").alias("ingredient_id"))
     s = stores.select(F.lower("name").alias("_s"), F.col("id").alias("store_id"), F.col("name").alias("store_name"))
     x = raw.join(i, F.lower(F.trim("ingredient")) == F.col("_i"), "left").join(s, F.lower(F.trim("store")) == F.col("_s"), "left").drop("_i", "_s")
@@ -44,7 +45,16 @@ def import_manual_prices(spark: SparkSession, path: str, ingredients: DataFrame,
     good = x.filter("error = ''").withColumn("normalized", T.normalize_price(F.col("raw_price"), F.col("unit"))).select(
         "ingredient_id", "store_id", "store_name", "raw_price", F.col("unit").alias("raw_unit"), F.coalesce(F.try_to_timestamp("collected_at"), F.lit(None)).alias("collected_at"), "brand",
         "normalized", F.lit(1.0).alias("confidence"), F.when(F.col("store_name").contains("Manual"), 4).otherwise(2).alias("tier"))
-    return good, x.filter("error <> ''").select("ingredient", "store", "price", "unit", "error")
+    return good, x.filter("error <> ''").select("row", "ingredient", "store", "price", "unit", "error")
+
+
+def numbered_rows(lines: DataFrame) -> DataFrame:
+    """Lines of text files with `row`, from 2 in each file. Files are read in blocks, in
+    any order: a block's rows follow those of the blocks before it."""
+    x = lines.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")).withColumn("_at", F.monotonically_increasing_id())
+    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = x.groupBy("_f", "_b").agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return x.join(blocks, ["_f", "_b"]).withColumn("row", F.col("_before") + F.col("_at") - F.col("_first") + 2).drop("_f", "_b", "_at", "_first", "_n", "_before")
 
 
 def import_visit_prices(spark: SparkSession, path: str, ingredients: DataFrame, city: str = "") -> DataFrame:

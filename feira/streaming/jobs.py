@@ -104,7 +104,7 @@ def stream_failure_streak(logs: DataFrame, threshold: int = 3, late: str = "30 d
     after its last run. State is kept in RocksDB, which this sets in the session."""
     logs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
     fail = F.coalesce(F.col("status").isin("error", "failed"), F.lit(False))
-    x = logs.filter("store_name is not null and started_at is not null").withWatermark("started_at", late).select(
+    x = logs.filter("store_name is not null and started_at is not null").withColumn("started_at", F.col("started_at").cast("timestamp")).withWatermark("started_at", late).select(
         "store_name", "started_at", F.coalesce("id", F.lit(0)).cast("long").alias("id"), (~fail).alias("good"), (fail & ~T.is_transient(T.classify_error(F.col("reason")))).alias("counts"))
     kind = dict(x.dtypes)["store_name"]
     out = StructType.fromDDL(f"store_name {kind}, streak int, disabled boolean")
