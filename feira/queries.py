@@ -1130,4 +1130,4 @@ def registry_upsert(s, d):
 
 
 # the queries of other modules register themselves
-from . import queries_flyers, queries_matching, queries_sources  # noqa: E402, F401
+from . import queries_flyers, queries_matching, queries_sources, queries_sql  # noqa: E402, F401
