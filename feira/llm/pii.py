@@ -9,15 +9,17 @@ an entity in any document gets the same one (coreference), however it is written
 Names are found by shape and context: capitalised words after a title, after words
 that introduce a name ("my name is", "Dear", "contact", "signed"), before words that
 only a person does ("wrote", "said"), before an e-mail address in brackets, or after
-one of a few common given names. A name that stands in none of these is not found.
+one of a few common given names. Each part of a name found so is then found wherever
+it stands alone in the same text, capitalised, unless the text has the word in small
+letters as well. A name that stands in none of these is not found.
 
 Two entities must not meet in one replacement, and none may be a value that
 really occurs. Both are checked on the table of distinct entities: of those that
 meet, the smallest keeps its replacement and the others draw again, until none
 meet. The values to draw from grow with the attempt (more syllables, letters or
-digits, a wider range of addresses), so that any number of entities settles. The
-layouts of SSN and national phone numbers can't grow; if more than some half of all
-their values occur, the last ones settle on values that occur, still distinct. Only the entities that had to draw again are carried to their texts;
+digits, a wider range of addresses; numbers of SSN and national phones first begin
+as no issued one does, and only in the end get more digits), so that any number of
+entities settles. Only the entities that had to draw again are carried to their texts;
 all other replacements are computed in place while the text is rewritten.
 """
 
@@ -52,6 +54,9 @@ _TITLES = "|".join(FEMALE_TITLES + MALE_TITLES + OTHER_TITLES)
 _BEFORE = ("my name is", "name is", "named", "I am", "I'm", "Dear", "contact", "signed by", "signed,", "written by", "sincerely,", "regards,", "Name:", "From:", "To:", "Attn:",
            "mein Name ist", "ich heiße", "je m'appelle", "je suis", "me llamo", "mi nombre es", "nombre:", "Nom:")
 _AFTER = ("said", "says", "wrote", "writes", "asked", "replied", "answered", "lives at", "lives in", "works at", "works for", "called me", "schrieb", "sagte", "écrit", "escribió", "dijo")
+#: Capitalised words that begin a sentence before a family name.
+_STARTERS = frozenset(("Later", "Then", "Today", "Yesterday", "Tomorrow", "When", "After", "Before", "As", "But", "And", "Or", "While", "Once", "Now", "Here", "There", "So", "Also", "Finally", "Meanwhile", "However",
+                       "If", "Though", "Since", "Because", "Dann", "Später", "Heute", "Gestern", "Und", "Aber", "Puis", "Ensuite", "Hier", "Mais", "Luego", "Después", "Ayer", "Pero"))
 _CALL = r"(?:Tel|Telephone|Phone|Mobile|Cell|Fax|Call|Telefon|Tél|Teléfono)"
 _KNOWN = "|".join(FEMALE + MALE)
 _WORD = rf"{_UP}[^\W\d_]+(?:['’-][^\W\d_]+)*"  # a capitalised word of two letters or more
@@ -67,6 +72,7 @@ _FIND = re.compile("|".join((
     rf"(?P<introduced>(?<!\w)(?i:{'|'.join(map(re.escape, _BEFORE))})\s{{1,3}}(?!(?i:{_TITLES})\.?\x20)(?P<given2>{_WORD})(?:\x20(?P<family2>{_WORD}))(?!\w))",
     rf"(?P<acting>(?<!\w)(?P<given3>{_WORD})\x20(?P<family3>{_WORD})(?=\x20(?:(?:{'|'.join(map(re.escape, _AFTER))})(?!\w)|[<(][\w.%+-]{{1,64}}@)))",
 )))
+_WORDS = re.compile(rf"(?<!\w){_NAME}(?!\w)")
 #: A text without any of these has no entity, and is not searched.
 _HINT = re.compile(rf"[0-9@]|(?<!\w)(?:{_TITLES}|{_KNOWN})(?!\w)|(?<!\w)(?i:{'|'.join(map(re.escape, _BEFORE))})\s|\x20(?:{'|'.join(map(re.escape, _AFTER))})(?!\w)")
 #: First numbers of public IPv4 ranges without private or special parts.
@@ -105,10 +111,12 @@ class Entity:
 
 
 def detect(text: str) -> list[Entity]:
-    """Entities from left to right; a person gives one for each part of the name."""
+    """Entities from left to right; a person gives one for each part of the name, and
+    one for each bare mention of a part."""
     out: list[Entity] = []
     if not _HINT.search(text):
         return out
+    names: dict[str, str] = {}  # parts of names as written, and their kinds
     for m in _FIND.finditer(text):
         kind = m.lastgroup
         if kind in ("email", "iban", "ip", "ssn", "card", "phone", "called"):
@@ -120,10 +128,39 @@ def detect(text: str) -> list[Entity]:
         given = next((g for g in ("given", "known", "given2", "given3") if m[g]), None)
         family = next(g for g in ("family", "last", "family2", "family3") if m[g])
         gender = "f" if title in FEMALE_TITLES else "m" if title in MALE_TITLES else "n"
-        if given:
-            out.append(Entity("given_" + _GENDER.get(m[given], gender), m[given].lower(), *m.span(given)))
+        if given and not (given == "given3" and m[given] in _STARTERS):
+            kind = "given_" + _GENDER.get(m[given], gender)
+            out.append(Entity(kind, m[given].lower(), *m.span(given)))
+            names.setdefault(m[given], kind)
         out.append(Entity("family", m[family].lower(), *m.span(family)))
-    return out
+        names.setdefault(m[family], "family")
+    return _with_bare(text, out, names) if names else out
+
+
+def _with_bare(text: str, found: list[Entity], names: dict[str, str]) -> list[Entity]:
+    """Entities and the bare mentions of names, outside of them: capitalised as
+    written, or in capitals, also before an apostrophe; of words that the text has in
+    small letters, none. One pass over the words, whatever the number of names."""
+    small, k = set(), 0
+    for m in _WORDS.finditer(text):
+        while k < len(found) and found[k].end <= m.start():
+            k += 1
+        if m[0][0].islower() and (k == len(found) or found[k].start >= m.end()):
+            small.add(m[0])
+    one = {n: k for n, k in names.items() if len(n) > 1 and n[0].isupper() and n.lower() not in small}
+    kinds = {n.upper(): k for n, k in one.items()} | one
+    out, k = [], 0
+    for m in _WORDS.finditer(text) if kinds else ():
+        word = m[0] if m[0] in kinds else re.split("['’]", m[0])[0]
+        if word not in kinds:
+            continue
+        while k < len(found) and found[k].end <= m.start():
+            out.append(found[k])
+            k += 1
+        end = m.start() + len(word)
+        if k == len(found) or found[k].start >= end:
+            out.append(Entity(kinds[word], word.lower(), m.start(), end))
+    return out + found[k:]
 
 
 def luhn(digits: str) -> bool:
@@ -217,7 +254,11 @@ class Surrogates:
             return f"{value[:2]}{98 - number % 97:02d}{body}"
         if kind == "phone":
             lead = 2 if value.startswith("+") else 0
-            return value[:lead] + self._alike(value[lead:] + "0" * (_grown(attempt) if lead else 0), r)
+            if lead or attempt < 12:
+                return value[:lead] + self._alike(value[lead:] + "0" * (_grown(attempt) if lead else 0), r)
+            return "01"[self._pick(r, 2)] + self._alike(value[1:] + "0" * _grown(attempt - 60), r)
+        if kind == "ssn" and attempt > 11:
+            return "9" + self._alike(value[1:] + "0" * _grown(attempt - 60), r)
         if kind.startswith("given_"):
             pool = {"f": FEMALE, "m": MALE}.get(kind[-1], FEMALE + MALE)
             if value.isascii() and attempt < 6:
@@ -257,11 +298,11 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(_entities, "row long, kind string, value string")
 
 
-def resolve(entities: DataFrame, key: bytes, strict: int = 24, max_rounds: int = 200) -> DataFrame:
+def resolve(entities: DataFrame, key: bytes) -> DataFrame:
     """Distinct (kind, value) -> (kind, value, attempt) of those that had to draw
     again, so that all replacements of a kind differ, and differ from all values
-    that occur (from attempt `strict` on only from each other, so that a layout of
-    which most values occur settles too). Each round only carries what still meets."""
+    that occur. A round moves only what still meets: what is taken is looked up by the
+    replacements still open. It settles, as ever more values are there to draw from."""
     made = Surrogates(key)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,13 +315,15 @@ def resolve(entities: DataFrame, key: bytes, strict: int = 24, max_rounds: int =
     # given names of one gender come from a short list, and many people share one
     open_ = real.withColumn("attempt", F.lit(0)).mapInArrow(draw, schema)
     settled = None
-    for k in range(max_rounds):
+    taken = real.select("kind", F.col("value").alias("new"))
+    while True:
         open_ = materialize(open_, "drawn")
-        taken = real.filter(F.lit(k < strict)).select("kind", F.col("value").alias("new"), F.lit(True).alias("bad"))
+        asked = open_.select("kind", "new").distinct()
+        bad = taken.join(asked, ["kind", "new"], "left_semi")
         if settled is not None:
-            taken = taken.unionByName(settled.select("kind", "new", F.lit(True).alias("bad")))
+            bad = bad.unionByName(settled.select("kind", "new").join(asked, ["kind", "new"], "left_semi"))
         first = open_.groupBy("kind", "new").agg(F.min("value").alias("first"))
-        at = (open_.join(first, ["kind", "new"]).join(taken.distinct(), ["kind", "new"], "left")
+        at = (open_.join(first, ["kind", "new"]).join(bad.distinct().withColumn("bad", F.lit(True)), ["kind", "new"], "left")
               .withColumn("again", F.col("bad").isNotNull() | (F.col("value") != F.col("first"))))
         at = materialize(at.select("kind", "value", "attempt", "new", "again"), "round")
         good = at.filter("not again").drop("again")
@@ -289,7 +332,6 @@ def resolve(entities: DataFrame, key: bytes, strict: int = 24, max_rounds: int =
         if left.isEmpty():
             return settled.filter("attempt > 0").select("kind", "value", "attempt")
         open_ = left.withColumn("attempt", F.col("attempt") + 1).select("kind", "value", "attempt").mapInArrow(draw, schema)
-    raise RuntimeError("replacements still meet: all values of a layout are taken")
 
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:

@@ -375,6 +375,38 @@ def test_pii_shapes_and_long_texts():
     assert time.process_time() - start < 60
 
 
+def test_bare_mentions():
+    def found(text):
+        return [(e.kind, text[e.start:e.end]) for e in pii.detect(text)]
+
+    assert found("Mr John Smith called. Smith said he agreed. John left.") == [("given_m", "John"), ("family", "Smith"), ("family", "Smith"), ("given_m", "John")]
+    assert found("Dr Priya Patel wrote. Later Patel replied, and Priya went home.") == [("given_n", "Priya"), ("family", "Patel"), ("family", "Patel"), ("given_n", "Priya")]
+    # capitals, possessives, words of the text that are no names, double names, names inside words and addresses
+    text = "PATEL met Dr Priya Patel. Patel's car. Patel-Jones, Patelson and patel@x.org stay."
+    assert found(text) == [("family", "PATEL"), ("given_n", "Priya"), ("family", "Patel"), ("family", "Patel"), ("email", "patel@x.org")]
+    assert found("Dr May Brown said it may rain. May left, Brown stayed.") == [("given_n", "May"), ("family", "Brown"), ("family", "Brown")]
+    made = pii.Surrogates(b"k")
+    text = "Mr John Smith called. SMITH said so."
+    new = [made.render(e, text[e.start:e.end]) for e in pii.detect(text)]
+    assert new[1].upper() == new[2]
+    # thousands of names in one text
+    names = ["".join(random.Random(k).choices("bcdfgaeiou", k=7)).title() for k in range(5000)]
+    text = " ".join(f"Dr {n} came. {n} left." for n in names)
+    assert len(pii.detect(text)) == 10_000
+
+
+def test_replacements_of_full_layouts(spark):
+    # every issued number of an area is real: replacements begin as no issued one does
+    made = pii.Surrogates(b"k")
+    for kind, value in (("ssn", "123456789"), ("phone", "5551234567")):
+        late = {made.canonical(kind, value, a) for a in range(12, 60)}
+        assert all(len(x) == len(value) and x[0] in "019" for x in late)
+        assert len(made.canonical(kind, value, 80)) > len(value)
+    assert pii.surrogates(docs(spark, []), "k").count() == 0
+    got = {(x["doc_id"], x["text"]) for x in pii.surrogates(docs(spark, edge_rows()), "k").collect()}
+    assert len(got) == len({(i, t) for i, t, *_ in edge_rows()})
+
+
 # 5
 
 def brute_rules(t):
