@@ -10,6 +10,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,16 +124,56 @@ def rank_ingredients(products: DataFrame, catalog: DataFrame, n: int = 3) -> Dat
     return products.join(top.withColumn("top", F.transform("top", lambda x: x.dropFields("o"))), "raw_product", "left")
 
 
-def embedding_similarity(products: DataFrame, terms: DataFrame, besides: bool = False) -> DataFrame:
+#: Vectors of a label that meet at a time, from either side.
+BLOCK_VECTORS = 2000
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as the rows of a matrix, of length 1 (or 0); shorter ones end in zeros."""
+    rows = column.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), size.max(initial=0)))
+    out[np.arange(out.shape[1]) < size[:, None]] = np.nan_to_num(rows.flatten().to_numpy(zero_copy_only=False).astype(float))
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def embedding_similarity(products: DataFrame, terms: DataFrame, besides: bool = False, block: int = BLOCK_VECTORS) -> DataFrame:
     """Largest cosine of a product's vector with the vectors of its ingredient:
     products (id, ingredient, embedding), terms (ingredient, embedding) -> id,
     ingredient, similarity. With besides, terms also have term_id, and a product is
-    not compared with the term of its own id. The largest is folded before anything
-    is gathered."""
-    t = terms.select(F.col("ingredient").alias("_i"), F.col("embedding").alias("_v"), *(["term_id"] if besides else []))
-    j = products.join(t, F.col("ingredient") == F.col("_i"))
-    j = j.filter("term_id <> id") if besides else j
-    return j.groupBy("id", F.col("_i").alias("ingredient")).agg(F.max(S.cosine(F.col("embedding"), F.col("_v"))).alias("similarity"))
+    not compared with the term of its own id.
+
+    Vectors of one ingredient meet in blocks, as two matrices; a frequent ingredient is
+    cut into many such cells, and of each cell one number a product is passed on. A
+    null vector is similar to nothing (0)."""
+    p = products.select("id", "ingredient", "embedding")
+    # under names of their own, as both sides may come from one table
+    t = terms.select(F.col("ingredient").alias("ingredient"), F.col("embedding").alias("vector"), (F.col("term_id") if besides else F.lit(None).cast(dict(p.dtypes)["id"])).alias("term_id"))
+    cuts = lambda d, c: d.groupBy("ingredient").agg(F.ceil(F.count("*") / block).alias(c))
+    both = cuts(p, "rows").join(cuts(t, "cols"), "ingredient")
+    tasks = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    cell = ["ingredient", "row", "col"]
+    a = p.join(both, "ingredient").withColumn("row", F.pmod(F.xxhash64("id"), "rows")).withColumn("col", every("cols")).select(*cell, "id", "embedding").repartition(tasks, *cell)
+    b = t.join(both, "ingredient").withColumn("col", F.pmod(F.xxhash64("term_id", "vector"), "cols")).withColumn("row", every("rows")).select(*cell, "term_id", "vector").repartition(tasks, *cell)
+
+    def run(own: pa.Table, far: pa.Table) -> pa.Table:
+        best = np.zeros(0)
+        if own.num_rows and far.num_rows:
+            x, y = _matrix(own.column("embedding")), _matrix(far.column("vector"))
+            width = min(x.shape[1], y.shape[1])
+            like = x[:, :width] @ y[:, :width].T
+            if besides:
+                ids, theirs = (np.array(c.to_pylist(), object) for c in (own.column("id"), far.column("term_id")))
+                like[ids[:, None] == theirs] = -np.inf
+            best = like.max(1)
+        keep = np.flatnonzero(best > -np.inf)
+        return pa.table({"id": own.column("id").take(pa.array(keep)), "ingredient": own.column("ingredient").take(pa.array(keep)), "similarity": pa.array(best[keep], pa.float64())})
+
+    kinds = dict(p.dtypes)
+    out = a.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInArrow(run, f"id {kinds['id']}, ingredient {kinds['ingredient']}, similarity double")
+    return out.groupBy("id", "ingredient").agg(F.max("similarity").alias("similarity"))
 
 
 def route_match(matched: DataFrame, accept: float = 0.80, review: float = 0.70) -> DataFrame:

@@ -820,12 +820,39 @@ def distinct_lines(s, d):
     return X.distinct_lines(_texts(s, d)).select("id", "pos")
 
 
-@query()
+def _re2(pattern: str) -> str:
+    """A Java pattern as a DuckDB string, whose flags know no Unicode case of their own."""
+    return "'" + pattern.replace("(?iu)", "(?i)").replace("'", "''") + "'"
+
+
+def _first_of(text: str, patterns: tuple[str, ...]) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({text}, {_re2(p)}) THEN trim(regexp_extract({text}, {_re2(p)}, 1)) END" for p in patterns) + ", '')"
+
+
+@query(f""", l AS (SELECT doc_id AS id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {{'p': i - 1, 't': trim(regexp_replace(regexp_replace(trim(x), '^\\|+|\\|+$', '', 'g'), '\\s+', ' ', 'g'))}})) AS x FROM documents),
+line AS (SELECT id, min(x.p) AS pos, arg_min(x.t, x.p) AS line FROM l WHERE x.t <> '' GROUP BY id, lower(x.t)),
+v AS (SELECT *, nullif({_first_of("line", (T.VALID_UNTIL, T.UNTIL))}, '') AS validity FROM line),
+x AS (SELECT *, CASE WHEN validity IS NULL AND regexp_matches(line, {_re2(T.PRICE)}) THEN try_cast(replace(replace(regexp_extract(line, {_re2(T.PRICE)}, 1), '.', ''), ',', '.') AS DOUBLE) END AS price FROM v
+  WHERE validity IS NOT NULL OR NOT (length(line) < 3 OR regexp_full_match(line, '[0-9]+') OR list_has_any(string_split_regex(lower(line), '\\s+'), [{", ".join(map(_re2, X.STOP_WORDS))}]))),
+i AS (SELECT *, count(price) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS island,
+  nullif(CASE WHEN price IS NOT NULL THEN trim(regexp_replace(line, {_re2(T.PRICE)}, '', 'g')) WHEN validity IS NULL THEN line END, '') AS part FROM x),
+g AS (SELECT id, island, trim(regexp_replace(coalesce(string_agg(part, ' ' ORDER BY pos), ''), '\\s+', ' ', 'g')) AS product, max(price) AS price, max(pos) FILTER (price IS NOT NULL) AS pos, arg_max(validity, pos) FILTER (validity IS NOT NULL) AS validity FROM i GROUP BY 1, 2),
+t AS (SELECT *, length(product) > 3 AS out, coalesce(sum((length(product) > 3)::INT) OVER (PARTITION BY id ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM g WHERE price IS NOT NULL),
+h AS (SELECT *, last_value(validity IGNORE NULLS) OVER (PARTITION BY id, turn ORDER BY island ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM t)
+SELECT id, pos::INT AS pos, product, price, {_first_of("product", T.PACKS)} AS unit, coalesce(held, '') AS validity_raw FROM h WHERE out""")
 def parse_flyer_lines(s, d):
     return X.parse_flyer_lines(X.distinct_lines(_texts(s, d)))
 
 
-@query()
+_CLUES = ", ".join(f"list_transform(regexp_extract_all(text, {_re2(p)}), lambda m: {{'address': trim(m), 'confidence': {c}::DOUBLE, 'kind': '{k}'}})" for p, k, c in X.ADDRESSES)
+
+
+@query(f""", a AS (SELECT doc_id AS id, flatten([{_CLUES}]) AS f FROM documents),
+k AS (SELECT id, f, list_transform(f, lambda x: regexp_replace(lower(x.address), '\\s+', ' ', 'g')) AS keys FROM a),
+o AS (SELECT id, list_transform(list_sort(list_transform(list_filter(f, lambda x, i: list_position(keys, keys[i]) = i), lambda x, i: {{'o': -x.confidence, 'i': i, 'x': x}})), lambda y: y.x) AS o FROM k),
+b AS (SELECT id, o, coalesce(o[1].confidence >= 7, false) AS one, len(o) >= 2 AS many, o[1:3] AS top FROM o)
+SELECT id, CASE WHEN one THEN o[1].address WHEN many THEN array_to_string(list_transform(top, lambda x: x.address), '; ') END AS address,
+  CASE WHEN one THEN o[1].confidence WHEN many THEN round(list_sum(list_transform(top, lambda x: x.confidence)) / len(top), 2) END AS confidence, CASE WHEN one THEN o[1].kind WHEN many THEN 'combinado' END AS kind, len(o)::INT AS clues FROM b""")
 def extract_addresses(s, d):
     return X.best_address(X.extract_addresses(_texts(s, d))).select("id", "address", "confidence", "kind", F.size("addresses").alias("clues"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import unicodedata
 
@@ -105,3 +106,19 @@ def test_contained_against_brute_force(spark):
     for block in (7, 50_000):
         got = [tuple(x) for x in contain.contained(spark.createDataFrame([(x,) for x in texts], "text string"), spark.createDataFrame([(x,) for x in terms], "term string"), block).collect()]
         assert sorted(got) == sorted({(a, b) for a in texts if a for b in terms if b and b in a})
+
+
+@pytest.mark.parametrize("besides", [False, True])
+def test_embedding_similarity_in_blocks(spark, besides):
+    r = random.Random(6)
+    vector = lambda: [r.gauss(0, 1) for _ in range(5)]
+    rows = [(k, "hot" if k % 3 else f"i{k % 7}", vector() if k % 11 else [0.0] * 5 if k % 2 else None) for k in range(120)] + [(500, None, vector()), (501, "alone", vector()), (502, "hot", [1.0, 2.0])]
+    terms = spark.createDataFrame([(i, v, k) for k, i, v in rows if k != 501], "ingredient string, embedding array<double>, term_id long")
+    got = {x["id"]: x["similarity"] for x in H.embedding_similarity(spark.createDataFrame(rows, "id long, ingredient string, embedding array<double>"), terms, besides, block=9).collect()}
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a or ())) * math.sqrt(sum(x * x for x in b or ()))
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    want = {k: max(cosine(v, w) for j, h, w in rows if h == i and j != 501 and not (besides and j == k)) for k, i, v in rows if i not in (None, "alone")}
+    assert got == pytest.approx(want)
