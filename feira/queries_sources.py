@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import monitor as O
-from .plans import price_store
+from .plans import live, price_store
 from .queries import query
 from .sources import bind, files, versions
 from .sources.work import work_path
@@ -156,6 +156,36 @@ def versioned_deletes(s, d):
     return versions.read(s, root, "prices").select("id", "ingredient_id")
 
 
+def _live(s, d) -> tuple[str, dt.date]:
+    """The prices of 1992 to 1996, then those of the later years, then promotions over
+    both, with moments and latest prices kept up to date; prices hold for 60 days."""
+    root = work_path(s, "live-prices")
+    p = bind.prices(s, d).withColumn("valid_until", F.date_add("valid_from", 60))
+    last, early = bind.read_table(s, d, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0], F.col("valid_from") < "1997-01-01"
+    for k, (rows, day) in enumerate(((p.filter(~F.col("is_promotion") & early), min(last, dt.date(1996, 12, 31))), (p.filter(~F.col("is_promotion") & ~early), last), (p.filter("is_promotion"), last))):
+        live.store(s, root, rows, day, ("batches", k), unit="year")
+    return root, last
+
+
+_LIVE = """, one AS (SELECT *, collected_at::DATE AS day FROM prices WHERE raw_price > 0 QUALIFY row_number() OVER (PARTITION BY ingredient_id, store_id, day, is_promotion ORDER BY price_per_kg, id) = 1),
+kept AS (SELECT * FROM one WHERE price_per_kg > 0 QUALIFY row_number() OVER (PARTITION BY ingredient_id, store_id, day ORDER BY is_promotion DESC) = 1) """
+
+
+@query(_LIVE + """SELECT ingredient_id, store_id, id, price_per_kg FROM kept WHERE valid_from <= as_of AND valid_from + 60 >= as_of
+QUALIFY row_number() OVER (PARTITION BY ingredient_id, store_id ORDER BY collected_at DESC, id DESC) = 1""")
+def maintained_latest_prices(s, d):
+    root, _ = _live(s, d)
+    return live.latest(s, root).select("ingredient_id", "store_id", "id", "price_per_kg")
+
+
+@query(_LIVE + """, g AS (SELECT ingredient_id, avg(price_per_kg) AS mean, stddev_pop(price_per_kg) AS std, min(price_per_kg) AS lo, max(price_per_kg) AS hi, count(*) AS n FROM kept
+WHERE collected_at::DATE >= as_of - 1000 GROUP BY 1) SELECT ingredient_id, CASE WHEN n >= 3 THEN round(mean, 4) ELSE 0 END AS mean, CASE WHEN n >= 3 THEN round(std, 4) ELSE 0 END AS std,
+CASE WHEN n >= 3 THEN lo ELSE 0 END AS min, CASE WHEN n >= 3 THEN hi ELSE 0 END AS max, CASE WHEN n >= 3 THEN n ELSE 0 END AS n FROM g""")
+def maintained_stats(s, d):
+    root, last = _live(s, d)
+    return live.stats(s, root, last, window=1000, by_store=False).select("ingredient_id", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", "n")
+
+
 @query(_STORED + "SELECT id, ingredient_id FROM both_")
 def stream_upsert_prices(s, d):
     source, root, at = (work_path(s, n) for n in ("price-files", "price-stream", "price-state"))

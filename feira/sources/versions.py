@@ -129,6 +129,13 @@ def read(spark: SparkSession, root: str, name: str, number: int | None = None, s
     return _rows(spark, root, name, t, None if first is None else {p for p in t.days if p >= first}).drop("period")
 
 
+def read_beside(spark: SparkSession, root: str, name: str, rows: DataFrame, number: int | None = None) -> DataFrame:
+    """Only the periods of a table that the dates of `rows` fall in."""
+    t = version(spark, root, number).tables[name]
+    periods = {r[0] for r in rows.select(_period(t)).distinct().collect()}  # a value each period
+    return _rows(spark, root, name, t, periods & set(t.days)).drop("period")
+
+
 def commit(spark: SparkSession, root: str, changes: dict[str, Change], batch: tuple[str, int] | None = None) -> int:
     """All changes at once, or none; the new version. A batch (of a stream, number)
     that was committed already changes nothing. Keys of the rows must be unique and
