@@ -65,15 +65,16 @@ def latest(spark: SparkSession, root: str) -> DataFrame:
     return versions.read(spark, root, "latest")
 
 
-def store(spark: SparkSession, root: str, incoming: DataFrame, as_of: dt.date, batch: tuple[str, int] | None = None, unit: str = "day") -> int:
+def store(spark: SparkSession, root: str, incoming: DataFrame, as_of: dt.date, batch: tuple[str, int] | None = None, unit: str = "day", ends: str = "day") -> int:
     """A batch into prices and history, with moments and latest prices as of a day, in
-    one commit. A batch that is repeated changes nothing. An empty batch moves the day."""
+    one commit. A batch that is repeated changes nothing. An empty batch moves the day.
+    unit, ends: periods that new tables are cut by, of collection and of validity's end."""
     if batch and versions.version(spark, root).batches.get(batch[0], -1) >= batch[1]:
         return versions.version(spark, root).number
     path = work_path(spark, "batch")
     maintain.priced(incoming).write.parquet(path)  # read for each of the tables
     rows = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
-    return _change(spark, root, as_of, {t: Change(rows, keys=KEYS, unit=unit) for t in TABLES}, rows, rows.select(*KEYS).filter("false"), batch)
+    return _change(spark, root, as_of, {t: Change(rows, keys=KEYS, unit=unit) for t in TABLES}, rows, rows.select(*KEYS).filter("false"), batch, ends)
 
 
 def delete_where(spark: SparkSession, root: str, gone: Column, as_of: dt.date) -> int:
@@ -94,7 +95,7 @@ def retain(spark: SparkSession, root: str, as_of: dt.date) -> int:
     return _change(spark, root, as_of, out, None, old)
 
 
-def _change(spark: SparkSession, root: str, as_of: dt.date, changes: dict[str, Change], rows: DataFrame | None, lost: DataFrame, batch: tuple[str, int] | None = None) -> int:
+def _change(spark: SparkSession, root: str, as_of: dt.date, changes: dict[str, Change], rows: DataFrame | None, lost: DataFrame, batch: tuple[str, int] | None = None, ends: str = "day") -> int:
     """Commit the changes with those of the derived tables. rows: put into both tables
     (None: nothing that moments need); lost: keys of rows that go."""
     v = versions.version(spark, root)
@@ -115,8 +116,8 @@ def _change(spark: SparkSession, root: str, as_of: dt.date, changes: dict[str, C
         touched.append(held.filter((F.col("valid_from") > F.lit(before)) & (F.col("valid_from") <= F.lit(as_of))).select(*OFFER))
     keys = reduce(DataFrame.unionByName, touched).distinct()
     new = prices.latest_prices(held.join(keys, OFFER, "left_semi").select(*columns.columns), F.lit(as_of))
-    changes["open"] = Change(fresh, gone=stale, until=as_of, keys=tuple(OPEN), date="valid_until")
-    changes["latest"] = Change(new, gone=shown.join(keys, OFFER, "left_semi"), until=as_of, keys=tuple(LATEST), date="valid_until")
+    changes["open"] = Change(fresh, gone=stale, until=as_of, keys=tuple(OPEN), date="valid_until", unit=ends)
+    changes["latest"] = Change(new, gone=shown.join(keys, OFFER, "left_semi"), until=as_of, keys=tuple(LATEST), date="valid_until", unit=ends)
     changes["latest_day"] = Change(spark.createDataFrame([("as_of", as_of)], "name string, day date"), keys=("name",), date="day", unit="all")
     return versions.commit(spark, root, changes, batch)
 

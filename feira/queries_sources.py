@@ -163,7 +163,7 @@ def _live(s, d) -> tuple[str, dt.date]:
     p = bind.prices(s, d).withColumn("valid_until", F.date_add("valid_from", 60))
     last, early = bind.read_table(s, d, "lineitem").agg(F.max(F.to_date("l_shipdate"))).first()[0], F.col("valid_from") < "1997-01-01"
     for k, (rows, day) in enumerate(((p.filter(~F.col("is_promotion") & early), min(last, dt.date(1996, 12, 31))), (p.filter(~F.col("is_promotion") & ~early), last), (p.filter("is_promotion"), last))):
-        live.store(s, root, rows, day, ("batches", k), unit="year")
+        live.store(s, root, rows, day, ("batches", k), unit="year", ends="month")
     return root, last
 
 

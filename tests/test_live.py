@@ -41,7 +41,7 @@ def test_ten_batches_with_corrections_and_deletes(spark, tmp_path):
     for b in range(10):
         rows = [price(r, f"{b}-{k}", 3 * b + r.randrange(3) if k % 3 else r.randrange(3 * b + 3)) for k in range(25)]
         day = START + dt.timedelta(3 * b + 2)
-        live.store(spark, root, spark.createDataFrame(rows, files.PRICE_ROW), day, ("b", b), unit="month")
+        live.store(spark, root, spark.createDataFrame(rows, files.PRICE_ROW), day, ("b", b), unit="month", ends="month")
         same(spark, root, day, moments=b in (4, 9))
         shown += live.latest(spark, root).count()
     assert shown > 20
