@@ -78,33 +78,50 @@ def _forms(value: str) -> tuple[str, str]:
     return low, low.translate(_LEET)
 
 
-def inner_words(value: str) -> set[str]:
-    """All stretches of letters in a value that may be words, in both forms."""
-    out = set()
-    for form in _forms(value):
-        for i in range(len(form)):
-            j = i
-            while j < min(len(form), i + LONG) and form[j].isalpha():
-                j += 1
-                if j - i >= SHORT:
-                    out.add(form[i:j])
-    return out
-
-
-def _segments(value: str, words: dict[str, float]) -> list[tuple[int, int, float]]:
-    """(start, end, cost) of the patterns in a value: words, dates, repeats of one to
-    four characters, and keyboard walks."""
-    out, n = [], len(value)
-    low, plain = _forms(value)
+#: Characters of a value whose inner words leave in one batch.
+PIECE = 2048
+
+
+def inner_words(value: str) -> Iterator[set[str]]:
+    """The stretches of letters in a value that may be words, in both forms: a set for
+    those that begin in each PIECE characters, so a long value is never held as words."""
+    forms = _forms(value)
+    for start in range(0, len(value), PIECE):
+        out = set()
+        for form in forms:
+            for i in range(start, min(len(form), start + PIECE)):
+                j = i
+                while j < min(len(form), i + LONG) and form[j].isalpha():
+                    j += 1
+                    if j - i >= SHORT:
+                        out.add(form[i:j])
+        yield out
+
+
+def _words_to(value: str, forms: tuple[str, str], words: dict[str, float], j: int) -> Iterator[tuple[int, float]]:
+    """(start, cost) of the words in a value that end at j."""
+    for i in range(max(0, j - LONG), j - SHORT + 1):
+        for form, extra in zip(forms, (0.0, 0.3)):
+            w = form[i:j]
+            cost = min(words.get(w, math.inf), math.log10(_RANK[w] + 1) if w in _RANK else math.inf)
+            if cost < math.inf:
+                yield i, cost + extra + (0.0 if value[i:j] == forms[0][i:j] else 0.3)
+                break
+
+
+def _segments(value: str, words: dict[str, float]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, cost) of all patterns in a value."""
+    forms = _forms(value)
+    for j in range(SHORT, len(value) + 1):
+        for i, cost in _words_to(value, forms, words, j):
+            yield i, j, cost
+    yield from _patterns(value)
+
+
+def _patterns(value: str) -> list[tuple[int, int, float]]:
+    """(start, end, cost) of dates, repeats of one to four characters, and keyboard walks."""
+    out, n, low = [], len(value), _forms(value)[0]
     for i in range(n):
-        for j in range(i + SHORT, min(n, i + LONG) + 1):
-            for form, extra in ((low, 0.0), (plain, 0.3)):
-                w = form[i:j]
-                cost = min(words.get(w, math.inf), math.log10(_RANK[w] + 1) if w in _RANK else math.inf)
-                if cost < math.inf:
-                    upper = 0.0 if value[i:j] == low[i:j] else 0.3
-                    out.append((i, j, cost + extra + upper))
-                    break
         m = _DATE.match(value, i)
         if m:
             out.append((i, m.end(), math.log10(365 * 60 if m.end() - i > 4 else 120)))
@@ -134,17 +151,18 @@ def _segments(value: str, words: dict[str, float]) -> list[tuple[int, int, float
 
 def guess_cost(value: str, words: dict[str, float] = {}) -> float:
     """Power of ten of the guesses of the cheapest way to build the value, with the
-    costs of words beside the common ones. Time grows with the length; a brute-force
-    span is paid by the character."""
-    n, per = len(value), _brute(value)
+    costs of words beside the common ones. Time and memory grow with the length (some
+    200 bytes a character; words are looked up as the cost moves on, not held); a
+    brute-force span is paid by the character."""
+    n, per, forms = len(value), _brute(value), _forms(value)
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _segments(value, words):
+    for i, j, cost in _patterns(value):
         ends.setdefault(j, []).append((i, cost))
     # the cheapest way to the first j characters that ends in brute force, and at all
     brute, best = [math.inf] * (n + 1), [0.0] + [math.inf] * n
     for j in range(1, n + 1):
         brute[j] = min(brute[j - 1], best[j - 1] + _SEGMENT) + per
-        best[j] = min([brute[j], *(best[i] + cost + _SEGMENT for i, cost in ends.get(j, ()))])
+        best[j] = min([brute[j], *(best[i] + cost + _SEGMENT for i, cost in ends.get(j, ())), *(best[i] + cost + _SEGMENT for i, cost in _words_to(value, forms, words, j))])
     return best[n]
 
 
@@ -224,28 +242,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for value in batch.column("value").to_pylist():
-            words = list(inner_words(value))
-            yield pa.RecordBatch.from_arrays([pa.array([value] * len(words), pa.string()), pa.array(words, pa.string())], ["value", "w"])
+        for key, value in zip(batch.column("k").to_pylist(), batch.column("value").to_pylist()):
+            for words in inner_words(value):
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(list(words), pa.string())], ["k", "w"])
 
 
 def value_costs(values: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct values -> value, cost, with the words of all docs."""
-    inner = materialize(values.mapInArrow(_inner, "value string, w string"), "inner-words")
+    """Distinct values (k: their digest, value) -> k, cost, with the words of all docs.
+    Words travel with the digest, not the value; a value's row holds the distinct words
+    of the corpus that occur in it."""
+    inner = materialize(values.mapInArrow(_inner, "k string, w string"), "inner-words")
     spark = values.sparkSession
     wanted = inner.select("w").unionByName(spark.createDataFrame([("",)], "w string")).distinct()
     words = docs.select("text").mapInArrow(_count, "w string, n long").join(wanted, "w", "left_semi")
     words = materialize(words.groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = words.filter("w = ''").select(F.col("n").alias("all_n"))
     own = (inner.join(words, "w").crossJoin(F.broadcast(total))  # one row
-           .groupBy("value").agg(F.collect_list(F.struct("w", F.log10(F.col("all_n") / F.col("n")).alias("cost"))).alias("words")))
+           .groupBy("k").agg(F.collect_set(F.struct("w", F.log10(F.col("all_n") / F.col("n")).alias("cost"))).alias("words")))
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [guess_cost(v, {w["w"]: w["cost"] for w in ws or ()}) for v, ws in zip(batch.column("value").to_pylist(), batch.column("words").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(out, pa.float64())], ["value", "cost"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(out, pa.float64())], ["k", "cost"])
 
-    return values.join(own, "value", "left").select("value", "words").mapInArrow(cost, "value string, cost double")
+    return values.join(own, "k", "left").select("k", "value", "words").mapInArrow(cost, "k string, cost double")
 
 
 def find_secrets(docs: DataFrame, least: float = 9.0, salts: int = 8) -> DataFrame:
@@ -263,10 +283,10 @@ def find_secrets(docs: DataFrame, least: float = 9.0, salts: int = 8) -> DataFra
     rows = d.mapInArrow(_scan, f"{_ROW}, found {_VALUES}").withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "scanned")
     names = [x.split()[0] for x in _ROW.split(", ")]
-    found = rows.filter("size(found) > 0").select("row", F.explode("found").alias("x")).select("row", "x.*")
-    costs = value_costs(materialize(found.select("value").distinct(), "values"), d).filter(F.col("cost") >= least)
+    found = rows.filter("size(found) > 0").select("row", F.explode("found").alias("x")).select("row", "x.*", F.sha2("x.value", 256).alias("k"))
+    costs = value_costs(materialize(found.select("k", "value").dropDuplicates(["k"]), "values"), d).filter(F.col("cost") >= least)
     costs = materialize(costs, "costly").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    guess = (found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).join(costs, ["value", "salt"])
+    guess = (found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int")).drop("value").join(costs, ["k", "salt"])
              .groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("guess"), F.max("cost").alias("guess_log10")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -622,6 +622,25 @@ def test_guess_cost_against_brute_force():
         assert secrets.guess_cost(value, words) == pytest.approx(brute(value)), value
 
 
+def test_secrets_of_very_long_values(spark, monkeypatch):
+    # a value of many pieces: the words of pieces are those of the whole, no batch is larger than a piece allows
+    value = "".join(random.Random(3).choices("abcdefghij", k=700)) + "harbour" + "Q7" * 30
+    whole = set().union(*secrets.inner_words(value))
+    monkeypatch.setattr(secrets, "PIECE", 64)
+    pieces = list(secrets.inner_words(value))
+    assert set().union(*pieces) == whole and "harbour" in whole
+    assert max(map(len, pieces)) <= 2 * 64 * (secrets.LONG - secrets.SHORT + 1)
+    monkeypatch.undo()
+    long = "".join(random.Random(4).choices("abcdefghijklmnop", k=30_000))
+    texts = ["harbour harbour lights", f"pwd: {value} .", f"token is: x1{long} end"]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(docs(spark, list(enumerate(texts)))).collect()}
+    n = collections.Counter(w for t in texts for w in secrets.words_of(t))
+    words = {w: math.log10(n.total() / c) for w, c in n.items() if len(w) <= secrets.LONG}
+    assert got[0]["n_guess"] == 0
+    assert got[1]["guess_log10"] == pytest.approx(secrets.guess_cost(value, words)) and got[2]["guess_log10"] == pytest.approx(secrets.guess_cost("x1" + long, words))
+    assert got[1]["spans"].endswith(f"guess:5:{5 + len(value)}")
+
+
 def test_secrets_of_prose_and_copies(spark):
     prose = ["The token is required for access.", "the secret is ingredients", "Your password is required here", "bearer token is generated daily", "author: Wojciechowski wrote it"]
     more = ["it is required that the ingredients are generated", "daily access is generated and required"]
