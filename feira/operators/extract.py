@@ -4,11 +4,14 @@ number regions of read flyers."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import pairwise
 from statistics import median
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,25 +193,25 @@ def name_from_texts(texts: Column) -> Column:
 _NUMBER = re.compile(r"[R$\s]*(\d[\d.,]*)\s*")
 
 
-def _numbers(texts: list[str | None], boxes: list) -> list[tuple[str, str, float, float, float]]:
-    """(text, digits, cx, cy, height) of the numeric regions, tallest first."""
-    out = []
-    for text, box in zip(texts, boxes):
-        raw = (text or "").strip()
-        m = _NUMBER.fullmatch(raw)
-        if m:
-            xs, ys = [p[0] for p in box], [p[1] for p in box]
-            out.append((raw, re.sub("[.,]", "", m[1]), sum(xs) / len(xs), sum(ys) / len(ys), max(ys) - min(ys)))
-    return sorted(out, key=lambda n: (-n[4], n[2], n[3], n[0]))
+@lru_cache(100_000)
+def _number(text: str) -> tuple[str, str] | None:
+    """A text that is a number, without blanks at its ends, and its digits."""
+    raw = text.strip()
+    m = _NUMBER.fullmatch(raw)
+    return (raw, re.sub("[.,]", "", m[1])) if m else None
 
 
-def _prices(texts: list[str | None], boxes: list, least_height: float) -> list[tuple[float, float, float, str]]:
+def _prices(texts: list[str | None], cx: list[float], cy: list[float], heights: list[float], least_height: float) -> list[tuple[float, float, float, str]]:
     """(value, cx, cy, how) of one flyer; a cents region serves one price."""
-    n = _numbers(texts, boxes)
+    n = []
+    for text, x, y, h in zip(texts, cx, cy, heights):
+        if text is not None and (found := _number(text)) is not None:
+            n.append((*found, x, y, h))
+    n.sort(key=lambda n: (-n[4], n[2], n[3], n[0]))  # tallest first
     used: set[int] = set()
     out = []
-    cents = [k for k, x in enumerate(n) if len(x[1]) == 2]
-    for i, (raw, d, cx, cy, h) in enumerate(n):
+    cents = sorted((x[2], k) for k, x in enumerate(n) if len(x[1]) == 2)
+    for i, (raw, d, cx_, cy_, h) in enumerate(n):
         if i in used:
             continue
         if ("," in raw or "." in raw) and len(d) >= 3:
@@ -219,48 +222,83 @@ def _prices(texts: list[str | None], boxes: list, least_height: float) -> list[t
             value, how = int(d[:-2]) + int(d[-2:]) / 100, f"blob{len(d)}"
         elif h > least_height and len(d) <= 2:
             value, how = float(d), "no_cents"
-            near = []
-            for k in cents:
-                dx, dy = n[k][2] - cx, abs(n[k][3] - cy)
-                if k != i and k not in used and 0 < dx < 2 * h and dy < 0.9 * h and n[k][4] < h:
-                    near.append((dx + dy, k))
+            near = None
+            for at in range(bisect_right(cents, (cx_, len(n))), len(cents)):  # to the right of it
+                x, k = cents[at]
+                if x - cx_ >= 2 * h:
+                    break
+                dx, dy = x - cx_, abs(n[k][3] - cy_)
+                if k != i and k not in used and dx > 0 and dy < 0.9 * h and n[k][4] < h and (near is None or (dx + dy, k) < near):
+                    near = (dx + dy, k)
             if near:
-                k = min(near)[1]
+                k = near[1]
                 used.add(k)
                 value, how = int(d) + int(n[k][1]) / 100, "cents"
         else:
             continue
         used.add(i)
-        out.append((value, cx, cy, how))
+        out.append((value, cx_, cy_, how))
     return out
 
 
 def _dedup(prices: list[tuple], dx: float, dy: float) -> list[tuple]:
     """The lowest of the prices that stand together in a column."""
     left, out = sorted(prices, key=lambda p: (p[1], p[2])), []
-    while left:
-        p = left[0]
-        own = [q for q in left if abs(q[1] - p[1]) <= dx and abs(q[2] - p[2]) <= dy]
-        out.append(min(own, key=lambda q: q[0]))
-        left = [q for q in left if q not in own]
+    gone = [False] * len(left)
+    for k, p in enumerate(left):
+        if gone[k]:
+            continue
+        best = p
+        for j in range(k, len(left)):
+            q = left[j]
+            if q[1] - p[1] > dx:
+                break
+            if not gone[j] and abs(q[2] - p[2]) <= dy:
+                gone[j] = True
+                best = min(best, q, key=lambda q: q[0])
+        out.append(best)
     return out
 
 
+def _by_flyer(regions: DataFrame, run: Callable[[str, list, list, list, list], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """flyer_id and the rows that `run` makes of a flyer's regions: texts, centres and
+    heights. Four slim columns move, sorted by flyer; no box does."""
+    xs, ys = F.transform("box", lambda p: p[0]), F.transform("box", lambda p: p[1])
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size("box")
+    slim = regions.select("flyer_id", "text", mean(xs).alias("x"), mean(ys).alias("y"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def flyers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: tuple | None = None  # the flyer that may go on in the next batch
+        for batch in batches:
+            out = []
+            ends = pc.run_end_encode(batch.column("flyer_id")) if batch.num_rows else None
+            cols, start = [batch.column(c).to_pylist() for c in ("text", "x", "y", "h")], 0
+            for flyer, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()) if ends is not None else ():
+                part = [c[start:end] for c in cols]
+                if own is not None and own[0] == flyer:
+                    part = [a + b for a, b in zip(own[1], part)]
+                elif own is not None:
+                    out += [(own[0], *r) for r in run(*own[1])]
+                own, start = (flyer, part), end
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+        if own is not None and (out := [(own[0], *r) for r in run(*own[1])]):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return spread(slim, "flyer_id").sortWithinPartitions("flyer_id").mapInArrow(flyers, schema)
+
+
 def region_prices(regions: DataFrame, least_height: float = 55.0, dedup: bool = False, max_dx: float = 70.0, max_dy: float = 170.0) -> DataFrame:
     """regions (flyer_id, text, box, score) -> flyer_id, price, cx, cy, how; with dedup
     the two prices that a product shows become the lower one (dual_price_dedup)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for flyer, texts, boxes in zip(*(batch.column(c).to_pylist() for c in ("flyer_id", "texts", "boxes"))):
-                rows = _prices(texts, boxes, least_height)
-                out += [(flyer, *r) for r in (_dedup(rows, max_dx, max_dy) if dedup else rows)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()))], ["flyer_id", "price", "cx", "cy", "how"])
+    def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
+        rows = _prices(texts, cx, cy, heights, least_height)
+        return _dedup(rows, max_dx, max_dy) if dedup else rows
 
-    # only regions with a digit can be numbers; a page's regions are one row
-    pages = spread(regions.filter(F.regexp_like("text", F.lit("[0-9]"))), "flyer_id").groupBy("flyer_id").agg(F.collect_list(F.struct("text", "box")).alias("r"))
-    return pages.select("flyer_id", F.col("r.text").alias("texts"), F.col("r.box").alias("boxes")).mapInArrow(run, "flyer_id string, price double, cx double, cy double, how string")
+    # only regions with a digit can be numbers
+    return _by_flyer(regions.filter(F.regexp_like("text", F.lit("[0-9]"))), run, "flyer_id string, price double, cx double, cy double, how string",
+                     [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()])
 
 
 def dual_price_dedup(regions: DataFrame, **params) -> DataFrame:
@@ -341,28 +379,23 @@ def price_blocks(regions: DataFrame, adapt: bool = True) -> DataFrame:
 
 def layout_profile(regions: DataFrame) -> DataFrame:
     """Per flyer: regions, prices, columns, gaps, density, median text height and type."""
-    prices = region_prices(regions, dedup=True)
-
-    def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for flyer, cx, cy in zip(*(batch.column(c).to_pylist() for c in ("flyer_id", "cx", "cy"))):
-                xs: list[float] = []
-                for x in sorted(cx):
-                    if not xs or x - xs[-1] > 80:
-                        xs.append(x)
-                    else:
-                        xs[-1] = (xs[-1] + x) / 2
-                rows = [b - a for a, b in pairwise(sorted(cy)) if b - a > 50]
-                out.append((flyer, len(cx), len(xs), median(b - a for a, b in pairwise(xs)) if len(xs) > 1 else 0.0, median(rows) if rows else 150.0))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64()))], ["flyer_id", "price_count", "columns", "col_gap", "row_gap"])
-
-    p = prices.groupBy("flyer_id").agg(F.collect_list(F.struct("cx", "cy")).alias("p")).select("flyer_id", F.col("p.cx").alias("cx"), F.col("p.cy").alias("cy"))
-    p = p.mapInArrow(columns, "flyer_id string, price_count int, columns int, col_gap double, row_gap double")
-    ys = F.transform("box", lambda q: q[1])
-    r = regions.groupBy("flyer_id").agg(F.count("*").alias("region_count"), F.median(F.array_max(ys) - F.array_min(ys)).alias("text_height"))
-    x = r.join(p, "flyer_id", "left").na.fill(0).withColumn("density", F.col("price_count") / F.greatest(F.col("region_count"), F.lit(1)) * 1000)
+    def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
+        prices = _dedup(_prices(texts, cx, cy, heights, 55.0), 70.0, 170.0)
+        tall = [h for h in heights if h is not None]
+        xs: list[float] = []
+        for x in sorted(p[1] for p in prices):
+            if not xs or x - xs[-1] > 80:
+                xs.append(x)
+            else:
+                xs[-1] = (xs[-1] + x) / 2
+        rows = [b - a for a, b in pairwise(sorted(p[2] for p in prices)) if b - a > 50]
+        gaps = (median(b - a for a, b in pairwise(xs)) if len(xs) > 1 else 0.0, median(rows) if rows else 150.0) if prices else (0.0, 0.0)
+        return [(len(texts), median(tall) if tall else 0.0, len(prices), len(xs), *gaps)]
+
+    # regions are read once; texts without a digit count, but don't move
+    x = _by_flyer(regions.withColumn("text", F.when(F.regexp_like("text", F.lit("[0-9]")), F.col("text"))), run,
+                  "flyer_id string, region_count long, text_height double, price_count int, columns int, col_gap double, row_gap double", [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()])
+    x = x.withColumn("density", F.col("price_count") / F.greatest(F.col("region_count"), F.lit(1)) * 1000)
     n, c, d = F.col("region_count"), F.col("columns"), F.col("density")
     kind = (F.when(F.col("price_count") == 0, "unknown").when((n > 500) & (c >= 3) & (n / F.greatest(F.col("price_count"), F.lit(1)) > 15), "tenda_grid_4col").when((n > 350) & (c >= 3), "roldao_dense_grid")
             .when((n < 150) & (d > 80), "atacadao_sparse").when(d < 30, "sparse_catalog").otherwise("unknown"))

@@ -224,3 +224,19 @@ def test_review_flow(spark):
     assert rows(p, "ingredient_id", "store_id", "tier") == [("Leite", "7", 2)] and rows(a, "alias") == [("Leite X",)] and rows(q2, "id", "status") == [(1, "approved"), (2, "pending")]
     again = spark.createDataFrame([(3, "S", "Sabão", 0.1, "pending"), (4, "S", "Novo", 0.1, "pending"), (5, "S", "Novo", 0.1, "pending")], q.schema)
     assert rows(M.review_insert(q, again), "id") == [(1,), (2,), (4,)]
+
+
+def test_layout_reads_regions_once(spark):
+    """One shuffle of slim rows; text without a digit counts, and a flyer may span Arrow batches."""
+    box = lambda x, y, h: [[x - 20.0, y - h / 2], [x + 20.0, y - h / 2], [x + 20.0, y + h / 2], [x - 20.0, y + h / 2]]
+    own = [("f", t, box(400.0 * k, y, h), 0.9) for k in range(1, 301) for t, y, h in (("12", 100.0, 80.0), ("5", 200.0, 70.0), ("name", 60.0, 20.0))]
+    d = spark.createDataFrame(own + [("g", "only text", box(1.0, 1.0, 30.0), 0.9)], "flyer_id string, text string, box array<array<double>>, score double")
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        p = X.layout_profile(d)
+        assert p._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 1
+        assert "Join" not in p._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(p, "flyer_id", "region_count", "text_height", "price_count", "columns", "col_gap", "row_gap") == [("f", 900, 70.0, 300, 300, 400.0, 150.0), ("g", 1, 30.0, 0, 0, 0.0, 0.0)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
