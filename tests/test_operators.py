@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +227,43 @@ def test_review_flow(spark):
     assert rows(M.review_insert(q, again), "id") == [(1,), (2,), (4,)]
 
 
+def _every_pair(items, offers, keep):
+    """The cheapest pairs of the stores that have an item, by comparing all."""
+    price = {(i, s): p for i, s, p in offers}
+    stores = sorted({s for i, s, _ in offers if i in items})
+    out = []
+    for k, a in enumerate(stores):
+        for b in stores[k + 1:]:
+            costs = [min(q * price.get((i, s), 1e15) for s in (a, b)) for i, q in sorted(items.items())]
+            if max(costs) < 1e15:
+                out.append((sum(costs), a, b))
+    return sorted(out)[:keep]
+
+
+@pytest.mark.parametrize("limit,small", [(500_000, 0), (0, 0), (0, 1 << 19)])
+def test_pairs_of_many_stores(spark, monkeypatch, limit, small):
+    """By thresholds and whole, with prices broadcast and joined; item 0 is in one store
+    only, which must not pair with a store that has nothing of the basket."""
+    monkeypatch.setattr(B, "MAX_BROADCAST_PRICES", limit)
+    monkeypatch.setattr(B, "SMALL", small)
+    rng = random.Random(7)
+    offers = [("i0", 500, 3.0)] + [(f"i{i}", s, float(rng.randint(1, 40))) for i in range(1, 9) for s in range(300) if rng.random() < 0.7]
+    baskets = {b: {f"i{i}": float(rng.randint(1, 4)) for i in rng.sample(range(1, 9), 1 + b % 6)} for b in range(12)} | {99: {"i0": 1.0}}
+    b = spark.createDataFrame([(k, i, q) for k, own in baskets.items() for i, q in own.items()], "basket_id long, ingredient_id string, qty_kg double")
+    p = spark.createDataFrame(offers, "ingredient_id string, store_id long, price_per_kg double")
+    got = {}
+    for r in B.pair_stores(b, p, keep=4).collect():
+        got.setdefault(r["basket_id"], []).append((r["total"], r["a"], r["b"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: w for k, own in baskets.items() if (w := _every_pair(own, offers, 4))}
+    price = {(i, s): x for i, s, x in offers}
+    for r in B.optimize_basket(b, p).collect():
+        own = baskets[r["basket_id"]]
+        mono = min((sum(q * price.get((i, s), 1e15) for i, q in own.items()), s) for s in {s for _, s, _ in offers})
+        best = min([x for x, _, _ in _every_pair(own, offers, 1)] + [mono[0]])
+        assert (r["mono_total"], r["mono_store"]) == (mono if mono[0] < 1e15 else (None, None))
+        assert r["multi_total"] == (best if best < 1e15 else None)
+
+
 def test_layout_reads_regions_once(spark):
     """One shuffle of slim rows; text without a digit counts, and a flyer may span Arrow batches."""
     box = lambda x, y, h: [[x - 20.0, y - h / 2], [x + 20.0, y - h / 2], [x + 20.0, y + h / 2], [x - 20.0, y + h / 2]]
