@@ -1,6 +1,7 @@
 """Operators on small tables with known answers."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -278,3 +279,12 @@ def test_layout_reads_regions_once(spark):
         assert rows(p, "flyer_id", "region_count", "text_height", "price_count", "columns", "col_gap", "row_gap") == [("f", 900, 70.0, 300, 300, 400.0, 150.0), ("g", 1, 30.0, 0, 0, 0.0, 0.0)]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_newest_prices_moves_no_texts(spark):
+    from feira.queries import QUERIES
+
+    plan = QUERIES["newest_prices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    folds = [line for line in plan.splitlines() if "Aggregate [" in line and "max_by" in line]
+    assert folds and not any("raw_product" in line for line in folds)
