@@ -74,6 +74,9 @@ def statements() -> list[str]:
         "normalize_price(price DOUBLE, unit STRING) RETURNS STRUCT<qty: INT, unit_kg: DOUBLE, total_kg: DOUBLE, price_per_kg: DOUBLE, price_per_un: DOUBLE>":
             "priced_pack(price, coalesce(unit_count(regexp_replace(trim(unit), ',', '.')), unit_pack(regexp_replace(trim(unit), ',', '.')).q), pack_in_kg(unit_pack(regexp_replace(trim(unit), ',', '.'))))",
     }
+    own, asked = "normalize_store_name(s.name)", "normalize_store_name(find_similar_store.asked)"
+    alike = f"1 - levenshtein({own}, {asked}) / greatest(length({own}), length({asked}), 1)"
+    edited = "CASE WHEN find_similar_store.least < 1 THEN find_similar_store.least / (1 - find_similar_store.least) - 0.000001D ELSE 2147483647D END"
     table = {
         "detect_price_outliers(as_of DATE, days INT, threshold DOUBLE) RETURNS TABLE(id STRING, ingredient_id STRING, price_per_kg DOUBLE, zscore DOUBLE)":
             """SELECT p.id, p.ingredient_id, p.price_per_kg, (p.price_per_kg - s.mean) / s.std FROM prices p JOIN (
@@ -82,8 +85,10 @@ def statements() -> list[str]:
                ON p.ingredient_id = s.ingredient_id
                WHERE p.price_per_kg > 0 AND to_date(p.collected_at) >= date_sub(detect_price_outliers.as_of, detect_price_outliers.days) AND abs((p.price_per_kg - s.mean) / s.std) > detect_price_outliers.threshold""",
         "find_similar_store(asked STRING, least DOUBLE) RETURNS TABLE(id STRING, name STRING, similarity DOUBLE)":
-            """SELECT s.id, s.name, 1 - levenshtein(normalize_store_name(s.name), normalize_store_name(find_similar_store.asked)) / greatest(length(normalize_store_name(s.name)), length(normalize_store_name(find_similar_store.asked)), 1)
-               FROM stores s WHERE s.is_active AND 1 - levenshtein(normalize_store_name(s.name), normalize_store_name(find_similar_store.asked)) / greatest(length(normalize_store_name(s.name)), length(normalize_store_name(find_similar_store.asked)), 1) >= find_similar_store.least""",
+            # equal names meet by a join; an edit only fits in names of least / (1 - least) letters
+            f"""SELECT s.id, s.name, 1D AS similarity FROM stores s WHERE s.is_active AND {own} = {asked} AND find_similar_store.least <= 1
+               UNION ALL SELECT s.id, s.name, {alike} FROM stores s WHERE s.is_active AND {own} <> {asked}
+               AND length({own}) >= {edited} AND length({asked}) >= {edited} AND {alike} >= find_similar_store.least""",
     }
     make = "CREATE OR REPLACE TEMPORARY FUNCTION {} RETURN {}"
     return [make.format(k, v) for k, v in (scalar | table).items()]
