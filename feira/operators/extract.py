@@ -6,9 +6,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import pairwise
-from statistics import median
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -194,30 +193,34 @@ _NUMBER = re.compile(r"[R$\s]*(\d[\d.,]*)\s*")
 
 
 @lru_cache(100_000)
-def _number(text: str) -> tuple[str, str] | None:
-    """A text that is a number, without blanks at its ends, and its digits."""
+def _number(text: str) -> tuple[str, str, float | None] | None:
+    """A text that is a number, without blanks at its ends, its digits, and its value if
+    it has a separator and three digits or more."""
     raw = text.strip()
     m = _NUMBER.fullmatch(raw)
-    return (raw, re.sub("[.,]", "", m[1])) if m else None
+    if m is None:
+        return None
+    d = re.sub("[.,]", "", m[1])
+    if ("," not in raw and "." not in raw) or len(d) < 3:
+        return raw, d, None
+    whole, _, part = raw.replace(".", ",").rpartition(",")
+    whole, part = ("".join(c for c in t if c.isdigit()) for t in (whole, part))
+    return raw, d, int(whole or "0") + int((part + "00")[:2]) / 100
 
 
 def _prices(texts: list[str | None], cx: list[float], cy: list[float], heights: list[float], least_height: float) -> list[tuple[float, float, float, str]]:
     """(value, cx, cy, how) of one flyer; a cents region serves one price."""
-    n = []
-    for text, x, y, h in zip(texts, cx, cy, heights):
-        if text is not None and (found := _number(text)) is not None:
-            n.append((*found, x, y, h))
-    n.sort(key=lambda n: (-n[4], n[2], n[3], n[0]))  # tallest first
+    n = [(-h, x, y, *found) for text, x, y, h in zip(texts, cx, cy, heights) if text is not None and (found := _number(text)) is not None]
+    n.sort()  # tallest first
     used: set[int] = set()
     out = []
-    cents = sorted((x[2], k) for k, x in enumerate(n) if len(x[1]) == 2)
-    for i, (raw, d, cx_, cy_, h) in enumerate(n):
+    cents = sorted((x[1], k) for k, x in enumerate(n) if len(x[4]) == 2)
+    for i, (h, cx_, cy_, _, d, value) in enumerate(n):
         if i in used:
             continue
-        if ("," in raw or "." in raw) and len(d) >= 3:
-            whole, _, part = raw.replace(".", ",").rpartition(",")
-            whole, part = ("".join(c for c in t if c.isdigit()) for t in (whole, part))
-            value, how = int(whole or "0") + int((part + "00")[:2]) / 100, "sep"
+        h = -h
+        if value is not None:
+            how = "sep"
         elif h > 60 and len(d) in (3, 4):
             value, how = int(d[:-2]) + int(d[-2:]) / 100, f"blob{len(d)}"
         elif h > least_height and len(d) <= 2:
@@ -227,13 +230,13 @@ def _prices(texts: list[str | None], cx: list[float], cy: list[float], heights:
                 x, k = cents[at]
                 if x - cx_ >= 2 * h:
                     break
-                dx, dy = x - cx_, abs(n[k][3] - cy_)
-                if k != i and k not in used and dx > 0 and dy < 0.9 * h and n[k][4] < h and (near is None or (dx + dy, k) < near):
+                dx, dy = x - cx_, abs(n[k][2] - cy_)
+                if k != i and k not in used and dx > 0 and dy < 0.9 * h and -n[k][0] < h and (near is None or (dx + dy, k) < near):
                     near = (dx + dy, k)
             if near:
                 k = near[1]
                 used.add(k)
-                value, how = int(d) + int(n[k][1]) / 100, "cents"
+                value, how = int(d) + int(n[k][4]) / 100, "cents"
         else:
             continue
         used.add(i)
@@ -260,12 +263,38 @@ def _dedup(prices: list[tuple], dx: float, dy: float) -> list[tuple]:
     return out
 
 
-def _by_flyer(regions: DataFrame, run: Callable[[str, list, list, list, list], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+def _mean(at: int) -> Column:
+    """The mean of a coordinate over the points of `box`; of four points outright."""
+    four = reduce(lambda a, b: a + b, [F.get(F.get("box", k), at) for k in range(4)]) / 4
+    return F.when(F.size("box") == 4, four).otherwise(F.aggregate("box", F.lit(0.0), lambda s, p: s + p[at]) / F.size("box"))
+
+
+def _height() -> Column:
+    """From the least to the largest y of `box`."""
+    y = [F.get(F.get("box", k), 1) for k in range(4)]
+    ys = F.transform("box", lambda p: p[1])
+    return F.when(F.size("box") == 4, F.greatest(*y) - F.least(*y)).otherwise(F.array_max(ys) - F.array_min(ys))
+
+
+def _listed(column: pa.Array) -> list:
+    """The values of a column; those that come again are made once."""
+    if pa.types.is_floating(column.type) and not column.null_count:
+        return column.to_numpy().tolist()
+    d = column.dictionary_encode()
+    values = [*d.dictionary.to_pylist(), None]
+    return [values[k] for k in d.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+
+def _median(values: list[float]) -> float:
+    v, k = sorted(values), len(values) // 2
+    return v[k] if len(v) % 2 else (v[k - 1] + v[k]) / 2
+
+
+def _by_flyer(regions: DataFrame, run: Callable[[list, list, list, list], list[tuple]], schema: str, types: list[pa.DataType], dealt: bool) -> DataFrame:
     """flyer_id and the rows that `run` makes of a flyer's regions: texts, centres and
-    heights. Four slim columns move, sorted by flyer; no box does."""
-    xs, ys = F.transform("box", lambda p: p[0]), F.transform("box", lambda p: p[1])
-    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size("box")
-    slim = regions.select("flyer_id", "text", mean(xs).alias("x"), mean(ys).alias("y"), (F.array_max(ys) - F.array_min(ys)).alias("h"))
+    heights. Four slim columns move, sorted by flyer; no box does. dealt: what made the
+    regions (a window, a join) has brought those of a flyer together, so none moves."""
+    slim = regions.select("flyer_id", "text", _mean(0).alias("x"), _mean(1).alias("y"), _height().alias("h"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def flyers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +302,7 @@ def _by_flyer(regions: DataFrame, run: Callable[[str, list, list, list, list], l
         for batch in batches:
             out = []
             ends = pc.run_end_encode(batch.column("flyer_id")) if batch.num_rows else None
-            cols, start = [batch.column(c).to_pylist() for c in ("text", "x", "y", "h")], 0
+            cols, start = [_listed(batch.column(c)) for c in ("text", "x", "y", "h")], 0
             for flyer, end in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()) if ends is not None else ():
                 part = [c[start:end] for c in cols]
                 if own is not None and own[0] == flyer:
@@ -286,19 +315,26 @@ def _by_flyer(regions: DataFrame, run: Callable[[str, list, list, list, list], l
         if own is not None and (out := [(own[0], *r) for r in run(*own[1])]):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return spread(slim, "flyer_id").sortWithinPartitions("flyer_id").mapInArrow(flyers, schema)
+    if dealt:  # a window moves only what is not together yet; its rank is sent along, as Spark drops it else
+        together = slim.withColumn("_", F.row_number().over(Window.partitionBy("flyer_id").orderBy(F.desc("h"), "x", "y")))
+    else:
+        together = spread(slim, "flyer_id").sortWithinPartitions("flyer_id")
+    return together.mapInArrow(flyers, schema)
+
 
+_PRICED = "flyer_id string, price double, cx double, cy double, how string"
+_PRICED_TYPES = [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()]
 
-def region_prices(regions: DataFrame, least_height: float = 55.0, dedup: bool = False, max_dx: float = 70.0, max_dy: float = 170.0) -> DataFrame:
+
+def region_prices(regions: DataFrame, least_height: float = 55.0, dedup: bool = False, max_dx: float = 70.0, max_dy: float = 170.0, dealt: bool = False) -> DataFrame:
     """regions (flyer_id, text, box, score) -> flyer_id, price, cx, cy, how; with dedup
-    the two prices that a product shows become the lower one (dual_price_dedup)."""
+    the two prices that a product shows become the lower one (dual_price_dedup). dealt: see _by_flyer."""
     def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
         rows = _prices(texts, cx, cy, heights, least_height)
         return _dedup(rows, max_dx, max_dy) if dedup else rows
 
     # only regions with a digit can be numbers
-    return _by_flyer(regions.filter(F.regexp_like("text", F.lit("[0-9]"))), run, "flyer_id string, price double, cx double, cy double, how string",
-                     [pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.string()])
+    return _by_flyer(regions.filter(F.regexp_like("text", F.lit("[0-9]"))), run, _PRICED, _PRICED_TYPES, dealt)
 
 
 def dual_price_dedup(regions: DataFrame, **params) -> DataFrame:
@@ -308,9 +344,7 @@ def dual_price_dedup(regions: DataFrame, **params) -> DataFrame:
 def box_join(prices: DataFrame, regions: DataFrame, dx: float | Column = 260.0, above: float | Column = 320.0, below: float | Column = 40.0) -> DataFrame:
     """Pairs of a price and a text region of the same flyer near it; the bounds may be
     columns of prices."""
-    x = F.aggregate("box", F.lit(0.0), lambda s, p: s + p[0]) / F.size("box")
-    y = F.aggregate("box", F.lit(0.0), lambda s, p: s + p[1]) / F.size("box")
-    r = regions.select("flyer_id", F.col("text").alias("name_text"), x.alias("tx"), y.alias("ty"))
+    r = regions.select("flyer_id", F.col("text").alias("name_text"), _mean(0).alias("tx"), _mean(1).alias("ty"))
     near = (F.abs(F.col("tx") - F.col("cx")) < dx) & (F.col("ty") - F.col("cy") > -above) & (F.col("ty") - F.col("cy") < below)
     return prices.join(r, "flyer_id").filter(near)
 
@@ -355,17 +389,16 @@ def clustering_params(profile: DataFrame) -> DataFrame:
                           "x_gap": F.when(small, F.greatest(F.lit(100.0), F.col("x_gap") * 0.8)).when(large, F.least(F.lit(400.0), F.col("x_gap") * 1.2)).otherwise(F.col("x_gap"))})
 
 
-def price_blocks(regions: DataFrame, adapt: bool = True) -> DataFrame:
+def price_blocks(regions: DataFrame, adapt: bool = True, dealt: bool = False) -> DataFrame:
     """flyer_id, price, texts: each price with the product names that belong to it: near
     it, no promotion text, within a gap of the lowest of them, and of the columns that
     x gaps part the one with the most texts (ties to the nearest). The bounds follow
     the layout of the flyer, or are those of an unknown one (adapt False)."""
     names = regions.filter(is_product_name(F.col("text")) & ~F.regexp_like("text", F.lit(PROMO_TEXT)))
-    prices = region_prices(regions, dedup=True)
     if adapt:
-        prices = prices.join(clustering_params(layout_profile(regions)).select("flyer_id", "gap", "x_gap", "block_dx", "above", "below", "most"), "flyer_id")
+        prices = clustering_params(_profiled_prices(regions, dealt)).select("flyer_id", "price", "cx", "cy", "gap", "x_gap", "block_dx", "above", "below", "most")
     else:
-        prices = prices.withColumns({k: F.lit(v) for k, v in {"gap": 50.0, "x_gap": 250.0, "block_dx": 260.0, "above": 320.0, "below": 40.0, "most": 6}.items()})
+        prices = region_prices(regions, dedup=True, dealt=dealt).withColumns({k: F.lit(v) for k, v in {"gap": 50.0, "x_gap": 250.0, "block_dx": 260.0, "above": 320.0, "below": 40.0, "most": 6}.items()})
     j = box_join(prices, names, F.col("block_dx"), F.col("above"), F.col("below"))
     key = ["flyer_id", "price", "cx", "cy", "most"]
     j = j.withColumn("base", F.max("ty").over(Window.partitionBy(*key))).filter(F.col("base") - F.col("ty") < F.col("gap"))
@@ -377,26 +410,52 @@ def price_blocks(regions: DataFrame, adapt: bool = True) -> DataFrame:
     return best.select("flyer_id", F.round("price", 2).alias("price"), F.slice(texts, F.greatest(F.size("t") - F.col("most") + 1, F.lit(1)), F.col("most")).alias("texts"))
 
 
-def layout_profile(regions: DataFrame) -> DataFrame:
-    """Per flyer: regions, prices, columns, gaps, density, median text height and type."""
-    def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
-        prices = _dedup(_prices(texts, cx, cy, heights, 55.0), 70.0, 170.0)
-        tall = [h for h in heights if h is not None]
-        xs: list[float] = []
-        for x in sorted(p[1] for p in prices):
-            if not xs or x - xs[-1] > 80:
-                xs.append(x)
-            else:
-                xs[-1] = (xs[-1] + x) / 2
-        rows = [b - a for a, b in pairwise(sorted(p[2] for p in prices)) if b - a > 50]
-        gaps = (median(b - a for a, b in pairwise(xs)) if len(xs) > 1 else 0.0, median(rows) if rows else 150.0) if prices else (0.0, 0.0)
-        return [(len(texts), median(tall) if tall else 0.0, len(prices), len(xs), *gaps)]
-
-    # regions are read once; texts without a digit count, but don't move
-    x = _by_flyer(regions.withColumn("text", F.when(F.regexp_like("text", F.lit("[0-9]")), F.col("text"))), run,
-                  "flyer_id string, region_count long, text_height double, price_count int, columns int, col_gap double, row_gap double", [pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()])
+_LAYOUT = "region_count long, text_height double, price_count int, columns int, col_gap double, row_gap double"
+_LAYOUT_TYPES = [pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+
+
+def _layout(prices: list[tuple], heights: list[float | None]) -> tuple:
+    """The columns of _LAYOUT of a flyer, from its prices and the heights of its regions."""
+    tall = [h for h in heights if h is not None]
+    xs: list[float] = []
+    for x in sorted(p[1] for p in prices):
+        if not xs or x - xs[-1] > 80:
+            xs.append(x)
+        else:
+            xs[-1] = (xs[-1] + x) / 2
+    rows = [b - a for a, b in pairwise(sorted(p[2] for p in prices)) if b - a > 50]
+    gaps = (_median([b - a for a, b in pairwise(xs)]) if len(xs) > 1 else 0.0, _median(rows) if rows else 150.0) if prices else (0.0, 0.0)
+    return (len(heights), _median(tall) if tall else 0.0, len(prices), len(xs), *gaps)
+
+
+def _digits_only(regions: DataFrame) -> DataFrame:
+    """All regions; texts without a digit count, but don't move."""
+    return regions.withColumn("text", F.when(F.regexp_like("text", F.lit("[0-9]")), F.col("text")))
+
+
+def _profiled(x: DataFrame) -> DataFrame:
+    """The columns of _LAYOUT with density and type of the flyer."""
     x = x.withColumn("density", F.col("price_count") / F.greatest(F.col("region_count"), F.lit(1)) * 1000)
     n, c, d = F.col("region_count"), F.col("columns"), F.col("density")
     kind = (F.when(F.col("price_count") == 0, "unknown").when((n > 500) & (c >= 3) & (n / F.greatest(F.col("price_count"), F.lit(1)) > 15), "tenda_grid_4col").when((n > 350) & (c >= 3), "roldao_dense_grid")
             .when((n < 150) & (d > 80), "atacadao_sparse").when(d < 30, "sparse_catalog").otherwise("unknown"))
     return x.withColumn("flyer_type", kind)
+
+
+def layout_profile(regions: DataFrame, dealt: bool = False) -> DataFrame:
+    """Per flyer: regions, prices, columns, gaps, density, median text height and type."""
+    def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
+        return [_layout(_dedup(_prices(texts, cx, cy, heights, 55.0), 70.0, 170.0), heights)]
+
+    # regions are read once
+    return _profiled(_by_flyer(_digits_only(regions), run, "flyer_id string, " + _LAYOUT, [pa.string(), *_LAYOUT_TYPES], dealt))
+
+
+def _profiled_prices(regions: DataFrame, dealt: bool) -> DataFrame:
+    """region_prices with dedup, each beside the layout of its flyer: regions are read once."""
+    def run(texts: list, cx: list, cy: list, heights: list) -> list[tuple]:
+        prices = _dedup(_prices(texts, cx, cy, heights, 55.0), 70.0, 170.0)
+        layout = _layout(prices, heights) if prices else ()
+        return [p + layout for p in prices]
+
+    return _profiled(_by_flyer(_digits_only(regions), run, _PRICED + ", " + _LAYOUT, [*_PRICED_TYPES, *_LAYOUT_TYPES], dealt))

@@ -97,14 +97,15 @@ def name_from_texts(s, d):
 def _regions(s, d) -> DataFrame:
     """Per line: reais and cents of the price, a second and lower price under it for
     odd parts, and the product's name above."""
-    x = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) * 400.0
+    x = F.row_number().over(Window.partitionBy("flyer_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")) * 400.0
     box = lambda cx, cy, h: F.array(*[F.array(cx + dx, F.lit(cy + dy)) for dx, dy in ((-20.0, -h / 2), (20.0, -h / 2), (20.0, h / 2), (-20.0, h / 2))])
     region = lambda text, cx, cy, h: F.struct(text.alias("text"), box(cx, cy, h).alias("box"), F.lit(0.9).alias("score"))
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     own = F.array_compact(F.array(region((10 + F.col("l_partkey") % 80).cast("string"), F.col("x"), 100.0, 80.0), region(two(F.col("l_suppkey") % 100), F.col("x") + 60, 90.0, 40.0), region(F.col("p_name"), F.col("x"), 60.0, 20.0),
                                   F.when(F.col("l_partkey") % 2 == 1, region(F.lit("5"), F.col("x"), 200.0, 70.0))))
-    placed = _lines(s, d).withColumn("x", x)
-    return placed.select(F.col("l_orderkey").cast("string").alias("flyer_id"), F.explode(own).alias("r")).select("flyer_id", "r.*")
+    # dealt by flyer once: what follows needs them in the same way
+    placed = _lines(s, d).withColumn("flyer_id", F.col("l_orderkey").cast("string")).withColumn("x", x)
+    return placed.select("flyer_id", F.explode(own).alias("r")).select("flyer_id", "r.*")
 
 
 _REGION = f""", l AS (SELECT l_orderkey::VARCHAR AS flyer_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) * 400.0::DOUBLE AS x, 10 + l_partkey % 80 + (l_suppkey % 100) / 100 AS high, l_partkey % 2 = 1 AS two, p_name {_JOIN}),
@@ -114,18 +115,18 @@ low AS (SELECT flyer_id, x AS cx, CASE WHEN two THEN 200.0::DOUBLE ELSE 100.0::D
 
 @query(_REGION + "SELECT flyer_id, cx, cy, price, how FROM p")
 def region_prices(s, d):
-    return X.region_prices(_regions(s, d)).withColumn("price", F.round("price", 2))
+    return X.region_prices(_regions(s, d), dealt=True).withColumn("price", F.round("price", 2))
 
 
 @query(_REGION + "SELECT flyer_id, cx, cy, price FROM low")
 def dual_price_dedup(s, d):
-    return X.dual_price_dedup(_regions(s, d)).select("flyer_id", "cx", "cy", F.round("price", 2).alias("price"))
+    return X.dual_price_dedup(_regions(s, d), dealt=True).select("flyer_id", "cx", "cy", F.round("price", 2).alias("price"))
 
 
 @query(_REGION + "SELECT p.flyer_id, p.price, p.cx, p.cy, l.p_name AS name_text FROM p JOIN l ON p.flyer_id = l.flyer_id AND p.cx = l.x")
 def box_join(s, d):
     r = _regions(s, d)
-    return X.box_join(X.region_prices(r), r.filter("text rlike '[a-z]{3}'")).select("flyer_id", F.round("price", 2).alias("price"), "cx", "cy", "name_text")
+    return X.box_join(X.region_prices(r, dealt=True), r.filter("text rlike '[a-z]{3}'")).select("flyer_id", F.round("price", 2).alias("price"), "cx", "cy", "name_text")
 
 
 @query(_REGION + "SELECT flyer_id, price, [p_name] AS texts FROM low")
@@ -133,7 +134,7 @@ def price_blocks(s, d):
     # beside each name a phrase that is none
     r = _regions(s, d)
     phrase = F.element_at(F.array(*map(F.lit, ("sai por", "unidade", "o kg", "abc", "12345 abcd 678"))), (F.length("text") % 5 + 1).cast("int"))
-    return X.price_blocks(r.unionByName(r.filter("text rlike '[a-z]{3}'").withColumn("text", phrase)))
+    return X.price_blocks(r.unionByName(r.filter("text rlike '[a-z]{3}'").withColumn("text", phrase)), dealt=True)
 
 
 @query(_REGION + """, h AS (SELECT flyer_id, median(h) AS height FROM (SELECT flyer_id, unnest(CASE WHEN two THEN [80, 40, 20, 70] ELSE [80, 40, 20] END)::DOUBLE AS h FROM l) GROUP BY 1),
@@ -144,14 +145,14 @@ SELECT flyer_id, round(CASE WHEN height < 15 THEN greatest(20, gap2 * 0.8::DOUBL
   round(CASE WHEN height < 15 THEN greatest(100, x2 * 0.8::DOUBLE) WHEN height > 30 THEN least(400, x2 * 1.2::DOUBLE) ELSE x2 END, 4) AS x_gap,
   CASE WHEN c > 4 THEN least(300, 200 + 50 * c) ELSE 260 END AS block_dx, least(400, greatest(200, rows * 2.5::DOUBLE)) AS above, 40.0::DOUBLE AS below, CASE WHEN density > 100 THEN 4 WHEN density < 20 THEN 8 ELSE 6 END AS most FROM two""")
 def clustering_params(s, d):
-    p = X.clustering_params(X.layout_profile(_regions(s, d)))
+    p = X.clustering_params(X.layout_profile(_regions(s, d), dealt=True))
     return p.select("flyer_id", *[F.round(c, 4).alias(c) for c in ("gap", "x_gap", "block_dx", "above")], "below", "most")
 
 
 @query(_REGION + """SELECT flyer_id, (3 * count(*) + count(*) FILTER (two))::BIGINT AS region_count, count(*) AS price_count, count(*) AS columns, CASE WHEN count(*) > 1 THEN median(gap) ELSE 0.0 END AS col_gap,
 CASE WHEN bool_and(two) OR NOT bool_or(two) THEN 150.0 ELSE 100.0 END AS row_gap FROM (SELECT *, x - lag(x) OVER (PARTITION BY flyer_id ORDER BY x) AS gap FROM l) GROUP BY 1""")
 def layout_profile(s, d):
-    out = X.layout_profile(_regions(s, d))
+    out = X.layout_profile(_regions(s, d), dealt=True)
     return out.select("flyer_id", "region_count", F.col("price_count").cast("long").alias("price_count"), F.col("columns").cast("long").alias("columns"), "col_gap", "row_gap")
 
 

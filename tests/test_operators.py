@@ -281,6 +281,16 @@ def test_layout_reads_regions_once(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["dual_price_dedup", "clustering_params", "region_prices", "layout_profile"])
+def test_dealt_flyers_stay(spark, name):
+    """Line items move once, by flyer; the regions made of them don't move again."""
+    from feira.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 def test_newest_prices_moves_no_texts(spark):
     from feira.queries import QUERIES
