@@ -84,10 +84,14 @@ def _period(t: Table) -> Column:
     return (F.lit("all") if t.unit == "all" else F.to_date(F.date_trunc(t.unit, F.col(t.date))).cast("string")).alias("period")
 
 
-def _write(rows: DataFrame, path: str) -> list[str]:
+def _with_period(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("period", T.StringType())])
+
+
+def _write(rows: DataFrame, path: str, dealt: bool = False) -> list[str]:
     """Rows with `period`, written by period; the periods. Spark merges small parts of
-    a period and splits large ones."""
-    rows.hint("rebalance", "period").write.mode("overwrite").partitionBy("period").parquet(path)
+    a period and splits large ones, unless the rows are dealt so already."""
+    (rows if dealt else rows.hint("rebalance", "period")).write.mode("overwrite").partitionBy("period").parquet(path)
     try:
         return sorted(str(r[0]) for r in rows.sparkSession.read.parquet(path).select("period").distinct().collect())  # a value each folder
     except AnalysisException as e:
@@ -113,11 +117,13 @@ def _rows(spark: SparkSession, root: str, name: str, t: Table, periods: set[str]
     keys = T.StructType([f for f in schema.fields if f.name in t.keys])
     live = {p: v for p, v in t.days.items() if periods is None or p in periods}
     cut = {p: v for p, v in t.gone.items() if p in live}
-    plain = _scan(spark, root, "rows", name, schema, {p: v for p, v in live.items() if p not in cut})
-    if not cut:
+    # keys taken away concern the rows of earlier versions only
+    older = {p: [x for x in live[p] if x < max(cut[p])] for p in cut}
+    plain = _scan(spark, root, "rows", name, schema, {p: x for p, v in live.items() if (x := [k for k in v if k not in older.get(p, ())])})
+    if not any(older.values()):
         return plain.drop("at")
     gone = _scan(spark, root, "gone", name, keys, cut).groupBy(*t.keys).agg(F.max("at").alias("gone_at"))
-    rest = _scan(spark, root, "rows", name, schema, {p: live[p] for p in cut}).join(gone, t.keys, "left")
+    rest = _scan(spark, root, "rows", name, schema, {p: v for p, v in older.items() if v}).join(gone, t.keys, "left")
     rest = rest.filter(F.col("gone_at").isNull() | (F.col("at") >= F.col("gone_at"))).select(*plain.columns)
     return plain.unionByName(rest).drop("at")
 
@@ -144,6 +150,7 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], batch: tu
     if batch and v.batches.get(batch[0], -1) >= batch[1]:
         return v.number
     n = v.number + 1
+    written: list[tuple[DataFrame, Table, str]] = []
     for name, c in changes.items():
         t = v.tables.get(name)
         if t is None:
@@ -152,10 +159,15 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], batch: tu
             t = v.tables[name] = Table(list(c.keys), c.date, c.unit, c.rows.schema.json())
         schema = T.StructType.fromJson(json.loads(t.schema))
         if c.rows is not None:
-            rows = c.rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("period", _period(t))
-            added = _write(rows, f"{root}/rows/{name}/at={n}")
+            path = f"{root}/rows/{name}/at={n}"
+            twin = next((at for rows, x, at in written if rows is c.rows and (x.date, x.unit, x.schema) == (t.date, t.unit, t.schema)), None)
+            if twin:  # another table took the same rows: its files are copied, nothing is worked out or moved again
+                added = _write(spark.read.schema(_with_period(schema)).parquet(twin), path, dealt=True)
+            else:
+                added = _write(c.rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("period", _period(t)), path)
+            written.append((c.rows, t, path))
         else:
-            rows, added = None, []
+            added = []
         replaced = set(added) & set(t.days)
         gone = [d.select(*t.keys, _period(t)) for d in (c.gone,) if d is not None]
         if replaced:  # what was just written, by its keys

@@ -110,3 +110,25 @@ def test_edges(spark, tmp_path):
     versions.commit(spark, root, {"kv": Change(kv(("a", 1), ("b", 2)), keys=("k",), unit="all")})
     versions.commit(spark, root, {"kv": Change(kv(("b", 3), ("c", 4)), gone=kv(("a", 0)))})
     assert sorted(map(tuple, versions.read(spark, root, "kv").collect())) == [("b", 3), ("c", 4)]
+
+
+def test_twin_tables_work_rows_out_once(spark, tmp_path):
+    """Prices and history take the same rows: these are worked out once, and the second
+    table's files are as many as the first's."""
+    root, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = prices(spark, [row(str(k), f"i{k}", 1.0, 6 * k) for k in range(12)])
+    price_store.store_prices(spark, root, rows.mapInPandas(count, rows.schema), ("b", 0), "month")
+    assert seen.value == 12
+    files_of = lambda t: len(glob.glob(f"{root}/rows/{t}/at=1/period=*/*.parquet"))
+    assert files_of("prices") == files_of("price_history") == 3
+    assert ids(versions.read(spark, root, "prices")) == ids(versions.read(spark, root, "price_history")) == ids(rows)
+    # the newest delta lost nothing: it meets no keys
+    price_store.store_prices(spark, root, prices(spark, [row("new", "i1", 2.0, 6)]), ("b", 1), "month")
+    for t in price_store.TABLES:
+        assert ids(versions.read(spark, root, t)) == sorted([*(str(k) for k in range(12) if k != 1), "new"])
