@@ -109,11 +109,19 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     block = F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<script\s+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)))
     other = lambda v, kind: F.coalesce(_kind(v) != kind, F.lit(False))
 
+    once = lambda v, f: F.get(F.transform(F.array(v), f), 0)  # noqa: E731 (v is worked out once, however often f names it)
+
     def item(e: Column) -> Column:
-        x = _get(e, "$.item")
-        name, offers, low = _get(x, "$.name"), _get(x, "$.offers"), _get(x, "$.offers.lowPrice")
-        price = F.when(_holds(low), low).otherwise(_get(offers, "$.price"))
-        bad = other(e, "OBJECT") | other(x, "OBJECT") | (_holds(name) & (other(name, "STRING") | other(offers, "OBJECT") | (_holds(price) & other(price, "NUMBER"))))
+        return once(F.struct(e.alias("e"), _get(e, "$.item").alias("x")), parts)
+
+    def parts(i: Column) -> Column:
+        x = i["x"]
+        fields = F.struct(_get(x, "$.name").alias("name"), _get(x, "$.offers").alias("offers"), _get(x, "$.offers.lowPrice").alias("low"), (other(i["e"], "OBJECT") | other(x, "OBJECT")).alias("bad"))
+        return once(fields, lambda f: once(F.struct(f.alias("f"), F.when(_holds(f["low"]), f["low"]).otherwise(_get(f["offers"], "$.price")).alias("price")), lambda p: checked(p["f"], p["price"])))
+
+    def checked(f: Column, price: Column) -> Column:
+        name = f["name"]
+        bad = f["bad"] | (_holds(name) & (other(name, "STRING") | other(f["offers"], "OBJECT") | (_holds(price) & other(price, "NUMBER"))))
         return F.struct(bad.alias("bad"), F.when(_holds(name), _strip(_get(name, "$", "string"))).alias("name"), F.when(_kind(price) == "NUMBER", _get(price, "$", "double")).alias("price"))
 
     j = pages.select("id", block.alias("block")).withColumn("j", F.try_parse_json(F.trim("block"))).filter(_get(F.col("j"), "$['@type']", "string") == "ItemList")

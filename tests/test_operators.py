@@ -298,3 +298,10 @@ def test_newest_prices_moves_no_texts(spark):
     plan = QUERIES["newest_prices"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     folds = [line for line in plan.splitlines() if "Aggregate [" in line and "max_by" in line]
     assert folds and not any("raw_product" in line for line in folds)
+
+
+def test_jsonld_parts_once(spark):
+    """The low price of an item is taken out of its JSON once in the plan, not for each use."""
+    d = spark.createDataFrame([(1, "")], "id long, html string")
+    project = [x for x in X.jsonld_products(d)._jdf.queryExecution().analyzed().toString().splitlines() if "lowPrice" in x]
+    assert sum(x.count("$.offers.lowPrice") for x in project) == 1
