@@ -51,23 +51,24 @@ def distinct_lines(texts: DataFrame) -> DataFrame:
     return f.select("id", "f.pos", "f.line")
 
 
-def parse_flyer_lines(lines: DataFrame) -> DataFrame:
+def parse_flyer_lines(lines: DataFrame, ascii_words: bool = False) -> DataFrame:
     """lines (id, pos, line) -> product rows (id, pos, product, price, unit,
     validity_raw).
 
     Name lines gather until a price line closes the product. A validity line counts
     for the next product that comes out (a name of more than 3 characters); the
     buffer is emptied by every price line. Validity lines are seen first, then stop
-    lines, then prices. Windows run within one text only.
+    lines, then prices. Windows run within one text only. ascii_words: words of prices and
+    units end at letters that ASCII lacks, as in engines whose word boundary knows no others.
     """
     low = F.lower("line")
     stop = F.size(F.array_intersect(F.split(low, r"\s+"), F.array(*[F.lit(w) for w in STOP_WORDS]))) > 0
     x = lines.withColumn("validity", F.nullif(T.extract_validity(F.col("line")), F.lit("")))
     x = x.withColumn("stop", F.col("validity").isNull() & (stop | (F.length("line") < 3) | F.regexp_like("line", F.lit(r"^\d+$"))))
-    x = x.filter("not stop").withColumn("price", F.when(F.col("validity").isNull(), T.extract_price_brl(F.col("line"))))
+    x = x.filter("not stop").withColumn("price", F.when(F.col("validity").isNull(), T.extract_price_brl(F.col("line"), ascii_words)))
     w = Window.partitionBy("id").orderBy("pos")
     x = x.withColumn("island", F.count("price").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rest = F.when(F.col("price").isNotNull(), F.trim(F.regexp_replace("line", T.PRICE, ""))).when(F.col("validity").isNull(), F.col("line"))
+    rest = F.when(F.col("price").isNotNull(), F.trim(F.regexp_replace("line", T.price_pattern(ascii_words), ""))).when(F.col("validity").isNull(), F.col("line"))
     x = x.withColumn("part", F.nullif(rest, F.lit("")))
     g = x.groupBy("id", "island").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("pos", "part")))), lambda s: s["part"]), " ").alias("product"),
@@ -77,7 +78,7 @@ def parse_flyer_lines(lines: DataFrame) -> DataFrame:
     wi = Window.partitionBy("id").orderBy("island")
     g = g.withColumn("turn", F.coalesce(F.sum(F.col("out").cast("int")).over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     g = g.withColumn("held", F.last("validity", ignorenulls=True).over(Window.partitionBy("id", "turn").orderBy("island").rowsBetween(Window.unboundedPreceding, 0)))
-    return g.filter("out").select("id", "pos", "product", "price", T.extract_unit(F.col("product")).alias("unit"), F.coalesce("held", F.lit("")).alias("validity_raw"))
+    return g.filter("out").select("id", "pos", "product", "price", T.extract_unit(F.col("product"), ascii_words).alias("unit"), F.coalesce("held", F.lit("")).alias("validity_raw"))
 
 
 def _get(v, path: str, kind: str = "variant") -> Column:
