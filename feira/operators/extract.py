@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.work import kept
 from .match import extract_brand
 from .similar import spread
 
@@ -87,7 +88,7 @@ def _get(v, path: str, kind: str = "variant") -> Column:
 
 def _kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID or NUMBER; null where nothing is."""
-    k = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    k = F.substring_index(F.substring_index(F.schema_of_variant(v), "(", 1), "<", 1)
     return F.when(k.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), "NUMBER").otherwise(k)
 
 
@@ -101,6 +102,16 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def _once(v: Column, f: Callable[[Column], Column]) -> Column:
+    """f of v, which is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(v), f), 0)
+
+
+def _each(rows: DataFrame, array: Column, name: str, *others: str | Column) -> DataFrame:
+    """A row for each element that is there."""
+    return rows.select(*others, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def jsonld_products(pages: DataFrame) -> DataFrame:
     """pages (id, html) -> id, name, price, unit of the items of JSON-LD item lists: the
     low price unless it is absent or zero, else the price; numbers above 0 only. An item
@@ -110,7 +121,7 @@ def jsonld_products(pages: DataFrame) -> DataFrame:
     block = F.explode(F.regexp_extract_all("html", F.lit(r'(?is)<script\s+type="application/ld\+json"[^>]*>(.*?)</script>'), F.lit(1)))
     other = lambda v, kind: F.coalesce(_kind(v) != kind, F.lit(False))
 
-    once = lambda v, f: F.get(F.transform(F.array(v), f), 0)  # noqa: E731 (v is worked out once, however often f names it)
+    once = _once
 
     def item(e: Column) -> Column:
         return once(F.struct(e.alias("e"), _get(e, "$.item").alias("x")), parts)
@@ -136,13 +147,16 @@ def shopify_products(responses: DataFrame) -> DataFrame:
     """responses (id, json) -> id, name, brand, price, variant, unit: the first variant
     that is available (or doesn't say), else the first; positive prices, as numbers or
     as strings, and titles that are not blank only."""
-    v = _get(F.try_parse_json("json"), "$.products", "array<variant>")
-    x = responses.select("id", F.explode(v).alias("p"))
-    x = x.select("id", _strip(_get(F.col("p"), "$.title", "string")).alias("name"), _strip(F.coalesce(_get(F.col("p"), "$.vendor", "string"), F.lit(""))).alias("brand"), _get(F.col("p"), "$.variants", "array<variant>").alias("v"))
-    free = lambda e: _get(e, "$.available").isNull() | _holds(_get(e, "$.available"))
-    x = x.withColumn("v", F.coalesce(F.get(F.filter("v", free), 0), F.get(F.col("v"), 0)))
-    price = F.trim(_get(F.col("v"), "$.price", "string")).try_cast("double")
-    return x.select("id", "name", "brand", price.alias("price"), _get(F.col("v"), "$.title", "string").alias("variant"), T.extract_unit(F.col("name")).alias("unit")).filter("name <> '' and price > 0")
+    def product(p: Column) -> Column:
+        variants = _get(p, "$.variants", "array<variant>")
+        free = lambda e: _once(_get(e, "$.available"), lambda a: a.isNull() | _holds(a))
+        return _once(variants, lambda vs: _once(F.coalesce(F.get(F.filter(vs, free), 0), F.get(vs, 0)), lambda v: F.struct(
+            _strip(_get(p, "$.title", "string")).alias("name"), _strip(F.coalesce(_get(p, "$.vendor", "string"), F.lit(""))).alias("brand"),
+            F.trim(_get(v, "$.price", "string")).try_cast("double").alias("price"), _get(v, "$.title", "string").alias("variant"))))
+
+    found = F.transform(_get(F.try_parse_json("json"), "$.products", "array<variant>"), product)
+    x = _each(responses, F.filter(found, lambda p: (p["name"] != "") & (p["price"] > 0)), "p", "id")
+    return x.select("id", "p.name", "p.brand", "p.price", "p.variant").withColumn("unit", T.extract_unit(F.col("name")))
 
 
 def vtex_offers(responses: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
@@ -150,21 +164,30 @@ def vtex_offers(responses: DataFrame, catalog: DataFrame | None = None) -> DataF
     for) -> a row for each seller's offer with a positive price and stock: name (the
     item's complete name, its name, or the product's), brand (the ingredient's that the
     name holds, else the declared one), unit, validity_raw, seller, price, quantity."""
-    first = lambda *c: F.coalesce(*[F.when(_holds(x), _get(x, "$", "string")) for x in c])
-    p, i, s = F.col("p"), F.col("i"), F.col("s")
-    asked = ["ingredient"] if catalog is not None else []
-    x = responses.select("id", *asked, F.explode(_get(F.try_parse_json("json"), "$", "array<variant>")).alias("p"))
-    x = x.select("id", *asked, "p", F.explode(_get(p, "$.items", "array<variant>")).alias("i"))
-    x = x.select("id", *asked, F.coalesce(first(_get(i, "$.nameComplete"), _get(i, "$.name"), _get(p, "$.productName")), F.lit("")).alias("name"),
-                 F.coalesce(_get(p, "$.brand", "string"), F.lit("")).alias("brand"), F.explode(_get(i, "$.sellers", "array<variant>")).alias("s"))
-    price = F.when(_kind(_get(s, "$.commertialOffer.Price")) == "NUMBER", _get(s, "$.commertialOffer.Price", "double"))
-    x = x.select("id", *asked, "name", "brand", _get(s, "$.sellerName", "string").alias("seller"), price.alias("price"), _get(s, "$.commertialOffer.AvailableQuantity", "long").alias("quantity"),
-                 F.coalesce(_get(s, "$.commertialOffer.priceValidUntil", "string"), F.lit("")).alias("validity_raw"), T.extract_unit(F.col("name")).alias("unit")).filter("price > 0 and quantity > 0")
+    def held(v: Column, path: str) -> Column:
+        """The text of a value that is not null, false, zero or empty."""
+        sure = lambda t: (t != "") & ~F.substring(t, 1, 1).isin("0", "-", "f")  # noqa: E731 (most are; no kind is looked up for them)
+        return _once(_get(v, path, "string"), lambda t: F.when(sure(t), t).when(t.isNotNull() & _holds(_get(v, path)), t))
+
+    def offer(s: Column) -> Column:
+        return _once(_get(s, "$.commertialOffer"), lambda o: F.struct(
+            _get(s, "$.sellerName", "string").alias("seller"), _once(_get(o, "$.Price"), lambda p: F.when(_kind(p) == "NUMBER", _get(p, "$", "double"))).alias("price"),
+            _get(o, "$.AvailableQuantity", "long").alias("quantity"), F.coalesce(_get(o, "$.priceValidUntil", "string"), F.lit("")).alias("validity_raw")))
+
+    asked, p, i = ["ingredient"] if catalog is not None else [], F.col("p"), F.col("i")
+    x = _each(responses, _get(F.try_parse_json("json"), "$", "array<variant>"), "p", "id", *asked)
+    x = _each(x, _get(p, "$.items", "array<variant>"), "i", "id", *asked, "p")
+    x = x.select("id", *asked, F.coalesce(held(i, "$.nameComplete"), held(i, "$.name"), held(p, "$.productName"), F.lit("")).alias("name"), F.coalesce(_get(p, "$.brand", "string"), F.lit("")).alias("brand"), i)
+    unit = T.extract_unit(F.col("name"))
     if catalog is None:
-        return x
-    held = extract_brand(x.select(F.col("name").alias("raw_product"), "ingredient").distinct(), catalog, default=None).filter("brand is not null")
-    held = held.select(F.col("raw_product").alias("name"), "ingredient", F.col("brand").alias("held"))
-    return x.join(held, ["name", "ingredient"], "left").withColumn("brand", F.coalesce("held", "brand")).drop("held", "ingredient")
+        x = x.withColumn("unit", unit)
+    else:  # brand and unit of each name, once
+        named = extract_brand(kept(x.select(F.col("name").alias("raw_product"), "ingredient").distinct(), "names"), catalog, default=None)
+        named = kept(named.select(F.col("raw_product").alias("name"), F.col("ingredient").alias("of"), F.col("brand").alias("held")).withColumn("unit", unit), "named")
+        x = x.join(named, (x["name"] == named["name"]) & x["ingredient"].eqNullSafe(named["of"]), "left").select("id", x["name"], F.coalesce("held", "brand").alias("brand"), "unit", "i")
+    offers = F.transform(_get(F.col("i"), "$.sellers", "array<variant>"), offer)
+    x = _each(x, F.filter(offers, lambda o: (o["price"] > 0) & (o["quantity"] > 0)), "o", "id", "name", "brand", "unit")
+    return x.select("id", "name", "brand", "o.seller", "o.price", "o.quantity", "o.validity_raw", "unit")
 
 
 def extract_addresses(texts: DataFrame) -> DataFrame:
