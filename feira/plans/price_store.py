@@ -17,9 +17,10 @@ TABLES = ("prices", "price_history")
 
 def store_prices(spark: SparkSession, root: str, incoming: DataFrame, batch: tuple[str, int] | None = None, unit: str = "day") -> int:
     """Take a batch of rows into prices and history, in one commit, as upsert_prices and
-    append_history would. A batch that is repeated changes nothing."""
+    append_history would. A batch that is repeated changes nothing. The rows lie as they
+    were made one a key; only by day or month they are dealt again, by period."""
     rows = maintain.priced(incoming)
-    return versions.commit(spark, root, {t: Change(rows, keys=KEYS, unit=unit) for t in TABLES}, batch)
+    return versions.commit(spark, root, {t: Change(rows, keys=KEYS, unit=unit, dealt=unit in ("year", "all")) for t in TABLES}, batch)
 
 
 def retain(spark: SparkSession, root: str, as_of: dt.date) -> int:

@@ -46,7 +46,9 @@ class Table:
 class Change:
     """rows: put in the place of those of the same keys; gone: rows of which the keys go;
     until: all rows of earlier dates go (after rows and gone). keys (the date among
-    them), date and unit (day, month or year; all: one period) of a new table."""
+    them), date and unit (day, month or year; all: one period) of a new table. dealt: rows
+    and keys are written as they lie, with no further shuffle; for few periods, as each task
+    writes a file for every period that it has rows of."""
 
     rows: DataFrame | None = None
     gone: DataFrame | None = None
@@ -54,6 +56,7 @@ class Change:
     keys: tuple[str, ...] = ()
     date: str = "collected_at"
     unit: str = "day"
+    dealt: bool = False
 
 
 @dataclass
@@ -157,14 +160,14 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], batch: tu
             if c.rows is None:
                 raise ValueError(f"there is no table {name}")
             t = v.tables[name] = Table(list(c.keys), c.date, c.unit, c.rows.schema.json())
-        schema = T.StructType.fromJson(json.loads(t.schema))
+        schema, lies = T.StructType.fromJson(json.loads(t.schema)), {"dealt": True} if c.dealt else {}
         if c.rows is not None:
             path = f"{root}/rows/{name}/at={n}"
             twin = next((at for rows, x, at in written if rows is c.rows and (x.date, x.unit, x.schema) == (t.date, t.unit, t.schema)), None)
             if twin:  # another table took the same rows: its files are copied, nothing is worked out or moved again
                 added = _write(spark.read.schema(_with_period(schema)).parquet(twin), path, dealt=True)
             else:
-                added = _write(c.rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("period", _period(t)), path)
+                added = _write(c.rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("period", _period(t)), path, **lies)
             written.append((c.rows, t, path))
         else:
             added = []
@@ -181,7 +184,7 @@ def commit(spark: SparkSession, root: str, changes: dict[str, Change], batch: tu
                 old = _rows(spark, root, name, Table(**(t.__dict__ | {"days": {edge: [x for x in t.days[edge] if x < n]}})))
                 gone.append(old.filter(F.to_date(t.date) < F.lit(c.until)).select(*t.keys, "period"))
         if gone:
-            cut = _write(reduce(DataFrame.unionByName, gone).filter(F.col("period").isin(list(t.days))), f"{root}/gone/{name}/at={n}")
+            cut = _write(reduce(DataFrame.unionByName, gone).filter(F.col("period").isin(list(t.days))), f"{root}/gone/{name}/at={n}", **lies)
             for p in cut:
                 t.gone.setdefault(p, []).append(n)
         t.gone = {p: x for p, x in t.gone.items() if p in t.days}
